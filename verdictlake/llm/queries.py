@@ -4,22 +4,53 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from .byte_bpe import BpeConfig, encoding_digest
 from .exact_dedup import exact_duplicates
+from .language_id import fit_languages, held_out, identify_languages
+from .order_minhash import fingerprint_edits
+from .packing import PackingConfig, pack_documents
+
+PACKING = PackingConfig(public_tokenizers.path("word_bpe_49k.json"))
+BYTE_BPE = BpeConfig(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of 4096 tokens by local search."""
+    return pack_documents(_documents(spark, sf_dir).select("doc_id", "text"), PACKING)
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact duplicates of all documents by polynomial fingerprints."""
     return exact_duplicates(_documents(spark, sf_dir).select("doc_id", "text"))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of all documents by compression, learned from those that are not held out."""
+    docs = _documents(spark, sf_dir)
+    model = fit_languages(docs.where(~held_out()).select("doc_id", "text", "lang"))
+    return identify_languages(docs.select("doc_id", "text"), model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "margin", "rejected")
+
+
+def op8_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order MinHash fingerprints of all documents and of their edited texts."""
+    return fingerprint_edits(_documents(spark, sf_dir).select("doc_id", "text"))
+
+
+def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Byte-level BPE ids of all documents and what they decode to, as digests."""
+    return encoding_digest(_documents(spark, sf_dir).select("doc_id", "text"), BYTE_BPE)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_exact_dedup,)}
+    found = (op1_best_fit_packing, op2_exact_dedup, op3_language_id, op8_order_minhash, op10_byte_bpe)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
