@@ -3,6 +3,7 @@
 Each language has one raw-content zstandard dictionary made of sampled texts. A text is compressed once with each
 dictionary; the language whose dictionary makes it smallest is the prediction. Texts are compressed in blocks, so that
 a long text cannot feed on itself and the dictionary counts everywhere in it; all blocks of the whole text count.
+Texts and dictionaries are in lower case.
 The distance between the two best sizes, relative to the second, is the margin; a narrow margin is a rejection.
 """
 
@@ -26,15 +27,17 @@ UNDETERMINED = "und"
 class LanguageConfig:
     """sample_texts: labelled texts for a language at most, spread by hash; sample_chars: of each, a passage at a hashed
     place; dictionary_bytes: of a language, less if all together would pass total_bytes. level, block_bytes: of the
-    compressor. min_margin: below it a prediction is a rejection. min_gain: bytes of margin below which it is one too."""
+    compressor; min_match: its shortest match. min_margin: below it a prediction is a rejection. temperature: of the score,
+    in bytes for each compressed byte."""
 
     sample_texts: int = 64
     sample_chars: int = 4096
     dictionary_bytes: int = 48 << 10
     total_bytes: int = 64 << 20
-    level: int = 1
+    level: int = 6
+    min_match: int = 3
     block_bytes: int = 4096
-    min_margin: float = 0.002
+    min_margin: float = 0.004
     temperature: float = 0.01
 
 
@@ -59,7 +62,7 @@ def fit_languages(labelled: DataFrame, config: LanguageConfig = LanguageConfig()
     rows = labelled.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull())
     hashed = rows.select("lang", "doc_id", F.xxhash64(F.col("doc_id").cast("string")).alias("h"))
     chosen = hashed.groupBy("lang", F.pmod("h", F.lit(config.sample_texts)).alias("bucket")).agg(F.min("h").alias("h"))
-    texts = rows.select("lang", F.xxhash64(F.col("doc_id").cast("string")).alias("h"), "text")
+    texts = rows.select("lang", F.xxhash64(F.col("doc_id").cast("string")).alias("h"), F.lower("text").alias("text"))
     at = F.pmod(F.col("h"), F.greatest(F.char_length("text") - config.sample_chars, F.lit(0)) + 1) + 1
     passages = texts.join(F.broadcast(chosen.select("lang", "h")), ["lang", "h"]).select("lang", "h", F.substring("text", at, F.lit(config.sample_chars)).alias("passage"))
     # bounded: sample_texts passages of sample_chars for each language (repeated rows once)
@@ -103,9 +106,12 @@ def _classifier(model: LanguageModel, config: LanguageConfig):
         langs = list(model.dictionaries)
         compressors = []
         for lang in langs:
-            data = zstandard.ZstdCompressionDict(model.dictionaries[lang], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            data.precompute_compress(level=config.level)
-            compressors.append(zstandard.ZstdCompressor(level=config.level, dict_data=data, write_content_size=False, write_checksum=False, write_dict_id=False))
+            content = model.dictionaries[lang]
+            data = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            settings = zstandard.ZstdCompressionParameters.from_level(
+                config.level, source_size=config.block_bytes, dict_size=len(content), min_match=config.min_match, write_content_size=False, write_checksum=False, write_dict_id=False
+            )
+            compressors.append(zstandard.ZstdCompressor(dict_data=data, compression_params=settings))
         for batch in batches:
             offsets, data = text_buffers(batch.column("text"))
             letters = batch.column("has_letter").to_pylist()
@@ -134,6 +140,6 @@ def identify_languages(docs: DataFrame, model: LanguageModel, config: LanguageCo
     learned. Equal sizes go to the first language code, with margin 0. Repeated rows give repeated results; further
     columns are ignored; no shuffle.
     """
-    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
+    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower(whole_text()).alias("text"))
     given = given.withColumn("has_letter", F.col("text").rlike(r"\p{L}"))
     return given.mapInArrow(_classifier(model, config), "doc_id long, lang_pred string, score double, margin double, rejected boolean")

@@ -12,6 +12,7 @@ from .exact_dedup import exact_duplicates
 from .language_id import fit_languages, held_out, identify_languages
 from .order_minhash import fingerprint_edits
 from .packing import PackingConfig, pack_documents
+from .suffix_dedup import remove_repeats
 
 PACKING = PackingConfig(public_tokenizers.path("word_bpe_49k.json"))
 BYTE_BPE = BpeConfig(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
@@ -38,6 +39,11 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(docs.select("doc_id", "text"), model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "margin", "rejected")
 
 
+def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of 50 bytes and more that occur in a document with a smaller id, removed from all documents."""
+    return remove_repeats(_documents(spark, sf_dir).select("doc_id", "text"))
+
+
 def op8_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order MinHash fingerprints of all documents and of their edited texts."""
     return fingerprint_edits(_documents(spark, sf_dir).select("doc_id", "text"))
@@ -49,7 +55,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_best_fit_packing, op2_exact_dedup, op3_language_id, op8_order_minhash, op10_byte_bpe)
+    found = (op1_best_fit_packing, op2_exact_dedup, op3_language_id, op5_suffix_array_dedup, op8_order_minhash, op10_byte_bpe)
     return {f.__name__: f for f in found}
 
 
