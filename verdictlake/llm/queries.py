@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .byte_bpe import BpeConfig, encoding_digest
 from .exact_dedup import exact_duplicates
 from .language_id import fit_languages, held_out, identify_languages
+from .lz_dedup import parse_documents
 from .order_minhash import fingerprint_edits
 from .packing import PackingConfig, pack_documents
 from .suffix_dedup import remove_repeats
@@ -44,6 +46,12 @@ def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(_documents(spark, sf_dir).select("doc_id", "text"))
 
 
+def op6_lz_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of 20 words that occurred before, removed from all documents."""
+    parsed = parse_documents(_documents(spark, sf_dir).select("doc_id", "text"))
+    return parsed.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"), F.size("factors").cast("long").alias("n_factors"))
+
+
 def op8_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order MinHash fingerprints of all documents and of their edited texts."""
     return fingerprint_edits(_documents(spark, sf_dir).select("doc_id", "text"))
@@ -55,7 +63,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_best_fit_packing, op2_exact_dedup, op3_language_id, op5_suffix_array_dedup, op8_order_minhash, op10_byte_bpe)
+    found = (op1_best_fit_packing, op2_exact_dedup, op3_language_id, op5_suffix_array_dedup, op6_lz_substring_dedup, op8_order_minhash, op10_byte_bpe)
     return {f.__name__: f for f in found}
 
 
