@@ -12,6 +12,7 @@ from .byte_bpe import BpeConfig, encoding_digest
 from .exact_dedup import exact_duplicates
 from .language_id import fit_languages, held_out, identify_languages
 from .lz_dedup import parse_documents
+from .ngram_join import similarity_components
 from .order_minhash import fingerprint_edits
 from .packing import PackingConfig, pack_documents
 from .suffix_dedup import remove_repeats
@@ -57,13 +58,18 @@ def op8_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_edits(_documents(spark, sf_dir).select("doc_id", "text"))
 
 
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all documents whose 5-word shingles have a Jaccard similarity of 0.75 and more."""
+    return similarity_components(_documents(spark, sf_dir).select("doc_id", "text"))
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Byte-level BPE ids of all documents and what they decode to, as digests."""
     return encoding_digest(_documents(spark, sf_dir).select("doc_id", "text"), BYTE_BPE)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_best_fit_packing, op2_exact_dedup, op3_language_id, op5_suffix_array_dedup, op6_lz_substring_dedup, op8_order_minhash, op10_byte_bpe)
+    found = (op1_best_fit_packing, op2_exact_dedup, op3_language_id, op5_suffix_array_dedup, op6_lz_substring_dedup, op8_order_minhash, op9_ngram_join, op10_byte_bpe)
     return {f.__name__: f for f in found}
 
 
