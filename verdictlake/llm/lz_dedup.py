@@ -54,11 +54,11 @@ class Words:
     ends: np.ndarray
 
 
-def words_of(data: np.ndarray, ends: np.ndarray) -> Words:
-    """Words are runs of bytes that are no white space and in one document."""
+def words_of(data: np.ndarray, ends: np.ndarray, breaks: np.ndarray = _BREAK) -> Words:
+    """Words are runs of bytes that are no breaks (by default white space) and in one document."""
     if not len(data):
         return Words(*(np.zeros(0, np.int64),) * 2, np.zeros(0, np.uint64), np.zeros(len(ends), np.int64))
-    solid = ~_BREAK[data]
+    solid = ~breaks[data]
     opens = np.zeros(len(data), bool)
     opens[np.r_[np.int64(0), ends[:-1]][np.r_[np.int64(0), ends[:-1]] < len(data)]] = True
     begins = np.flatnonzero(solid & (opens | np.r_[True, ~solid[:-1]]))

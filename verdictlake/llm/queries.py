@@ -16,6 +16,7 @@ from .ngram_join import similarity_components
 from .order_minhash import fingerprint_edits
 from .packing import PackingConfig, pack_documents
 from .suffix_dedup import remove_repeats
+from .toxicity import fit_toxicity, score_toxicity
 
 PACKING = PackingConfig(public_tokenizers.path("word_bpe_49k.json"))
 BYTE_BPE = BpeConfig(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
@@ -53,6 +54,14 @@ def op6_lz_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parsed.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"), F.size("factors").cast("long").alias("n_factors"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents, learned from labels of those that are not held out."""
+    docs = _documents(spark, sf_dir)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~held_out()).select("doc_id", "toxic")
+    model = fit_toxicity(docs.select("doc_id", "text").join(labels, "doc_id"))
+    return score_toxicity(docs.select("doc_id", "text"), model).select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
 def op8_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order MinHash fingerprints of all documents and of their edited texts."""
     return fingerprint_edits(_documents(spark, sf_dir).select("doc_id", "text"))
@@ -69,7 +78,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_best_fit_packing, op2_exact_dedup, op3_language_id, op5_suffix_array_dedup, op6_lz_substring_dedup, op8_order_minhash, op9_ngram_join, op10_byte_bpe)
+    found = (op1_best_fit_packing, op2_exact_dedup, op3_language_id, op5_suffix_array_dedup, op6_lz_substring_dedup, op7_toxicity, op8_order_minhash, op9_ngram_join, op10_byte_bpe)
     return {f.__name__: f for f in found}
 
 
