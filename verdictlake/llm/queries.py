@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
@@ -9,12 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .byte_bpe import BpeConfig, encoding_digest
+from .common import shared_folder
 from .exact_dedup import exact_duplicates
 from .language_id import fit_languages, held_out, identify_languages
 from .lz_dedup import parse_documents
 from .ngram_join import similarity_components
 from .order_minhash import fingerprint_edits
 from .packing import PackingConfig, pack_documents
+from .sharding import ShardConfig, ShardStore
 from .suffix_dedup import remove_repeats
 from .toxicity import fit_toxicity, score_toxicity
 
@@ -43,6 +46,15 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(docs.select("doc_id", "text"), model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "margin", "rejected")
 
 
+def op4_size_tiered_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, arriving in eight lots by id, appended as small shards and compacted; where each one is then."""
+    docs = _documents(spark, sf_dir)
+    store = ShardStore(spark, f"{shared_folder(spark)}/verdictlake-shards-{uuid.uuid4().hex}", ShardConfig())
+    store.append(docs.withColumn("lot", F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(8))), "lot")
+    version = store.compact()
+    return store.located(version).select("row.doc_id", F.lit(version).cast("long").alias("version"), F.concat_ws("/", "gen", "shard").alias("shard"), F.col("n_rows").alias("shard_rows"), F.col("n_bytes").alias("shard_bytes"), F.sha2(F.coalesce("row.text", F.lit("")), 256).alias("text_sha256"))
+
+
 def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Passages of 50 bytes and more that occur in a document with a smaller id, removed from all documents."""
     return remove_repeats(_documents(spark, sf_dir).select("doc_id", "text"))
@@ -78,7 +90,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_best_fit_packing, op2_exact_dedup, op3_language_id, op5_suffix_array_dedup, op6_lz_substring_dedup, op7_toxicity, op8_order_minhash, op9_ngram_join, op10_byte_bpe)
+    found = (op1_best_fit_packing, op2_exact_dedup, op3_language_id, op4_size_tiered_shards, op5_suffix_array_dedup, op6_lz_substring_dedup, op7_toxicity, op8_order_minhash, op9_ngram_join, op10_byte_bpe)
     return {f.__name__: f for f in found}
 
 
