@@ -148,8 +148,10 @@ def exact_duplicates(docs: DataFrame, config: FingerprintConfig = FingerprintCon
 
 
 def drop_exact_duplicates(docs: DataFrame, config: FingerprintConfig = FingerprintConfig()) -> DataFrame:
-    """docs without the rows whose text stays elsewhere; all columns are kept, and one row of rows that are repeated whole."""
-    keep = exact_duplicates(docs, config).where("kept").select(F.col("doc_id").alias("k_id"), F.col("text_sha256").alias("k_sha")).distinct()
+    """docs without the rows whose text stays elsewhere; all columns are kept, and one row of those that repeat id and text."""
+    found = exact_duplicates(docs, config).where("not kept and doc_id is not null")
+    gone = staged(found.select(F.col("doc_id").alias("gone_id"), F.col("text_sha256").alias("gone_sha")).distinct())
     sha = F.sha2(whole_text(), 256)
-    stay = docs.join(keep, F.col("doc_id").cast("long").eqNullSafe(F.col("k_id")) & (sha == F.col("k_sha")), "left_semi")
-    return stay.dropDuplicates(["doc_id"])
+    # equal hashes, said so that rows are dealt by id alone and the last step needs no shuffle of its own
+    same = (F.col("doc_id").cast("long") == F.col("gone_id")) & (sha >= F.col("gone_sha")) & (sha <= F.col("gone_sha"))
+    return docs.join(gone, same, "left_anti").dropDuplicates(["doc_id", "text"])

@@ -266,7 +266,7 @@ def _removed(config: SuffixConfig, with_text: bool):
                     kept = data[~own].tobytes()
                     row = (None if doc_id == NO_ID else doc_id, b - a, int(own.sum()), len(begins), hashlib.sha256(kept).hexdigest())
                     if with_text:
-                        row += (_whole_characters(data, own),)
+                        row += (_whole_characters(data, own) if row[2] else None,)
                     rows.append(row)
                 names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"][: 5 + with_text]
                 kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
@@ -290,7 +290,7 @@ def remove_repeats(docs: DataFrame, config: SuffixConfig = SuffixConfig(), with_
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for each row of docs(doc_id, text), and kept_text if asked for.
 
     Each byte goes that is covered by a window of `length` bytes which also starts in a row with a smaller doc_id.
-    kept_text keeps a character if any of its bytes stays. Null text is empty; a null doc_id comes after all others;
+    kept_text keeps a character if any of its bytes stays; it is null where nothing goes. Null text is empty; a null doc_id comes after all others;
     rows with the same doc_id take nothing from each other. Further columns are ignored; an empty table gives none.
     """
     blocks: Blocks = pack_blocks(docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text"), config.blocks)
@@ -303,3 +303,13 @@ def remove_repeats(docs: DataFrame, config: SuffixConfig = SuffixConfig(), with_
     marks = found.groupBy("block").agg(F.collect_list("data").alias("marks"))
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * with_text
     return blocks.frame.join(marks, "block", "left").mapInArrow(_removed(config, with_text), schema)
+
+
+def without_repeats(docs: DataFrame, config: SuffixConfig = SuffixConfig()) -> DataFrame:
+    """docs with the text that is left, and n_chars (if there is one) of it; rows of whose text nothing is left go."""
+    found = remove_repeats(docs, config, with_text=True).where("n_removed > 0")
+    found = staged(found.select(F.col("doc_id").alias("cut_id"), F.col("kept_text").alias("cut_text")))
+    cut = docs.join(found, F.col("doc_id").cast("long") == F.col("cut_id"), "left")
+    text = F.coalesce("cut_text", "text")
+    columns = [text.alias(c) if c == "text" else F.when(F.col("cut_id").isNotNull(), F.char_length("cut_text").cast("long")).otherwise(F.col(c)).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
+    return cut.where("cut_id is null or cut_text <> ''").select(columns)
