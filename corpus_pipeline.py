@@ -1,10 +1,53 @@
-"""The corpus pipeline: stages that read documents and write what they keep."""
+"""The corpus pipeline: five stages, each of which reads the documents that its predecessor kept."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-STAGES: list = []
+from verdictlake.llm.common import staged
+from verdictlake.llm.exact_dedup import drop_exact_duplicates
+from verdictlake.llm.language_id import fit_languages, held_out, identify_languages
+from verdictlake.llm.ngram_join import similarity_components
+from verdictlake.llm.packing import pack_documents
+from verdictlake.llm.queries import PACKING
+from verdictlake.llm.suffix_dedup import without_repeats
+
+
+def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """docs whose doc_id is not in gone(gone_id)."""
+    return docs.join(staged(gone.distinct()), F.col("doc_id").cast("long") == F.col("gone_id"), "left_anti")
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is told by more than a narrow margin."""
+    model = fit_languages(docs.where(~held_out()).select("doc_id", "text", "lang"))
+    found = identify_languages(docs.select("doc_id", "text"), model)
+    return _without(docs, found.where("rejected").select(F.col("doc_id").alias("gone_id")))
+
+
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each text."""
+    return drop_exact_duplicates(docs)
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, the smallest id, of each component of near duplicates."""
+    found = similarity_components(docs.select("doc_id", "text"))
+    return _without(docs, found.where("component_id <> doc_id").select(F.col("doc_id").alias("gone_id")))
+
+
+def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the passages that documents with smaller ids have; those of which nothing is left go."""
+    return without_repeats(docs)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents and their places in sequences."""
+    return pack_documents(docs.select("doc_id", "text"), PACKING)
+
+
+STAGES: list = [("language", language), ("exact", exact), ("near", near), ("passages", passages), ("packed", packed)]
 ORACLE_SQL = None
 
 
@@ -12,5 +55,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages in order to the documents of sf_dir."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+        docs = staged(stage(spark, docs, sf_dir))
     return docs
