@@ -49,8 +49,8 @@ labels_ AS (
   SELECT prompt_id, a_id, b_id, annotator_id, arg_min(label, seq) AS label
   FROM j WHERE kind IN ('regular', 'gold') AND label IS NOT NULL GROUP BY ALL),
 votes AS (
-  SELECT prompt_id, a_id, b_id, count_if(label = 'a_wins') AS n_a, count_if(label = 'b_wins') AS n_b, count_if(label = 'tie') AS n_tie,
-         count_if(label IS NULL) AS n_skip, count(DISTINCT CASE WHEN label IS NOT NULL THEN annotator_id END) AS n_people
+  SELECT prompt_id, a_id, b_id, count(CASE WHEN label = 'a_wins' THEN 1 END) AS n_a, count(CASE WHEN label = 'b_wins' THEN 1 END) AS n_b, count(CASE WHEN label = 'tie' THEN 1 END) AS n_tie,
+         count(CASE WHEN label IS NULL THEN 1 END) AS n_skip, count(DISTINCT CASE WHEN label IS NOT NULL THEN annotator_id END) AS n_people
   FROM j WHERE kind = 'regular' GROUP BY ALL),
 decided AS (
   SELECT *, n_a + n_b + n_tie AS n_votes,
@@ -117,8 +117,8 @@ final AS (SELECT who, count(*) AS n, (sum(CASE y WHEN 0 THEN p0 ELSE 1 - p0 END)
 _PAIR_KAPPA = """
 met AS (SELECT x.annotator_id AS annotator_x, y.annotator_id AS annotator_y, x.label AS lx, y.label AS ly
         FROM labels_ x JOIN labels_ y USING (prompt_id, a_id, b_id) WHERE x.annotator_id < y.annotator_id),
-agree AS (SELECT annotator_x, annotator_y, count(*) AS n, count_if(lx = ly) / count(*)::DOUBLE AS po,
-          (count_if(lx = 'a_wins') * count_if(ly = 'a_wins') + count_if(lx = 'b_wins') * count_if(ly = 'b_wins') + count_if(lx = 'tie') * count_if(ly = 'tie')) / (count(*) * count(*))::DOUBLE AS pe
+agree AS (SELECT annotator_x, annotator_y, count(*) AS n, count(CASE WHEN lx = ly THEN 1 END) / count(*)::DOUBLE AS po,
+          (count(CASE WHEN lx = 'a_wins' THEN 1 END) * count(CASE WHEN ly = 'a_wins' THEN 1 END) + count(CASE WHEN lx = 'b_wins' THEN 1 END) * count(CASE WHEN ly = 'b_wins' THEN 1 END) + count(CASE WHEN lx = 'tie' THEN 1 END) * count(CASE WHEN ly = 'tie' THEN 1 END)) / (count(*) * count(*))::DOUBLE AS pe
           FROM met GROUP BY ALL),
 kappa AS (SELECT *, CASE WHEN pe < 1 THEN (po - pe) / (1 - pe) END AS k FROM agree)
 """
@@ -133,12 +133,12 @@ def oracle_sql() -> dict[str, str]:
     position = f"""
     SELECT *, CASE WHEN n = 0 OR 2 * k = n THEN 1.0 ELSE least(1.0, 2 * {_TAIL}) END AS p
     FROM (SELECT *, least(k, n - k) AS kk FROM (
-      SELECT annotator_id, count_if(choice = 'left') AS k, count_if(choice IN ('left', 'right')) AS n, count_if(choice = 'tie') AS n_tie, count_if(choice = 'skip') AS n_skip
+      SELECT annotator_id, count(CASE WHEN choice = 'left' THEN 1 END) AS k, count(CASE WHEN choice IN ('left', 'right') THEN 1 END) AS n, count(CASE WHEN choice = 'tie' THEN 1 END) AS n_tie, count(CASE WHEN choice = 'skip' THEN 1 END) AS n_skip
       FROM j GROUP BY annotator_id))"""
     consistency = f"""
     SELECT *, {_TAIL} AS p FROM (
-      SELECT c.annotator_id, count(*) AS n_controls, count_if(c.l = o.r) AS n_flipped, count_if(c.label IS NOT NULL AND o.label IS NOT NULL) AS n,
-             count_if(c.label = o.label) AS kk, count_if(c.choice = o.choice AND c.choice IN ('left', 'right')) AS n_same_side
+      SELECT c.annotator_id, count(*) AS n_controls, count(CASE WHEN c.l = o.r THEN 1 END) AS n_flipped, count(CASE WHEN c.label IS NOT NULL AND o.label IS NOT NULL THEN 1 END) AS n,
+             count(CASE WHEN c.label = o.label THEN 1 END) AS kk, count(CASE WHEN c.choice = o.choice AND c.choice IN ('left', 'right') THEN 1 END) AS n_same_side
       FROM j c JOIN j o ON c.kind = 'control' AND o.id = c.before GROUP BY ALL)"""
     running = "max(step) OVER (PARTITION BY n > 0 ORDER BY p, annotator_id ROWS UNBOUNDED PRECEDING)"
     return {
@@ -200,11 +200,11 @@ def oracle_sql() -> dict[str, str]:
         ),
         "position_pooled": _sql(
             f"""SELECT k AS n_left, n - k AS n_right, round(k / n::DOUBLE, 6) AS left_rate, {_wilson("k", "n")} FROM
-                (SELECT count_if(choice = 'left') AS k, count_if(choice IN ('left', 'right')) AS n FROM j)"""
+                (SELECT count(CASE WHEN choice = 'left' THEN 1 END) AS k, count(CASE WHEN choice IN ('left', 'right') THEN 1 END) AS n FROM j)"""
         ),
         "gold_accuracy": _sql(
             f"""SELECT annotator_id, n_gold, n AS n_answered, k AS n_correct, n_tie, n_skip, CASE WHEN n > 0 THEN round(k / n::DOUBLE, 6) END AS accuracy, {_wilson("k", "n")}, ci_upper < 0.7 AS flagged FROM (
-                SELECT annotator_id, count(*) AS n_gold, count(label) AS n, count_if(label = expected) AS k, count_if(label = 'tie') AS n_tie, count_if(label IS NULL) AS n_skip
+                SELECT annotator_id, count(*) AS n_gold, count(label) AS n, count(CASE WHEN label = expected THEN 1 END) AS k, count(CASE WHEN label = 'tie' THEN 1 END) AS n_tie, count(CASE WHEN label IS NULL THEN 1 END) AS n_skip
                 FROM j JOIN gold USING (prompt_id, a_id, b_id) WHERE kind = 'gold' GROUP BY annotator_id)"""
         ),
         "self_consistency": _sql(
@@ -223,26 +223,26 @@ def oracle_sql() -> dict[str, str]:
                SELECT *, (a * a + b * b + t * t - m) / (m * (m - 1))::DOUBLE AS po,
                       pow(sum(a) OVER () / (sum(m) OVER ())::DOUBLE, 2) + pow(sum(b) OVER () / (sum(m) OVER ())::DOUBLE, 2) + pow(sum(t) OVER () / (sum(m) OVER ())::DOUBLE, 2) AS pe
                FROM it WHERE m = (SELECT m FROM it WHERE m >= 2 GROUP BY m ORDER BY count(*) DESC, m DESC LIMIT 1)), (SELECT count(*) AS total FROM it) GROUP BY m""",
-            "it AS (SELECT count_if(label = 'a_wins') AS a, count_if(label = 'b_wins') AS b, count_if(label = 'tie') AS t, count(*) AS m FROM labels_ GROUP BY prompt_id, a_id, b_id)",
+            "it AS (SELECT count(CASE WHEN label = 'a_wins' THEN 1 END) AS a, count(CASE WHEN label = 'b_wins' THEN 1 END) AS b, count(CASE WHEN label = 'tie' THEN 1 END) AS t, count(*) AS m FROM labels_ GROUP BY prompt_id, a_id, b_id)",
         ),
         "length_unit": _sql(
-            """SELECT count_if(x.w = y.w AND x.c <> y.c) AS tied, count_if(x.w <> y.w) AS differ, CASE WHEN tied > differ THEN 'chars' ELSE 'words' END AS unit
+            """SELECT count(CASE WHEN x.w = y.w AND x.c <> y.c THEN 1 END) AS tied, count(CASE WHEN x.w <> y.w THEN 1 END) AS differ, CASE WHEN tied > differ THEN 'chars' ELSE 'words' END AS unit
                FROM j JOIN len x ON x.id = l JOIN len y ON y.id = r WHERE kind = 'regular' AND choice IN ('left', 'right')""",
             "len AS (SELECT id, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda z: z <> '')) AS w, length(text) AS c FROM resp)",
         ),
         "length_counts": _sql(
-            """SELECT annotator_id, count(*) AS n_decisive, count_if(x.w <> y.w AND (x.w > y.w) = (choice = 'left')) AS n_longer, count_if(x.w <> y.w AND (x.w > y.w) <> (choice = 'left')) AS n_shorter, count_if(x.w = y.w) AS n_equal
+            """SELECT annotator_id, count(*) AS n_decisive, count(CASE WHEN x.w <> y.w AND (x.w > y.w) = (choice = 'left') THEN 1 END) AS n_longer, count(CASE WHEN x.w <> y.w AND (x.w > y.w) <> (choice = 'left') THEN 1 END) AS n_shorter, count(CASE WHEN x.w = y.w THEN 1 END) AS n_equal
                FROM j JOIN len x ON x.id = l JOIN len y ON y.id = r WHERE kind = 'regular' AND choice IN ('left', 'right') GROUP BY annotator_id""",
             "len AS (SELECT id, greatest(1, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda z: z <> ''))) AS w FROM resp)",
         ),
         "preference_edges": _sql("SELECT annotator_id, u, v, sign FROM edges"),
         "triad_cycles": _sql(
-            """SELECT a.annotator_id, count(*) AS n_triads, count_if(a.sign = b.sign AND c.sign = -a.sign) AS n_cycles FROM edges a JOIN edges b ON b.annotator_id = a.annotator_id AND b.u = a.v
+            """SELECT a.annotator_id, count(*) AS n_triads, count(CASE WHEN a.sign = b.sign AND c.sign = -a.sign THEN 1 END) AS n_cycles FROM edges a JOIN edges b ON b.annotator_id = a.annotator_id AND b.u = a.v
                JOIN edges c ON c.annotator_id = a.annotator_id AND c.u = a.u AND c.v = b.v WHERE a.sign <> 0 AND b.sign <> 0 AND c.sign <> 0 GROUP BY ALL"""
         ),
         "scc_summary": _sql(
             """SELECT annotator_id, count(*) AS n_nodes, any_value(n_edges) AS n_edges, any_value(n_level) AS n_level, count(DISTINCT CASE WHEN size > 1 THEN root END) AS n_cyclic_components, max(CASE WHEN size > 1 THEN size ELSE 0 END) AS largest_component
-               FROM comp JOIN (SELECT annotator_id, count_if(sign <> 0) AS n_edges, count_if(sign = 0) AS n_level FROM edges GROUP BY ALL) USING (annotator_id) GROUP BY annotator_id""",
+               FROM comp JOIN (SELECT annotator_id, count(CASE WHEN sign <> 0 THEN 1 END) AS n_edges, count(CASE WHEN sign = 0 THEN 1 END) AS n_level FROM edges GROUP BY ALL) USING (annotator_id) GROUP BY annotator_id""",
             """nodes AS (SELECT annotator_id, u AS x FROM edges UNION SELECT annotator_id, v FROM edges),
             arc AS (SELECT annotator_id, CASE WHEN sign > 0 THEN u ELSE v END AS x, CASE WHEN sign > 0 THEN v ELSE u END AS y FROM edges WHERE sign <> 0),
             reach AS (SELECT annotator_id, x, x AS y FROM nodes UNION SELECT r.annotator_id, r.x, a.y FROM reach r JOIN arc a ON a.annotator_id = r.annotator_id AND a.x = r.y),
@@ -270,7 +270,7 @@ def oracle_sql() -> dict[str, str]:
         "rm_rows": _sql("SELECT split, prompt_id, a_id, b_id, round((n_a + 0.5 * n_tie) / n_votes, 6)::DOUBLE AS p_a, n_votes FROM split"),
         "card_split_stats": _sql("SELECT s.split, count(DISTINCT prompt_id) AS n_prompts, count(prompt_id) AS n_pairs FROM (VALUES ('train'), ('validation'), ('test')) s(split) LEFT JOIN split USING (split) GROUP BY s.split"),
         "card_summary": _sql(
-            """SELECT count(*) AS n_pairs, count_if(len(why) = 0) AS n_kept, sum(n_votes)::BIGINT AS n_votes_counted, round(avg(CASE WHEN len(why) = 0 THEN n_votes END), 6) AS mean_votes_per_kept_pair,
+            """SELECT count(*) AS n_pairs, count(CASE WHEN len(why) = 0 THEN 1 END) AS n_kept, sum(n_votes)::BIGINT AS n_votes_counted, round(avg(CASE WHEN len(why) = 0 THEN n_votes END), 6) AS mean_votes_per_kept_pair,
                round(avg(CASE WHEN len(why) = 0 THEN agreement END), 6) AS mean_agreement_kept, (SELECT count(*) FROM j) AS n_judgments, (SELECT count(DISTINCT annotator_id) FROM j) AS n_annotators FROM reasons"""
         ),
         "card_provenance": _sql("SELECT model, 'import' AS source, count(*) AS n FROM resp WHERE id IN (SELECT a_id FROM kept UNION SELECT b_id FROM kept) GROUP BY model"),
