@@ -9,6 +9,7 @@ underfull bins of all groups meets in fewer groups in a next round, until one gr
 from __future__ import annotations
 
 import bisect
+import struct
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -17,18 +18,20 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import staged, whole_text
+from .common import Remembered, staged, whole_text
 
 
 @dataclass(frozen=True)
 class PackingConfig:
     """tokenizer_path: a file of the tokenizers library. end_id: put after each document. capacity: ids of a sequence.
     group_pieces: pieces that one task packs at most, on average. closed_fill: a bin this full isn't packed again.
-    sweeps: of the local search over the underfull bins. cached: chunks that a Python worker remembers."""
+    sweeps: of the local search over the underfull bins. cached: chunks, and parts of them, that a Python worker remembers, up to
+    twice as many of each."""
 
     tokenizer_path: str
     end_id: int = 1
@@ -36,31 +39,45 @@ class PackingConfig:
     group_pieces: int = 40_000
     closed_fill: float = 0.999
     sweeps: int = 3
-    cached: int = 400_000
+    cached: int = 500_000
+
+
+#: Fixed value: the pattern by which the tokenizer cuts its (lower-case) text.
+_CUT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
 
 class ChunkTokenizer:
     """ids of whole texts. The tokenizer drops white space and never looks across it, so that chunks between spaces
-    are encoded once and remembered."""
+    are encoded once and remembered. Chunks of plain Latin letters are lowered and cut here, and their parts are
+    remembered too, as one word stands beside many signs; all others go to the tokenizer whole."""
 
     def __init__(self, config: PackingConfig):
         self.tokenizer = Tokenizer.from_file(config.tokenizer_path)
         self.tokenizer.encode_special_tokens = True
-        self.cached, self.known = config.cached, {}
+        self.parts = Remembered(lambda part: self._ids([part])[0], config.cached)
+        self.chunks = Remembered(lambda chunk: b"".join(map(self.parts.__getitem__, self._cut(chunk))), config.cached)
+
+    def _ids(self, parts: list[str]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)
+        return [struct.pack(f"<{len(ids)}I", *ids) for ids in (x.ids for x in found)]
+
+    @staticmethod
+    def _cut(chunk: str) -> list[str]:
+        plain = chunk.isascii() or (max(chunk) < "\u0180" and "\u0130" not in chunk)
+        return _CUT.findall(chunk.lower()) if plain else [chunk]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """ids as little-endian unsigned 32-bit numbers."""
         chunks = [text.replace("\n", " ").split(" ") for text in texts]
-        known = self.known
-        missing = sorted(set().union(*chunks) - known.keys())
-        if len(known) + len(missing) > self.cached:
-            known.clear()
-            missing = sorted(set().union(*chunks))
+        known, older, parts, older_parts = self.chunks, self.chunks.older, self.parts, self.parts.older
+        cut = {c: self._cut(c) for c in set().union(*chunks) if c not in known and c not in older}
+        missing = sorted({p for x in cut.values() for p in x if p not in parts and p not in older_parts})
         for at in range(0, len(missing), 4096):
-            part = missing[at : at + 4096]
-            for chunk, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                known[chunk] = np.array(found.ids, "<u4").tobytes()
-        return [b"".join(map(known.__getitem__, x)) for x in chunks]
+            for p, ids in zip(missing[at : at + 4096], self._ids(missing[at : at + 4096])):
+                parts.put(p, ids)
+        for chunk, x in cut.items():
+            known.put(chunk, b"".join([parts[p] for p in x]))
+        return [b"".join(map(self.chunks.__getitem__, x)) for x in chunks]
 
 
 _TOKENIZERS: dict[PackingConfig, ChunkTokenizer] = {}
