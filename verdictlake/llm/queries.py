@@ -70,7 +70,7 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of all documents, learned from labels of those that are not held out."""
     docs = _documents(spark, sf_dir)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~held_out()).select("doc_id", "toxic")
-    model = fit_toxicity(docs.select("doc_id", "text").join(labels, "doc_id"))
+    model = fit_toxicity(docs.select("doc_id", "text"), labels)
     return score_toxicity(docs.select("doc_id", "text"), model).select("doc_id", held_out().alias("held_out"), "score", "predicted")
 
 
