@@ -63,7 +63,7 @@ def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_lz_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows of 20 words that occurred before, removed from all documents."""
     parsed = parse_documents(_documents(spark, sf_dir).select("doc_id", "text"))
-    return parsed.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"), F.size("factors").cast("long").alias("n_factors"))
+    return parsed.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,4 +102,28 @@ def oracle_sql() -> dict[str, str]:
                    doc_id = max(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256
             FROM d
         """,
+        "op6_lz_substring_dedup": r"""
+            WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
+            w AS (SELECT doc_id, i, words[i] AS word, CASE WHEN i + 19 <= len(words) THEN array_to_string(words[i:i + 19], ' ') END AS win
+                  FROM (SELECT *, unnest(range(1, len(words) + 1)) AS i FROM d)),
+            m AS (SELECT *, win IS NOT NULL AND row_number() OVER (PARTITION BY win ORDER BY doc_id, i) > 1 AS again FROM w),
+            c AS (SELECT *, bool_or(again) OVER (PARTITION BY doc_id ORDER BY i ROWS 19 PRECEDING) AS gone FROM m),
+            r AS (SELECT doc_id, count(CASE WHEN gone THEN 1 END) AS n_removed, string_agg(CASE WHEN NOT gone THEN word END, ' ' ORDER BY i) AS kept FROM c GROUP BY doc_id)
+            SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+            FROM d LEFT JOIN r USING (doc_id)
+        """,
+        "op9_ngram_join": r"""
+            WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
+            s AS (SELECT DISTINCT doc_id, CASE WHEN len(words) < 5 THEN array_to_string(words, ' ') ELSE array_to_string(words[i:i + 4], ' ') END AS g
+                  FROM (SELECT *, unnest(range(1, greatest(len(words) - 3, least(len(words), 1) + 1))) AS i FROM d)),
+            n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+            rare AS (SELECT * FROM s WHERE g IN (SELECT g FROM s GROUP BY g HAVING count(*) > 1)),
+            able AS (SELECT doc_id FROM rare JOIN n USING (doc_id) GROUP BY doc_id, n HAVING 100 * count(*) >= 75 * n),
+            u AS (SELECT * FROM rare WHERE doc_id IN (SELECT doc_id FROM able)),
+            p AS (SELECT x.doc_id AS x, y.doc_id AS y, count(*) AS c FROM u x JOIN u y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY ALL),
+            e AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 75 * (a.n + b.n - c)),
+            r AS (SELECT x, y FROM e UNION SELECT r.x, e.y FROM r JOIN e ON e.x = r.y)
+            SELECT doc_id, coalesce(n.n, 0) AS n_shingles, least(doc_id, coalesce(low, doc_id)) AS component_id
+            FROM d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT x AS doc_id, min(y) AS low FROM r GROUP BY x) USING (doc_id)
+        """,
     }
