@@ -7,7 +7,8 @@ source, and is extended as long as the next window's source is the next place of
 windows across its boundary are looked at on their own, as they may come from another source. Factors of `length` words
 and more are duplicate spans; all else is literal.
 
-Only windows whose anchor n-gram occurs twice are looked up, and only their words travel.
+Only windows whose anchor n-gram occurs twice are looked up, and only their words travel, once for each block that has
+them.
 """
 
 from __future__ import annotations
@@ -86,6 +87,10 @@ def _keys(config: FactorConfig, block: Block) -> tuple[np.ndarray, np.ndarray]:
 _RUN = np.dtype([("doc", "<i8"), ("word", "<i8"), ("windows", "<u4"), ("n_bytes", "<u4")])
 
 
+#: Windows in a row whose earliest occurrences are in a row too.
+_HIT = np.dtype([("doc", "<i8"), ("word", "<i8"), ("windows", "<u4"), ("from_doc", "<i8"), ("from_word", "<i8")])
+
+
 def _send(config: FactorConfig, buckets: int, ranges: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -97,20 +102,26 @@ def _send(config: FactorConfig, buckets: int, ranges: int):
                 if not len(keys):
                     continue
                 place = ((mix64(keys ^ _POWER) >> np.uint64(40)) * np.uint64(ranges)) >> np.uint64(24)
-                order = np.lexsort((first, place))
-                place, first, last = place[order], first[order], last[order]
                 doc = np.searchsorted(words.ends, first, side="right")
                 runs = np.zeros(len(first), _RUN)
                 runs["doc"], runs["word"] = block.doc_ids[doc], first - np.r_[np.int64(0), words.ends][doc]
                 runs["windows"] = last - first + 1
-                a, b = words.begins[first], words.stops[last + config.length - 1]
-                runs["n_bytes"] = b - a
-                cut = np.flatnonzero(np.r_[True, place[1:] != place[:-1]]).tolist() + [len(place)]
-                data = block.data
-                rows = [
-                    (int(place[i]), block.block, runs[i:j].tobytes(), b"".join([data[x:y].tobytes() for x, y in zip(a[i:j].tolist(), b[i:j].tolist())]))
-                    for i, j in zip(cut, cut[1:])
-                ]
+                begins, stops = words.begins[first], words.stops[last + config.length - 1]
+                runs["n_bytes"] = stops - begins
+                # runs of the same bytes are looked up once for each block; the later ones have the first as their source
+                seen: dict[tuple[bytes, int], int] = {}
+                source = np.arange(len(runs))
+                for i in np.lexsort((runs["word"], runs["doc"])).tolist():
+                    source[i] = seen.setdefault((block.data[begins[i] : stops[i]].tobytes(), int(runs["windows"][i])), i)
+                again = np.flatnonzero((runs["doc"] != runs["doc"][source]) | (runs["word"] != runs["word"][source]))
+                told = np.zeros(len(again), _HIT)
+                told["doc"], told["word"], told["windows"] = runs["doc"][again], runs["word"][again], runs["windows"][again]
+                told["from_doc"], told["from_word"] = runs["doc"][source[again]], runs["word"][source[again]]
+                rows = [(-1 - block.block, block.block, told.tobytes(), b"")] if len(again) else []
+                texts = {i: t for (t, _), i in seen.items()}
+                own = np.array(sorted(texts, key=lambda i: (int(place[i]), i)), np.int64)
+                cut = np.flatnonzero(np.r_[True, place[own][1:] != place[own][:-1]]).tolist() + [len(own)]
+                rows += [(int(place[own[i]]), block.block, runs[own[i:j]].tobytes(), b"".join([texts[x] for x in own[i:j].tolist()])) for i, j in zip(cut, cut[1:])]
                 for at in range(0, len(rows), 256):
                     r, k, x, y = zip(*rows[at : at + 256])
                     yield binary_batch({"range": (r, pa.int64()), "block": (k, pa.int64()), "runs": (x, pa.binary()), "data": (y, pa.binary())})
@@ -118,25 +129,35 @@ def _send(config: FactorConfig, buckets: int, ranges: int):
     return run
 
 
-#: Windows in a row whose earliest occurrences are in a row too.
-_HIT = np.dtype([("doc", "<i8"), ("word", "<i8"), ("windows", "<u4"), ("from_doc", "<i8"), ("from_word", "<i8")])
+def _hashes_of(data: bytes, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Word hashes of texts side by side, and where each one's words end; about 1 MB is worked on at a time."""
+    view, parts, counts, start = np.frombuffer(data, np.uint8), [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
+    while start < len(ends):
+        low = int(ends[start - 1]) if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, low + (1 << 20))))
+        found = words_of(view[low : int(ends[stop - 1])], ends[start:stop] - low)
+        parts.append(found.hashes)
+        counts.append(np.diff(np.r_[np.int64(0), found.ends]))
+        start = stop
+    return np.concatenate(parts), np.cumsum(np.concatenate(counts))
 
 
 def _look_up(config: FactorConfig):
     """One block of the index: the earliest place of each window, told to those who have it later."""
 
     def run(table: pa.Table) -> pa.Table:
+        if table.column("range")[0].as_py() < 0:
+            return pa.table({"block": table.column("block"), "hits": table.column("runs")})
         runs = [np.frombuffer(x.as_buffer(), _RUN) for x in table.column("runs")]
         block = np.repeat(table.column("block").to_numpy(), [len(x) for x in runs])
         runs = np.concatenate(runs)
-        data = np.frombuffer(b"".join(x.as_py() for x in table.column("data")), np.uint8)
-        words = words_of(data, np.cumsum(runs["n_bytes"], dtype=np.int64))
+        hashes, word_ends = _hashes_of(b"".join(x.as_py() for x in table.column("data")), np.cumsum(runs["n_bytes"], dtype=np.int64))
         # windows start at the first `windows` words of each run
         count = runs["windows"].astype(np.int64)
         of = np.repeat(np.arange(len(runs)), count)
         inner = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
-        at = np.r_[np.int64(0), words.ends[:-1]][of] + inner
-        key = gram_hashes(words.hashes, config.length)[at]
+        at = np.r_[np.int64(0), word_ends[:-1]][of] + inner
+        key = gram_hashes(hashes, config.length)[at]
         doc, word, block = runs["doc"][of], runs["word"][of] + inner, block[of]
         order = np.lexsort((word, doc, key))
         ranked = key[order]
@@ -147,12 +168,12 @@ def _look_up(config: FactorConfig):
         # the words themselves decide; a hash that two windows share is told apart one by one
         unlike = np.zeros(len(at), bool)
         for j in range(config.length):
-            unlike[later] |= words.hashes[at[later] + j] != words.hashes[at[source[later]] + j]
+            unlike[later] |= hashes[at[later] + j] != hashes[at[source[later]] + j]
         for k in np.unique(key[unlike]):
             members = np.flatnonzero(key == k)
             least: dict[bytes, int] = {}
             for m in sorted(members, key=lambda m: (doc[m], word[m])):
-                source[m] = least.setdefault(words.hashes[at[m] : at[m] + config.length].tobytes(), m)
+                source[m] = least.setdefault(hashes[at[m] : at[m] + config.length].tobytes(), m)
             later[members] = source[members] != members
         if not later.any():
             return pa.table({"block": pa.array([], pa.int64()), "hits": pa.array([], pa.binary())})
