@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import os
+import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import whole_text
+from .common import Remembered, whole_text
 
 _WHITE = regex.compile(r"\s")
 
@@ -27,7 +29,7 @@ _WHITE = regex.compile(r"\s")
 @dataclass(frozen=True)
 class BpeConfig:
     """ranks_path: a file of base64 tokens and ranks. pattern: pieces that are encoded separately.
-    cached: pieces, text chunks and token pairs that a Python worker remembers (each); it forgets all beyond."""
+    cached: pieces, text chunks and token pairs that a Python worker remembers, up to twice as many of each."""
 
     ranks_path: str
     pattern: str
@@ -41,7 +43,7 @@ class Vocabulary:
         self.ranks, self.cached = ranks, cached
         self.tokens = {i: t for t, i in ranks.items()}
         self.longest = max(map(len, ranks), default=1)
-        self._pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[tuple[int, int], bool] = {}
 
     @classmethod
     def read(cls, path: str, cached: int = 400_000) -> Vocabulary:
@@ -60,12 +62,12 @@ class Vocabulary:
 
     def follows(self, left: int, right: int) -> bool:
         """Whether BPE leaves these two tokens as they are when they stand side by side."""
-        found = self._pairs.get((left, right))
+        found = self.pairs.get((left, right))
         if found is None:
-            if len(self._pairs) >= self.cached:
-                self._pairs.clear()
+            if len(self.pairs) >= self.cached:
+                self.pairs.clear()
             x, y = self.tokens[left], self.tokens[right]
-            found = self._pairs[left, right] = self.merged(x + y) == [x, y]
+            found = self.pairs[left, right] = self.merged(x + y) == [x, y]
         return found
 
 
@@ -79,18 +81,22 @@ class PrefixEncoder:
     def append(self, more: bytes) -> None:
         """Add bytes at the end; nothing that is there changes."""
         begin, self.data = len(self.data), self.data + more
-        for end in range(begin + 1, len(self.data) + 1):
-            token, start = self._step(end)
-            self.last.append(token)
-            self.start.append(start)
-
-    def _step(self, end: int) -> tuple[int, int]:
-        ranks, follows, data, last = self.vocabulary.ranks, self.vocabulary.follows, self.data, self.last
-        for start in range(max(0, end - self.vocabulary.longest), end):
-            token = ranks.get(data[start:end])
-            if token is not None and (not start or follows(last[start], token)):
-                return token, start
-        raise ValueError(f"byte {data[end - 1]} is not in the vocabulary")
+        token_of, pairs, follows, longest = self.vocabulary.ranks.get, self.vocabulary.pairs, self.vocabulary.follows, self.vocabulary.longest
+        data, last, starts = self.data, self.last, self.start
+        for end in range(begin + 1, len(data) + 1):
+            for start in range(end - longest if end > longest else 0, end):
+                token = token_of(data[start:end])
+                if token is not None and (not start or pairs.get((last[start], token)) or follows(last[start], token)):
+                    last.append(token)
+                    starts.append(start)
+                    break
+            else:
+                raise ValueError(f"byte {data[end - 1]} is not in the vocabulary")
+
+    def truncate(self, size: int) -> None:
+        """Forget all bytes from there on."""
+        self.data = self.data[:size]
+        del self.last[size + 1 :], self.start[size + 1 :]
 
     def edit(self, begin: int, end: int, replacement: bytes) -> int:
         """Replace data[begin:end]. Prefixes are worked out again from `begin` until as many in a row as the longest
@@ -99,16 +105,16 @@ class PrefixEncoder:
         self.data = self.data[:begin] + replacement + self.data[end:]
         self.last, self.start = old_last[: begin + 1], old_start[: begin + 1]
         same = done = 0
-        for at in range(begin + 1, len(self.data) + 1):
-            token, start = self._step(at)
-            self.last.append(token)
-            self.start.append(start)
+        data, self.data = self.data, self.data[:begin]
+        for at in range(begin + 1, len(data) + 1):
+            self.append(data[at - 1 : at])
             done += 1
-            same = same + 1 if at - len(replacement) > begin and old_last[at - shift] == token else 0
+            same = same + 1 if at - len(replacement) > begin and old_last[at - shift] == self.last[at] else 0
             if same >= self.vocabulary.longest:
                 self.last += old_last[at - shift + 1 :]
                 self.start += [s + shift for s in old_start[at - shift + 1 :]]
                 break
+        self.data = data
         return done
 
     def ids(self) -> list[int]:
@@ -120,51 +126,41 @@ class PrefixEncoder:
         return out[::-1]
 
 
-class _Pieces(dict):
-    """ids of pieces, packed as little-endian 32-bit numbers."""
-
-    def __init__(self, vocabulary: Vocabulary, cached: int):
-        super().__init__()
-        self.vocabulary, self.cached = vocabulary, cached
-
-    def __missing__(self, piece: str) -> bytes:
-        data = piece.encode()
-        token = self.vocabulary.ranks.get(data)
-        ids = [token] if token is not None else PrefixEncoder(self.vocabulary, data).ids()
-        packed = np.array(ids, "<u4").tobytes()
-        if len(piece) <= 64:
-            if len(self) >= self.cached:
-                self.clear()
-            self[piece] = packed
-        return packed
-
-
-class _Chunks(dict):
-    """ids of what follows a space; None where the neighbours could change how it is cut."""
-
-    def __init__(self, pieces: _Pieces, pattern, cached: int):
-        super().__init__()
-        self.pieces, self.pattern, self.cached = pieces, pattern, cached
-
-    def __missing__(self, chunk: str) -> bytes | None:
-        packed = None
-        if chunk and not _WHITE.match(chunk) and not _WHITE.match(chunk[-1]):
-            packed = b"".join(map(self.pieces.__getitem__, self.pattern.findall(" " + chunk)))
-        if len(chunk) <= 64:
-            if len(self) >= self.cached:
-                self.clear()
-            self[chunk] = packed
-        return packed
-
-
 class TextEncoder:
     """Encodes whole texts; what it remembers is bounded."""
 
     def __init__(self, config: BpeConfig):
         self.vocabulary = Vocabulary.read(config.ranks_path, config.cached)
         self.pattern = regex.compile(config.pattern)
-        self.pieces = _Pieces(self.vocabulary, config.cached)
-        self.chunks = _Chunks(self.pieces, self.pattern, config.cached)
+        self.pieces = Remembered(self._piece, config.cached)
+        self.chunks = Remembered(self._chunk, config.cached)
+
+    def _piece(self, piece: str) -> bytes:
+        data = piece.encode()
+        token = self.vocabulary.ranks.get(data)
+        ids = [token] if token is not None else PrefixEncoder(self.vocabulary, data).ids()
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def prepare(self, texts: list[str]) -> None:
+        """Encode the pieces of these texts that aren't remembered, in order: what two neighbours begin with in common
+        is worked out once."""
+        known, older = self.chunks, self.chunks.older
+        chunks = {c for c in set().union(*(text.split(" ") for text in texts)) if c not in known and c not in older and len(c) <= 256}
+        pieces, ranks = self.pieces, self.vocabulary.ranks
+        new = sorted({data for c in chunks for p in self.pattern.findall(" " + c) if p not in pieces and p not in pieces.older and (data := p.encode()) not in ranks})
+        own, before = PrefixEncoder(self.vocabulary), b""
+        for data in new:
+            shared = len(os.path.commonprefix((data, before)))
+            own.truncate(shared)
+            own.append(data[shared:])
+            ids, before = own.ids(), data
+            pieces.put(data.decode(), struct.pack(f"<{len(ids)}I", *ids))
+
+    def _chunk(self, chunk: str) -> bytes | None:
+        """ids of what follows a space; None where the neighbours could change how it is cut."""
+        if not chunk or _WHITE.match(chunk) or _WHITE.match(chunk[-1]):
+            return None
+        return b"".join(map(self.pieces.__getitem__, self.pattern.findall(" " + chunk)))
 
     def encode(self, text: str) -> bytes:
         """ids as little-endian 32-bit numbers. Between single spaces chunks are cut as they are alone; a text in
@@ -202,7 +198,9 @@ def encode_documents(docs: DataFrame, config: BpeConfig) -> DataFrame:
             step = 512
             for at in range(0, batch.num_rows, step):
                 part = batch.slice(at, step)
-                ids = [own.encode(text.as_py()) for text in part.column("text")]
+                texts = part.column("text").to_pylist()
+                own.prepare(texts)
+                ids = [own.encode(text) for text in texts]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(ids, pa.binary()), pa.array(map(own.decode, ids), pa.binary())], names=["doc_id", "ids", "decoded"])
 
     return docs.select("doc_id", whole_text().alias("text")).mapInArrow(run, "doc_id long, ids binary, decoded binary")
@@ -215,7 +213,9 @@ def encoding_digest(docs: DataFrame, config: BpeConfig) -> DataFrame:
         own = encoder(config)
         for batch in batches:
             rows = []
-            for text in batch.column("text"):
+            for at, text in enumerate(batch.column("text")):
+                if at % 256 == 0:
+                    own.prepare(batch.column("text")[at : at + 256].to_pylist())
                 ids = own.encode(text.as_py())
                 rows.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(own.decode(ids)).hexdigest()))
             n, ids_sha, decoded_sha = zip(*rows) if rows else ((), (), ())
