@@ -3,7 +3,7 @@
 A document is its set of word shingles. One that links with another shares at least `similarity` of its own shingles,
 so that only documents with so many shingles that occur elsewhere stay in (the screen of `blocks`). Documents with
 equal sets become one. In the order of rising counts, two linked sets share a shingle among their first n - ceil(t n) + 1
-(the prefix). Documents with the same prefix and size are one group; group pairs that share a prefix shingle and have
+(the prefix), with so many shingles from it to the end as the link needs. Documents with the same prefix and size are one group; group pairs that share a prefix shingle and have
 sizes that allow a link are candidates, which are expanded to members and verified.
 
 Links are only wanted for components, so pairs that are already connected need no look. First each group
@@ -112,8 +112,10 @@ def shingle_sets(docs: DataFrame, config: JoinConfig = JoinConfig()) -> DataFram
     return blocks.frame.join(hits, "block", "left").mapInArrow(_sets(config, buckets), _SETS)
 
 
-def _sizes_allow(x: Column, y: Column, percent: int) -> Column:
-    return F.least(x, y) * 100 >= F.greatest(x, y) * percent
+def _can_link(nx: Column, sx: Column, ny: Column, sy: Column, percent: int) -> Column:
+    """Whether sets of sizes nx and ny can link whose first common shingle has sx and sy shingles from it to the end:
+    so many they share at most, and a link needs percent * (nx + ny) / (100 + percent). Sizes allow it, too."""
+    return (F.least(sx, sy) * (100 + percent) >= (nx + ny) * percent) & (F.least(nx, ny) * 100 >= F.greatest(nx, ny) * percent)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, config: JoinConfig) -> DataFrame:
@@ -159,21 +161,23 @@ def similarity_components(docs: DataFrame, config: JoinConfig = JoinConfig()) ->
     need = F.floor((F.col("n_shingles") * config.percent + 99) / 100)
     # of the prefix the shingles that no one shares come first
     length = F.col("n_shingles") - need + 1 - (F.col("n_shingles") - F.size("shared"))
-    prefixes = own.select("doc_id", "n_shingles", F.slice("shared", F.lit(1), length.cast("int")).alias("prefix")).where(F.size("prefix") > 0)
+    unshared = F.col("n_shingles") - F.size("shared")
+    prefixes = own.select("doc_id", "n_shingles", unshared.alias("unshared"), F.slice("shared", F.lit(1), length.cast("int")).alias("prefix")).where(F.size("prefix") > 0)
     prefixes = staged(prefixes.withColumn("group", F.xxhash64("n_shingles", "prefix")))
-    groups = prefixes.groupBy("group", "n_shingles").agg(F.min("doc_id").alias("leader"), F.count("*").alias("members"), F.min_by("prefix", "doc_id").alias("prefix"))
+    groups = prefixes.groupBy("group", "n_shingles").agg(F.min("doc_id").alias("leader"), F.count("*").alias("members"), F.min("unshared").alias("unshared"), F.min_by("prefix", "doc_id").alias("prefix"))
     groups = staged(groups)
-    index = groups.select("leader", "n_shingles", F.explode("prefix").alias("shingle"))
+    left = (F.col("n_shingles") - F.col("unshared") - F.col("place")).alias("left")  # shingles from this one to the end
+    index = groups.select("leader", "n_shingles", "unshared", F.posexplode("prefix").alias("place", "shingle")).select("leader", "n_shingles", "shingle", left)
 
     # members meet the first of their group; groups the smallest group of their shingles
     inside = prefixes.join(groups.where("members > 1").select("group", "n_shingles", "leader"), ["group", "n_shingles"]).where("doc_id <> leader").select(F.col("leader").alias("x"), F.col("doc_id").alias("y"))
-    first = index.groupBy("shingle").agg(F.min(F.struct("leader", "n_shingles")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    meets = index.join(first, "shingle").where((F.col("first.leader") < F.col("leader")) & _sizes_allow(F.col("n_shingles"), F.col("first.n_shingles"), config.percent))
+    first = index.groupBy("shingle").agg(F.min(F.struct("leader", "n_shingles", "left")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    meets = index.join(first, "shingle").where((F.col("first.leader") < F.col("leader")) & _can_link(F.col("n_shingles"), F.col("left"), F.col("first.n_shingles"), F.col("first.left"), config.percent))
     meets = meets.groupBy("leader").agg(F.min("first.leader").alias("x")).select("x", F.col("leader").alias("y"))
     tried = staged(inside.unionByName(meets).distinct())
     links = staged(_verified(tried, own, config))
 
-    postings = prefixes.select("doc_id", "n_shingles", F.explode("prefix").alias("shingle"))
+    postings = prefixes.select("doc_id", "n_shingles", "unshared", F.posexplode("prefix").alias("place", "shingle")).select("doc_id", "n_shingles", "shingle", left)
     for turn in range(config.rounds + 1):
         label = staged(components(own.select("doc_id").distinct(), links))
         labelled = postings.join(label, "doc_id")
@@ -184,19 +188,21 @@ def similarity_components(docs: DataFrame, config: JoinConfig = JoinConfig()) ->
             break
         if turn < config.rounds:
             draw = F.xxhash64("doc_id", F.lit(turn))
-            pick = apart.groupBy("shingle", "component").agg(F.min_by(F.struct("doc_id", "n_shingles"), draw).alias("p"), F.min(draw).alias("d"))
+            pick = apart.groupBy("shingle", "component").agg(F.min_by(F.struct("doc_id", "n_shingles", "left"), draw).alias("p"), F.min(draw).alias("d"))
             low = pick.groupBy("shingle").agg(F.min_by(F.struct("component", "p"), "d").alias("low"))
             found = apart.join(low, "shingle").where(F.col("low.component") != F.col("component"))
-            found = found.where(_sizes_allow(F.col("n_shingles"), F.col("low.p.n_shingles"), config.percent))
+            found = found.where(_can_link(F.col("n_shingles"), F.col("left"), F.col("low.p.n_shingles"), F.col("low.p.left"), config.percent))
             found = found.groupBy("doc_id").agg(F.min_by("low.p.doc_id", F.xxhash64("low.p.doc_id", F.lit(turn))).alias("other"))
             pairs = found.select(F.least("doc_id", "other").alias("x"), F.greatest("doc_id", "other").alias("y")).distinct()
         else:
-            sides = apart.select("shingle", "component").distinct()
-            met = sides.alias("a").join(sides.alias("b"), F.expr("a.shingle = b.shingle and a.component < b.component"))
-            met = met.select(F.col("a.shingle").alias("shingle"), F.col("a.component").alias("component"), F.col("b.component").alias("other"))
-            left = met.join(apart.withColumnRenamed("doc_id", "x").withColumnRenamed("n_shingles", "nx"), ["shingle", "component"])
-            right = apart.select("shingle", F.col("component").alias("other"), F.col("doc_id").alias("y"), F.col("n_shingles").alias("ny"))
-            pairs = left.join(right, ["shingle", "other"]).where(_sizes_allow(F.col("nx"), F.col("ny"), config.percent))
+            # first components, by the smallest set and the longest rest that they have at a shingle, then members
+            sides = apart.groupBy("shingle", "component").agg(F.min("n_shingles").alias("n"), F.max("left").alias("left"))
+            other = sides.select("shingle", F.col("component").alias("other"), F.col("n").alias("on"), F.col("left").alias("oleft"))
+            enough = F.least("left", "oleft") * (100 + config.percent) >= (F.col("n") + F.col("on")) * config.percent
+            met = sides.join(other, "shingle").where((F.col("component") < F.col("other")) & enough).select("shingle", "component", "other")
+            one = met.join(apart.select("shingle", "component", F.col("doc_id").alias("x"), F.col("n_shingles").alias("nx"), F.col("left").alias("lx")), ["shingle", "component"])
+            two = apart.select("shingle", F.col("component").alias("other"), F.col("doc_id").alias("y"), F.col("n_shingles").alias("ny"), F.col("left").alias("ly"))
+            pairs = one.join(two, ["shingle", "other"]).where(_can_link(F.col("nx"), F.col("lx"), F.col("ny"), F.col("ly"), config.percent))
             pairs = pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
         pairs = staged(pairs.join(tried, ["x", "y"], "left_anti"))
         tried, links = tried.unionByName(pairs), links.unionByName(staged(_verified(pairs, own, config)))
