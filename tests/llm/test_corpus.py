@@ -121,6 +121,41 @@ def test_language_id(spark):
     assert language_id.decide([10, 10, 12], 0.01)[::2] == (0, 0.0)
 
 
+def test_short_texts_are_told_apart(spark, folder):
+    import corpus_pipeline
+
+    rng = random.Random(0)
+    parts = {"aa": ["kol", "wer", "ist", "ung"], "bb": ["tio", "née", "oux", "que"], "cc": ["zap", "iki", "ulu", "oho"]}
+    text = lambda lang, n: " ".join("".join(rng.choice(parts[lang]) for _ in range(3)) for _ in range(n))
+    rows = [(i, text(lang, 60), lang) for i, lang in enumerate(list(parts) * 30)]
+    short = [(100 + i, text(lang, n), lang) for n in (1, 2, 3) for i, lang in enumerate(list(parts) * 5, 20 * n)]
+    odd = [(300, "日本語", None), (301, "12 34!", None), (302, None, "cc")]
+    docs = spark.createDataFrame([*rows, *short, *odd], "doc_id long, text string, lang string")
+    model = language_id.fit_languages(docs.where("doc_id < 100"))
+    got = rows_of(language_id.identify_languages(docs, model), "lang_pred", "margin", "rejected")
+    assert [(got[i][0], got[i][2]) for i, _, _ in short] == [(lang, False) for _, _, lang in short]
+    # letters that no dictionary has tell nothing
+    assert got[300][1:] == (0.0, True) and got[301][2] and got[302][2]
+    # each size against the product of the counted chances
+    texts = [d.decode() for d in model.dictionaries.values()]
+    seen, padded = set("".join(texts)), " kolzap日"
+    for k, t in enumerate(texts):
+        bits = 0.0
+        for i in range(1, len(padded)):
+            p = 1 / len(seen)
+            for n in range(min(i, 2) + 1):
+                own = padded[i - n : i + 1]
+                count = lambda s: sum(t.startswith(s, at) for at in range(len(t)))
+                p = (count(own) + 4 * p) / ((count(own[:-1]) if n else len(t)) + 4)
+            bits += -np.log2(p) if padded[i] in seen else 16
+        assert language_id.CodeLengths(model.dictionaries.values()).sizes(padded[1:])[k] == pytest.approx(bits / 8)
+    # the pipeline's first stage keeps what its own model doesn't reject
+    docs.write.parquet(folder + "/documents.parquet")
+    docs = spark.read.parquet(folder + "/documents.parquet")
+    kept = {r.doc_id for r in corpus_pipeline.language(spark, docs, folder).collect()}
+    assert kept == {i for i, _, _ in rows + short}
+
+
 def test_shards(spark, folder):
     docs = frame(spark, corpus())
     store = sharding.ShardStore(spark, folder + "/s", sharding.ShardConfig(target_bytes=8000, small_bytes=200))

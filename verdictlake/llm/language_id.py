@@ -4,13 +4,16 @@ Each language has one raw-content zstandard dictionary made of sampled texts. A
 dictionary; the language whose dictionary makes it smallest is the prediction. Texts are compressed in blocks, so that
 a long text cannot feed on itself and the dictionary counts everywhere in it; all blocks of the whole text count.
 Texts and dictionaries are in lower case.
+zstandard stores short blocks as they are, whatever the dictionary, and its sizes are whole bytes; so a short text has the
+size that an ideal coder would give it which has counted the characters of the same dictionary after up to two others.
 The distance between the two best sizes, relative to the second, is the margin; a narrow margin is a rejection.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -18,7 +21,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_buffers, whole_text
+from .common import Remembered, text_buffers, whole_text
 
 UNDETERMINED = "und"
 
@@ -28,7 +31,7 @@ class LanguageConfig:
     """sample_texts: labelled texts for a language at most, spread by hash; sample_chars: of each, a passage at a hashed
     place; dictionary_bytes: of a language, less if all together would pass total_bytes. level, block_bytes: of the
     compressor; min_match: its shortest match. min_margin: below it a prediction is a rejection. temperature: of the score,
-    in bytes for each compressed byte."""
+    in bytes for each compressed byte. short_bytes: texts up to so many are sized by counts."""
 
     sample_texts: int = 64
     sample_chars: int = 4096
@@ -39,6 +42,7 @@ class LanguageConfig:
     block_bytes: int = 4096
     min_margin: float = 0.004
     temperature: float = 0.01
+    short_bytes: int = 256
 
 
 @dataclass(frozen=True)
@@ -89,7 +93,35 @@ def block_sizes(data: memoryview, compressors: list, block_bytes: int) -> list[i
     return sizes
 
 
-def decide(sizes: list[int], temperature: float) -> tuple[int, float, float]:
+class CodeLengths:
+    """Fractional bytes of texts under each dictionary: of a character after two, one and no others, what was counted after
+    more is weighed against what follows from fewer. A character that no dictionary has costs the same under all."""
+
+    def __init__(self, dictionaries: Iterable[bytes]):
+        texts = [d.decode(errors="ignore") for d in dictionaries]
+        self.grams = [Counter(t[i : i + n] for n in (1, 2, 3) for i in range(len(t) - n + 1)) for t in texts]
+        self.totals = [len(t) for t in texts]
+        self.alphabet = set().union(*texts)
+        self.costs = Remembered(self._costs, 1 << 16)
+
+    def _costs(self, gram: str) -> tuple[float, ...]:
+        if gram[-1] not in self.alphabet:
+            return (2.0,) * len(self.grams)
+        found = []
+        for counts, total in zip(self.grams, self.totals):
+            p = 1 / len(self.alphabet)
+            for n in range(1, len(gram) + 1):
+                own = gram[-n:]
+                p = (counts[own] + 4 * p) / ((counts[own[:-1]] if n > 1 else total) + 4)
+            found.append(-math.log2(p) / 8)
+        return tuple(found)
+
+    def sizes(self, text: str) -> list[float]:
+        text = " " + text
+        return [sum(c) for c in zip(*(self.costs[text[max(0, i - 2) : i + 1]] for i in range(1, len(text))))]
+
+
+def decide(sizes: list[float], temperature: float) -> tuple[int, float, float]:
     """Index of the smallest size (the first of equals), a score of 0 to 1, and the relative margin."""
     best = min(range(len(sizes)), key=sizes.__getitem__)
     rest = [s for k, s in enumerate(sizes) if k != best]
@@ -112,6 +144,7 @@ def _classifier(model: LanguageModel, config: LanguageConfig):
                 config.level, source_size=config.block_bytes, dict_size=len(content), min_match=config.min_match, write_content_size=False, write_checksum=False, write_dict_id=False
             )
             compressors.append(zstandard.ZstdCompressor(dict_data=data, compression_params=settings))
+        lengths = CodeLengths(model.dictionaries.values())
         for batch in batches:
             offsets, data = text_buffers(batch.column("text"))
             letters = batch.column("has_letter").to_pylist()
@@ -119,7 +152,9 @@ def _classifier(model: LanguageModel, config: LanguageConfig):
             out_lang, out_score, out_margin, out_rejected = [], [], [], []
             for i, has_letter in enumerate(letters):
                 if has_letter and langs:
-                    best, score, margin = decide(block_sizes(view[offsets[i] : offsets[i + 1]], compressors, config.block_bytes), config.temperature)
+                    own = view[offsets[i] : offsets[i + 1]]
+                    sizes = lengths.sizes(bytes(own).decode()) if len(own) <= config.short_bytes else block_sizes(own, compressors, config.block_bytes)
+                    best, score, margin = decide(sizes, config.temperature)
                     found = langs[best], score, margin, margin < config.min_margin
                 else:
                     found = UNDETERMINED, 0.0, 0.0, True
