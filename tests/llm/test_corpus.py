@@ -280,6 +280,34 @@ def test_toxicity_learns_and_scores_everything(spark):
     assert toxicity.score_toxicity(empty(spark), model).count() == 0
 
 
+def test_toxicity_reads_long_words_and_unicode_breaks():
+    config = toxicity.ToxicityConfig(gram_rows=1 << 20)
+    rng = random.Random(0)
+    run = "".join(rng.choice("abcdefgh") for _ in range(700))
+    plain = toxicity.ToxicityConfig(gram_rows=1 << 20, piece_bytes=1000)
+    whole = set(toxicity.read_texts([run.encode()], plain).grams.tolist())
+    for n in (1, 63, 64, 65, 66, 125, 126, 186, 187, 700):
+        read = toxicity.read_texts([b"x y", run[:n].encode(), b"", "日本語".encode() * 70], config)
+        pieces = max(1, -(-(n - 3) // 61))
+        assert np.diff(np.r_[0, read.ends]).tolist() == [2, pieces if n > 64 else 1, 0, -(-627 // 61)]
+        alone = toxicity.read_texts([run[:n].encode()], config)
+        assert set(toxicity.read_texts([run[:n].encode()], plain).grams.tolist()) <= set(alone.grams.tolist())
+        assert len(alone.hashes) == alone.ends[0]
+    assert whole <= set(toxicity.read_texts([run.encode()], config).grams.tolist())
+    # what differs beyond 64 bytes is another input
+    a, b = (toxicity.read_texts([(run[:300] + end).encode()], config) for end in ("rotzig", "freund"))
+    assert set(a.grams.tolist()) != set(b.grams.tolist())
+    parts = "an\u00a0be\u2014ti\u3000lo\u3002ma don\u2019t"
+    same = toxicity.read_texts([parts.encode()], config)
+    assert same.ends.tolist() == [6] and set(same.hashes.tolist()) == set(toxicity.read_texts(["an be ti lo ma don\u2019t".encode()], config).hashes.tolist())
+    # each passage of half a window is whole in a window
+    words = toxicity.read_texts([" ".join(f"w{i}" for i in range(333)).encode()], config)
+    windows, _ = toxicity.windows_of(words, config)
+    rows = [r[r >= 0].tolist() for r in windows]
+    own, half = words.words.tolist(), config.window // 2
+    assert all(any(own[i : i + half] == r[k : k + half] for r in rows for k in range(len(r) - half + 1)) for i in range(len(own) - half + 1))
+
+
 def test_order_minhash(spark):
     texts = corpus()
     config = order_minhash.FingerprintConfig(rows_for_range=9)

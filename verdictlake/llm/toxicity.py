@@ -1,6 +1,7 @@
 """Toxicity by a bidirectional gated recurrent network with attention pooling, trained in numpy.
 
-A word's input is its row in a table of frequent words and the mean of the rows of its hashed byte 3- and 4-grams. Overlapping
+A word's input is its row in a table of frequent words and the mean of the rows of its hashed byte 3- and 4-grams. Unicode
+white space and punctuation break words too; what is longer than a piece is several words that overlap by a gram. Overlapping
 windows of words run through a GRU in each direction; attention pools the states of a window, a logistic unit scores
 it, and a document's score is that of its highest window. A label is of a whole document, so training is by turns:
 of each toxic document the window that the network (at first: the class counts of grams) finds worst, of each clean
@@ -9,6 +10,8 @@ one its worst and random ones.
 
 from __future__ import annotations
 
+import re
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -18,19 +21,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import mix64, whole_text
-from .lz_dedup import words_of
+from .lz_dedup import Words, words_of
 
 
 @dataclass(frozen=True)
 class ToxicityConfig:
     """sample_docs: labelled documents of a class that are fitted at most, one for each of so many hash buckets;
-    sample_chars: longer ones aren't fitted (all are scored). window, stride: words. vocabulary: words with a row.
+    sample_chars: longer ones aren't fitted (all are scored). window, stride: words. piece_bytes: longer words are cut. vocabulary: words with a row.
     gram_rows: rows that byte grams are hashed to. width, hidden: of rows, and of the state of a direction. turns: of choosing windows and fitting them; steps: of each, about, or more for many windows."""
 
     sample_docs: int = 2500
     sample_chars: int = 8000
     window: int = 32
-    stride: int = 24
+    stride: int = 16
+    piece_bytes: int = 64
     vocabulary: int = 4096
     gram_rows: int = 1 << 14
     width: int = 12
@@ -44,7 +48,10 @@ class ToxicityConfig:
 
 
 _BREAKS = np.array([not (b >= 128 or chr(b).isalnum() or b == 39) for b in range(256)])
+#: White space and punctuation beyond ASCII; the raised apostrophe is in words, as the plain one is.
+_WIDE_BREAKS = re.compile("[\x85" + "".join(re.escape(chr(c)) for c in range(128, 0x20000) if unicodedata.category(chr(c))[0] in "ZP" and c != 0x2019) + "]")
 _POWER = np.uint64(0x9E3779B97F4A7C15)
+_OVERLAP = 3  # bytes: a gram less one, so that each gram is whole in a piece
 
 
 @dataclass
@@ -58,9 +65,38 @@ class Texts:
     ends: np.ndarray
 
 
+def _broken(text: bytes) -> bytes:
+    return text if text.isascii() else _WIDE_BREAKS.sub(" ", text.decode(errors="surrogateescape")).encode(errors="surrogateescape")
+
+
+def _pieces(data: np.ndarray, found: Words, piece_bytes: int) -> Words:
+    """The words, long ones cut into pieces of piece_bytes, each _OVERLAP bytes into the one before it."""
+    lengths = found.stops - found.begins
+    long = lengths > piece_bytes
+    if not long.any():
+        return found
+    step = piece_bytes - _OVERLAP
+    count = np.where(long, -(-(lengths - _OVERLAP) // step), 1)
+    word = np.repeat(np.arange(len(count)), count)
+    until = np.cumsum(count)
+    begins = found.begins[word] + (np.arange(len(word)) - (until - count)[word]) * step
+    stops = np.minimum(begins + np.where(long, piece_bytes, lengths)[word], found.stops[word])
+    hashes = found.hashes[word]
+    at = np.flatnonzero(long[word])
+    for a in range(0, len(at), 50_000):
+        own = at[a : a + 50_000]
+        h = np.zeros(len(own), np.uint64)
+        for j in range(piece_bytes):
+            inside = begins[own] + j < stops[own]
+            h = np.where(inside, mix64(h + data[np.where(inside, begins[own] + j, 0)] + np.uint64(1)), h)
+        hashes[own] = mix64(h ^ _POWER)
+    return Words(begins, stops, hashes, np.r_[np.int64(0), until][found.ends])
+
+
 def read_texts(texts: list[bytes], config: ToxicityConfig) -> Texts:
+    texts = [_broken(t) for t in texts]
     data = np.frombuffer(b"".join(texts), np.uint8)
-    found = words_of(data, np.cumsum([len(t) for t in texts], dtype=np.int64), _BREAKS)
+    found = _pieces(data, words_of(data, np.cumsum([len(t) for t in texts], dtype=np.int64), _BREAKS), config.piece_bytes)
     hashes, first, words = np.unique(found.hashes, return_index=True, return_inverse=True)
     parts = [_grams(data, found.begins[first[a : a + 50_000]], found.stops[first[a : a + 50_000]], config.gram_rows) for a in range(0, len(first), 50_000)]
     grams = np.concatenate([np.zeros(0, np.int32), *(g for g, _ in parts)])
@@ -70,7 +106,7 @@ def read_texts(texts: list[bytes], config: ToxicityConfig) -> Texts:
 
 def _grams(data: np.ndarray, begins: np.ndarray, stops: np.ndarray, gram_rows: int) -> tuple[np.ndarray, np.ndarray]:
     """Rows of the 3- and 4-grams of " word " for some words, and how many each has."""
-    sizes = np.minimum(stops - begins, 64) + 2
+    sizes = stops - begins + 2
     starts = np.cumsum(sizes) - sizes
     place = np.arange(int(sizes.sum())) - np.repeat(starts, sizes)
     size = np.repeat(sizes, sizes)
