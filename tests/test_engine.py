@@ -182,3 +182,27 @@ def test_length_bias_finds_who_likes_long_answers(spark):
     assert got["x"].flagged and got["x"].p_value < 1e-6 and not got["y"].flagged
     cjk = spark.createDataFrame([("s", "m", 1, 5), ("l", "n", 1, 20)], "id string, model string, n_words long, n_chars long")
     assert one(length.length_unit(length.decisive_lengths(rows, cjk)))["unit"] == "chars"
+
+
+def test_registered_refits_run_the_defaults(monkeypatch):
+    import inspect
+
+    from verdictlake.operators import ranking
+    from verdictlake.plans import catalog
+
+    run = {}
+    monkeypatch.setattr(catalog, "_games", lambda t: "games")
+    monkeypatch.setattr(catalog, "_round", lambda df, digits=6: df)
+    for name, f in (("elo_averaged", "elo"), ("bt_bootstrap_ci", "bootstrap_bradley_terry"), ("elo_bootstrap_ci", "bootstrap_elo")):
+        signature = inspect.signature(getattr(ranking, f))
+
+        def seen(*args, own=name, signature=signature, **kwargs):
+            bound = signature.bind(*args, **kwargs)
+            bound.apply_defaults()
+            run[own] = bound.arguments
+
+        monkeypatch.setattr(ranking, f, seen)
+        catalog._QUERIES[name](None)
+    assert run["elo_averaged"]["config"].n_permutations == 100 and run["elo_averaged"]["permutations"] in (None, 100)
+    assert [run[n]["config"].n_replicates for n in ("bt_bootstrap_ci", "elo_bootstrap_ci")] == [500, 500]
+    assert run["elo_bootstrap_ci"]["permutations"] == 10 and run["elo_bootstrap_ci"]["rating"].n_permutations == 100
