@@ -190,6 +190,10 @@ def test_suffix_dedup(spark):
     assert suffix_dedup.remove_repeats(empty(spark)).count() == 0
     left = suffix_dedup.without_repeats(frame(spark, ["é" * 60, "é" * 60, "é" * 60 + "ab", "cd", None]), config)
     assert rows_of(left, "text") == {0: ("é" * 60,), 2: ("ab",), 3: ("cd",), 4: (None,)}
+    assert left.columns == SCHEMA.replace(" long", "").replace(" string", "").split(", ") and set(map(tuple, left.drop("doc_id", "text").collect())) == {("b", "s", "r", "h", "k", "u", "w", "d")}
+    same = suffix_dedup.without_repeats(frame(spark, ["r" * 70] * 3 + ["", None], [5, 5, None, None, None]), config)
+    assert sorted((r.doc_id or 0, r.text or "-" * (r.text is None)) for r in same.collect()) == [(0, ""), (0, "-"), (5, "r" * 70), (5, "r" * 70)]
+    assert suffix_dedup.without_repeats(empty(spark)).count() == 0
 
 
 def test_multikey_order():
@@ -223,6 +227,53 @@ def test_lz_dedup(spark):
     assert lz_dedup.parse_documents(empty(spark)).count() == 0
 
 
+def brute_parse(words, at, length):
+    """Greedy parse of the passage words[at:] by (document, start): longest match with an earlier place, first of these."""
+    out, p = [], 0
+    own = words[at]
+    while p < len(own) - length + 1:
+        best = (0, None)
+        for place in sorted(words):
+            for q in range(len(words[place])):
+                n = 0
+                while p + n < len(own) and q + n < len(words[place]) and own[p + n] == words[place][q + n]:
+                    n += 1
+                if (place[0], place[1] + q) < (at[0], at[1] + p) and n > best[0]:
+                    best = (n, (place[0], place[1] + q))
+        if best[0] >= length:
+            out.append((p, best[0], best[1]))
+            p += best[0] - length + 1
+        else:
+            p += 1
+    return out
+
+
+def test_greedy_parse_of_a_block():
+    rng = random.Random(0)
+    for _ in range(30):
+        passages = {(d, 7 * d): [rng.choice("ab") for _ in range(rng.randint(4, 14))] for d in range(6)}
+        words, hashes, runs = list(passages), np.array([ord(w) for p in passages.values() for w in p], np.uint64), [len(p) for p in passages.values()]
+        ends = np.cumsum(runs)
+        count = np.array(runs) - 3
+        begins = np.cumsum(count) - count
+        of = np.repeat(np.arange(len(runs)), count)
+        inner = np.arange(len(of)) - begins[of]
+        at = np.r_[0, ends[:-1]][of] + inner
+        doc, word = np.array([w[0] for w in words])[of], np.array([w[1] for w in words])[of] + inner
+        key = lz_dedup.gram_hashes(hashes, 4)[at] & np.uint64(7)  # keys that differing words share
+        size, source = lz_dedup.longest_matches(key, at, ends[of], hashes, doc, word, 4)
+        passage, here = lz_dedup.greedy_parse(size, begins, count, 4)
+        got = sorted((int(p), int(inner[h]), int(size[h]), (int(doc[source[h]]), int(word[source[h]]))) for p, h in zip(passage, here))
+        assert got == [(i, p, n, s) for i, w in enumerate(words) for p, n, s in brute_parse(passages, w, 4)]
+
+
+def test_lz_dedup_keeps_rows_apart_that_share_an_id(spark):
+    w, o = " ".join(f"w{i}" for i in range(40)), " ".join(f"o{i}" for i in range(40))
+    rows = [(1, w), (2, w), (2, w), (2, o), (3, o + " end"), (None, w), (None, "x")]
+    got = lz_dedup.parse_documents(frame(spark, [t for _, t in rows], [i for i, _ in rows])).collect()
+    assert sorted((r.doc_id or 0, r.n_words, r.n_removed) for r in got) == [(0, 1, 0), (0, 40, 40), (1, 40, 0), (2, 40, 0), (2, 40, 40), (2, 40, 40), (3, 41, 40)]
+
+
 def test_ngram_join(spark):
     texts = corpus(n=40)
     chain = " ".join(f"w{i}" for i in range(60)).split()
@@ -243,18 +294,36 @@ def test_ngram_join(spark):
     assert ngram_join.similarity_components(empty(spark)).count() == 0
 
 
-@pytest.mark.parametrize("rounds", [0, 2])
-def test_ngram_join_with_one_large_class(spark, rounds):
+@pytest.mark.parametrize("tries", [1, 4])
+def test_ngram_join_with_one_large_class(spark, tries, monkeypatch):
     rng = random.Random(2)
     base = [f"q{i}" for i in range(150)]
     texts = []
-    for _ in range(60):
+    for _ in range(400):
         own = list(base)
-        for _ in range(rng.randint(0, 2)):
+        for _ in range(rng.randint(0, 6)):
             own[rng.randrange(150)] = f"e{rng.random()}"
         texts.append(" ".join(own))
-    got = rows_of(ngram_join.similarity_components(frame(spark, texts), ngram_join.JoinConfig(rounds=rounds, blocks=SMALL)), "component_id")
-    assert {c for (c,) in got.values()} == {0}
+    looked_at, verified = [], ngram_join._verified
+
+    def counted(pairs, sets, config):
+        looked_at.append(pairs.count())
+        return verified(pairs, sets, config)
+
+    monkeypatch.setattr(ngram_join, "_verified", counted)
+    got = rows_of(ngram_join.similarity_components(frame(spark, texts), ngram_join.JoinConfig(tries=tries, blocks=SMALL)), "component_id")
+    sets = [{tuple(w[p : p + 5]) for p in range(146)} for w in map(str.split, texts)]
+    root = list(range(len(texts)))
+    moved = True
+    while moved:
+        moved = False
+        for i, a in enumerate(sets):
+            for j in range(i):
+                if root[i] != root[j] and 100 * len(a & sets[j]) >= 75 * len(a | sets[j]):
+                    root[i] = root[j] = min(root[i], root[j])
+                    moved = True
+    assert {i: c for i, (c,) in got.items()} == dict(enumerate(root))
+    assert sum(looked_at) <= 79_800 / 10  # pairs of all texts
 
 
 def test_toxicity_learns_and_scores_everything(spark):

@@ -1,9 +1,10 @@
 """Blocks of documents, and which of their keys occur elsewhere as well.
 
-Documents are packed once into blocks of a few MB and written to the shared folder, bucketed by block, so that what is
-found out about a block comes back to it without moving texts again. Keys (hashes of n-grams) of all blocks are
-screened: each block sends every key once, as a few bytes in a packed array for each screen bucket; a bucket
-tells each block which of its keys others have too. A key in a third of all documents is one entry for each block.
+Documents are packed once into blocks of a few MB, which a task writes to the shared folder in parts of some tens of MB, one
+file each. The files are bucketed by part, so that what is found out about a block comes back to it without moving
+texts again. Keys (hashes of n-grams) of all blocks are screened: each block sends every key once, as a few bytes in a packed
+array for each screen bucket; a bucket tells each block which of its keys others have too. A key in a third of all
+documents is one entry for each block.
 """
 
 from __future__ import annotations
@@ -18,16 +19,18 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, shared_folder, whole_text
+from .common import mix64, new_path, whole_text
 
 
 @dataclass(frozen=True)
 class BlockConfig:
-    """block_bytes: text of a block, at least one document. bucket_bytes: text of one bucket of blocks, about.
-    screen_keys: keys of one screen bucket, about."""
+    """block_bytes: text of a block, at least one document. part_bytes: text of a part, at most about. bucket_bytes: text of one
+    bucket of parts, about. max_buckets: what Spark allows. screen_keys: keys of one screen bucket, about."""
 
     block_bytes: int = 2 << 20
+    part_bytes: int = 32 << 20
     bucket_bytes: int = 32 << 20
+    max_buckets: int = 100_000
     screen_keys: int = 1 << 20
 
 
@@ -45,57 +48,97 @@ class Block:
         return np.r_[np.int64(0), self.ends[:-1]]
 
 
-_BLOCKS = "block long, doc_ids binary, ends binary, data binary"
+_BLOCKS = "part long, block long, doc_ids binary, ends binary, data binary, rest binary"
+#: A block's number is that of its part, shifted by so many bits, and its place there.
+_PLACE_BITS = 16
 
 
-def _packer(config: BlockConfig):
+def _packer(block_bytes: int, part_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, count = TaskContext.get().partitionId(), 0
-        ids, parts, size = [], [], 0
+        part, place, part_size = TaskContext.get().partitionId() << 20, 0, 0
+        ids, texts, rests, size = [], [], [], 0
 
         def emit() -> pa.RecordBatch:
-            ends = np.cumsum([len(p) for p in parts], dtype=np.int64)
-            row = ([(task << 32) | count], [np.array(ids, np.int64).tobytes()], [ends.tobytes()], [b"".join(parts)])
-            return pa.RecordBatch.from_arrays([pa.array(row[0], pa.int64()), *(pa.array(x, pa.large_binary()).cast(pa.binary()) for x in row[1:])], names=["block", "doc_ids", "ends", "data"])
+            ends = np.cumsum([len(t) for t in texts], dtype=np.int64)
+            row = [part, (part << _PLACE_BITS) | place, np.array(ids, np.int64).tobytes(), ends.tobytes(), b"".join(texts), _packed(rests)]
+            kinds = [pa.int64(), pa.int64(), *[pa.binary()] * 4]
+            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, kinds)], names=["part", "block", "doc_ids", "ends", "data", "rest"])
 
         for batch in batches:
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
+            rest = batch.column("rest") if "rest" in batch.schema.names else None
+            for i, (doc_id, text) in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("text"))):
                 data = text.as_py()
-                if parts and size + len(data) > config.block_bytes:
+                if texts and size + len(data) > block_bytes:
                     yield emit()
-                    ids, parts, size, count = [], [], 0, count + 1
+                    part_size, place = part_size + size, place + 1
+                    ids, texts, rests, size = [], [], [], 0
+                    if part_size >= part_bytes or place >> _PLACE_BITS:
+                        part, place, part_size = part + 1, 0, 0
                 ids.append(doc_id)
-                parts.append(data)
+                texts.append(data)
+                if rest is not None:
+                    rests.append(rest.slice(i, 1))
                 size += len(data)
-        if parts:
+        if texts:
             yield emit()
 
     return run
 
 
+def _packed(rests: list[pa.Array]) -> bytes | None:
+    if not rests:
+        return None
+    sink = pa.BufferOutputStream()
+    batch = pa.record_batch([pa.concat_arrays(rests)], names=["rest"])
+    with pa.ipc.new_stream(sink, batch.schema) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def rest_of(value: pa.BinaryScalar) -> pa.Array:
+    """The further columns of a block's documents, as structs."""
+    return pa.ipc.open_stream(value.as_buffer()).read_all().column("rest").combine_chunks()
+
+
 @dataclass(frozen=True)
 class Blocks:
-    """frame: block, doc_ids, ends, data, bucketed by block. n_bytes: of all texts."""
+    """frame: part, block, doc_ids, ends, data, rest, bucketed by part. n_bytes: of all texts."""
 
     frame: DataFrame
     n_bytes: int
+    buckets: int
     config: BlockConfig
 
     def screen_buckets(self, keys_per_byte: float) -> int:
         return max(1, round(self.n_bytes * keys_per_byte / self.config.screen_keys))
 
+    def with_found(self, found: DataFrame, all_blocks: bool = False) -> DataFrame:
+        """frame with a column found: an array of the rows of found(block, ...) that are about the block. Blocks
+        about which there are none stay if all_blocks. What is found moves to the buckets, the blocks don't move."""
+        rows = found.withColumn("part", F.shiftright("block", _PLACE_BITS)).repartition(self.buckets, "part")
+        of_part = rows.groupBy("part").agg(F.collect_list(F.struct(*found.columns)).alias("found"))
+        own = F.filter("found", lambda x: x["block"] == F.col("block"))
+        joined = self.frame.join(of_part, "part", "left" if all_blocks else "inner").withColumn("found", own)
+        return joined if all_blocks else joined.where(F.size("found") > 0)
+
 
 def pack_blocks(docs: DataFrame, config: BlockConfig = BlockConfig()) -> Blocks:
-    """Write docs(doc_id, text) as blocks; null text is empty. Rows without a doc_id must be out already."""
+    """Write docs(doc_id, text) as blocks; null text is empty. Rows without a doc_id must be out already. A column
+    rest (a struct), if there is one, stays with the blocks."""
     spark = docs.sparkSession
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().cast("binary").alias("text"))
+    further = ["rest"] if "rest" in docs.columns else []
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().cast("binary").alias("text"), *further)
     n_bytes = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_bytes // config.bucket_bytes))
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(config.max_buckets, -(-n_bytes // config.bucket_bytes)))
+    # several parts for each bucket, so that hashing fills them evenly
+    part_bytes = min(config.part_bytes, n_bytes // (8 * buckets))
+    path = new_path(spark)
     name = f"verdictlake_blocks_{uuid.uuid4().hex}"
-    path = f"{shared_folder(spark).rstrip('/')}/{name}"
-    writer = texts.mapInArrow(_packer(config), _BLOCKS).write.format("parquet").option("compression", "zstd").option("path", path)
-    writer.bucketBy(min(buckets, 100_000), "block").saveAsTable(name)
-    return Blocks(spark.table(name), n_bytes, config)
+    writer = texts.mapInArrow(_packer(config.block_bytes, part_bytes), _BLOCKS).write.format("parquet").option("compression", "zstd").option("path", path)
+    writer.bucketBy(buckets, "part").saveAsTable(name)
+    frame = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # the entry alone: the files at the path stay, and frame reads them
+    return Blocks(frame, n_bytes, buckets, config)
 
 
 def each_block(batch: pa.RecordBatch) -> Iterator[Block]:
@@ -159,15 +202,14 @@ def _screen(table: pa.Table) -> pa.Table:
 
 
 def repeated_keys(blocks: Blocks, keys_of: Callable[[Block], tuple[np.ndarray, np.ndarray]], buckets: int) -> DataFrame:
-    """block, hits: for each block with any, its keys that have several owners anywhere. keys_of gives the 64-bit keys
+    """block, bucket, keys, counts: the keys of a block that have several owners anywhere. keys_of gives the 64-bit keys
     of a block and an owner number (within the block) for each. 32 bits of a key are compared in its bucket, so a few
     keys are taken for repeated that aren't; who uses them must compare what they stand for."""
     sent = blocks.frame.mapInArrow(_sender(keys_of, buckets), "bucket long, block long, keys binary, several binary")
-    hits = sent.groupBy("bucket").applyInArrow(_screen, "block long, bucket long, keys binary, counts binary")
-    return hits.groupBy("block").agg(F.collect_list(F.struct("bucket", "keys", "counts")).alias("hits"))
+    return sent.groupBy("bucket").applyInArrow(_screen, "block long, bucket long, keys binary, counts binary")
 
 
-def hit_codes(hits: pa.ListScalar, with_counts: bool = False) -> tuple[np.ndarray, np.ndarray]:
+def hit_codes(hits: pa.ListScalar) -> tuple[np.ndarray, np.ndarray]:
     """Sorted codes (bucket and 32 bits) of a block's repeated keys, and their counts."""
     codes, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint32)]
     for hit in hits:

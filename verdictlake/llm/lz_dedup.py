@@ -1,14 +1,17 @@
 """Repeated word windows by relative Lempel-Ziv parsing.
 
-The reference of a document is all text before it. Its windows of `length` words are indexed in blocks by hash: a
-block of the index knows the earliest place of each of its windows. Every window of a document that can have an earlier
-occurrence is looked up there. The parse then goes through the document greedily: a factor starts at a window with a
-source, and is extended as long as the next window's source is the next place of the same document; where it ends, the
-windows across its boundary are looked at on their own, as they may come from another source. Factors of `length` words
-and more are duplicate spans; all else is literal.
-
-Only windows whose anchor n-gram occurs twice are looked up, and only their words travel, once for each block that has
-them.
+The reference of a document is all text before it, cut into blocks of an index. Each window of `length` words has an
+anchor n-gram chosen by its content; the passages around equal anchors, of all documents that have them, make up one block, so that
+a document is parsed against every block that can have an earlier occurrence of one of its windows, and against no other.
+
+In a block all positions are sorted by the words that follow, the first `length` of them and then one by one, and each
+gets its longest match with an earlier position and where that is. The parse of a passage is greedy: at a
+position it takes the longest match as a factor if that has `length` words, or else goes on by one word. The windows
+across the end of a factor may come from elsewhere, so the parse goes on at the first window that the factor doesn't
+hold. Factors of one document that continue each other's source become one. All words of factors are duplicate spans, all
+others are literal.
+
+Words are compared by 64-bit hashes, each for itself. Passages travel once for each block of documents that has them.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import Block, BlockConfig, anchors, binary_batch, each_block, gram_hashes, hit_codes, is_hit, pack_blocks, repeated_keys
-from .common import WORD_BREAKS, mix64, staged
+from .common import WORD_BREAKS, lasting, mix64, scratch
 
 #: Stands for a doc_id that is null: after all others.
 NO_ID = (1 << 63) - 1
@@ -83,12 +86,12 @@ def _keys(config: FactorConfig, block: Block) -> tuple[np.ndarray, np.ndarray]:
     return found.keys, found.position
 
 
-#: Windows that a block looks up: how many in a row, from which word of the document, and bytes of their words.
-_RUN = np.dtype([("doc", "<i8"), ("word", "<i8"), ("windows", "<u4"), ("n_bytes", "<u4")])
+#: A passage that is parsed: row in its block of documents, id, first word, windows that start in it, and bytes.
+_RUN = np.dtype([("row", "<u4"), ("doc", "<i8"), ("word", "<i8"), ("windows", "<u4"), ("n_bytes", "<u4")])
 
 
-#: Windows in a row whose earliest occurrences are in a row too.
-_HIT = np.dtype([("doc", "<i8"), ("word", "<i8"), ("windows", "<u4"), ("from_doc", "<i8"), ("from_word", "<i8")])
+#: A factor of the row: its first word, its words, and where they occur before.
+_FACTOR = np.dtype([("row", "<u4"), ("word", "<i8"), ("words", "<u4"), ("from_doc", "<i8"), ("from_word", "<i8")])
 
 
 def _send(config: FactorConfig, buckets: int, ranges: int):
@@ -97,31 +100,32 @@ def _send(config: FactorConfig, buckets: int, ranges: int):
             for n, block in enumerate(each_block(batch)):
                 words = words_of(block.data, block.ends)
                 found = anchors(words.hashes, words.ends, config.length, config.gram)
-                hit, _ = is_hit(found.keys, buckets, hit_codes(batch.column("hits")[n])[0])
+                hit, _ = is_hit(found.keys, buckets, hit_codes(batch.column("found")[n])[0])
                 first, last, keys = found.first[hit], found.last[hit], found.keys[hit]
                 if not len(keys):
                     continue
                 place = ((mix64(keys ^ _POWER) >> np.uint64(40)) * np.uint64(ranges)) >> np.uint64(24)
-                doc = np.searchsorted(words.ends, first, side="right")
+                row = np.searchsorted(words.ends, first, side="right")
                 runs = np.zeros(len(first), _RUN)
-                runs["doc"], runs["word"] = block.doc_ids[doc], first - np.r_[np.int64(0), words.ends][doc]
+                runs["row"], runs["doc"], runs["word"] = row, block.doc_ids[row], first - np.r_[np.int64(0), words.ends][row]
                 runs["windows"] = last - first + 1
                 begins, stops = words.begins[first], words.stops[last + config.length - 1]
                 runs["n_bytes"] = stops - begins
-                # runs of the same bytes are looked up once for each block; the later ones have the first as their source
+                # passages of the same bytes are parsed once for each block; the later ones have the first as their source
                 seen: dict[tuple[bytes, int], int] = {}
                 source = np.arange(len(runs))
                 for i in np.lexsort((runs["word"], runs["doc"])).tolist():
                     source[i] = seen.setdefault((block.data[begins[i] : stops[i]].tobytes(), int(runs["windows"][i])), i)
-                again = np.flatnonzero((runs["doc"] != runs["doc"][source]) | (runs["word"] != runs["word"][source]))
-                told = np.zeros(len(again), _HIT)
-                told["doc"], told["word"], told["windows"] = runs["doc"][again], runs["word"][again], runs["windows"][again]
+                later = (runs["doc"] != runs["doc"][source]) | (runs["word"] != runs["word"][source])
+                again = np.flatnonzero(later)
+                told = np.zeros(len(again), _FACTOR)
+                told["row"], told["word"], told["words"] = runs["row"][again], runs["word"][again], runs["windows"][again] + config.length - 1
                 told["from_doc"], told["from_word"] = runs["doc"][source[again]], runs["word"][source[again]]
                 rows = [(-1 - block.block, block.block, told.tobytes(), b"")] if len(again) else []
-                texts = {i: t for (t, _), i in seen.items()}
-                own = np.array(sorted(texts, key=lambda i: (int(place[i]), i)), np.int64)
+                own = np.flatnonzero(~later)
+                own = own[np.argsort(place[own], kind="stable")]
                 cut = np.flatnonzero(np.r_[True, place[own][1:] != place[own][:-1]]).tolist() + [len(own)]
-                rows += [(int(place[own[i]]), block.block, runs[own[i:j]].tobytes(), b"".join([texts[x] for x in own[i:j].tolist()])) for i, j in zip(cut, cut[1:])]
+                rows += [(int(place[own[i]]), block.block, runs[own[i:j]].tobytes(), b"".join([block.data[begins[x] : stops[x]].tobytes() for x in own[i:j].tolist()])) for i, j in zip(cut, cut[1:])]
                 for at in range(0, len(rows), 256):
                     r, k, x, y = zip(*rows[at : at + 256])
                     yield binary_batch({"range": (r, pa.int64()), "block": (k, pa.int64()), "runs": (x, pa.binary()), "data": (y, pa.binary())})
@@ -142,83 +146,110 @@ def _hashes_of(data: bytes, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(parts), np.cumsum(np.concatenate(counts))
 
 
-def _look_up(config: FactorConfig):
-    """One block of the index: the earliest place of each window, told to those who have it later."""
+def longest_matches(key: np.ndarray, at: np.ndarray, stop: np.ndarray, hashes: np.ndarray, doc: np.ndarray, word: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each position its longest match (0 if under `length` words) with one that is before it by (doc, word), and the
+    first position that has this match. key: hash of the first words; at..stop: its words in hashes."""
+    size, source = np.zeros(len(at), np.int64), np.arange(len(at))
+    order = np.lexsort((word, doc, key))
+    ranked = key[order]
+    head = order[np.maximum.accumulate(np.where(np.r_[True, ranked[1:] != ranked[:-1]], np.arange(len(order)), 0))]
+    # a key that two sequences of words share is told apart
+    unlike = np.zeros(len(order), bool)
+    for j in range(length):
+        unlike |= hashes[at[order] + j] != hashes[at[head] + j]
+    for k in np.unique(ranked[unlike]):
+        least: dict[bytes, int] = {}
+        for i in np.flatnonzero(ranked == k):
+            m = order[i]
+            head[i] = least.setdefault(hashes[at[m] : at[m] + length].tobytes(), m)
+    n = length
+    while True:
+        later = (doc[order] != doc[head]) | (word[order] != word[head])
+        size[order[later]], source[order[later]] = n, head[later]
+        # classes in which something is later go on by one word, as far as their passages do
+        stays = np.zeros(len(at), bool)
+        stays[head[later]] = True
+        keep = stays[head] & (at[order] + n < stop[order])
+        order, head = order[keep], head[keep]
+        if not len(order):
+            return size, source
+        following = hashes[at[order] + n]
+        inner = np.lexsort((word[order], doc[order], following, head))
+        order, head, following = order[inner], head[inner], following[inner]
+        new = np.r_[True, (head[1:] != head[:-1]) | (following[1:] != following[:-1])]
+        head = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
+        n += 1
+
+
+def greedy_parse(size: np.ndarray, begins: np.ndarray, count: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Passages and positions at which factors start, if each passage is parsed from its first position on. size: of the
+    longest match at each position; begins: position of a passage's first; count: positions of a passage."""
+    passages, starts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    live, step = np.arange(len(begins)), np.zeros(len(begins), np.int64)
+    while len(live):
+        here = begins[live] + step[live]
+        is_factor = size[here] >= length
+        passages.append(live[is_factor])
+        starts.append(here[is_factor])
+        step[live] += np.where(is_factor, size[here] - length + 1, 1)
+        live = live[step[live] < count[live]]
+    return np.concatenate(passages), np.concatenate(starts)
+
+
+def _parse_block(config: FactorConfig):
+    """One block of the index: its passages parsed against what comes before them in it."""
 
     def run(table: pa.Table) -> pa.Table:
         if table.column("range")[0].as_py() < 0:
-            return pa.table({"block": table.column("block"), "hits": table.column("runs")})
+            return pa.table({"block": table.column("block"), "factors": table.column("runs")})
         runs = [np.frombuffer(x.as_buffer(), _RUN) for x in table.column("runs")]
         block = np.repeat(table.column("block").to_numpy(), [len(x) for x in runs])
         runs = np.concatenate(runs)
         hashes, word_ends = _hashes_of(b"".join(x.as_py() for x in table.column("data")), np.cumsum(runs["n_bytes"], dtype=np.int64))
-        # windows start at the first `windows` words of each run
         count = runs["windows"].astype(np.int64)
+        begins = np.cumsum(count) - count
         of = np.repeat(np.arange(len(runs)), count)
-        inner = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
+        inner = np.arange(len(of)) - begins[of]
         at = np.r_[np.int64(0), word_ends[:-1]][of] + inner
-        key = gram_hashes(hashes, config.length)[at]
-        doc, word, block = runs["doc"][of], runs["word"][of] + inner, block[of]
-        order = np.lexsort((word, doc, key))
-        ranked = key[order]
-        head = order[np.maximum.accumulate(np.where(np.r_[True, ranked[1:] != ranked[:-1]], np.arange(len(order)), 0))]
-        source = np.empty(len(order), np.int64)
-        source[order] = head
-        later = (doc[source] != doc) | (word[source] != word)
-        # the words themselves decide; a hash that two windows share is told apart one by one
-        unlike = np.zeros(len(at), bool)
-        for j in range(config.length):
-            unlike[later] |= hashes[at[later] + j] != hashes[at[source[later]] + j]
-        for k in np.unique(key[unlike]):
-            members = np.flatnonzero(key == k)
-            least: dict[bytes, int] = {}
-            for m in sorted(members, key=lambda m: (doc[m], word[m])):
-                source[m] = least.setdefault(hashes[at[m] : at[m] + config.length].tobytes(), m)
-            later[members] = source[members] != members
-        if not later.any():
-            return pa.table({"block": pa.array([], pa.int64()), "hits": pa.array([], pa.binary())})
-        at = np.flatnonzero(later)
-        order = at[np.lexsort((word[at], doc[at], block[at]))]
-        b, d, w, fd, fw = block[order], doc[order], word[order], doc[source[order]], word[source[order]]
-        goes_on = (b[1:] == b[:-1]) & (d[1:] == d[:-1]) & (w[1:] == w[:-1] + 1) & (fd[1:] == fd[:-1]) & (fw[1:] == fw[:-1] + 1)
-        begins = np.flatnonzero(np.r_[True, ~goes_on])
-        out = np.zeros(len(begins), _HIT)
-        out["doc"], out["word"], out["from_doc"], out["from_word"] = d[begins], w[begins], fd[begins], fw[begins]
-        out["windows"] = np.diff(np.r_[begins, len(order)])
-        b = b[begins]
-        cut = np.flatnonzero(np.r_[True, b[1:] != b[:-1]]).tolist() + [len(b)]
-        return pa.table({"block": pa.array([int(b[i]) for i in cut[:-1]], pa.int64()), "hits": pa.array([out[i:j].tobytes() for i, j in zip(cut, cut[1:])], pa.binary())})
+        doc, word = runs["doc"][of], runs["word"][of] + inner
+        size, source = longest_matches(gram_hashes(hashes, config.length)[at], at, word_ends[of], hashes, doc, word, config.length)
+        passage, here = greedy_parse(size, begins, count, config.length)
+        out = np.zeros(len(here), _FACTOR)
+        out["row"], out["word"], out["words"] = runs["row"][passage], word[here], size[here]
+        out["from_doc"], out["from_word"] = doc[source[here]], word[source[here]]
+        order = np.argsort(block[passage], kind="stable")
+        b, out = block[passage][order], out[order]
+        cut = np.flatnonzero(np.r_[True, b[1:] != b[:-1]]).tolist() + [len(b)] if len(b) else []
+        return pa.table({"block": pa.array([int(b[i]) for i in cut[:-1]], pa.int64()), "factors": pa.array([out[i:j].tobytes() for i, j in zip(cut, cut[1:])], pa.binary())})
 
     return run
 
 
-def factors(hits: np.ndarray, length: int) -> list[tuple[int, int, int, int]]:
-    """Greedy parse of one document: (first word, words, source document, source word) of its factors. hits: runs of
-    windows with their sources. A factor goes on where the next run continues its source; at its end the
-    windows across the boundary begin factors of their own."""
+def joined_factors(found: np.ndarray) -> list[tuple[int, int, int, int]]:
+    """(first word, words, source document, source word) of one document's factors; one that continues the source of the
+    factor before, without a gap, is part of it."""
     out: list[list[int]] = []
-    for hit in np.sort(hits, order="word"):
-        word, n, doc, source = int(hit["word"]), int(hit["windows"]), int(hit["from_doc"]), int(hit["from_word"])
-        if out and out[-1][2] == doc and out[-1][0] + out[-1][1] - length + 1 == word and source - out[-1][3] == word - out[-1][0]:
-            out[-1][1] += n
+    for factor in np.sort(found, order=["word", "words"]):
+        word, n, doc, source = int(factor["word"]), int(factor["words"]), int(factor["from_doc"]), int(factor["from_word"])
+        if out and out[-1][2] == doc and word <= out[-1][0] + out[-1][1] and source - out[-1][3] == word - out[-1][0]:
+            out[-1][1] = max(out[-1][1], word + n - out[-1][0])
         else:
-            out.append([word, n + length - 1, doc, source])
+            out.append([word, n, doc, source])
     return [tuple(x) for x in out]
 
 
-def _parse(config: FactorConfig):
+def _spans(config: FactorConfig):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for n, block in enumerate(each_block(batch)):
                 words = words_of(block.data, block.ends)
                 told = batch.column("found")[n]
-                hits = np.concatenate([np.zeros(0, _HIT), *(np.frombuffer(x.as_buffer(), _HIT) for x in (told if told.is_valid else ()))])
-                hits = hits[np.argsort(hits["doc"], kind="stable")]
+                found = np.concatenate([np.zeros(0, _FACTOR), *(np.frombuffer(x["factors"].as_buffer(), _FACTOR) for x in (told if told.is_valid else ()))])
+                found = found[np.argsort(found["row"], kind="stable")]
                 rows, word_start = [], 0
                 for i, doc_id in enumerate(block.doc_ids.tolist()):
                     word_end = int(words.ends[i])
-                    own = hits[np.searchsorted(hits["doc"], doc_id) : np.searchsorted(hits["doc"], doc_id, side="right")]
-                    parse = factors(own, config.length)
+                    parse = joined_factors(found[np.searchsorted(found["row"], i) : np.searchsorted(found["row"], i, side="right")])
                     gone = np.zeros(word_end - word_start, bool)
                     for first, size, _, _ in parse:
                         gone[first : first + size] = True
@@ -241,15 +272,16 @@ def parse_documents(docs: DataFrame, config: FactorConfig = FactorConfig()) -> D
     """doc_id, n_words, n_removed, kept_text (binary), factors for each row of docs(doc_id, text).
 
     A word goes if a window of `length` words over it also starts earlier: in a smaller doc_id, or before it in the
-    document. Null text has no words; a null doc_id comes after all others; rows that repeat a doc_id count as one
-    place where they are the same. Further columns are ignored; an empty table gives none.
+    document. Null text has no words; a null doc_id comes after all others; rows that repeat a doc_id are each
+    parsed for itself and at the same place, so that none takes from another what stands at the same word. Further columns are
+    ignored; an empty table gives none.
     """
     blocks = pack_blocks(docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text"), config.blocks)
     buckets = blocks.screen_buckets(1 / 32)
-    hits = repeated_keys(blocks, lambda block: _keys(config, block), buckets)
-    # at most a window for each five bytes, of which the screen lets pass what is repeated
-    ranges = max(1, round(blocks.n_bytes / 10 / config.index_windows))
-    sent = blocks.frame.join(hits, "block").mapInArrow(_send(config, buckets, ranges), "range long, block long, runs binary, data binary")
-    found = sent.groupBy("range").applyInArrow(_look_up(config), "block long, hits binary")
-    found = found.groupBy("block").agg(F.collect_list("hits").alias("found"))
-    return blocks.frame.join(found, "block", "left").mapInArrow(_parse(config), _PARSED)
+    with scratch(docs.sparkSession):
+        hits = repeated_keys(blocks, lambda block: _keys(config, block), buckets)
+        # at most a window for each five bytes, of which the screen lets pass what is repeated
+        ranges = max(1, round(blocks.n_bytes / 10 / config.index_windows))
+        sent = blocks.with_found(hits).mapInArrow(_send(config, buckets, ranges), "range long, block long, runs binary, data binary")
+        found = lasting(sent.groupBy("range").applyInArrow(_parse_block(config), "block long, factors binary"))
+    return blocks.with_found(found, all_blocks=True).mapInArrow(_spans(config), _PARSED)

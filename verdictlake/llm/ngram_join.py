@@ -3,37 +3,44 @@
 A document is its set of word shingles. One that links with another shares at least `similarity` of its own shingles,
 so that only documents with so many shingles that occur elsewhere stay in (the screen of `blocks`). Documents with
 equal sets become one. In the order of rising counts, two linked sets share a shingle among their first n - ceil(t n) + 1
-(the prefix), with so many shingles from it to the end as the link needs. Documents with the same prefix and size are one group; group pairs that share a prefix shingle and have
-sizes that allow a link are candidates, which are expanded to members and verified.
-
-Links are only wanted for components, so pairs that are already connected need no look. First each group
-meets the smallest group of its prefix shingles, and members meet the first of their group; then, a few times, members
-meet a hashed choice among those that are still apart. What no link has joined by then is
-compared in full: every candidate pair of different components. A class of N near copies costs about N pairs, not N^2.
+(the prefix), with so many shingles from it to the end as the link needs. Documents with the same prefix and size are one group;
+group pairs that share a prefix shingle are filtered by size and by what is left from the shingle on, then expanded to
+members, which are verified.
+
+Links are only wanted for components, so a pair that is already connected needs no look. First members meet the first of
+their group, and each group the smallest group of its prefix shingles. Then, turn by turn, what is left of a
+group in a component (a cell) meets cells of other components: at each shingle the cells of smaller components look for
+partners among those of larger ones. A cell tries at most `tries` pairs in the first turn and `growth` times as many in each
+further one, taken from all that it could try by hash; those that a link has joined meanwhile are out. The turn in
+which no cell was held back has looked at every candidate pair of different components and is the last, so nothing is
+missed; a class of N near copies costs about N pairs, not N^2.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .blocks import Block, BlockConfig, each_block, gram_hashes, hit_codes, is_hit, pack_blocks, repeated_keys
-from .common import mix64, staged
+from .common import lasting, mix64, scratch, staged
 from .lz_dedup import words_of
 
 
 @dataclass(frozen=True)
 class JoinConfig:
-    """words: of a shingle. percent: 100 * intersection >= percent * union links. rounds: of hashed choices."""
+    """words: of a shingle. percent: 100 * intersection >= percent * union links. tries: pairs of a cell in the first turn,
+    about. growth: of that number from turn to turn."""
 
     words: int = 5
     percent: int = 75
-    rounds: int = 2
+    tries: int = 4
+    growth: int = 8
     blocks: BlockConfig = field(default_factory=BlockConfig)
 
 
@@ -71,7 +78,7 @@ def _sets(config: JoinConfig, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for n, block in enumerate(each_block(batch)):
-                told = batch.column("hits")[n]
+                told = batch.column("found")[n]
                 codes, counts = hit_codes(told if told.is_valid else ())
                 hashes, owners = shingles_of(block, config.words)
                 hit, at = is_hit(hashes, buckets, codes)
@@ -109,7 +116,7 @@ def shingle_sets(docs: DataFrame, config: JoinConfig = JoinConfig()) -> DataFram
     blocks = pack_blocks(docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text"), config.blocks)
     buckets = blocks.screen_buckets(1 / 6)
     hits = repeated_keys(blocks, lambda block: shingles_of(block, config.words), buckets)
-    return blocks.frame.join(hits, "block", "left").mapInArrow(_sets(config, buckets), _SETS)
+    return blocks.with_found(hits, all_blocks=True).mapInArrow(_sets(config, buckets), _SETS)
 
 
 def _can_link(nx: Column, sx: Column, ny: Column, sy: Column, percent: int) -> Column:
@@ -126,21 +133,90 @@ def _verified(pairs: DataFrame, sets: DataFrame, config: JoinConfig) -> DataFram
     return pairs.join(sx, "x").join(sy, "y").where(both * 100 >= (F.col("nx") + F.col("ny") - both) * config.percent).select("x", "y")
 
 
-def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """doc_id, component: the smallest doc_id that links(x, y) reach from each of nodes(doc_id). Labels go along links
-    and then jump to the label of their label, so that long chains take few rounds; every round is written out."""
-    both = staged(links.unionByName(links.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct())
-    labels = both.groupBy("x").agg(F.least(F.col("x"), F.min("y")).alias("label"))
-    labels = staged(labels)
-    while True:
-        near = both.join(labels.select(F.col("x").alias("y"), F.col("label").alias("other")), "y").groupBy("x").agg(F.min("other").alias("other"))
-        passed = labels.join(near, "x").select("x", "label", F.least("label", "other").alias("low"))
-        jump = labels.select(F.col("x").alias("low"), F.col("label").alias("lower"))
-        moved = staged(passed.join(jump, "low", "left").select("x", "label", F.least("low", "lower").alias("low")))
-        labels = moved.select("x", F.col("low").alias("label"))
-        if moved.where("low <> label").isEmpty():
-            break
-    return nodes.join(labels.withColumnRenamed("x", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("label", "doc_id").alias("component"))
+def components(links: DataFrame) -> DataFrame:
+    """node, label: the smallest node that links(x, y) reach from each node of theirs. Labels go along links and then
+    jump to the label of their label, so that long chains take few rounds; every round is written out."""
+    spark = links.sparkSession
+    with scratch(spark):
+        ends = staged(links.select(F.col("x").alias("node"), F.col("y").alias("other")).unionByName(links.select(F.col("y").alias("node"), F.col("x").alias("other"))).distinct())
+        labels = staged(ends.groupBy("node").agg(F.least(F.col("node"), F.min("other")).alias("label")))
+        while True:
+            near = ends.join(labels.select(F.col("node").alias("other"), F.col("label").alias("seen")), "other").groupBy("node").agg(F.min("seen").alias("seen"))
+            passed = labels.join(near, "node").select("node", "label", F.least("label", "seen").alias("low"))
+            jump = labels.select(F.col("node").alias("low"), F.col("label").alias("lower"))
+            moved = staged(passed.join(jump, "low", "left").select("node", "label", F.least("low", "lower").alias("low")))
+            labels = moved.select("node", F.col("low").alias("label"))
+            if moved.where("low <> label").isEmpty():
+                return lasting(labels)
+
+
+def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """labels(doc_id, component) after further links(x, y): only components that they touch are looked at."""
+    with scratch(links.sparkSession):
+        of_x = labels.select(F.col("doc_id").alias("x"), F.col("component").alias("cx"))
+        of_y = labels.select(F.col("doc_id").alias("y"), F.col("component").alias("cy"))
+        edges = links.join(of_x, "x").join(of_y, "y").where("cx <> cy").select(F.col("cx").alias("x"), F.col("cy").alias("y"))
+        moves = components(staged(edges.distinct())).withColumnRenamed("node", "component")
+        return lasting(labels.join(moves, "component", "left").select("doc_id", F.coalesce("label", "component").alias("component")))
+
+
+def _cells(index: DataFrame, members: DataFrame, labels: DataFrame, config: JoinConfig) -> tuple[DataFrame, DataFrame]:
+    """Of index(shingle, scale, own, group, n_shingles, left) the rows that can meet a row of another component, one for each cell,
+    with its size; and members(doc_id, group, n_shingles, component) with their place in their cell.
+
+    Of a linked pair the smaller set has, by what is left at their first common shingle, room for partners of at least its own
+    size (it is `open`), and its size is in the range that the larger one has room for; rows for which their spot
+    (shingle and scale) has no such partner at all go."""
+    place = Window.partitionBy("group", "n_shingles", "component").orderBy("doc_id")
+    placed = staged(members.join(labels, "doc_id").withColumn("place", F.row_number().over(place) - 1))
+    cells = placed.groupBy("group", "n_shingles", "component").agg(F.count("*").alias("size"))
+    n, percent = F.col("n_shingles"), config.percent
+    most = F.floor(F.col("left") * (100 + percent) / percent - n)  # size of the largest partner that there is room for
+    at = index.join(cells, ["group", "n_shingles"]).withColumn("most", most).withColumn("open", F.col("most") >= n)
+    at = staged(at.withColumn("low", F.ceil(n * percent / 100)).withColumn("high", F.least("most", n)))
+    spot = ["shingle", "scale"]
+    small = at.groupBy(*spot).agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.min(F.when(F.col("open"), n)).alias("open_low"), F.max(F.when(F.col("open"), n)).alias("open_high")).where("c1 <> c2")
+    probes = (F.col("open_low") <= F.col("high")) & (F.col("open_high") >= F.col("low"))
+    at = at.join(small.drop("c1", "c2"), spot).withColumn("probes", F.coalesce(probes, F.lit(False))).drop("open_low", "open_high")
+    large = at.where("probes").groupBy(*spot).agg(F.min("n_shingles").alias("probe_low"), F.max("high").alias("probe_high"))
+    at = at.join(large, spot).where(F.col("probes") | (F.col("open") & (F.col("probe_low") <= F.col("most")) & (F.col("probe_high") >= n)))
+    at = staged(at.select(*spot, "own", "group", "n_shingles", "left", "component", "size"))
+    # rows of the scale below meet each other there
+    split = at.groupBy(*spot).agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.max("own").alias("own")).where("c1 <> c2 and own").select(*spot)
+    return staged(at.join(split, spot, "left_semi")), placed
+
+
+_CELL = ["group", "n_shingles", "component"]
+
+
+def _candidates(at: DataFrame, placed: DataFrame, tries: int, config: JoinConfig) -> tuple[DataFrame, bool]:
+    """Pairs (x, y) of members of different components, at most about `tries` for each cell; and whether any was held back."""
+    # larger components come first at each shingle; a cell looks at those before its own component's
+    sizes = at.groupBy("shingle", "scale", "component").agg(F.count("*").alias("cells"))
+    before = Window.partitionBy("shingle", "scale").orderBy(F.desc("cells"), "component").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.withColumn("start", F.coalesce(F.sum("cells").over(before), F.lit(0))).drop("cells")
+    inner = Window.partitionBy("shingle", "scale", "component").orderBy("group", "n_shingles")
+    spots = staged(at.join(starts, ["shingle", "scale", "component"]).withColumn("spot", F.col("start") + F.row_number().over(inner) - 1))
+    turn = F.explode(F.sequence(F.lit(0).cast("long"), F.least("start", F.lit(tries)) - 1))
+    seekers = spots.where("start > 0").withColumn("turn", turn)
+    seekers = seekers.withColumn("spot", F.pmod(F.xxhash64("shingle", *_CELL) + F.col("turn"), F.col("start")))
+    others = spots.select("shingle", "scale", "spot", *(F.col(c).alias(f"o_{c}") for c in (*_CELL, "left", "size")))
+    met = seekers.drop("start", "turn").join(others, ["shingle", "scale", "spot"]).where(_can_link(F.col("n_shingles"), F.col("left"), F.col("o_n_shingles"), F.col("o_left"), config.percent))
+    pair = [*_CELL, *(f"o_{c}" for c in _CELL)]
+    pairs = met.groupBy(*pair).agg(F.first("size").alias("size"), F.first("o_size").alias("o_size"))
+    own = Window.partitionBy(*_CELL)
+    pairs = pairs.withColumn("rank", F.row_number().over(own.orderBy(F.xxhash64(*pair)))).withColumn("n", F.count("*").over(own))
+    pairs = pairs.withColumn("all", F.col("size") * F.col("o_size")).withColumn("share", F.ceil(F.lit(tries) / F.least("n", F.lit(tries))))
+    pairs = staged(pairs)
+    held = not spots.where(F.col("start") > tries).isEmpty() or not pairs.where((F.col("rank") > tries) | (F.col("all") > F.col("share"))).isEmpty()
+    # expanded to members: pair number k of a cell pair is member k div o_size of the one and k mod o_size of the other
+    k = F.explode(F.sequence(F.lit(0).cast("long"), F.least("all", "share") - 1))
+    drawn = pairs.where(F.col("rank") <= tries).withColumn("k", k).withColumn("k", F.pmod(F.xxhash64(*pair) + F.col("k"), F.col("all")))
+    drawn = drawn.withColumn("place", F.floor((F.col("k") - F.col("k") % F.col("o_size")) / F.col("o_size")).cast("int")).withColumn("o_place", (F.col("k") % F.col("o_size")).cast("int"))
+    one = placed.select(*_CELL, "place", F.col("doc_id").alias("x"))
+    two = placed.select(*(F.col(c).alias(f"o_{c}") for c in (*_CELL, "place")), F.col("doc_id").alias("y"))
+    found = drawn.join(one, [*_CELL, "place"]).join(two, [f"o_{c}" for c in (*_CELL, "place")])
+    return found.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), held
 
 
 def similarity_components(docs: DataFrame, config: JoinConfig = JoinConfig()) -> DataFrame:
@@ -150,6 +226,11 @@ def similarity_components(docs: DataFrame, config: JoinConfig = JoinConfig()) ->
     themselves. Rows with the same doc_id are one node of the graph; a row without a doc_id is left out of it and
     returned with a null component. Further columns are ignored; an empty table gives none.
     """
+    with scratch(docs.sparkSession):
+        return lasting(_components_of(docs, config))
+
+
+def _components_of(docs: DataFrame, config: JoinConfig) -> DataFrame:
     sets = staged(shingle_sets(docs, config))
     able = sets.where(F.col("shared").isNotNull())
     key = ["n_shingles", "set_1", "set_2"]
@@ -160,14 +241,16 @@ def similarity_components(docs: DataFrame, config: JoinConfig = JoinConfig()) ->
 
     need = F.floor((F.col("n_shingles") * config.percent + 99) / 100)
     # of the prefix the shingles that no one shares come first
-    length = F.col("n_shingles") - need + 1 - (F.col("n_shingles") - F.size("shared"))
     unshared = F.col("n_shingles") - F.size("shared")
-    prefixes = own.select("doc_id", "n_shingles", unshared.alias("unshared"), F.slice("shared", F.lit(1), length.cast("int")).alias("prefix")).where(F.size("prefix") > 0)
+    prefix = F.slice("shared", F.lit(1), (F.col("n_shingles") - need + 1 - unshared).cast("int"))
+    prefixes = own.select("doc_id", "n_shingles", unshared.alias("unshared"), prefix.alias("prefix")).where(F.size("prefix") > 0)
     prefixes = staged(prefixes.withColumn("group", F.xxhash64("n_shingles", "prefix")))
+    members = prefixes.select("doc_id", "group", "n_shingles").distinct()
     groups = prefixes.groupBy("group", "n_shingles").agg(F.min("doc_id").alias("leader"), F.count("*").alias("members"), F.min("unshared").alias("unshared"), F.min_by("prefix", "doc_id").alias("prefix"))
     groups = staged(groups)
-    left = (F.col("n_shingles") - F.col("unshared") - F.col("place")).alias("left")  # shingles from this one to the end
-    index = groups.select("leader", "n_shingles", "unshared", F.posexplode("prefix").alias("place", "shingle")).select("leader", "n_shingles", "shingle", left)
+    left = F.col("n_shingles") - F.col("unshared") - F.col("place")  # shingles from this one to the end
+    index = groups.select("leader", "group", "n_shingles", "unshared", F.posexplode("prefix").alias("place", "shingle"))
+    index = staged(index.select("shingle", "leader", "group", "n_shingles", left.alias("left")))
 
     # members meet the first of their group; groups the smallest group of their shingles
     inside = prefixes.join(groups.where("members > 1").select("group", "n_shingles", "leader"), ["group", "n_shingles"]).where("doc_id <> leader").select(F.col("leader").alias("x"), F.col("doc_id").alias("y"))
@@ -175,41 +258,21 @@ def similarity_components(docs: DataFrame, config: JoinConfig = JoinConfig()) ->
     meets = index.join(first, "shingle").where((F.col("first.leader") < F.col("leader")) & _can_link(F.col("n_shingles"), F.col("left"), F.col("first.n_shingles"), F.col("first.left"), config.percent))
     meets = meets.groupBy("leader").agg(F.min("first.leader").alias("x")).select("x", F.col("leader").alias("y"))
     tried = staged(inside.unionByName(meets).distinct())
-    links = staged(_verified(tried, own, config))
-
-    postings = prefixes.select("doc_id", "n_shingles", "unshared", F.posexplode("prefix").alias("place", "shingle")).select("doc_id", "n_shingles", "shingle", left)
-    for turn in range(config.rounds + 1):
-        label = staged(components(own.select("doc_id").distinct(), links))
-        labelled = postings.join(label, "doc_id")
-        # shingles whose documents are in several components
-        split = labelled.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("shingle")
-        apart = staged(labelled.join(split, "shingle", "left_semi").distinct())
-        if apart.isEmpty():
-            break
-        if turn < config.rounds:
-            draw = F.xxhash64("doc_id", F.lit(turn))
-            pick = apart.groupBy("shingle", "component").agg(F.min_by(F.struct("doc_id", "n_shingles", "left"), draw).alias("p"), F.min(draw).alias("d"))
-            low = pick.groupBy("shingle").agg(F.min_by(F.struct("component", "p"), "d").alias("low"))
-            found = apart.join(low, "shingle").where(F.col("low.component") != F.col("component"))
-            found = found.where(_can_link(F.col("n_shingles"), F.col("left"), F.col("low.p.n_shingles"), F.col("low.p.left"), config.percent))
-            found = found.groupBy("doc_id").agg(F.min_by("low.p.doc_id", F.xxhash64("low.p.doc_id", F.lit(turn))).alias("other"))
-            pairs = found.select(F.least("doc_id", "other").alias("x"), F.greatest("doc_id", "other").alias("y")).distinct()
-        else:
-            # first components, by the smallest set and the longest rest that they have at a shingle, then members
-            sides = apart.groupBy("shingle", "component").agg(F.min("n_shingles").alias("n"), F.max("left").alias("left"))
-            other = sides.select("shingle", F.col("component").alias("other"), F.col("n").alias("on"), F.col("left").alias("oleft"))
-            enough = F.least("left", "oleft") * (100 + config.percent) >= (F.col("n") + F.col("on")) * config.percent
-            met = sides.join(other, "shingle").where((F.col("component") < F.col("other")) & enough).select("shingle", "component", "other")
-            one = met.join(apart.select("shingle", "component", F.col("doc_id").alias("x"), F.col("n_shingles").alias("nx"), F.col("left").alias("lx")), ["shingle", "component"])
-            two = apart.select("shingle", F.col("component").alias("other"), F.col("doc_id").alias("y"), F.col("n_shingles").alias("ny"), F.col("left").alias("ly"))
-            pairs = one.join(two, ["shingle", "other"]).where(_can_link(F.col("nx"), F.col("lx"), F.col("ny"), F.col("ly"), config.percent))
-            pairs = pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+    nodes = own.select("doc_id", F.col("doc_id").alias("component")).distinct()
+    labels = _merged(staged(nodes), staged(_verified(tried, own, config)))
+
+    # sets that link differ by one scale at most, so each meets the others at its own and the next
+    scale = F.floor(F.log("n_shingles") / math.log(100 / config.percent) + 1e-9)
+    scales = F.explode(F.array(*(F.struct((scale + i).alias("scale"), F.lit(not i).alias("own")) for i in range(2))))
+    at, tries, held = index.withColumn("at", scales).select("*", "at.*"), config.tries, True
+    while held:
+        at, placed = _cells(at.select("shingle", "scale", "own", "group", "n_shingles", "left").distinct(), members, labels, config)
+        pairs, held = _candidates(at, placed, tries, config)
         pairs = staged(pairs.join(tried, ["x", "y"], "left_anti"))
-        tried, links = tried.unionByName(pairs), links.unionByName(staged(_verified(pairs, own, config)))
-    else:
-        label = staged(components(own.select("doc_id").distinct(), links))
+        labels = _merged(labels, staged(_verified(pairs, own, config)))
+        tried, tries = tried.unionByName(pairs), tries * config.growth
 
-    found = member.join(label.withColumnRenamed("doc_id", "rep"), "rep").groupBy("doc_id").agg(F.min("component").alias("component"))
+    found = member.join(labels.withColumnRenamed("doc_id", "rep"), "rep").groupBy("doc_id").agg(F.min("component").alias("component"))
     rows = sets.select("doc_id", "n_shingles").join(found, "doc_id", "left")
     rows = rows.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
     without = docs.where(F.col("doc_id").isNull()).select(F.lit(None).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .byte_bpe import BpeConfig, encoding_digest
-from .common import shared_folder
+from .common import lasting, scratch, shared_folder
 from .exact_dedup import exact_duplicates
 from .language_id import fit_languages, held_out, identify_languages
 from .lz_dedup import parse_documents
@@ -62,8 +62,9 @@ def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_lz_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows of 20 words that occurred before, removed from all documents."""
-    parsed = parse_documents(_documents(spark, sf_dir).select("doc_id", "text"))
-    return parsed.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+    with scratch(spark):
+        parsed = parse_documents(_documents(spark, sf_dir).select("doc_id", "text"))
+        return lasting(parsed.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256")))
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

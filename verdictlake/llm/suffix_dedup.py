@@ -3,13 +3,16 @@
 Each window of `length` bytes has an anchor chosen by its content, so only suffixes that start at anchors are sorted.
 Anchors whose leading n-gram occurs in no other document are screened out. The suffixes that are left, with as many bytes to
 their left as a window can reach, are range-partitioned by their leading bytes with sampled splitters. A bucket sorts
-its suffixes by multikey quicksort, eight bytes at a time, and compares neighbours. Splitters are leading bytes, shorter than
-the n-gram that equal windows share at the anchor: suffixes on the two sides of a boundary differ in them, so no match
-crosses it. Windows that begin left of their anchor are equal where the suffixes agree far enough and the bytes to the
-left are the same; of each class of equal windows the smallest doc_id keeps it.
+its suffixes by multikey quicksort over words of eight bytes and compares neighbours. Windows that begin left of their
+anchor are equal where the suffixes agree far enough and the bytes to the left are the same; of each class of equal
+windows the smallest doc_id keeps it.
+
+Boundaries between buckets are settled by their choice: a splitter is cut between different leading bytes (`leading`, fewer than
+the n-gram that equal windows share at the anchor), so suffixes on its two sides differ in these, and the last
+suffix of a bucket and the first of the next agree in less than any window needs. No match crosses a boundary.
 
 Before suffixes leave their block, those with the same bytes around become one, so a passage in a third of all
-documents is one suffix for each block.
+documents is one suffix for each block. The texts move once, into the blocks, which all steps read where they are.
 """
 
 from __future__ import annotations
@@ -22,12 +25,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 
-from .blocks import Block, BlockConfig, Blocks, anchors, binary_batch, documents_of, each_block, hit_codes, is_hit, pack_blocks, repeated_keys
-from .common import staged
+from .blocks import Block, BlockConfig, anchors, binary_batch, documents_of, each_block, hit_codes, is_hit, pack_blocks, repeated_keys, rest_of
+from .common import lasting, scratch, staged
 
 #: Stands for a doc_id that is null: after all others.
 NO_ID = (1 << 63) - 1
+#: A field beside the further columns: whether the text was null.
+_NO_TEXT = "verdictlake text was null"
 
 
 @dataclass(frozen=True)
@@ -101,7 +107,7 @@ def _send(config: SuffixConfig, buckets: int, splitters: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for n, block in enumerate(each_block(batch)):
-                kept, later = _same_around(suffixes_of(block, hit_codes(batch.column("hits")[n])[0], buckets, config))
+                kept, later = _same_around(suffixes_of(block, hit_codes(batch.column("found")[n])[0], buckets, config))
                 rows = [(-1 - block.block, block.block, _marks(later, _all_windows(later)))] if len(later) else []
                 place = _range_of(kept, splitters, config)
                 order = np.argsort(place, kind="stable")
@@ -135,22 +141,43 @@ def _marks(suffixes: np.ndarray, windows: np.ndarray) -> bytes:
     return out.tobytes()
 
 
-def multikey_order(rows: np.ndarray) -> np.ndarray:
-    """Order of equally long byte rows: by eight bytes, then ties alone by the next eight, and so on."""
+def multikey_order(rows: np.ndarray, small: int = 4096) -> np.ndarray:
+    """Order of equally long byte rows by multikey quicksort, eight bytes at a time: a pivot word splits a segment
+    in three; the middle one goes on with the next word. Segments of up to `small` rows are sorted word by word."""
     n, width = rows.shape
     padded = np.zeros((n, -(-width // 8) * 8), np.uint8)
     padded[:, :width] = rows
     words = padded.view(">u8").astype(np.uint64)
+    order = np.arange(n)
+    segments = [(0, n, 0)]
+    while segments:
+        a, b, depth = segments.pop()
+        if b - a < 2 or depth == words.shape[1]:
+            continue
+        own = order[a:b]
+        if b - a <= small:
+            order[a:b] = own[_by_words(words[own, depth:])]
+            continue
+        key = words[own, depth]
+        pivot = np.sort(key[:: len(key) // 1024 + 1])[len(key[:: len(key) // 1024 + 1]) // 2]
+        less, more = key < pivot, key > pivot
+        low, middle, high = own[less], own[~less & ~more], own[more]
+        order[a:b] = np.concatenate([low, middle, high])
+        i, j = a + len(low), a + len(low) + len(middle)
+        segments += [(a, i, depth), (i, j, depth + 1), (j, b, depth)]
+    return order
+
+
+def _by_words(words: np.ndarray) -> np.ndarray:
+    """Order of a few rows of words: by the first, then ties alone by the next, and so on."""
     order = np.argsort(words[:, 0], kind="stable")
-    tied, group = np.arange(n), np.zeros(n, np.int64)  # places in the order whose rows are equal so far, and their group
+    tied, group = np.arange(len(words)), np.zeros(len(words), np.int64)  # places whose rows are equal so far, and their group
     for j in range(words.shape[1]):
         if j:
-            inner = np.lexsort((words[order[tied], j], group))
-            order[tied] = order[tied][inner]
+            order[tied] = order[tied][np.lexsort((words[order[tied], j], group))]
         key = words[order[tied], j]
-        new = np.r_[True, (key[1:] != key[:-1]) | (group[1:] != group[:-1])] if len(tied) else np.zeros(0, bool)
-        number = np.cumsum(new)
-        many = np.bincount(number, minlength=1)[number] > 1
+        number = np.cumsum(np.r_[True, (key[1:] != key[:-1]) | (group[1:] != group[:-1])])
+        many = np.bincount(number)[number] > 1
         tied, group = tied[many], number[many]
         if not len(tied):
             break
@@ -236,7 +263,7 @@ def _splitters(joined: DataFrame, config: SuffixConfig, buckets: int, n_bytes: i
         left = config.length - config.gram
         for batch in batches:
             for n, block in enumerate(each_block(batch)):
-                kept, _ = _same_around(suffixes_of(block, hit_codes(batch.column("hits")[n])[0], buckets, config))
+                kept, _ = _same_around(suffixes_of(block, hit_codes(batch.column("found")[n])[0], buckets, config))
                 chosen = kept[np.random.default_rng(block.block).permutation(len(kept))[:each]]
                 leading = np.ascontiguousarray(chosen["context"][:, left : left + config.leading]).tobytes()
                 yield binary_batch({"data": ([leading], pa.binary()), "n": ([len(kept)], pa.int64())})
@@ -247,35 +274,55 @@ def _splitters(joined: DataFrame, config: SuffixConfig, buckets: int, n_bytes: i
     return np.unique(leading[np.linspace(0, len(leading) - 1, ranges + 1).astype(int)[1:-1]]) if ranges > 1 and len(leading) else leading[:0]
 
 
-def _removed(config: SuffixConfig, with_text: bool):
+def _gone(block: Block, found: pa.ListScalar, config: SuffixConfig) -> np.ndarray:
+    """Which bytes of a block go, by the marks found for it."""
+    cover = np.zeros(len(block.data) + 1, np.int32)
+    for mark in found if found.is_valid else ():
+        marks = np.frombuffer(mark["data"].as_buffer(), _MARK)
+        for distance in range(config.length - config.gram + 1):
+            start = marks["position"][(marks["windows"] >> np.uint64(distance)) & np.uint64(1) > 0].astype(np.int64) - distance
+            np.add.at(cover, start, 1)
+            np.add.at(cover, start + config.length, -1)
+    return np.cumsum(cover[:-1]) > 0
+
+
+def _digests(config: SuffixConfig):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for n, block in enumerate(each_block(batch)):
-                cover = np.zeros(len(block.data) + 1, np.int32)
-                for mark in batch.column("marks")[n] if batch.column("marks")[n].is_valid else ():
-                    marks = np.frombuffer(mark.as_buffer(), _MARK)
-                    for distance in range(config.length - config.gram + 1):
-                        start = marks["position"][(marks["windows"] >> np.uint64(distance)) & np.uint64(1) > 0].astype(np.int64) - distance
-                        np.add.at(cover, start, 1)
-                        np.add.at(cover, start + config.length, -1)
-                gone = np.cumsum(cover[:-1]) > 0
-                rows = []
+                gone, rows = _gone(block, batch.column("found")[n], config), []
                 for doc_id, a, b in zip(block.doc_ids.tolist(), block.starts.tolist(), block.ends.tolist()):
                     own, data = gone[a:b], block.data[a:b]
                     begins = np.flatnonzero(own & np.r_[True, ~own[:-1]]) if len(own) else np.zeros(0, int)
-                    kept = data[~own].tobytes()
-                    row = (None if doc_id == NO_ID else doc_id, b - a, int(own.sum()), len(begins), hashlib.sha256(kept).hexdigest())
-                    if with_text:
-                        row += (_whole_characters(data, own) if row[2] else None,)
-                    rows.append(row)
-                names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"][: 5 + with_text]
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+                    rows.append((None if doc_id == NO_ID else doc_id, b - a, int(own.sum()), len(begins), hashlib.sha256(data[~own].tobytes()).hexdigest()))
+                names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
                 for at in range(0, len(rows), 4096):
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[at : at + 4096]), kinds)], names=names)
 
     return run
 
 
+def _texts(config: SuffixConfig):
+    """What is left of each document, with its further columns; about 1 MB of text in a batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for n, block in enumerate(each_block(batch)):
+                gone, rest = _gone(block, batch.column("found")[n], config), rest_of(batch.column("rest")[n])
+                start = 0
+                while start < len(block.ends):
+                    stop = max(start + 1, int(np.searchsorted(block.ends, block.starts[start] + (1 << 20))))
+                    kept, cut = [], []
+                    for a, b in zip(block.starts[start:stop].tolist(), block.ends[start:stop].tolist()):
+                        cut.append(bool(gone[a:b].any()))
+                        kept.append(_whole_characters(block.data[a:b], gone[a:b]) if cut[-1] else block.data[a:b].tobytes().decode(errors="replace"))
+                    yield pa.RecordBatch.from_arrays([rest.slice(start, stop - start), pa.array(kept, pa.string()), pa.array(cut, pa.bool_())], names=["rest", "kept_text", "cut"])
+                    start = stop
+
+    return run
+
+
 def _whole_characters(data: np.ndarray, gone: np.ndarray) -> str:
     """The text without the characters all of whose bytes are gone."""
     lead = (data & 0xC0) != 0x80
@@ -286,30 +333,40 @@ def _whole_characters(data: np.ndarray, gone: np.ndarray) -> str:
     return data[stays].tobytes().decode(errors="replace")
 
 
-def remove_repeats(docs: DataFrame, config: SuffixConfig = SuffixConfig(), with_text: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for each row of docs(doc_id, text), and kept_text if asked for.
+def _found(docs: DataFrame, config: SuffixConfig) -> DataFrame:
+    """The blocks of docs, each with its marks."""
+    blocks = pack_blocks(docs.withColumn("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))), config.blocks)
+    with scratch(docs.sparkSession):
+        buckets = blocks.screen_buckets(2 / (config.length - config.gram + 2))
+        hits = repeated_keys(blocks, lambda block: _keys(config, block), buckets)
+        joined = blocks.with_found(staged(hits))
+        splitters = _splitters(joined, config, buckets, blocks.n_bytes)
+        sent = joined.mapInArrow(_send(config, buckets, splitters), "range long, block long, data binary")
+        marks = lasting(sent.groupBy("range").applyInArrow(_compare(config), "block long, data binary"))
+    return blocks.with_found(marks, all_blocks=True)
+
+
+def remove_repeats(docs: DataFrame, config: SuffixConfig = SuffixConfig()) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for each row of docs(doc_id, text).
 
     Each byte goes that is covered by a window of `length` bytes which also starts in a row with a smaller doc_id.
-    kept_text keeps a character if any of its bytes stays; it is null where nothing goes. Null text is empty; a null doc_id comes after all others;
-    rows with the same doc_id take nothing from each other. Further columns are ignored; an empty table gives none.
+    Null text is empty; a null doc_id comes after all others; rows with the same doc_id take nothing from each
+    other. Further columns are ignored; an empty table gives none.
     """
-    blocks: Blocks = pack_blocks(docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text"), config.blocks)
-    buckets = blocks.screen_buckets(2 / (config.length - config.gram + 2))
-    hits = repeated_keys(blocks, lambda block: _keys(config, block), buckets)
-    joined = blocks.frame.join(staged(hits), "block")
-    splitters = _splitters(joined, config, buckets, blocks.n_bytes)
-    sent = joined.mapInArrow(_send(config, buckets, splitters), "range long, block long, data binary")
-    found = sent.groupBy("range").applyInArrow(_compare(config), "block long, data binary")
-    marks = found.groupBy("block").agg(F.collect_list("data").alias("marks"))
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * with_text
-    return blocks.frame.join(marks, "block", "left").mapInArrow(_removed(config, with_text), schema)
+    with scratch(docs.sparkSession):
+        found = _found(docs.select("doc_id", "text"), config)
+        return lasting(found.mapInArrow(_digests(config), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"))
 
 
 def without_repeats(docs: DataFrame, config: SuffixConfig = SuffixConfig()) -> DataFrame:
-    """docs with the text that is left, and n_chars (if there is one) of it; rows of whose text nothing is left go."""
-    found = remove_repeats(docs, config, with_text=True).where("n_removed > 0")
-    found = staged(found.select(F.col("doc_id").alias("cut_id"), F.col("kept_text").alias("cut_text")))
-    cut = docs.join(found, F.col("doc_id").cast("long") == F.col("cut_id"), "left")
-    text = F.coalesce("cut_text", "text")
-    columns = [text.alias(c) if c == "text" else F.when(F.col("cut_id").isNotNull(), F.char_length("cut_text").cast("long")).otherwise(F.col(c)).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
-    return cut.where("cut_id is null or cut_text <> ''").select(columns)
+    """docs with the text that is left (a character stays if any of its bytes does), and n_chars (if there is one) of
+    it where something went. Rows of whose text nothing is left go; null and empty texts stay as they are, repeated rows take
+    nothing from each other, and an empty table gives none. The further columns stay with the text in the blocks."""
+    rest = [c for c in docs.columns if c != "text"]
+    given = docs.select(F.struct(*(F.col(f"`{c}`") for c in rest), F.col("text").isNull().alias(_NO_TEXT)).alias("rest"), "doc_id", "text")
+    schema = StructType([StructField("rest", given.schema["rest"].dataType), StructField("kept_text", StringType()), StructField("cut", BooleanType())])
+    left = _found(given, config).mapInArrow(_texts(config), schema).where("not cut or kept_text <> ''")
+    own = lambda c: F.col("rest")[c]
+    text = F.when(~own(_NO_TEXT), F.col("kept_text"))
+    chars = lambda c: F.when(F.col("cut"), F.char_length("kept_text").cast("long")).otherwise(own(c))
+    return left.select(*(text.alias(c) if c == "text" else (chars(c) if c == "n_chars" else own(c)).alias(c) for c in docs.columns))
