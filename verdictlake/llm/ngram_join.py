@@ -9,8 +9,8 @@ members, which are verified.
 
 Links are only wanted for components, so a pair that is already connected needs no look. First members meet the first of
 their group, and each group the smallest group of its prefix shingles. Then, turn by turn, what is left of a
-group in a component (a cell) meets cells of other components: at each shingle the cells of smaller components look for
-partners among those of larger ones. A cell tries at most `tries` pairs in the first turn and `growth` times as many in each
+group in a component (a cell) meets cells of other components: at each shingle all cells but those of its largest
+component look for partners, among those of sizes that they can link with. A cell tries at most `tries` pairs in the first turn and `growth` times as many in each
 further one, taken from all that it could try by hash; those that a link has joined meanwhile are out. The turn in
 which no cell was held back has looked at every candidate pair of different components and is the last, so nothing is
 missed; a class of N near copies costs about N pairs, not N^2.
@@ -18,7 +18,6 @@ missed; a class of N near copies costs about N pairs, not N^2.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -39,8 +38,8 @@ class JoinConfig:
 
     words: int = 5
     percent: int = 75
-    tries: int = 4
-    growth: int = 8
+    tries: int = 2
+    growth: int = 16
     blocks: BlockConfig = field(default_factory=BlockConfig)
 
 
@@ -161,29 +160,35 @@ def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def _cells(index: DataFrame, members: DataFrame, labels: DataFrame, config: JoinConfig) -> tuple[DataFrame, DataFrame]:
-    """Of index(shingle, scale, own, group, n_shingles, left) the rows that can meet a row of another component, one for each cell,
-    with its size; and members(doc_id, group, n_shingles, component) with their place in their cell.
+    """Of index(shingle, group, n_shingles, left) the rows that can meet a row of another component, one for each cell, with its
+    size and the least and greatest size of partners; and members(doc_id, group, n_shingles, component) with their
+    place in their cell.
 
     Of a linked pair the smaller set has, by what is left at their first common shingle, room for partners of at least its own
-    size (it is `open`), and its size is in the range that the larger one has room for; rows for which their spot
-    (shingle and scale) has no such partner at all go."""
-    place = Window.partitionBy("group", "n_shingles", "component").orderBy("doc_id")
+    size (it is `open`), and its size is in the range that the larger one has room for; rows for which no other
+    component has such a partner at the shingle go."""
+    place = Window.partitionBy(*_CELL).orderBy("doc_id")
     placed = staged(members.join(labels, "doc_id").withColumn("place", F.row_number().over(place) - 1))
-    cells = placed.groupBy("group", "n_shingles", "component").agg(F.count("*").alias("size"))
+    cells = placed.groupBy(*_CELL).agg(F.count("*").alias("size"))
     n, percent = F.col("n_shingles"), config.percent
-    most = F.floor(F.col("left") * (100 + percent) / percent - n)  # size of the largest partner that there is room for
+    most = F.least(F.floor(F.col("left") * (100 + percent) / percent - n), F.floor(n * 100 / percent))
     at = index.join(cells, ["group", "n_shingles"]).withColumn("most", most).withColumn("open", F.col("most") >= n)
-    at = staged(at.withColumn("low", F.ceil(n * percent / 100)).withColumn("high", F.least("most", n)))
-    spot = ["shingle", "scale"]
-    small = at.groupBy(*spot).agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.min(F.when(F.col("open"), n)).alias("open_low"), F.max(F.when(F.col("open"), n)).alias("open_high")).where("c1 <> c2")
-    probes = (F.col("open_low") <= F.col("high")) & (F.col("open_high") >= F.col("low"))
-    at = at.join(small.drop("c1", "c2"), spot).withColumn("probes", F.coalesce(probes, F.lit(False))).drop("open_low", "open_high")
-    large = at.where("probes").groupBy(*spot).agg(F.min("n_shingles").alias("probe_low"), F.max("high").alias("probe_high"))
-    at = at.join(large, spot).where(F.col("probes") | (F.col("open") & (F.col("probe_low") <= F.col("most")) & (F.col("probe_high") >= n)))
-    at = staged(at.select(*spot, "own", "group", "n_shingles", "left", "component", "size"))
-    # rows of the scale below meet each other there
-    split = at.groupBy(*spot).agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.max("own").alias("own")).where("c1 <> c2 and own").select(*spot)
-    return staged(at.join(split, spot, "left_semi")), placed
+    at = staged(at.withColumn("least", F.ceil(n * percent / 100)).withColumn("high", F.least("most", n)))
+    sizes = at.groupBy("shingle", "component").agg(F.min(F.when(F.col("open"), n)).alias("open_low"), F.max(F.when(F.col("open"), n)).alias("open_high"))
+    probes = (F.col("open_low") <= F.col("high")) & (F.col("open_high") >= F.col("least"))
+    at = at.join(_elsewhere(sizes, "open_low", "open_high"), ["shingle", "component"]).withColumn("probes", F.coalesce(probes, F.lit(False)))
+    at = staged(at.drop("open_low", "open_high").where("probes or open"))
+    sizes = at.groupBy("shingle", "component").agg(F.min(F.when(F.col("probes"), n)).alias("probe_low"), F.max(F.when(F.col("probes"), F.col("high"))).alias("probe_high"))
+    wanted = F.col("open") & (F.col("probe_low") <= F.col("most")) & (F.col("probe_high") >= n)
+    at = at.join(_elsewhere(sizes, "probe_low", "probe_high"), ["shingle", "component"]).where(F.col("probes") | wanted)
+    return staged(at.select("shingle", *_CELL, "left", "size", "least", "most")), placed
+
+
+def _elsewhere(sizes: DataFrame, low: str, high: str) -> DataFrame:
+    """Of sizes(shingle, component, low, high) the least low and the greatest high of a shingle's other components."""
+    ways = [Window.partitionBy("shingle").orderBy(order).rowsBetween(Window.unboundedPreceding, -1) for order in (F.asc("component"), F.desc("component"))]
+    lows, highs = [F.min(low).over(w) for w in ways], [F.max(high).over(w) for w in ways]
+    return sizes.select("shingle", "component", F.least(*lows).alias(low), F.greatest(*highs).alias(high))
 
 
 _CELL = ["group", "n_shingles", "component"]
@@ -191,24 +196,32 @@ _CELL = ["group", "n_shingles", "component"]
 
 def _candidates(at: DataFrame, placed: DataFrame, tries: int, config: JoinConfig) -> tuple[DataFrame, bool]:
     """Pairs (x, y) of members of different components, at most about `tries` for each cell; and whether any was held back."""
-    # larger components come first at each shingle; a cell looks at those before its own component's
-    sizes = at.groupBy("shingle", "scale", "component").agg(F.count("*").alias("cells"))
-    before = Window.partitionBy("shingle", "scale").orderBy(F.desc("cells"), "component").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.withColumn("start", F.coalesce(F.sum("cells").over(before), F.lit(0))).drop("cells")
-    inner = Window.partitionBy("shingle", "scale", "component").orderBy("group", "n_shingles")
-    spots = staged(at.join(starts, ["shingle", "scale", "component"]).withColumn("spot", F.col("start") + F.row_number().over(inner) - 1))
-    turn = F.explode(F.sequence(F.lit(0).cast("long"), F.least("start", F.lit(tries)) - 1))
-    seekers = spots.where("start > 0").withColumn("turn", turn)
-    seekers = seekers.withColumn("spot", F.pmod(F.xxhash64("shingle", *_CELL) + F.col("turn"), F.col("start")))
-    others = spots.select("shingle", "scale", "spot", *(F.col(c).alias(f"o_{c}") for c in (*_CELL, "left", "size")))
-    met = seekers.drop("start", "turn").join(others, ["shingle", "scale", "spot"]).where(_can_link(F.col("n_shingles"), F.col("left"), F.col("o_n_shingles"), F.col("o_left"), config.percent))
+    # the cells of a shingle and a size stand in a row, one component after the other
+    spot = ["shingle", "n_shingles"]
+    counts = staged(at.groupBy(*spot, "component").agg(F.count("*").alias("own")))
+    before = Window.partitionBy(*spot).orderBy("component").rowsBetween(Window.unboundedPreceding, -1)
+    runs = staged(counts.withColumn("first", F.coalesce(F.sum("own").over(before), F.lit(0))))
+    inner = Window.partitionBy(*spot, "component").orderBy("group")
+    others = at.join(runs.drop("own"), [*spot, "component"]).withColumn("spot", F.col("first") + F.row_number().over(inner) - 1)
+    others = others.select("shingle", "spot", *(F.col(c).alias(f"o_{c}") for c in (*_CELL, "left", "size")))
+    # all cells but those of a shingle's largest component look for partners, in the rows of sizes that they can link with
+    largest = counts.groupBy("shingle", "component").agg(F.sum("own").alias("own")).groupBy("shingle").agg(F.max_by("component", F.struct("own", "component")).alias("largest"))
+    rows = runs.groupBy("shingle", F.col("n_shingles").alias("o_n_shingles")).agg(F.sum("own").alias("all"))
+    looks = at.join(largest, "shingle").where("component <> largest").join(rows, "shingle").where("o_n_shingles between least and most")
+    own = runs.select("shingle", F.col("n_shingles").alias("o_n_shingles"), "component", "first", "own")
+    looks = looks.join(own, ["shingle", "o_n_shingles", "component"], "left").na.fill(0, ["first", "own"]).withColumn("room", F.col("all") - F.col("own"))
+    looks = staged(looks.where("room > 0").drop("all", "largest", "least", "most"))
+    turn = F.explode(F.sequence(F.lit(0).cast("long"), F.least("room", F.lit(tries)) - 1))
+    seekers = looks.withColumn("turn", turn).withColumn("spot", F.pmod(F.xxhash64("shingle", *_CELL) + F.col("turn"), F.col("room")))
+    seekers = seekers.withColumn("spot", F.col("spot") + F.when(F.col("spot") >= F.col("first"), F.col("own")).otherwise(0)).drop("first", "own", "turn")
+    met = seekers.join(others, ["shingle", "o_n_shingles", "spot"]).where(_can_link(F.col("n_shingles"), F.col("left"), F.col("o_n_shingles"), F.col("o_left"), config.percent))
     pair = [*_CELL, *(f"o_{c}" for c in _CELL)]
     pairs = met.groupBy(*pair).agg(F.first("size").alias("size"), F.first("o_size").alias("o_size"))
     own = Window.partitionBy(*_CELL)
     pairs = pairs.withColumn("rank", F.row_number().over(own.orderBy(F.xxhash64(*pair)))).withColumn("n", F.count("*").over(own))
     pairs = pairs.withColumn("all", F.col("size") * F.col("o_size")).withColumn("share", F.ceil(F.lit(tries) / F.least("n", F.lit(tries))))
     pairs = staged(pairs)
-    held = not spots.where(F.col("start") > tries).isEmpty() or not pairs.where((F.col("rank") > tries) | (F.col("all") > F.col("share"))).isEmpty()
+    held = not looks.where(F.col("room") > tries).isEmpty() or not pairs.where((F.col("rank") > tries) | (F.col("all") > F.col("share"))).isEmpty()
     # expanded to members: pair number k of a cell pair is member k div o_size of the one and k mod o_size of the other
     k = F.explode(F.sequence(F.lit(0).cast("long"), F.least("all", "share") - 1))
     drawn = pairs.where(F.col("rank") <= tries).withColumn("k", k).withColumn("k", F.pmod(F.xxhash64(*pair) + F.col("k"), F.col("all")))
@@ -261,12 +274,9 @@ def _components_of(docs: DataFrame, config: JoinConfig) -> DataFrame:
     nodes = own.select("doc_id", F.col("doc_id").alias("component")).distinct()
     labels = _merged(staged(nodes), staged(_verified(tried, own, config)))
 
-    # sets that link differ by one scale at most, so each meets the others at its own and the next
-    scale = F.floor(F.log("n_shingles") / math.log(100 / config.percent) + 1e-9)
-    scales = F.explode(F.array(*(F.struct((scale + i).alias("scale"), F.lit(not i).alias("own")) for i in range(2))))
-    at, tries, held = index.withColumn("at", scales).select("*", "at.*"), config.tries, True
+    at, tries, held = index.join(first.select("shingle"), "shingle", "left_semi"), config.tries, True
     while held:
-        at, placed = _cells(at.select("shingle", "scale", "own", "group", "n_shingles", "left").distinct(), members, labels, config)
+        at, placed = _cells(at.select("shingle", "group", "n_shingles", "left").distinct(), members, labels, config)
         pairs, held = _candidates(at, placed, tries, config)
         pairs = staged(pairs.join(tried, ["x", "y"], "left_anti"))
         labels = _merged(labels, staged(_verified(pairs, own, config)))
