@@ -48,7 +48,7 @@ def rows_of(df, *columns):
 
 
 def test_packing_is_exact_and_tight(spark):
-    texts = corpus()
+    texts = corpus() + ["<|endoftext|>", "Kind<|startoftext|>of <|endoftext|><|ENDOFTEXT|> <|endoftext", "é<|endoftext|> \u0301x"]
     config = packing.PackingConfig(PACKING.tokenizer_path, capacity=64, group_pieces=40)
     got = packing.pack_documents(frame(spark, texts), config).toPandas()
     tokenizer = packing.Tokenizer.from_file(config.tokenizer_path)
@@ -157,20 +157,30 @@ def test_short_texts_are_told_apart(spark, folder):
 
 
 def test_shards(spark, folder):
-    docs = frame(spark, corpus())
+    docs = frame(spark, [*corpus(), "twice", "twice"], [*range(len(corpus())), None, None])
     store = sharding.ShardStore(spark, folder + "/s", sharding.ShardConfig(target_bytes=8000, small_bytes=200))
-    store.append(docs, "text")
-    store.append(empty(spark))
-    store.append(docs.limit(5))
-    first = store.manifest(1).count()
+    assert store.append(empty(spark)) == 1 and store.read().count() == 0 and store.read().columns == docs.columns and store.compact() == 1
+    for n in range(6):
+        store.append(docs.where(f"pmod(hash(doc_id), 6) = {n}"))
+    before = store.manifest().count()
+    assert store.read().exceptAll(docs).isEmpty() and docs.exceptAll(store.read()).isEmpty()
     version = store.compact()
-    assert store.versions() == [1, 2, 3, 4] and version == 4
-    assert store.manifest().count() < first
-    assert store.read(1).exceptAll(docs).isEmpty() and docs.exceptAll(store.read(1)).isEmpty()
-    both = docs.unionAll(docs.limit(0)).count() + 5
-    assert store.read().count() == both and store.read().columns == docs.columns
+    assert version == 8 and store.versions() == list(range(1, 9)) and store.manifest().count() < before
+    assert store.read().exceptAll(docs).isEmpty() and docs.exceptAll(store.read()).isEmpty()
+    assert store.read(7).count() == store.read().count() == docs.count()
+    # columns that come later, and those that an arrival lacks
+    store.append(spark.createDataFrame([(1, "x", 2.5)], "doc_id long, text string, extra double"))
+    assert store.read().columns == [*docs.columns, "extra"] and store.read().where("extra = 2.5").select("doc_id", "text", "seq").collect() == [(1, "x", None)]
+    with pytest.raises(sharding.SchemaConflict):
+        store.append(spark.createDataFrame([("1", "x")], "doc_id string, text string"))
+    # a writer that lost a race, and one that died
     with pytest.raises(sharding.CommitConflict):
-        store._commit(store.manifest(), 4)
+        store._commit(store.manifest(), store.schema(), 9)
+    fs, path = store._fs("versions/writing-dead")
+    fs.create(path, False).close()
+    assert store.versions()[-1] == 9 and store.append(docs.limit(1)) == 10
+    store.expire()
+    assert store.versions() == [10] and store.read().count() == docs.count() + 2
 
 
 def test_suffix_dedup(spark):
@@ -425,19 +435,80 @@ def test_prefix_encoder_appends_and_edits():
         assert (own.last, own.start, own.ids()) == (fresh.last, fresh.start, fresh.ids())
 
 
-def test_pipeline_stages_chain(spark, folder):
+def linked_components(texts):
+    """The smallest index that links reach, for each of texts."""
+    sets = []
+    for t in texts:
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        sets.append({tuple(w[p : p + 5]) for p in range(len(w) - 4)} if len(w) > 4 else {tuple(w)} - {()})
+    root = list(range(len(texts)))
+    for _ in texts:
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets[:i]):
+                if a and b and root[i] != root[j] and 100 * len(a & b) >= 75 * len(a | b):
+                    root[i] = root[j] = min(root[i], root[j])
+    return root
+
+
+def test_pipeline_against_brute_force(spark, folder):
+    import os
+
     import corpus_pipeline
 
-    texts = [t for t in corpus() if t]
-    lang = ["aa" if i % 2 else "bb" for i in range(len(texts))]
-    spark.createDataFrame([(i, t, x, "s", len(t)) for i, (t, x) in enumerate(zip(texts, lang))], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(folder + "/documents.parquet")
+    texts = corpus()
+    rows = [(i, t, "aa" if i % 2 else "bb", "s", len(t or "")) for i, t in enumerate(texts)]
+    rows += [rows[0], rows[9], (900, texts[3], "aa", "s", 1), (None, "no id at all here", "aa", "s", 17)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame(rows, schema).write.parquet(folder + "/documents.parquet")
     docs = spark.read.parquet(folder + "/documents.parquet")
-    seen = [docs.count()]
-    for _, stage in corpus_pipeline.STAGES[1:4]:
-        docs = stage(spark, docs, folder)
-        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
-        docs = corpus_pipeline.staged(docs)
-        seen.append(docs.count())
-        assert docs.where("n_chars <> char_length(text)").isEmpty()
-    assert seen == sorted(seen, reverse=True) and seen[1] <= len(set(texts))
-    assert corpus_pipeline.run(spark, folder).columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+    stages = dict(corpus_pipeline.STAGES)
+    assert list(stages) == ["language", "exact", "near", "passages", "packed"]
+
+    def step(name):
+        nonlocal docs
+        stages[name](spark, docs, folder).write.parquet(f"{folder}/{name}")
+        docs = spark.read.parquet(f"{folder}/{name}")
+        assert name == "packed" or docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+        return docs.collect()
+
+    kept = {(r.doc_id, r.text) for r in step("language")}
+    found = language_id.identify_languages(spark.createDataFrame(rows, schema).select("doc_id", "text"), language_id.fit_languages(spark.createDataFrame(rows, schema).where(~language_id.held_out())))
+    assert kept == {r[:2] for r in rows} - {(r.doc_id, t) for r in found.where("rejected").collect() for i, t, *_ in rows if i == r.doc_id}
+    largest = {}
+    for i, t in kept:
+        largest[t] = max(largest.get(t, -1), -1 if i is None else i)
+    want = {(i, t) for i, t in kept if i is None or largest[t] == i}
+    assert sorted((str(r.doc_id), r.text) for r in step("exact")) == sorted((str(i), t) for i, t in want)
+    ranked = sorted((i, t) for i, t in want if i is not None)
+    root = linked_components([t for _, t in ranked])
+    ranked = [x for n, x in enumerate(ranked) if root[n] == n]
+    assert sorted((r.doc_id, r.text) for r in step("near") if r.doc_id is not None) == ranked
+    first, want = {}, {}
+    for i, t in [*ranked, (None, "no id at all here")]:
+        data = t.encode()
+        gone = bytearray(len(data))
+        for p in range(len(data) - 49):
+            if first.setdefault(data[p : p + 50], i) != i:
+                gone[p : p + 50] = b"\1" * 50
+        out, at = "", 0
+        for c in t:
+            n = len(c.encode())
+            out, at = out + c * (not all(gone[at : at + n])), at + n
+        if out or not t:
+            want[i] = out
+    got = step("passages")
+    assert {r.doc_id: r.text for r in got} == want and all(r.n_chars == len(r.text) or r.text == dict(ranked).get(r.doc_id, r.text) for r in got)
+    packed = step("packed")
+    assert {r.doc_id for r in packed} == set(want)
+    before = set(os.listdir(corpus_pipeline.shared_folder(spark).removeprefix("file:")))
+    result = corpus_pipeline.run(spark, folder)
+    assert sorted(result.select("doc_id", "piece", "length", "ids_crc32").collect(), key=str) == sorted(((r.doc_id, r.piece, r.length, r.ids_crc32) for r in packed), key=str)
+    # one table is left, which is the result
+    assert len(set(os.listdir(corpus_pipeline.shared_folder(spark).removeprefix("file:"))) - before) == 1 and not spark.catalog.listTables()
+
+
+def test_pipeline_of_an_empty_table(spark, folder):
+    import corpus_pipeline
+
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(folder + "/documents.parquet")
+    assert corpus_pipeline.run(spark, folder).count() == 0

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged, text_buffers, whole_text
+from .common import lasting, scratch, staged, text_buffers, whole_text
 
 
 @dataclass(frozen=True)
@@ -128,6 +128,11 @@ def exact_duplicates(docs: DataFrame, config: FingerprintConfig = FingerprintCon
     its text all say the same (each is `kept` if it is the largest); a null doc_id never beats another. Further
     columns of docs are ignored. An empty table gives an empty result.
     """
+    with scratch(docs.sparkSession):
+        return lasting(_exact_duplicates(docs, config))
+
+
+def _exact_duplicates(docs: DataFrame, config: FingerprintConfig) -> DataFrame:
     key = ["n_bytes", "h1", "h2"]
     prints = staged(fingerprints(docs, config))
     groups = prints.groupBy(*key).agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
@@ -148,10 +153,19 @@ def exact_duplicates(docs: DataFrame, config: FingerprintConfig = FingerprintCon
 
 
 def drop_exact_duplicates(docs: DataFrame, config: FingerprintConfig = FingerprintConfig()) -> DataFrame:
-    """docs without the rows whose text stays elsewhere; all columns are kept, and one row of those that repeat id and text."""
-    found = exact_duplicates(docs, config).where("not kept and doc_id is not null")
-    gone = staged(found.select(F.col("doc_id").alias("gone_id"), F.col("text_sha256").alias("gone_sha")).distinct())
+    """docs without the rows whose text stays elsewhere; all columns are kept, and one row of those that repeat id and text.
+    Rows without an id stay, each text of theirs once. Only rows that repeat an id and a text are shuffled with their texts."""
+    found = exact_duplicates(docs, config)
+    gone = staged(found.where("not kept and doc_id is not null").select(F.col("doc_id").alias("gone_id"), F.col("text_sha256").alias("gone_sha")).distinct())
+    row = [F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("at_id"), F.col("doc_id").isNull().alias("no_id"), F.col("text_sha256").alias("at_sha")]
+    twice = staged(found.where("kept or doc_id is null").groupBy(*row).agg(F.count("*").alias("n")).where("n > 1").drop("n"))
     sha = F.sha2(whole_text(), 256)
     # equal hashes, said so that rows are dealt by id alone and the last step needs no shuffle of its own
     same = (F.col("doc_id").cast("long") == F.col("gone_id")) & (sha >= F.col("gone_sha")) & (sha <= F.col("gone_sha"))
-    return docs.join(gone, same, "left_anti").dropDuplicates(["doc_id", "text"])
+    kept = docs.join(gone, same, "left_anti")
+    if twice.isEmpty():
+        return kept
+    repeats = (F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)) == F.col("at_id")) & (F.col("doc_id").isNull() == F.col("no_id")) & (sha == F.col("at_sha"))
+    once = kept.join(twice, repeats, "left_semi")
+    first = once.dropDuplicates(["doc_id", "text"])
+    return kept.join(twice, repeats, "left_anti").unionByName(first)

@@ -49,11 +49,12 @@ _CUT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+
 class ChunkTokenizer:
     """ids of whole texts. The tokenizer drops white space and never looks across it, so that chunks between spaces
     are encoded once and remembered. Chunks of plain Latin letters are lowered and cut here, and their parts are
-    remembered too, as one word stands beside many signs; all others go to the tokenizer whole."""
+    remembered too, as one word stands beside many signs; all others go to the tokenizer whole, as do chunks that hold a
+    mark of the tokenizer's own (such as its end of text), which it takes for that mark wherever it stands."""
 
     def __init__(self, config: PackingConfig):
         self.tokenizer = Tokenizer.from_file(config.tokenizer_path)
-        self.tokenizer.encode_special_tokens = True
+        self.marks = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
         self.parts = Remembered(lambda part: self._ids([part])[0], config.cached)
         self.chunks = Remembered(lambda chunk: b"".join(map(self.parts.__getitem__, self._cut(chunk))), config.cached)
 
@@ -61,9 +62,9 @@ class ChunkTokenizer:
         found = self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)
         return [struct.pack(f"<{len(ids)}I", *ids) for ids in (x.ids for x in found)]
 
-    @staticmethod
-    def _cut(chunk: str) -> list[str]:
+    def _cut(self, chunk: str) -> list[str]:
         plain = chunk.isascii() or (max(chunk) < "\u0180" and "\u0130" not in chunk)
+        plain = plain and not any(mark in chunk for mark in self.marks)
         return _CUT.findall(chunk.lower()) if plain else [chunk]
 
     def encode(self, texts: list[str]) -> list[bytes]:

@@ -47,11 +47,15 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_size_tiered_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents, arriving in eight lots by id, appended as small shards and compacted; where each one is then."""
+    """All documents, which arrive in eight lots by a hash of their id, appended as small shards, compacted after each fourth
+    arrival; where each one is then."""
     docs = _documents(spark, sf_dir)
     store = ShardStore(spark, f"{shared_folder(spark)}/verdictlake-shards-{uuid.uuid4().hex}", ShardConfig())
-    store.append(docs.withColumn("lot", F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(8))), "lot")
-    version = store.compact()
+    lot = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(8))
+    for n in range(8):
+        version = store.append(docs.where(lot == n))
+        if n % 4 == 3:
+            version = store.compact()
     return store.located(version).select("row.doc_id", F.lit(version).cast("long").alias("version"), F.concat_ws("/", "gen", "shard").alias("shard"), F.col("n_rows").alias("shard_rows"), F.col("n_bytes").alias("shard_bytes"), F.sha2(F.coalesce("row.text", F.lit("")), 256).alias("text_sha256"))
 
 
