@@ -8,10 +8,10 @@ group pairs that share a prefix shingle are filtered by size and by what is left
 members, which are verified.
 
 Links are only wanted for components, so a pair that is already connected needs no look. First members meet the first of
-their group, and each group the smallest group of its prefix shingles. Then, turn by turn, what is left of a
+their group, and each group the most central group of its prefix shingles. Then, turn by turn, what is left of a
 group in a component (a cell) meets cells of other components: at each shingle all cells but those of its largest
 component look for partners, among those of sizes that they can link with. A cell tries at most `tries` pairs in the first turn and `growth` times as many in each
-further one, taken from all that it could try by hash; those that a link has joined meanwhile are out. The turn in
+further one, taken from all that it could try by hash, those with the most shingles left first; those that a link has joined meanwhile are out. The turn in
 which no cell was held back has looked at every candidate pair of different components and is the last, so nothing is
 missed; a class of N near copies costs about N pairs, not N^2.
 """
@@ -38,8 +38,8 @@ class JoinConfig:
 
     words: int = 5
     percent: int = 75
-    tries: int = 2
-    growth: int = 16
+    tries: int = 4
+    growth: int = 8
     blocks: BlockConfig = field(default_factory=BlockConfig)
 
 
@@ -216,9 +216,9 @@ def _candidates(at: DataFrame, placed: DataFrame, tries: int, config: JoinConfig
     seekers = seekers.withColumn("spot", F.col("spot") + F.when(F.col("spot") >= F.col("first"), F.col("own")).otherwise(0)).drop("first", "own", "turn")
     met = seekers.join(others, ["shingle", "o_n_shingles", "spot"]).where(_can_link(F.col("n_shingles"), F.col("left"), F.col("o_n_shingles"), F.col("o_left"), config.percent))
     pair = [*_CELL, *(f"o_{c}" for c in _CELL)]
-    pairs = met.groupBy(*pair).agg(F.first("size").alias("size"), F.first("o_size").alias("o_size"))
+    pairs = met.groupBy(*pair).agg(F.first("size").alias("size"), F.first("o_size").alias("o_size"), F.max(F.col("o_left") / F.col("o_n_shingles")).alias("near"))
     own = Window.partitionBy(*_CELL)
-    pairs = pairs.withColumn("rank", F.row_number().over(own.orderBy(F.xxhash64(*pair)))).withColumn("n", F.count("*").over(own))
+    pairs = pairs.withColumn("rank", F.row_number().over(own.orderBy(F.desc("near"), F.xxhash64(*pair)))).withColumn("n", F.count("*").over(own))
     pairs = pairs.withColumn("all", F.col("size") * F.col("o_size")).withColumn("share", F.ceil(F.lit(tries) / F.least("n", F.lit(tries))))
     pairs = staged(pairs)
     held = not looks.where(F.col("room") > tries).isEmpty() or not pairs.where((F.col("rank") > tries) | (F.col("all") > F.col("share"))).isEmpty()
@@ -263,13 +263,14 @@ def _components_of(docs: DataFrame, config: JoinConfig) -> DataFrame:
     groups = staged(groups)
     left = F.col("n_shingles") - F.col("unshared") - F.col("place")  # shingles from this one to the end
     index = groups.select("leader", "group", "n_shingles", "unshared", F.posexplode("prefix").alias("place", "shingle"))
-    index = staged(index.select("shingle", "leader", "group", "n_shingles", left.alias("left")))
+    index = staged(index.select("shingle", "leader", "group", "n_shingles", left.alias("left"), (F.col("unshared") / F.col("n_shingles")).alias("apart")))
 
-    # members meet the first of their group; groups the smallest group of their shingles
+    # members meet the first of their group; groups the most central one of their shingles: that with the least share of
+    # shingles that no one else has, which the most others are like
     inside = prefixes.join(groups.where("members > 1").select("group", "n_shingles", "leader"), ["group", "n_shingles"]).where("doc_id <> leader").select(F.col("leader").alias("x"), F.col("doc_id").alias("y"))
-    first = index.groupBy("shingle").agg(F.min(F.struct("leader", "n_shingles", "left")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    meets = index.join(first, "shingle").where((F.col("first.leader") < F.col("leader")) & _can_link(F.col("n_shingles"), F.col("left"), F.col("first.n_shingles"), F.col("first.left"), config.percent))
-    meets = meets.groupBy("leader").agg(F.min("first.leader").alias("x")).select("x", F.col("leader").alias("y"))
+    first = index.groupBy("shingle").agg(F.min(F.struct("apart", "leader", "n_shingles", "left")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    meets = index.join(first, "shingle").where((F.col("first.leader") != F.col("leader")) & _can_link(F.col("n_shingles"), F.col("left"), F.col("first.n_shingles"), F.col("first.left"), config.percent))
+    meets = meets.groupBy("leader").agg(F.min("first").alias("first")).select(F.least("leader", "first.leader").alias("x"), F.greatest("leader", "first.leader").alias("y"))
     tried = staged(inside.unionByName(meets).distinct())
     nodes = own.select("doc_id", F.col("doc_id").alias("component")).distinct()
     labels = _merged(staged(nodes), staged(_verified(tried, own, config)))
