@@ -158,6 +158,34 @@ def test_dawid_skene_keeps_tie_items(spark):
     assert (got["f"].n_labels, got["f"].accuracy) == (0, 0.5)
 
 
+@pytest.mark.parametrize("symmetric", [True, False])
+def test_dawid_skene_over_patterns_equals_a_fit_over_items(symmetric):
+    rng = np.random.default_rng(1)
+    items = [tuple(sorted((w, int(rng.random() < 0.7)) for w in rng.choice(4, 3, replace=False))) for _ in range(80)] + [()] * 3
+    patterns = sorted(set(items))
+    rows = [(k, w, x) for k, p in enumerate(patterns) for w, x in p]
+    got, _, rests = dawid_skene.fit_patterns(np.array([items.count(p) for p in patterns]), *np.array(rows).T, 4, symmetric, tol=1e-13)
+    # the same model item by item, in plain loops
+    q = [sum(x for _, x in i) / len(i) if i else 0.5 for i in items]
+    for _ in range(400):
+        prior = [(sum(1 - x for x in q) + 0.5) / (len(q) + 1), (sum(q) + 0.5) / (len(q) + 1)]
+        chance = np.zeros((4, 2, 2))
+        for w in range(4):
+            seen = np.zeros((2, 2))
+            for i, x in zip(items, q):
+                for v, own in i:
+                    if v == w:
+                        seen[own] += [1 - x, x]
+            if symmetric:
+                right = (seen[0, 0] + seen[1, 1] + 0.5) / (seen.sum() + 1)
+                chance[w] = [[right, 1 - right], [1 - right, right]]
+            else:
+                chance[w] = (seen + 0.5) / (seen.sum(axis=0) + 1)
+        like = [[prior[k] * np.prod([chance[w, x, k] for w, x in i]) for k in (0, 1)] for i in items]
+        q = [b / (a + b) for a, b in like]
+    assert rests and np.allclose(got, chance, atol=1e-5)
+
+
 def test_votes_reasons_and_rows(spark):
     rows = [("a", "p", "x", "y", "left"), ("b", "p", "x", "y", "left"), ("c", "p", "x", "y", "right"), ("d", "p", "x", "y", "tie"), ("e", "p", "x", "y", "skip"), ("a", "q", "x", "y", "left"), ("b", "q", "x", "y", "right"), ("a", "r", "x", "y", "skip")]
     votes = export.votes_per_pair(judgments(spark, rows))

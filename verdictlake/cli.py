@@ -2,7 +2,6 @@
 
     python -m verdictlake.cli rank|checks|audit|stats|export FOLDER [options]
     python -m verdictlake.cli init|import|dump|info STORE [FILE]
-    python -m verdictlake.cli simulate OUT [--seed N]
 """
 
 from __future__ import annotations
@@ -10,11 +9,10 @@ from __future__ import annotations
 import argparse
 import json
 import sys
-from dataclasses import replace
 
 from pyspark.sql import DataFrame
 
-from .operators import audit, comparisons, export, ranking, simulate
+from .operators import audit, comparisons, export, ranking
 from .session import get_session
 from .sources.driver_tables import PreferenceTables
 from .sources.records import RecordError, read_records
@@ -35,21 +33,10 @@ def table(rows: DataFrame, order: list[str], as_json: bool) -> str:
     return "\n".join("  ".join(c.ljust(w) for c, w in zip(row, widths)).rstrip() for row in cells)
 
 
-def parse_roster(text: str) -> dict[str, int]:
-    """name=count,... as a roster."""
-    out = {}
-    for part in text.split(","):
-        name, eq, count = part.partition("=")
-        if not eq or name not in simulate.PROFILES or not count.isdigit():
-            raise ValueError(f"bad roster entry {part!r}")
-        out[name] = int(count)
-    return out
-
-
 def _parser() -> argparse.ArgumentParser:
     parser = argparse.ArgumentParser(prog="verdictlake", description=__doc__, formatter_class=argparse.RawDescriptionHelpFormatter)
     commands = parser.add_subparsers(dest="command", required=True)
-    for name in ("rank", "checks", "audit", "stats", "export", "init", "import", "dump", "info", "simulate"):
+    for name in ("rank", "checks", "audit", "stats", "export", "init", "import", "dump", "info"):
         p = commands.add_parser(name)
         p.add_argument("folder")
         p.add_argument("--json", action="store_true")
@@ -71,9 +58,6 @@ def _parser() -> argparse.ArgumentParser:
             p.add_argument("--keep-ties", action="store_true")
         if name == "import":
             p.add_argument("file")
-        if name == "simulate":
-            p.add_argument("--seed", type=int, default=0)
-            p.add_argument("--roster", type=parse_roster)
     return parser
 
 
@@ -98,13 +82,6 @@ def run(argv: list[str]) -> int:
         else:
             say(table(store.counts(), ["kind"], args.json))
         return 0
-    if args.command == "simulate":
-        config = simulate.SimulationConfig(seed=args.seed)
-        sim = simulate.Simulation(spark, replace(config, roster=args.roster) if args.roster else config)
-        for name in ("prompts", "responses", "annotators", "sessions", "gold_pairs", "judgments", "ranked"):
-            getattr(sim, name).write.parquet(f"{args.folder}/{name}")
-        say(json.dumps(sim.truth, indent=2, sort_keys=True))
-        return 0
     t = PreferenceTables(spark, args.folder)
     _check_known(t.judgments, args.exclude)
     if args.command == "stats":

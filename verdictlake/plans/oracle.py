@@ -33,7 +33,7 @@ j AS (
   SELECT t.*, CASE WHEN g.a_id IS NOT NULL THEN 'gold' WHEN turn = 1 THEN 'regular' ELSE 'control' END AS kind,
          CASE WHEN choice = 'tie' THEN 'tie' WHEN choice = 'skip' THEN NULL WHEN (choice = 'left') = (l < r) THEN 'a_wins' ELSE 'b_wins' END AS label
   FROM turns t LEFT JOIN gold g USING (prompt_id, a_id, b_id)
-  WHERE turn = 1 OR (turn = 2 AND g.a_id IS NULL)),
+  WHERE turn = 1 OR g.a_id IS NULL),
 resp AS (
   SELECT 'r' || lpad(doc_id::VARCHAR, 7, '0') AS id, 'p' || lpad((doc_id % 40 + 1)::VARCHAR, 4, '0') AS prompt_id,
          'model-' || chr((97 + (doc_id // 40) % 6)::INT) AS model, text, doc_id FROM documents),

@@ -116,13 +116,14 @@ class PreferenceTables:
 
     @cached_property
     def judgments(self) -> DataFrame:
-        """id, seq, session_id, annotator_id, prompt_id, left/right_response_id, choice, pair_kind, repeat_of."""
+        """id, seq, session_id, annotator_id, prompt_id, left/right_response_id, choice, pair_kind, repeat_of. Every event is
+        one, but for later ones on a gold pair by the same annotator; a later one on another pair is a control of the one before."""
         rows = self._placed.select("seq", "annotator_id", "prompt_id", padded("r", F.col("left_doc"), 7).alias("left_response_id"), padded("r", F.col("right_doc"), 7).alias("right_response_id"), "choice")
         rows = rows.withColumns({"id": padded("j", F.col("seq"), 9), "a_id": F.least("left_response_id", "right_response_id"), "b_id": F.greatest("left_response_id", "right_response_id")})
         same = Window.partitionBy("annotator_id", "prompt_id", "a_id", "b_id").orderBy("seq")
         rows = rows.withColumns({"turn": F.row_number().over(same), "before": F.lag("id").over(same)})
         gold = self.gold_pairs.select("prompt_id", F.least("better_response_id", "worse_response_id").alias("a_id"), F.greatest("better_response_id", "worse_response_id").alias("b_id"), F.lit(True).alias("is_gold"))
-        rows = rows.where("turn <= 2").join(gold, ["prompt_id", "a_id", "b_id"], "left")
+        rows = rows.join(gold, ["prompt_id", "a_id", "b_id"], "left")
         kind = F.when(F.col("is_gold"), F.when(F.col("turn") == 1, "gold")).otherwise(F.when(F.col("turn") == 1, "regular").otherwise("control"))
         rows = rows.withColumn("pair_kind", kind).where("pair_kind is not null")
         return rows.select(
