@@ -10,6 +10,7 @@ import pytest
 import __spark_entry__ as entry
 from verdictlake.operators import audit, comparisons, ranking
 from verdictlake.plans import catalog
+from verdictlake.sources import validation
 from verdictlake.sources.records import RecordError, read_records
 from verdictlake.sources.store import Store, StoreError
 from verdictlake.streaming import incremental
@@ -122,5 +123,60 @@ def test_command_line(spark, capsys):
     assert "judgments" in capsys.readouterr().out
     with pytest.raises(ValueError, match="no judgments"):
         cli.run(["rank", entry.SMOKE_DIR, "-x", "nobody"])
-    with pytest.raises(ValueError):
-        cli.parse_roster("reliable=x")
+
+
+def _judged(n, left, right, choice, **more):
+    return {**REST[2], "id": f"j{n}", "left_response_id": left, "right_response_id": right, "choice": choice, **more}
+
+
+def test_references_are_checked(spark, folder):
+    store = Store(spark, folder + "/s")
+    store.add(read_records(spark, write(folder, [PROMPT, *REST], "a.jsonl")))
+    lost = [
+        _judged(2, "r1", "r9", "left"),
+        _judged(3, "r1", "r2", "left", session_id="s9"),
+        _judged(4, "r2", "r1", "left", pair_kind="control", repeat_of="j8"),
+        {"type": "gold", "id": "g1", "prompt_id": "p2", "better_response_id": "r1", "worse_response_id": "r2"},
+    ]
+    found = read_records(spark, write(folder, lost, "lost.jsonl"))
+    new = {kind: found[kind] for kind in ("gold", "pairwise")}
+    known = {kind: store.table(kind).unionByName(rows) for kind, rows in found.items()}
+    rules = {(r["id"], r["rule"].split(":")[0]) for r in validation.dangling(new, known).collect()}
+    assert rules == {("j2", "prompt_id, right_response_id"), ("j3", "session_id, annotator_id"), ("j4", "repeat_of, annotator_id, prompt_id, pair"), ("g1", "prompt_id, better_response_id"), ("g1", "prompt_id, worse_response_id")}
+    with pytest.raises(StoreError, match="g1: prompt_id"):
+        store.add(found)
+    ring = [_judged(5, "r1", "r2", "left", pair_kind="control", repeat_of="j6"), _judged(6, "r2", "r1", "left", pair_kind="control", repeat_of="j5")]
+    with pytest.raises(StoreError, match="j5: repeats itself"):
+        store.add(read_records(spark, write(folder, ring, "ring.jsonl")))
+    chain = [_judged(7, "r1", "r2", "left", pair_kind="control", repeat_of="j8"), _judged(8, "r2", "r1", "left", pair_kind="control", repeat_of="j1")]
+    assert store.add(read_records(spark, write(folder, chain, "chain.jsonl"))).total_added == 2
+    assert store.table("pairwise").count() == 3 and not [f for f in os.listdir(folder + "/s") if f.startswith("_checks")]
+    assert [r["id"] for r in store.ordered("pairwise").collect()] == ["j1", "j7", "j8"]
+
+
+def test_reports_over_a_store(spark, folder, capsys):
+    from verdictlake import cli
+
+    root = folder + "/s"
+    records = [PROMPT, *REST[:2], *(_judged(n, "r1", "r2", "left" if n % 4 else "right") for n in range(8))]
+    assert cli.run(["import", root, write(folder, records)]) == 0
+    store = Store(spark, root)
+    truth = {"strengths": {"m": 0.0, "n": 1.0}}
+    store.save_truth(truth)
+    store.save_truth(truth)
+    with pytest.raises(StoreError, match="another truth"):
+        store.save_truth({})
+    capsys.readouterr()
+    assert cli.run(["stats", root, "--json"]) == 0
+    assert {r["name"]: r["value"] for r in json.loads(capsys.readouterr().out)}["judgments"] == 8
+    assert cli.run(["rank", root, "--json", "--replicates", "5"]) == 0
+    assert [(r["item"], r["true_rank"]) for r in json.loads(capsys.readouterr().out)] == [("m", 2), ("n", 1)]
+    assert cli.run(["export", root, "--out", folder + "/out", "--no-audit"]) == 0
+    with open(folder + "/out/card.json") as f:
+        card = json.load(f)
+    assert card["summary"]["n_kept"] == 1 and card["dropped"] == {"no_votes": 0, "too_few_votes": 0, "tie": 0, "low_agreement": 0}
+    assert sum(r["n_pairs"] for r in card["splits"]) == 1 and card["provenance"] == [{"model": "m", "source": "model", "n": 1}, {"model": "n", "source": "model", "n": 1}]
+    assert "| Left out" not in open(folder + "/out/card.md").read() and os.path.isdir(folder + "/out/dpo")
+    assert cli.run(["export", root, "--out", folder + "/none", "--no-audit", "-x", "a1"]) == 0
+    with open(folder + "/none/card.json") as f:
+        assert (json.load(f)["left_out"]) == {"a1": "left out by name"}

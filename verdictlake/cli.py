@@ -14,10 +14,12 @@ from pyspark.sql import DataFrame
 
 from .operators import audit, comparisons, export, ranking
 from .session import get_session
+from .sources.card import card, markdown, write_card
 from .sources.driver_tables import PreferenceTables
 from .sources.records import RecordError, read_records
 from .sources.split_files import write_splits
 from .sources.store import Store, StoreError
+from .sources.stored import StoreTables
 
 
 def table(rows: DataFrame, order: list[str], as_json: bool) -> str:
@@ -82,14 +84,18 @@ def run(argv: list[str]) -> int:
         else:
             say(table(store.counts(), ["kind"], args.json))
         return 0
-    t = PreferenceTables(spark, args.folder)
+    store = Store(spark, args.folder) if Store.is_store(spark, args.folder) else None
+    t = StoreTables(store) if store else PreferenceTables(spark, args.folder)
+    truth = (store.truth() if store else None) or {}
     _check_known(t.judgments, args.exclude)
     if args.command == "stats":
         say(table(audit.summary(t), ["name"], args.json))
     elif args.command == "rank":
         models = t.responses.select("id", "model") if args.level == "model" else None
         played = comparisons.games(t.judgments, models, excluded=args.exclude)
-        say(table(ranking.rank_rows(played, config=ranking.BootstrapConfig(args.replicates, seed=args.seed), method=args.method), ["place"], args.json))
+        known = [(k, float(v)) for k, v in truth.get("strengths", {}).items()]
+        true = spark.createDataFrame(known, "item string, strength double") if known else None
+        say(table(ranking.rank_rows(played, true, ranking.BootstrapConfig(args.replicates, seed=args.seed), method=args.method), ["place"], args.json))
     elif args.command == "checks":
         found = audit.checks(t.judgments, t.responses, t.gold_pairs)
         for name in ("position", "length", "consistency"):
@@ -99,14 +105,16 @@ def run(argv: list[str]) -> int:
         say(table(found, ["annotator_id"], args.json))
         return int(args.strict and not found.where("flagged").isEmpty())
     elif args.command == "export":
-        out = list(args.exclude)
+        why = {a: ["left out by name"] for a in args.exclude}
         if not args.no_audit:
-            out += [r[0] for r in audit.verdicts(t.judgments, t.responses, t.gold_pairs).where("flagged").select("annotator_id").collect()]
-        config = export.FilterConfig(args.min_votes, args.min_agreement, not args.keep_ties, sorted(set(out)))
+            for r in audit.verdicts(t.judgments, t.responses, t.gold_pairs).where("flagged").collect():
+                why.setdefault(r["annotator_id"], []).extend(r["reasons"])
+        config = export.FilterConfig(args.min_votes, args.min_agreement, not args.keep_ties, sorted(why))
         decided = export.decisions(export.votes_per_pair(t.judgments, config), config)
         write_splits(export.ROWS[args.format](decided, t.prompts, t.responses), f"{args.out}/{args.format}")
-        say(table(export.card_summary(decided, t.judgments), ["n_pairs"], args.json))
-        say(table(export.card_splits(decided), ["split"], args.json))
+        found = card(decided, t.judgments, t.responses, config, left_out={a: "; ".join(r) for a, r in why.items()})
+        write_card(spark, found, args.out)
+        say(json.dumps(found, indent=2, sort_keys=True) if args.json else markdown(found))
     return 0
 
 

@@ -12,8 +12,9 @@ from ..operators.export import SPLITS
 
 
 def write_splits(rows: DataFrame, path: str) -> None:
-    """JSON lines by split, written by the executors."""
-    rows.repartition("split").sortWithinPartitions(*[c for c in ("prompt_id", "a_id", "b_id", "response_id") if c in rows.columns]).write.partitionBy("split").json(path)
+    """JSON lines by split, written by the executors: ranges of splits and prompts, so a split is as many tasks as it needs."""
+    order = [c for c in ("split", "prompt_id", "a_id", "b_id", "response_id") if c in rows.columns]
+    rows.repartitionByRange("split", "prompt_id").sortWithinPartitions(*order).write.partitionBy("split").json(path)
 
 
 def write_stable_files(rows: DataFrame, folder: str, order: list[str], fields: list[str]) -> dict[str, str]:

@@ -6,6 +6,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from dataclasses import dataclass
 
@@ -13,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .records import FIELDS, names, schema_of
+from .validation import cyclic, dangling
 
 SCHEMA_VERSION = 1
 
@@ -38,8 +40,8 @@ class Store:
         self.spark, self.root = spark, root.rstrip("/")
         fs, path = self._fs("_schema_version")
         if fs.exists(path):
-            text = spark.read.text(f"{self.root}/_schema_version").first()
-            if not text or not text[0].isdigit() or int(text[0]) > SCHEMA_VERSION:
+            text = self._text("_schema_version")
+            if not text.isdigit() or int(text) > SCHEMA_VERSION:
                 raise StoreError(f"{self.root} has a schema that this version does not know")
         else:
             top = self._fs("")
@@ -57,6 +59,15 @@ class Store:
         out.write(bytearray(text.encode()))
         out.close()
 
+    def _text(self, name: str) -> str:
+        """A small file. Spark's readers pass over names that begin with an underscore."""
+        fs, path = self._fs(name)
+        stream = fs.open(path)
+        try:
+            return self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+
     def _imports(self) -> list[str]:
         fs, path = self._fs("_imports")
         return sorted(x.getPath().getName() for x in fs.listStatus(path)) if fs.exists(path) else []
@@ -83,8 +94,56 @@ class Store:
             out = rows if out is None else out.unionByName(rows)
         return out
 
+    @staticmethod
+    def is_store(spark: SparkSession, root: str) -> bool:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/_schema_version")
+        return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+    def ordered(self, kind: str) -> DataFrame:
+        """All records of a kind, ordered by all of their columns."""
+        return self.table(kind).select(*names(kind)).orderBy(*names(kind))
+
+    def save_truth(self, truth: dict) -> None:
+        """What a simulation knows, e.g. {"strengths": {item: x}, "archetypes": {annotator: name}}. The same again changes
+        nothing; another one is refused."""
+        there = self.truth()
+        if there is None:
+            self._create("_truth", json.dumps(truth, sort_keys=True))
+        elif there != json.loads(json.dumps(truth)):
+            raise StoreError("the store has another truth")
+
+    def truth(self) -> dict | None:
+        fs, path = self._fs("_truth")
+        if not fs.exists(path):
+            return None
+        return json.loads(self._text("_truth"))
+
+    def _check(self, key: str, fresh: dict[str, DataFrame]) -> None:
+        """Refuses fresh records that refer to nothing, and controls that repeat each other in a circle."""
+        known = {kind: self.table(kind).select(*names(kind)) for kind in FIELDS}
+        known = {kind: rows.unionByName(fresh[kind].select(*names(kind))) if kind in fresh else rows for kind, rows in known.items()}
+        lost = dangling(fresh, known)
+        first = lost.orderBy("kind", "id", "rule").first() if lost is not None else None
+        if first:
+            raise StoreError(f"{first['kind']} {first['id']}: {first['rule']}")
+        if "pairwise" in fresh:
+            top = f"{self.root}/_checks-{key}"
+
+            def keep(rows: DataFrame, turn: int) -> DataFrame:
+                rows.write.parquet(f"{top}/{turn}")
+                return self.spark.read.parquet(f"{top}/{turn}")
+
+            try:
+                first = cyclic(fresh["pairwise"].where("repeat_of is not null"), keep).orderBy("id").first()
+            finally:
+                fs, path = self._fs(f"_checks-{key}")
+                fs.delete(path, True)
+            if first:
+                raise StoreError(f"pairwise {first['id']}: repeats itself by way of others")
+
     def add(self, tables: dict[str, DataFrame]) -> ImportResult:
-        """Import records. The same record again changes nothing; another one under a known id aborts all."""
+        """Import records. The same record again changes nothing; another one under a known id, or one that refers to records
+        that are neither there nor in the import, aborts all."""
         key = uuid.uuid4().hex
         added, unchanged, fresh = {}, 0, {}
         for kind, rows in tables.items():
@@ -103,7 +162,16 @@ class Store:
                 fresh[kind] = state.where("known is null").select("r.*")
         base = max((r["m"] or 0 for k in FIELDS for r in [self.table(k).agg(F.max("seq").alias("m")).first()]), default=0) if self._imports() else 0
         for kind, rows in fresh.items():
-            rows.withColumn("seq", F.col("seq") + base).write.parquet(f"{self.root}/{kind}/import={key}")
+            path = f"{self.root}/{kind}/import={key}"
+            rows.withColumn("seq", F.col("seq") + base).write.parquet(path)
+            fresh[kind] = self.spark.read.schema(f"{schema_of(kind)}, seq bigint").parquet(path)
+        try:
+            self._check(key, fresh)
+        except StoreError:
+            for kind in fresh:
+                fs, path = self._fs(f"{kind}/import={key}")
+                fs.delete(path, True)
+            raise
         if fresh:
             self._create(f"_imports/{key}", "done")
         return ImportResult(added, unchanged)

@@ -45,3 +45,58 @@ def violations(prompts: DataFrame, responses: DataFrame, annotators: DataFrame,
     for o in out[1:]:
         found = found.unionByName(o)
     return found
+
+
+_PAIR = ("prompt_id", "id")
+#: What records refer to: a kind and its columns, the kind referred to and its columns. `pair` is made of both sides.
+REFERENCES = (
+    ("response", ("prompt_id",), "prompt", ("id",)),
+    ("session", ("annotator_id",), "annotator", ("id",)),
+    ("gold", ("prompt_id", "better_response_id"), "response", _PAIR),
+    ("gold", ("prompt_id", "worse_response_id"), "response", _PAIR),
+    ("pairwise", ("prompt_id", "left_response_id"), "response", _PAIR),
+    ("pairwise", ("prompt_id", "right_response_id"), "response", _PAIR),
+    ("pairwise", ("session_id", "annotator_id"), "session", ("id", "annotator_id")),
+    ("pairwise", ("repeat_of", "annotator_id", "prompt_id", "pair"), "pairwise", ("id", "annotator_id", "prompt_id", "pair")),
+    ("ranked", ("session_id", "annotator_id"), "session", ("id", "annotator_id")),
+    ("ranked", ("prompt_id", "shown"), "response", _PAIR),
+)
+
+
+def _sides(kind: str, rows: DataFrame) -> DataFrame:
+    if kind == "pairwise":
+        return rows.withColumn("pair", F.array_sort(F.array("left_response_id", "right_response_id")))
+    if kind == "gold":
+        return rows.withColumn("pair", F.array_sort(F.array("better_response_id", "worse_response_id")))
+    return rows.withColumn("shown", F.explode("shown")) if kind == "ranked" else rows
+
+
+def dangling(new: dict[str, DataFrame], known: dict[str, DataFrame]) -> DataFrame:
+    """kind, id, rule of new records whose references are not in known (which holds the new ones, too), and of gold pairs that
+    are there twice. A missing `repeat_of` refers to nothing."""
+    out = None
+    for kind, columns, target, keys in REFERENCES:
+        if kind in new:
+            own = _sides(kind, new[kind]).where(F.col(columns[0]).isNotNull()).select("id", *(F.col(c).alias(f"k{i}") for i, c in enumerate(columns)))
+            there = _sides(target, known[target]).select(*(F.col(k).alias(f"k{i}") for i, k in enumerate(keys)))
+            lost = own.join(there, [f"k{i}" for i in range(len(keys))], "left_anti")
+            lost = lost.select(F.lit(kind).alias("kind"), "id", F.lit(f"{', '.join(columns)}: no such {target}").alias("rule"))
+            out = lost if out is None else out.unionByName(lost)
+    if "gold" in new:
+        twice = _sides("gold", known["gold"]).groupBy("prompt_id", "pair").agg(F.count("*").alias("n"), F.max("id").alias("id")).where("n > 1")
+        out = out.unionByName(twice.select(F.lit("gold").alias("kind"), "id", F.lit("pair: has a gold answer").alias("rule")))
+    return out
+
+
+def cyclic(controls: DataFrame, keep) -> DataFrame:
+    """Of controls(id, repeat_of) those that repeat each other in a circle or lead into one. Each turn goes twice as far
+    back; keep(rows, turn) writes rows down and reads them again."""
+    own = controls.select("id", "repeat_of")
+    left, turn = keep(own.join(own.select(F.col("id").alias("repeat_of")), "repeat_of", "left_semi"), 0), 0
+    n, before = left.count(), -1
+    while n and n != before:
+        turn += 1
+        further = left.select(F.col("id").alias("repeat_of"), F.col("repeat_of").alias("far"))
+        left = keep(left.join(further, "repeat_of").select("id", F.col("far").alias("repeat_of")), turn)
+        n, before = left.count(), n
+    return left.select("id")
