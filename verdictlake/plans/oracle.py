@@ -4,23 +4,26 @@ from __future__ import annotations
 
 #: Preference tables out of the general ones.
 TABLES = """
-n AS (SELECT least(6, count(*) // 40)::BIGINT AS k FROM documents),
+n AS (SELECT greatest(1, count(*) // 6)::BIGINT AS m FROM documents),
+prompts_ AS (
+  SELECT 'p' || lpad((i + 1)::VARCHAR, 12, '0') AS id, text
+  FROM (SELECT unnest(range(0, m)) AS i FROM n) JOIN benchmark ON item_id = i % (SELECT count(*) FROM benchmark)),
 sides AS (
-  SELECT event_id AS seq, user_id % 12 AS ai, event_id % 40 AS p, (event_id // 40) % k AS lk,
-         ((event_id // 40) % k + 1 + ((event_id // 40) // k) % (k - 1)) % k AS rk,
+  SELECT m, event_id AS seq, user_id % 12 AS ai, event_id % m AS p, (event_id // m) % 6 AS lk,
+         ((event_id // m) % 6 + 1 + ((event_id // m) // 6) % 5) % 6 AS rk,
          (event_id * 7919 + 13) % 100 AS u, event_type, value
   FROM events, n),
 placed AS (
   SELECT seq, 'ann-' || lpad((ai + 1)::VARCHAR, 2, '0') AS annotator_id, p,
-         'p' || lpad((p + 1)::VARCHAR, 4, '0') AS prompt_id, lk * 40 + p AS ld, rk * 40 + p AS rd,
+         'p' || lpad((p + 1)::VARCHAR, 12, '0') AS prompt_id, lk * m + p AS ld, rk * m + p AS rd,
          CASE WHEN event_type = 'error' AND value < 5 THEN 'skip'
               WHEN event_type = 'signup' AND abs(rk - lk) = 1 AND value < 20 THEN 'tie'
               WHEN u < (CASE ai WHEN 9 THEN 80 WHEN 7 THEN 50 WHEN 5 THEN 50 - 15 * (rk - lk) ELSE 50 + 9 * (rk - lk) END)
               THEN 'left' ELSE 'right' END AS choice
   FROM sides),
 named AS (
-  SELECT seq, 'j' || lpad(seq::VARCHAR, 9, '0') AS id, annotator_id, prompt_id, choice,
-         'r' || lpad(ld::VARCHAR, 7, '0') AS l, 'r' || lpad(rd::VARCHAR, 7, '0') AS r, least(ld, rd) AS da, greatest(ld, rd) AS db
+  SELECT seq, 'j' || lpad(seq::VARCHAR, 12, '0') AS id, annotator_id, prompt_id, choice,
+         'r' || lpad(ld::VARCHAR, 12, '0') AS l, 'r' || lpad(rd::VARCHAR, 12, '0') AS r, least(ld, rd) AS da, greatest(ld, rd) AS db
   FROM placed),
 gold AS (
   SELECT DISTINCT prompt_id, least(l, r) AS a_id, greatest(l, r) AS b_id, CASE WHEN x.quality > y.quality THEN 'a_wins' ELSE 'b_wins' END AS expected
@@ -35,8 +38,8 @@ j AS (
   FROM turns t LEFT JOIN gold g USING (prompt_id, a_id, b_id)
   WHERE turn = 1 OR g.a_id IS NULL),
 resp AS (
-  SELECT 'r' || lpad(doc_id::VARCHAR, 7, '0') AS id, 'p' || lpad((doc_id % 40 + 1)::VARCHAR, 4, '0') AS prompt_id,
-         'model-' || chr((97 + (doc_id // 40) % 6)::INT) AS model, text, doc_id FROM documents),
+  SELECT 'r' || lpad(doc_id::VARCHAR, 12, '0') AS id, 'p' || lpad((doc_id % m + 1)::VARCHAR, 12, '0') AS prompt_id,
+         'model-' || chr((97 + (doc_id // m) % 6)::INT) AS model, text, doc_id FROM documents, n),
 reg AS (SELECT *, CASE label WHEN 'a_wins' THEN 1.0::DOUBLE WHEN 'tie' THEN 0.5 ELSE 0 END AS sa FROM j WHERE kind = 'regular' AND choice <> 'skip'),
 rgames AS (SELECT prompt_id AS cluster, a_id AS first, b_id AS second, sa AS score FROM reg),
 mgames AS (
@@ -85,6 +88,11 @@ def _wilson(k: str, n: str) -> str:
 
 _HOLM = "least(1.0, (count(*) OVER (PARTITION BY n > 0) - row_number() OVER (PARTITION BY n > 0 ORDER BY p, annotator_id) + 1) * p)"
 
+#: The places of a prompt's responses in each ranking.
+_RANKED = """
+rk AS (SELECT seq, prompt_id, i, i * m + p AS d, (i * 37 + (seq // 100) * 11) % 101 AS key FROM placed, n, range(0, 6) t(i) WHERE seq % 100 = 0)
+"""
+
 #: Bradley-Terry by plain minorisation-maximisation, long enough for five digits.
 _BT = """
 items AS (SELECT item, sum(wins) AS w, row_number() OVER (ORDER BY item) AS i FROM wins GROUP BY item),
@@ -98,20 +106,28 @@ fit AS (
 theta AS (SELECT item, ln(p) - avg(ln(p)) OVER () AS strength FROM fit JOIN items USING (i) WHERE step = 3000)
 """
 
-#: One-coin Dawid-Skene, 200 iterations.
+#: One-coin Dawid-Skene, until the penalised likelihood changes by a billionth of itself, 500 iterations at most.
 _EM = """
 obs AS (SELECT prompt_id || a_id || b_id AS item, annotator_id AS who, CASE label WHEN 'a_wins' THEN 0 ELSE 1 END AS y FROM labels_ WHERE label <> 'tie'),
+people AS (SELECT DISTINCT annotator_id AS who FROM labels_),
 all_items AS (SELECT DISTINCT prompt_id || a_id || b_id AS item FROM labels_),
 start AS (SELECT item, coalesce(avg(1 - y), 0.5) AS p0 FROM all_items LEFT JOIN obs USING (item) GROUP BY item),
 em AS (
-  SELECT 0 AS step, item, p0 FROM start
+  SELECT 0 AS step, item, p0, NULL::DOUBLE AS value, false AS rests FROM start
   UNION ALL
-  (WITH s AS (SELECT * FROM em WHERE step < 200),
+  (WITH s AS (SELECT * FROM em WHERE step < 500 AND NOT rests),
    prior AS (SELECT (sum(p0) + 0.5) / (count(*) + 1) AS q FROM s),
-   acc AS (SELECT who, (sum(CASE y WHEN 0 THEN p0 ELSE 1 - p0 END) + 0.5) / (count(*) + 1) AS a FROM obs JOIN s USING (item) GROUP BY who),
-   lik AS (SELECT item, sum(CASE y WHEN 0 THEN ln(a) ELSE ln(1 - a) END) AS l0, sum(CASE y WHEN 0 THEN ln(1 - a) ELSE ln(a) END) AS l1 FROM obs JOIN acc USING (who) GROUP BY item)
-   SELECT s.step + 1, s.item, 1 / (1 + exp(ln(1 - q) + coalesce(l1, 0) - ln(q) - coalesce(l0, 0))) FROM s CROSS JOIN prior LEFT JOIN lik USING (item))),
-final AS (SELECT who, count(*) AS n, (sum(CASE y WHEN 0 THEN p0 ELSE 1 - p0 END) + 0.5) / (count(*) + 1) AS a FROM obs JOIN em USING (item) WHERE step = 200 GROUP BY who)
+   seen AS (SELECT who, sum(CASE y WHEN 0 THEN p0 ELSE 1 - p0 END) AS good, count(*) AS n FROM obs JOIN s USING (item) GROUP BY who),
+   acc AS (SELECT who, (coalesce(good, 0) + 0.5) / (coalesce(n, 0) + 1) AS a FROM people LEFT JOIN seen USING (who)),
+   lik AS (SELECT item, sum(CASE y WHEN 0 THEN ln(a) ELSE ln(1 - a) END) AS l0, sum(CASE y WHEN 0 THEN ln(1 - a) ELSE ln(a) END) AS l1 FROM obs JOIN acc USING (who) GROUP BY item),
+   post AS (SELECT s.step, s.item, s.value AS last, ln(q) + coalesce(l0, 0) AS g0, ln(1 - q) + coalesce(l1, 0) AS g1 FROM s CROSS JOIN prior LEFT JOIN lik USING (item)),
+   total AS (
+     SELECT (SELECT sum(greatest(g0, g1) + ln(1 + exp(-abs(g0 - g1)))) FROM post)
+            + 0.5 * ((SELECT ln(q) + ln(1 - q) FROM prior) + (SELECT sum(ln(a) + ln(1 - a)) FROM acc)) AS v)
+   SELECT step + 1, item, 1 / (1 + exp(g1 - g0)), v, coalesce(abs(v - last) <= 1e-9 * (1 + abs(v)), false) FROM post CROSS JOIN total)),
+final AS (
+  SELECT who, count(*) AS n, (sum(CASE y WHEN 0 THEN p0 ELSE 1 - p0 END) + 0.5) / (count(*) + 1) AS a
+  FROM obs JOIN em USING (item) WHERE step = (SELECT max(step) - 1 FROM em) GROUP BY who)
 """
 
 _PAIR_KAPPA = """
@@ -154,11 +170,26 @@ def oracle_sql() -> dict[str, str]:
         "empirical_win_rates": _sql("SELECT item, opponent, round(wins / games, 6) AS rate FROM wins"),
         "item_scores": _sql("SELECT item, sum(wins) AS score, sum(games) AS games FROM wins GROUP BY item"),
         "ranked_implied_pairs": _sql(
-            """SELECT 'k' || lpad(x.seq::VARCHAR, 9, '0') AS id, x.prompt_id, 'r' || lpad(x.d::VARCHAR, 7, '0') AS better, 'r' || lpad(y.d::VARCHAR, 7, '0') AS worse
+            """SELECT 'k' || lpad(x.seq::VARCHAR, 12, '0') AS id, x.prompt_id, 'r' || lpad(x.d::VARCHAR, 12, '0') AS better, 'r' || lpad(y.d::VARCHAR, 12, '0') AS worse
                FROM rk x JOIN rk y USING (seq) WHERE x.key < y.key OR (x.key = y.key AND x.i < y.i)""",
-            "rk AS (SELECT seq, prompt_id, i, i * 40 + p AS d, (i * 37 + (seq // 100) * 11) % 101 AS key FROM placed, n, range(0, 6) t(i) WHERE seq % 100 = 0 AND i < k)",
+            _RANKED,
+        ),
+        "games_with_rankings": _sql(
+            """SELECT reason, count(*) AS n FROM (
+                 SELECT CASE WHEN kind <> 'regular' THEN 'pair_kind' WHEN choice = 'skip' THEN 'skip' WHEN x.model = y.model THEN 'same_item' ELSE 'game' END AS reason
+                 FROM j JOIN resp x ON x.id = l JOIN resp y ON y.id = r
+                 UNION ALL
+                 SELECT CASE WHEN x.model = y.model THEN 'same_item' ELSE 'game' END FROM rk a JOIN rk b USING (seq) JOIN resp x ON x.doc_id = a.d JOIN resp y ON y.doc_id = b.d
+                 WHERE a.key < b.key OR (a.key = b.key AND a.i < b.i)) GROUP BY reason""",
+            _RANKED,
         ),
         "bt_strengths": _sql("SELECT item, round(strength, 4) + 0.0 AS strength FROM theta", _BT, True),
+        "bt_log_likelihood": _sql(
+            """SELECT round((SELECT sum(wins * -ln(1 + exp(y.strength - x.strength))) FROM wins JOIN theta x ON x.item = wins.item JOIN theta y ON y.item = opponent)
+                 + (SELECT sum(0.1 * (-ln(1 + exp(-strength)) - ln(1 + exp(strength)))) FROM theta), 4) + 0.0 AS log_likelihood""",
+            _BT,
+            True,
+        ),
         "bt_predicted": _sql("SELECT x.item, y.item AS opponent, round(1 / (1 + exp(y.strength - x.strength)), 4) AS p_win FROM theta x JOIN theta y ON x.item <> y.item", _BT, True),
         "bt_fit_gap": _sql(
             "SELECT round(sum(games * abs(wins / games - 1 / (1 + exp(y.strength - x.strength)))) / sum(games), 4) AS fit_gap FROM wins w JOIN theta x ON x.item = w.item JOIN theta y ON y.item = w.opponent", _BT, True
@@ -261,7 +292,7 @@ def oracle_sql() -> dict[str, str]:
         "drop_reason_counts": _sql("SELECT r.reason, count(x.reason) AS n FROM (VALUES ('no_votes'), ('too_few_votes'), ('tie'), ('low_agreement')) r(reason) LEFT JOIN (SELECT unnest(why) AS reason FROM reasons) x USING (reason) GROUP BY r.reason"),
         "prompt_split": _sql("SELECT DISTINCT prompt_id, split, round(u, 9) AS u FROM split"),
         "dpo_rows": _sql(
-            "SELECT split, split.prompt_id, b.text AS prompt, x.text AS chosen, y.text AS rejected, n_votes FROM split JOIN benchmark b ON 'p' || lpad((b.item_id + 1)::VARCHAR, 4, '0') = split.prompt_id JOIN resp x ON x.id = split.chosen JOIN resp y ON y.id = split.rejected"
+            "SELECT split, split.prompt_id, b.text AS prompt, x.text AS chosen, y.text AS rejected, n_votes FROM split JOIN prompts_ b ON b.id = split.prompt_id JOIN resp x ON x.id = split.chosen JOIN resp y ON y.id = split.rejected"
         ),
         "kto_rows": _sql(
             """SELECT split, prompt_id, response_id, sum(w)::BIGINT AS wins, sum(1 - w)::BIGINT AS losses, sum(w) > sum(1 - w) AS label FROM (
@@ -275,7 +306,7 @@ def oracle_sql() -> dict[str, str]:
         ),
         "card_provenance": _sql("SELECT model, 'import' AS source, count(*) AS n FROM resp WHERE id IN (SELECT a_id FROM kept UNION SELECT b_id FROM kept) GROUP BY model"),
         "store_summary": _sql(
-            """SELECT 'prompts' AS name, count(*) AS value FROM benchmark UNION ALL SELECT 'responses', count(*) FROM resp UNION ALL SELECT 'annotators', 12 UNION ALL SELECT 'gold_pairs', count(*) FROM gold
+            """SELECT 'prompts' AS name, count(*) AS value FROM prompts_ UNION ALL SELECT 'responses', count(*) FROM resp UNION ALL SELECT 'annotators', 12 UNION ALL SELECT 'gold_pairs', count(*) FROM gold
                UNION ALL SELECT 'judgments', count(*) FROM j UNION ALL SELECT 'choice ' || choice, count(*) FROM j GROUP BY choice UNION ALL SELECT 'kind ' || kind, count(*) FROM j GROUP BY kind
                UNION ALL SELECT 'responses ' || model, count(*) FROM resp GROUP BY model
                UNION ALL SELECT 'load min', min(n) FROM load UNION ALL SELECT 'load max', max(n) FROM load""",

@@ -1,7 +1,8 @@
 """Preference tables derived from general tables by integer rules, so that any engine derives the same ones.
 
-A prompt is a benchmark item; its responses are the documents whose id leaves its number modulo 40; each event is a
-judgment of two responses to one prompt. Only ids, labels and events are read for judgments, never a text.
+Six documents, one of each model, are the responses to a prompt: those whose id leaves its number modulo the number of prompts,
+which grows with the documents, so that every document but for the last few is compared. A prompt's text is that of a benchmark
+item, in turn. Each event is a judgment of two responses to one prompt. Only ids, labels and events are read for judgments, never a text.
 """
 
 from __future__ import annotations
@@ -14,7 +15,9 @@ from pyspark.sql import functions as F
 
 from ..functions.text import padded, word_count
 
-PROMPTS = 40
+MODELS = 6
+#: Digits of prompt, response and judgment ids.
+WIDTH = 12
 ANNOTATORS = 12
 
 
@@ -33,22 +36,25 @@ class PreferenceTables:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
     @cached_property
-    def per_prompt(self) -> int:
-        """Responses of a prompt that are compared; the count comes from file footers."""
-        return min(6, self.table("documents").count() // PROMPTS)
+    def n_prompts(self) -> int:
+        """One for every six documents, one at least; the count comes from file footers."""
+        return max(1, self.table("documents").count() // MODELS)
 
     @property
     def prompts(self) -> DataFrame:
-        return self.table("benchmark").select(padded("p", F.col("item_id") + 1, 4).alias("id"), "text")
+        """id, text. Item ids run from 0 on, so that each prompt has one of them."""
+        items = self.table("benchmark").select("item_id", "text")
+        numbers = self.spark.range(self.n_prompts).withColumn("item_id", F.col("id") % max(1, items.count()))
+        return numbers.join(items, "item_id", "left").select(padded("p", F.col("id") + 1, WIDTH).alias("id"), "text")
 
     @property
     def responses(self) -> DataFrame:
         """id, prompt_id, model, doc_id, text, n_words, n_chars, source. Columns that aren't used aren't read."""
         doc = F.col("doc_id")
         return self.table("documents").select(
-            padded("r", doc, 7).alias("id"),
-            padded("p", doc % PROMPTS + 1, 4).alias("prompt_id"),
-            F.concat(F.lit("model-"), F.chr(F.lit(97) + _div(doc, PROMPTS) % 6)).alias("model"),
+            padded("r", doc, WIDTH).alias("id"),
+            padded("p", doc % self.n_prompts + 1, WIDTH).alias("prompt_id"),
+            F.concat(F.lit("model-"), F.chr(F.lit(97) + _div(doc, self.n_prompts) % MODELS)).alias("model"),
             "doc_id",
             "text",
             word_count("text").alias("n_words"),
@@ -66,14 +72,14 @@ class PreferenceTables:
 
     @cached_property
     def _placed(self) -> DataFrame:
-        k = self.per_prompt
+        n, k = self.n_prompts, MODELS
         event = F.col("event_id")
-        q = _div(event, PROMPTS)
+        q = _div(event, n)
         left = q % k
         ev = self.table("events").select(
             event.alias("seq"),
             (F.col("user_id") % ANNOTATORS).alias("number"),
-            (event % PROMPTS).alias("prompt_no"),
+            (event % n).alias("prompt_no"),
             left.alias("left_k"),
             ((left + 1 + _div(q, k) % (k - 1)) % k).alias("right_k"),
             ((event * 7919 + 13) % 100).alias("u"),
@@ -91,9 +97,9 @@ class PreferenceTables:
         return ev.withColumns(
             {
                 "annotator_id": padded("ann-", F.col("number") + 1, 2),
-                "prompt_id": padded("p", F.col("prompt_no") + 1, 4),
-                "left_doc": F.col("left_k") * PROMPTS + F.col("prompt_no"),
-                "right_doc": F.col("right_k") * PROMPTS + F.col("prompt_no"),
+                "prompt_id": padded("p", F.col("prompt_no") + 1, WIDTH),
+                "left_doc": F.col("left_k") * n + F.col("prompt_no"),
+                "right_doc": F.col("right_k") * n + F.col("prompt_no"),
                 "choice": choice,
             }
         )
@@ -108,18 +114,18 @@ class PreferenceTables:
         found = pairs.join(x, "a").join(y, "b").where("qa <> qb")
         better = F.when(F.col("qa") > F.col("qb"), F.col("a")).otherwise(F.col("b"))
         return found.select(
-            F.concat(F.lit("g-"), padded("r", F.col("a"), 7), F.lit("-"), padded("r", F.col("b"), 7)).alias("id"),
+            F.concat(F.lit("g-"), padded("r", F.col("a"), WIDTH), F.lit("-"), padded("r", F.col("b"), WIDTH)).alias("id"),
             "prompt_id",
-            padded("r", better, 7).alias("better_response_id"),
-            padded("r", F.col("a") + F.col("b") - better, 7).alias("worse_response_id"),
+            padded("r", better, WIDTH).alias("better_response_id"),
+            padded("r", F.col("a") + F.col("b") - better, WIDTH).alias("worse_response_id"),
         )
 
     @cached_property
     def judgments(self) -> DataFrame:
         """id, seq, session_id, annotator_id, prompt_id, left/right_response_id, choice, pair_kind, repeat_of. Every event is
         one, but for later ones on a gold pair by the same annotator; a later one on another pair is a control of the one before."""
-        rows = self._placed.select("seq", "annotator_id", "prompt_id", padded("r", F.col("left_doc"), 7).alias("left_response_id"), padded("r", F.col("right_doc"), 7).alias("right_response_id"), "choice")
-        rows = rows.withColumns({"id": padded("j", F.col("seq"), 9), "a_id": F.least("left_response_id", "right_response_id"), "b_id": F.greatest("left_response_id", "right_response_id")})
+        rows = self._placed.select("seq", "annotator_id", "prompt_id", padded("r", F.col("left_doc"), WIDTH).alias("left_response_id"), padded("r", F.col("right_doc"), WIDTH).alias("right_response_id"), "choice")
+        rows = rows.withColumns({"id": padded("j", F.col("seq"), WIDTH), "a_id": F.least("left_response_id", "right_response_id"), "b_id": F.greatest("left_response_id", "right_response_id")})
         same = Window.partitionBy("annotator_id", "prompt_id", "a_id", "b_id").orderBy("seq")
         rows = rows.withColumns({"turn": F.row_number().over(same), "before": F.lag("id").over(same)})
         gold = self.gold_pairs.select("prompt_id", F.least("better_response_id", "worse_response_id").alias("a_id"), F.greatest("better_response_id", "worse_response_id").alias("b_id"), F.lit(True).alias("is_gold"))
@@ -142,7 +148,7 @@ class PreferenceTables:
     @property
     def ranked(self) -> DataFrame:
         """id, annotator_id, prompt_id, ranking (best first): every hundredth event ranks all responses of its prompt."""
-        k = self.per_prompt
+        n, k = self.n_prompts, MODELS
         rows = self._placed.where(F.col("seq") % 100 == 0)
         keys = F.array_sort(F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.struct(((i * 37 + _div(F.col("seq"), 100) * 11) % 101).alias("key"), i.alias("k"))))
-        return rows.select(padded("k", F.col("seq"), 9).alias("id"), "annotator_id", "prompt_id", F.transform(keys, lambda x: padded("r", x["k"] * PROMPTS + F.col("prompt_no"), 7)).alias("ranking"))
+        return rows.select(padded("k", F.col("seq"), WIDTH).alias("id"), "annotator_id", "prompt_id", F.transform(keys, lambda x: padded("r", x["k"] * n + F.col("prompt_no"), WIDTH)).alias("ranking"))
