@@ -11,13 +11,16 @@ from pyspark.sql import functions as F
 
 from .byte_bpe import BpeConfig, encoding_digest
 from .common import lasting, scratch, shared_folder
+from .divergence import source_divergence
 from .exact_dedup import exact_duplicates
 from .language_id import fit_languages, held_out, identify_languages
 from .lz_dedup import parse_documents
 from .ngram_join import similarity_components
 from .order_minhash import fingerprint_edits
 from .packing import PackingConfig, pack_documents
+from .resampling import resample
 from .sharding import ShardConfig, ShardStore
+from .simhash import simhash_components
 from .suffix_dedup import remove_repeats
 from .toxicity import fit_toxicity, score_toxicity
 
@@ -94,8 +97,23 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding_digest(_documents(spark, sf_dir).select("doc_id", "text"), BYTE_BPE)
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents weighed by how much more likely their words are in the benchmark's texts; a tenth of those with 20 words drawn."""
+    return resample(_documents(spark, sf_dir).select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("text"))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the sources of each language of all documents diverge, and the terms that mark each source."""
+    return source_divergence(_documents(spark, sf_dir).select("lang", "source", "text"))
+
+
+def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all documents whose SimHash fingerprints differ in 3 bits at most."""
+    return simhash_components(_documents(spark, sf_dir).select("doc_id", "text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_best_fit_packing, op2_exact_dedup, op3_language_id, op4_size_tiered_shards, op5_suffix_array_dedup, op6_lz_substring_dedup, op7_toxicity, op8_order_minhash, op9_ngram_join, op10_byte_bpe)
+    found = (op1_best_fit_packing, op2_exact_dedup, op3_language_id, op4_size_tiered_shards, op5_suffix_array_dedup, op6_lz_substring_dedup, op7_toxicity, op8_order_minhash, op9_ngram_join, op10_byte_bpe, op11_importance_resampling, op12_source_divergence, op13_simhash)
     return {f.__name__: f for f in found}
 
 
@@ -131,4 +149,40 @@ def oracle_sql() -> dict[str, str]:
             SELECT doc_id, coalesce(n.n, 0) AS n_shingles, least(doc_id, coalesce(low, doc_id)) AS component_id
             FROM d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT x AS doc_id, min(y) AS low FROM r GROUP BY x) USING (doc_id)
         """,
+        # crc32 by its rule, a bit at a time, over the bytes of the distinct words
+        "op11_importance_resampling": r"""
+            WITH texts AS (SELECT doc_id, text, true AS own FROM documents UNION ALL SELECT NULL, text, false FROM benchmark),
+            d AS (SELECT row_number() OVER () AS r, doc_id, own, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS words FROM texts),
+            f AS (SELECT r, doc_id, own, unnest(words) AS word FROM d),
+            v AS (SELECT word, hex(encode(word)) AS h FROM (SELECT DISTINCT word FROM f)),
+            c AS (SELECT word, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(0, (length(h) // 2)::BIGINT), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::BIGINT)),
+                    lambda a, b: list_reduce(list_prepend(xor(a, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda x, y: xor(x >> 1, (x & 1) * 3988292384)))) % 10000 AS bucket FROM v),
+            n AS (SELECT bucket, count(*) FILTER (own) AS s, count(*) FILTER (NOT own) AS t FROM f JOIN c USING (word) GROUP BY bucket),
+            a AS (SELECT coalesce(sum(s), 0)::DOUBLE + 10000 AS all_s, coalesce(sum(t), 0)::DOUBLE + 10000 AS all_t FROM n),
+            g AS (SELECT bucket, floor(1000.0::DOUBLE * ln((t + 1)::DOUBLE * all_s / ((s + 1)::DOUBLE * all_t)))::BIGINT AS gain FROM n, a),
+            w AS (SELECT r, count(*) AS n_features, sum(gain)::BIGINT AS total FROM f JOIN c USING (word) JOIN g USING (bucket) WHERE own GROUP BY r),
+            x AS (SELECT doc_id, len(words) >= 20 AS able, coalesce(n_features, 0) AS n_features, coalesce((total - ((total % n_features) + n_features) % n_features) // n_features, 0)::BIGINT AS weight,
+                    ('0x' || substr(sha256('2024:' || doc_id), 1, 8))::BIGINT AS h FROM d LEFT JOIN w USING (r) WHERE own),
+            y AS (SELECT *, weight + floor(-1000.0::DOUBLE * ln(-ln((h + 0.5::DOUBLE) / 4294967296.0::DOUBLE)))::BIGINT AS score FROM x),
+            z AS (SELECT *, row_number() OVER (PARTITION BY able ORDER BY score DESC, doc_id) AS place, count(*) FILTER (able) OVER () AS n FROM y)
+            SELECT doc_id, n_features, weight, score, CASE WHEN able AND place <= 10 * n // 100 THEN place END AS rank FROM z
+        """,
+        "op12_source_divergence": r"""
+            WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                    list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '') AS terms FROM documents),
+            o AS (SELECT r, lang, source, unnest(terms) AS term FROM d),
+            v AS (SELECT lang, term, count(*) AS n FROM o GROUP BY ALL HAVING count(DISTINCT r) >= 3),
+            langs AS (SELECT lang, count(*) AS terms, sum(n)::HUGEINT AS n FROM v GROUP BY lang),
+            c AS (SELECT lang, source, term, count(*) AS n FROM o SEMI JOIN v USING (lang, term) GROUP BY ALL),
+            g AS (SELECT lang, source, coalesce(sum(n), 0)::HUGEINT AS total FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN c USING (lang, source) GROUP BY ALL),
+            p AS (SELECT g.lang, g.source, v.term, coalesce(c.n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 1)) // (g.total + langs.terms) AS p,
+                    1 + (1000000000::HUGEINT * (v.n + 1)) // (langs.n + langs.terms) AS q
+                  FROM g JOIN langs USING (lang) JOIN v USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = v.term),
+            s AS (SELECT x.lang, x.source, y.source AS item, sum((x.p - y.p) * (x.p - y.p) // y.p) AS value FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL),
+            parts AS (SELECT x.lang, x.source, 'pair' AS part, y.source AS item, coalesce(s.value, 0) AS value
+                      FROM g x JOIN g y ON x.lang = y.lang AND x.source <> y.source LEFT JOIN s ON s.lang = x.lang AND s.source = x.source AND s.item = y.source
+                      UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // q FROM p WHERE n > 0 AND p > q),
+            ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM parts)
+            SELECT lang, source, part, item, value::BIGINT AS value, rank::INT AS rank FROM ranked WHERE part = 'pair' OR rank <= 200
+        """,
     }
