@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from verdictlake.functions import stats
-from verdictlake.operators import comparisons, dawid_skene, export, length, quality, ranking
+from verdictlake.operators import comparisons, dawid_skene, export, graphs, length, quality, ranking
 
 J = "id string, seq long, annotator_id string, prompt_id string, left_response_id string, right_response_id string, choice string, pair_kind string, repeat_of string"
 
@@ -144,6 +144,51 @@ def test_graph(spark):
     assert (got["n_triads"], got["n_cycles"], got["largest_component"]) == (10, 0, 0)
 
 
+def test_fits_in_one_task_in_components_and_as_frames_agree(spark):
+    rng = np.random.default_rng(5)
+    rows = []
+    for part in range(4):  # the last one is larger than a task of 12 rows
+        names = [f"i{part}{k}" for k in range(3 if part < 3 else 9)]
+        for _ in range(60):
+            x, y = sorted(rng.choice(names, 2, replace=False))
+            rows.append((f"c{rng.integers(3)}", x, y, float(rng.choice([0.0, 0.5, 1.0]))))
+    matrix = comparisons.win_matrix(played(spark, rows), ["cluster"])
+    fits = [{(r.cluster, r.item): r.strength for r in ranking.bradley_terry(matrix, ranking.BradleyTerryConfig(task_rows=n), ["cluster"]).collect()} for n in (10_000, 12)]
+    assert fits[0].keys() == fits[1].keys() and len(fits[0]) > 40
+    assert all(fits[0][k] == pytest.approx(fits[1][k], abs=1e-7) for k in fits[0])
+    # the score is zero at the end: what an item has won is what the strengths say
+    shift = {}
+    for r in matrix.where("cluster = 'c0'").collect():
+        x, y = fits[1]["c0", r.item], fits[1]["c0", r.opponent]
+        shift[r.item] = shift.get(r.item, 0) + r.wins - r.games / (1 + np.exp(y - x))
+    assert max(map(abs, shift.values())) < 0.3 and abs(sum(fits[1][k] for k in fits[1] if k[0] == "c0")) < 1e-9
+
+
+def test_a_fit_without_a_prior_needs_wins_both_ways_as_frames_too(spark):
+    ring = [("c", "a", "b", 1.0), ("c", "b", "d", 1.0), ("c", "a", "d", 0.0), ("c", "a", "d", 1.0)]
+    config = ranking.BradleyTerryConfig(prior=0, task_rows=1)
+    fit = {r.item: r.strength for r in ranking.bradley_terry(comparisons.win_matrix(played(spark, ring)), config).collect()}
+    want = {r.item: r.strength for r in ranking.bradley_terry(comparisons.win_matrix(played(spark, ring)), ranking.BradleyTerryConfig(prior=0)).collect()}
+    assert fit == pytest.approx(want, abs=1e-7)
+    with pytest.raises(ValueError, match="connected"):
+        ranking.bradley_terry(comparisons.win_matrix(played(spark, ring[:2])), config)
+
+
+def test_strong_components(spark):
+    rng = np.random.default_rng(2)
+    arcs = [(g, f"n{a}", f"n{b}") for g in "xy" for a, b in rng.integers(0, 14, (18 if g == "x" else 26, 2))]
+    got = {(r.g, r.node): r.component for r in graphs.strong_components(spark.createDataFrame(arcs, "g string, source string, target string"), ("g",)).collect()}
+    reach = {k: {k} for k in {(g, n) for g, a, b in arcs if a != b for n in (a, b)}}
+    for _ in range(30):
+        for g, a, b in arcs:
+            if a != b:
+                reach[g, a] |= reach[g, b]
+    assert got.keys() == reach.keys()
+    for x in reach:
+        for y in reach:
+            assert (got[x] == got[y] and x[0] == y[0]) == (x in reach[y] and y in reach[x])
+
+
 def test_dawid_skene_keeps_tie_items(spark):
     rng = np.random.default_rng(0)
     rows = []
@@ -159,31 +204,31 @@ def test_dawid_skene_keeps_tie_items(spark):
 
 
 @pytest.mark.parametrize("symmetric", [True, False])
-def test_dawid_skene_over_patterns_equals_a_fit_over_items(symmetric):
+def test_dawid_skene_over_patterns_equals_a_fit_over_items(spark, symmetric):
     rng = np.random.default_rng(1)
     items = [tuple(sorted((w, int(rng.random() < 0.7)) for w in rng.choice(4, 3, replace=False))) for _ in range(80)] + [()] * 3
-    patterns = sorted(set(items))
-    rows = [(k, w, x) for k, p in enumerate(patterns) for w, x in p]
-    got, _, rests = dawid_skene.fit_patterns(np.array([items.count(p) for p in patterns]), *np.array(rows).T, 4, symmetric, tol=1e-13)
+    rows = [(f"p{n}", "x", "y", f"w{w}", ("a_wins", "b_wins")[x]) for n, item in enumerate(items) for w, x in item] + [(f"p{n}", "x", "y", "w0", "tie") for n, item in enumerate(items) if not item]
+    labels = spark.createDataFrame(rows, "prompt_id string, a_id string, b_id string, annotator_id string, label string")
+    found, turns, rests = dawid_skene.fit(labels, dawid_skene.ReliabilityConfig(symmetric=symmetric, tol=1e-14))
+    got = {r.annotator_id: r for r in found.collect()}
     # the same model item by item, in plain loops
     q = [sum(x for _, x in i) / len(i) if i else 0.5 for i in items]
-    for _ in range(400):
+    for _ in range(2000):
         prior = [(sum(1 - x for x in q) + 0.5) / (len(q) + 1), (sum(q) + 0.5) / (len(q) + 1)]
-        chance = np.zeros((4, 2, 2))
-        for w in range(4):
-            seen = np.zeros((2, 2))
-            for i, x in zip(items, q):
-                for v, own in i:
-                    if v == w:
-                        seen[own] += [1 - x, x]
-            if symmetric:
-                right = (seen[0, 0] + seen[1, 1] + 0.5) / (seen.sum() + 1)
-                chance[w] = [[right, 1 - right], [1 - right, right]]
-            else:
-                chance[w] = (seen + 0.5) / (seen.sum(axis=0) + 1)
+        seen = np.zeros((4, 2, 2))
+        for i, x in zip(items, q):
+            for w, own in i:
+                seen[w, own] += [1 - x, x]
+        if symmetric:
+            right = (seen[:, 0, 0] + seen[:, 1, 1] + 0.5) / (seen.sum(axis=(1, 2)) + 1)
+            chance = right[:, None, None] * np.eye(2) + (1 - right)[:, None, None] * (1 - np.eye(2))
+        else:
+            chance = (seen + 0.5) / (seen.sum(axis=1, keepdims=True) + 1)
         like = [[prior[k] * np.prod([chance[w, x, k] for w, x in i]) for k in (0, 1)] for i in items]
         q = [b / (a + b) for a, b in like]
-    assert rests and np.allclose(got, chance, atol=1e-5)
+    assert rests and turns < 100
+    for w in range(4):
+        assert np.allclose([got[f"w{w}"].a, got[f"w{w}"].b], [chance[w, 0, 0], chance[w, 1, 1]], atol=1e-6)
 
 
 def test_votes_reasons_and_rows(spark):

@@ -1,7 +1,7 @@
 """Rankings from games: Bradley-Terry, Elo, bootstrap intervals, fit gap, Kendall's tau.
 
-Win counts are aggregated by Spark into sparse rows, one for each pair that met. A fit is a numpy kernel over the rows of one
-replicate; replicates are independent groups. Randomness is a hash of (seed, stream, keys), so that it doesn't depend on
+Win counts are aggregated by Spark into sparse rows, one for each pair that met. A fit of few rows is a task of its own, one of many falls
+into components, and a large component is fitted by joins and sums. Replicates are independent fits. Randomness is a hash of (seed, stream, keys), so that it doesn't depend on
 partitions and any engine can draw the same.
 """
 
@@ -15,16 +15,26 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..staging import lasting, scratch, staged
 from .comparisons import item_scores, win_matrix
+from .graphs import strong_components, weak_components
 
 
 @dataclass(frozen=True)
 class BradleyTerryConfig:
-    """prior: wins and losses of each item against an average one. tol: largest change of a strength at the end."""
+    """prior: wins and losses of each item against an average one. tol: largest change of a strength at the end. task_rows: pairs of
+    a fit that one task takes."""
 
     prior: float = 0.1
     tol: float = 1e-9
-    max_iter: int = 10_000
+    max_iter: int = 100
+    task_rows: int = 20_000
+
+
+_TINY = 1e-300
+#: Of conjugate gradients: squared share of the residual at the end, and share of the curvature below which a direction is the one that nothing depends on.
+_SOLVED, _FLAT = 1e-22, 1e-13
+_NOT_CONNECTED = "without a prior the items must be connected by wins in both directions"
 
 
 @dataclass(frozen=True)
@@ -50,34 +60,46 @@ def hash_unit(*keys) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") / F.lit(2.0**32)
 
 
-def fit_strengths(item: np.ndarray, opponent: np.ndarray, wins: np.ndarray, games: np.ndarray, n: int, config: BradleyTerryConfig) -> tuple[np.ndarray, bool]:
-    """Centred log strengths of n items from sparse rows in both directions, and whether the fit converged.
+def _newton(item: np.ndarray, opponent: np.ndarray, wins: np.ndarray, games: np.ndarray, n: int, config: BradleyTerryConfig) -> tuple[np.ndarray, bool]:
+    """Log strengths of n items from sparse rows in both directions, and whether the last step was small enough.
+
+    Newton's method on the log-likelihood, which is concave; the system of a step is solved by conjugate gradients with products over the rows, so that
+    memory is that of the rows, and steps are halved while they make things worse."""
+    prior, theta = config.prior, np.zeros(n)
 
-    Minorisation-maximisation; the common scale, on which plain steps move slowly, is set after each step by Newton's
-    method on the prior's score. Without a prior every item must have won and lost along the graph."""
-    total = np.bincount(item, wins, n) + config.prior
-    theta = np.zeros(n)
+    def value(t: np.ndarray) -> float:
+        # each game is in two rows
+        return float((wins * -np.logaddexp(0, t[opponent] - t[item])).sum() - prior * (np.logaddexp(0, t) + np.logaddexp(0, -t)).sum())
+
+    now = value(theta)
     for _ in range(config.max_iter):
-        p = np.exp(theta)
-        denominator = np.bincount(item, games / (p[item] + p[opponent]), n) + 2 * config.prior / (p + 1)
-        new = np.log(total) - np.log(denominator)
-        if config.prior:
-            low, high, shift = -np.abs(new).max() - 1, np.abs(new).max() + 1, 0.0
-            for _ in range(60):
-                t = np.tanh((new + shift) / 2)
-                low, high = (shift, high) if t.sum() < 0 else (low, shift)
-                step = t.sum() / max(0.5 * (1 - t**2).sum(), 1e-300)
-                shift = shift - step if low < shift - step < high else (low + high) / 2
-                if abs(step) < 1e-13:
-                    break
-            new = new + shift
-        else:
-            new -= new.mean()
-        moved = np.abs(new - theta).max()
-        theta = new
-        if moved <= config.tol:
-            return theta - theta.mean(), True
-    return theta - theta.mean(), False
+        p, own = 1 / (1 + np.exp(theta[opponent] - theta[item])), 1 / (1 + np.exp(-theta))
+        slope = np.bincount(item, wins - games * p, n) + prior * (1 - 2 * own)
+        weight = games * p * (1 - p)
+        diagonal = np.bincount(item, weight, n) + 2 * prior * own * (1 - own)
+        step, rest = np.zeros(n), slope
+        scaled = rest / np.maximum(diagonal, _TINY)
+        way, size = scaled, float(rest @ scaled)
+        enough = size * _SOLVED
+        for _ in range(10 * n + 100):
+            if size <= enough:
+                break
+            product = diagonal * way - np.bincount(item, weight * way[opponent], n)
+            bend = float(way @ product)
+            if bend <= _FLAT * float(way @ (diagonal * way)):
+                break
+            length = size / bend
+            step, rest = step + length * way, rest - length * product
+            scaled = rest / np.maximum(diagonal, _TINY)
+            last, size = size, float(rest @ scaled)
+            way = scaled + size / last * way
+        share = 1.0
+        while (then := value(theta + share * step)) < now - 1e-9 * abs(now) and share > 1e-9:
+            share /= 2
+        theta, now = theta + share * step, then
+        if np.abs(share * step).max(initial=0.0) <= config.tol:
+            return theta, True
+    return theta, False
 
 
 def connected(item: np.ndarray, opponent: np.ndarray, wins: np.ndarray, n: int) -> bool:
@@ -97,30 +119,130 @@ def connected(item: np.ndarray, opponent: np.ndarray, wins: np.ndarray, n: int)
     return True
 
 
-def _fit_rows(rows: pd.DataFrame, config: BradleyTerryConfig) -> tuple[np.ndarray, np.ndarray, bool]:
-    names, codes = np.unique(np.r_[rows["item"].to_numpy(str), rows["opponent"].to_numpy(str)], return_inverse=True)
-    i, j = codes[: len(rows)], codes[len(rows) :]
-    wins, games = rows["wins"].to_numpy(float), rows["games"].to_numpy(float)
-    if not config.prior and not connected(i, j, wins, len(names)):
-        raise ValueError("without a prior the items must be connected by wins in both directions")
-    theta, ok = fit_strengths(i, j, wins, games, len(names), config)
-    return names, theta, ok
+def _fit_groups(rows: DataFrame, keys: list[str], config: BradleyTerryConfig) -> DataFrame:
+    """keys, item, strength (not centred), converged: a task for each group of rows, whose number the caller has checked."""
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    schema = ", ".join([f"{k} {kinds[k]}" for k in keys] + ["item string, strength double, converged boolean"])
 
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        names, codes = np.unique(np.r_[group["item"].to_numpy(str), group["opponent"].to_numpy(str)], return_inverse=True)
+        i, j = codes[: len(group)], codes[len(group) :]
+        wins, games = group["wins"].to_numpy(float), group["games"].to_numpy(float)
+        if not config.prior and not connected(i, j, wins, len(names)):
+            raise ValueError(_NOT_CONNECTED)
+        theta, ok = _newton(i, j, wins, games, len(names), config)
+        return pd.DataFrame({**{k: group[k].iloc[0] for k in keys}, "item": names, "strength": theta, "converged": ok}, columns=[*keys, "item", "strength", "converged"])
 
-def bradley_terry(matrix: DataFrame, config: BradleyTerryConfig = BradleyTerryConfig(), by: Sequence[str] = ()) -> DataFrame:
-    """`by` columns, item, strength, converged. One fit for each group of `by`, whose rows are pairs of items, not games."""
-    keys = list(by)
-    schema = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in matrix.schema if f.name in keys] + ["item string, strength double, converged boolean"])
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        names, theta, ok = _fit_rows(rows, config)
-        out = pd.DataFrame({"item": names, "strength": theta, "converged": ok})
-        for n, k in enumerate(keys):
-            out.insert(n, k, rows[k].iloc[0])
+    return rows.groupBy(*keys).applyInPandas(run, schema)
+
+
+def _fit_frames(rows: DataFrame, keys: list[str], config: BradleyTerryConfig) -> DataFrame:
+    """As `_fit_groups`, for groups of any size: the same method with its products as joins of nodes and rows, and its sums as
+    aggregations. State is one row an item, written out in each round; of each fit a few sums come to the driver."""
+    spark, prior = rows.sparkSession, config.prior
+    rows = staged(rows.select(*keys, "item", "opponent", "wins", "games"))
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name in keys)
+
+    def sums(df: DataFrame, **columns: Column) -> dict[tuple, dict[str, float]]:
+        return {tuple(r[k] for k in keys): r.asDict() for r in df.groupBy(*keys).agg(*(F.sum(c).alias(n) for n, c in columns.items())).collect()}
+
+    def with_scalar(df: DataFrame, name: str, values: dict[tuple, float]) -> DataFrame:
+        """One row for each fit, broadcast."""
+        table = spark.createDataFrame([(*k, float(v)) for k, v in values.items()], f"{kinds}, {name} double")
+        return df.join(F.broadcast(table), keys)
+
+    def ends(nodes: DataFrame, *columns: str) -> DataFrame:
+        """rows with the columns of both ends: x_ of the item, y_ of the opponent."""
+        out = rows
+        for end, mark in (("item", "x"), ("opponent", "y")):
+            out = out.join(nodes.select(*keys, F.col("item").alias(end), *(F.col(c).alias(f"{mark}_{c}") for c in columns)), [*keys, end])
         return out
 
-    grouped = matrix.groupBy(*keys) if keys else matrix.groupBy()
-    return grouped.applyInPandas(run, schema)
+    def value(nodes: DataFrame, column: str) -> dict[tuple, float]:
+        soft = lambda z: F.greatest(z, F.lit(0.0)) + F.log1p(F.exp(-F.abs(z)))
+        games_part = sums(ends(nodes, column), v=-F.col("wins") * soft(F.col(f"y_{column}") - F.col(f"x_{column}")))
+        prior_part = sums(nodes, v=-prior * (soft(F.col(column)) + soft(-F.col(column))))
+        return {k: games_part[k]["v"] + prior_part[k]["v"] for k in prior_part}
+
+    nodes = staged(rows.select(*keys, "item").distinct().withColumn("theta", F.lit(0.0)))
+    now, moved = value(nodes, "theta"), {}
+    for _ in range(config.max_iter):
+        p = 1 / (1 + F.exp(F.col("y_theta") - F.col("x_theta")))
+        weighed = staged(ends(nodes, "theta").select(*keys, "item", "opponent", (F.col("wins") - F.col("games") * p).alias("pull"), (F.col("games") * p * (1 - p)).alias("weight")))
+        own = 1 / (1 + F.exp(-F.col("theta")))
+        summed = weighed.groupBy(*keys, "item").agg(F.sum("pull").alias("pull"), F.sum("weight").alias("weight"))
+        diagonal = F.greatest(F.col("weight") + 2 * prior * own * (1 - own), F.lit(_TINY))
+        state = nodes.join(summed, [*keys, "item"]).select(*keys, "item", "theta", diagonal.alias("diagonal"), (F.col("pull") + prior * (1 - 2 * own)).alias("rest"), F.lit(0.0).alias("step"))
+        state = staged(state.withColumn("way", F.col("rest") / F.col("diagonal")))
+        size = {k: r["s"] for k, r in sums(state, s=F.col("rest") * F.col("way")).items()}
+        enough = {k: s * _SOLVED for k, s in size.items()}
+        for _ in range(10_000):
+            if all(size[k] <= enough[k] for k in size):
+                break
+            others = weighed.join(state.select(*keys, F.col("item").alias("opponent"), "way"), [*keys, "opponent"]).groupBy(*keys, "item").agg(F.sum(F.col("weight") * F.col("way")).alias("others"))
+            along = staged(state.join(others, [*keys, "item"]).withColumn("product", F.col("diagonal") * F.col("way") - F.col("others")))
+            bend = sums(along, bend=F.col("way") * F.col("product"), scale=F.col("way") * F.col("way") * F.col("diagonal"))
+            size = {k: s if bend[k]["bend"] > _FLAT * bend[k]["scale"] else 0.0 for k, s in size.items()}
+            along = with_scalar(along, "length", {k: s / bend[k]["bend"] if s > enough[k] else 0.0 for k, s in size.items()})
+            along = along.withColumns({"step": F.col("step") + F.col("length") * F.col("way"), "rest": F.col("rest") - F.col("length") * F.col("product")}).drop("length", "product", "others")
+            along = staged(along)
+            then = {k: r["s"] for k, r in sums(along, s=F.col("rest") * F.col("rest") / F.col("diagonal")).items()}
+            ratio = {k: then[k] / size[k] if size[k] > enough[k] else 0.0 for k in size}
+            state = with_scalar(along, "ratio", ratio).withColumn("way", F.col("rest") / F.col("diagonal") + F.col("ratio") * F.col("way")).drop("ratio")
+            size = {k: then[k] if size[k] > enough[k] else 0.0 for k in size}
+        share = dict.fromkeys(size, 1.0)
+        while True:
+            tried = staged(with_scalar(state.select(*keys, "item", "theta", "step"), "share", share).withColumn("theta", F.col("theta") + F.col("share") * F.col("step")))
+            then = value(tried, "theta")
+            worse = [k for k in share if then[k] < now[k] - 1e-9 * abs(now[k]) and share[k] > 1e-9]
+            if not worse:
+                break
+            share |= {k: share[k] / 2 for k in worse}
+        largest = {tuple(r[k] for k in keys): r["m"] for r in tried.groupBy(*keys).agg(F.max(F.abs(F.col("share") * F.col("step"))).alias("m")).collect()}
+        nodes, now = tried.select(*keys, "item", "theta"), then
+        moved = {k: m <= config.tol for k, m in largest.items()}
+        if all(moved.values()):
+            break
+    rests = with_scalar(nodes, "rests", {k: float(ok) for k, ok in moved.items()})
+    return rests.select(*keys, "item", F.col("theta").alias("strength"), (F.col("rests") > 0).alias("converged"))
+
+
+def bradley_terry(matrix: DataFrame, config: BradleyTerryConfig = BradleyTerryConfig(), by: Sequence[str] = ()) -> DataFrame:
+    """`by` columns, item, strength (centred), converged. One fit for each group of `by`, whose rows are pairs of items, not games.
+
+    With a prior, items that no games lead between are fitted apart, so a fit with more than `task_rows` rows falls into its weak components, many
+    of which make a task; a component that is larger still is fitted as frames. Without a prior wins have to lead from every item to every other."""
+    spark = matrix.sparkSession
+    with scratch(spark):
+        rows = staged(matrix.select(*by, "item", "opponent", "wins", "games"))
+        keys = list(by) or ["_fit"]
+        if not by:
+            rows = rows.withColumn("_fit", F.lit(0))
+        most = rows.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+        if most <= config.task_rows:
+            fitted = _fit_groups(rows, keys, config)
+        elif not config.prior:
+            won = rows.where("wins > 0").select(*keys, F.col("opponent").alias("source"), F.col("item").alias("target"))
+            parts = strong_components(won, tuple(keys)).select(*keys, F.col("node").alias("item"), "component")
+            apart = rows.select(*keys, "item").distinct().join(parts, [*keys, "item"], "left").groupBy(*keys).agg(F.count_distinct(F.coalesce("component", "item")).alias("n"))
+            if not apart.where("n > 1").isEmpty():
+                raise ValueError(_NOT_CONNECTED)
+            fitted = _fit_frames(rows, keys, config)
+        else:
+            labels = weak_components(rows.select(F.col("item").alias("x"), F.col("opponent").alias("y")).distinct()).select(F.col("node").alias("item"), F.col("label").alias("component"))
+            placed = staged(rows.join(labels, "item"))
+            sizes = placed.groupBy(*keys, "component").agg(F.count("*").alias("n")).groupBy("component").agg(F.max("n").alias("n"))
+            placed = placed.join(sizes, "component")
+            tasks = -(-most // config.task_rows)
+            small = placed.where(F.col("n") <= config.task_rows).withColumn("_task", F.pmod(F.xxhash64("component"), F.lit(4 * tasks)).cast("int"))
+            fitted = _fit_groups(small.drop("component", "n"), [*keys, "_task"], config).drop("_task")
+            large = placed.where(F.col("n") > config.task_rows)
+            if not large.isEmpty():
+                fitted = fitted.unionByName(_fit_frames(large, keys, config))
+        fitted = staged(fitted)
+        mean = fitted.groupBy(*keys).agg(F.avg("strength").alias("mean"), F.bool_and("converged").alias("all"))
+        out = fitted.drop("converged").join(mean, keys).select(*by, "item", (F.col("strength") - F.col("mean")).alias("strength"), F.col("all").alias("converged"))
+        return lasting(out)
 
 
 def predicted(strengths: DataFrame) -> DataFrame:

@@ -45,6 +45,9 @@ def _lengths(t: PreferenceTables) -> DataFrame:
 #: As in the SQL of the two queries that list or average the weights; refits take the operators' defaults.
 _REPLICATES = ranking.BootstrapConfig(n_replicates=100)
 
+#: So close to the end that four digits don't depend on how a fit gets there.
+_REST = 1e-13
+
 
 def _bootstrap_scores(t: PreferenceTables) -> DataFrame:
     scores = ranking.replicate_matrices(_games(t), _REPLICATES).groupBy("rep", "item").agg((F.sum("wins") / F.sum("games")).alias("estimate"))
@@ -92,7 +95,8 @@ _QUERIES: dict[str, Callable[[PreferenceTables], DataFrame]] = {
     "triad_cycles": lambda t: quality.triads(_edges(t)),
     "scc_summary": lambda t: quality.component_summary(_edges(t)),
     "cycle_p_value": lambda t: _round(quality.transitivity(_edges(t))),
-    "dawid_skene_reliability": lambda t: _round(dawid_skene.reliability(t.judgments).select("annotator_id", "n_labels", "accuracy", "spammer_score", "spammer", "reversed"), 4),
+    "dawid_skene_reliability": lambda t: _round(dawid_skene.reliability(t.judgments, tol=_REST).select("annotator_id", "n_labels", "accuracy", "spammer_score", "spammer", "reversed"), 4),
+    "dawid_skene_full": lambda t: _round(dawid_skene.reliability(t.judgments, tol=_REST, symmetric=False).select("annotator_id", "n_labels", "right_a", "right_b", "accuracy", "spammer_score", "spammer", "reversed"), 3),
     "audit_verdicts": lambda t: audit.verdicts(t.judgments, t.responses, t.gold_pairs),
     "votes_per_pair": lambda t: export.votes_per_pair(t.judgments).withColumn("n_people", F.size("annotators").cast("long")).drop("n_excluded", "annotators"),
     "pair_decisions": lambda t: _round(_decided(t).select("prompt_id", "a_id", "b_id", "n_votes", "chosen", "rejected", "agreement", F.array_join("reasons", ",").alias("reasons"))),

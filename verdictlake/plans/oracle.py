@@ -93,21 +93,35 @@ _RANKED = """
 rk AS (SELECT seq, prompt_id, i, i * m + p AS d, (i * 37 + (seq // 100) * 11) % 101 AS key FROM placed, n, range(0, 6) t(i) WHERE seq % 100 = 0)
 """
 
-#: Bradley-Terry by plain minorisation-maximisation, long enough for five digits.
-_BT = """
-items AS (SELECT item, sum(wins) AS w, row_number() OVER (ORDER BY item) AS i FROM wins GROUP BY item),
-pairs AS (SELECT x.i AS i, y.i AS j, games FROM wins JOIN items x ON x.item = wins.item JOIN items y ON y.item = opponent),
+
+def _bt(wins: str, steps: int) -> str:
+    """Bradley-Terry by plain minorisation-maximisation, long enough for the digits that are compared."""
+    return f"""
+items AS (SELECT item, sum(wins) AS w, row_number() OVER (ORDER BY item) AS i FROM {wins} GROUP BY item),
+pairs AS (SELECT x.i AS i, y.i AS j, games FROM {wins} JOIN items x ON x.item = {wins}.item JOIN items y ON y.item = opponent),
 fit AS (
   SELECT 0 AS step, i, 1.0::DOUBLE AS p FROM items
   UNION ALL
   SELECT f.step + 1, f.i, (any_value(w) + 0.1) / (sum(games / (f.p + g.p)) + 0.2 / (any_value(f.p) + 1))
   FROM fit f JOIN items USING (i) JOIN pairs ON pairs.i = f.i JOIN fit g ON g.i = pairs.j
-  WHERE f.step < 3000 GROUP BY f.step, f.i),
-theta AS (SELECT item, ln(p) - avg(ln(p)) OVER () AS strength FROM fit JOIN items USING (i) WHERE step = 3000)
+  WHERE f.step < {steps} GROUP BY f.step, f.i),
+theta AS (SELECT item, ln(p) - avg(ln(p)) OVER () AS strength FROM fit JOIN items USING (i) WHERE step = {steps})
 """
 
-#: One-coin Dawid-Skene, until the penalised likelihood changes by a billionth of itself, 500 iterations at most.
-_EM = """
+
+_BT = _bt("wins", 8000)
+_BT_RESPONSES = """
+rends AS (SELECT first AS item, second AS opponent, score FROM rgames UNION ALL SELECT second, first, 1 - score FROM rgames),
+rwins AS (SELECT item, opponent, sum(score) AS wins, count(*)::DOUBLE AS games FROM rends GROUP BY ALL),
+""" + _bt("rwins", 1500)
+
+
+def _em(right_a: str, right_b: str, penalty: str) -> str:
+    """Dawid-Skene by plain EM, until the penalised likelihood changes by 10^-13 of itself. A turn's chances come from the sums
+    ra of na and rb of nb: weights of right and of all labels under each class."""
+    sums = """sum(CASE y WHEN 0 THEN p0 ELSE 0 END) AS ra, sum(p0) AS na, sum(CASE y WHEN 1 THEN 1 - p0 ELSE 0 END) AS rb, sum(1 - p0) AS nb"""
+    chances = f"SELECT who, {right_a} AS a, {right_b} AS b FROM (SELECT people.who, coalesce(ra, 0) AS ra, coalesce(na, 0) AS na, coalesce(rb, 0) AS rb, coalesce(nb, 0) AS nb FROM people LEFT JOIN seen USING (who))"
+    return f"""
 obs AS (SELECT prompt_id || a_id || b_id AS item, annotator_id AS who, CASE label WHEN 'a_wins' THEN 0 ELSE 1 END AS y FROM labels_ WHERE label <> 'tie'),
 people AS (SELECT DISTINCT annotator_id AS who FROM labels_),
 all_items AS (SELECT DISTINCT prompt_id || a_id || b_id AS item FROM labels_),
@@ -115,21 +129,26 @@ start AS (SELECT item, coalesce(avg(1 - y), 0.5) AS p0 FROM all_items LEFT JOIN
 em AS (
   SELECT 0 AS step, item, p0, NULL::DOUBLE AS value, false AS rests FROM start
   UNION ALL
-  (WITH s AS (SELECT * FROM em WHERE step < 500 AND NOT rests),
+  (WITH s AS (SELECT * FROM em WHERE step < 3000 AND NOT rests),
    prior AS (SELECT (sum(p0) + 0.5) / (count(*) + 1) AS q FROM s),
-   seen AS (SELECT who, sum(CASE y WHEN 0 THEN p0 ELSE 1 - p0 END) AS good, count(*) AS n FROM obs JOIN s USING (item) GROUP BY who),
-   acc AS (SELECT who, (coalesce(good, 0) + 0.5) / (coalesce(n, 0) + 1) AS a FROM people LEFT JOIN seen USING (who)),
-   lik AS (SELECT item, sum(CASE y WHEN 0 THEN ln(a) ELSE ln(1 - a) END) AS l0, sum(CASE y WHEN 0 THEN ln(1 - a) ELSE ln(a) END) AS l1 FROM obs JOIN acc USING (who) GROUP BY item),
+   seen AS (SELECT who, {sums} FROM obs JOIN s USING (item) GROUP BY who),
+   chance AS ({chances}),
+   lik AS (SELECT item, sum(CASE y WHEN 0 THEN ln(a) ELSE ln(1 - a) END) AS l0, sum(CASE y WHEN 0 THEN ln(1 - b) ELSE ln(b) END) AS l1 FROM obs JOIN chance USING (who) GROUP BY item),
    post AS (SELECT s.step, s.item, s.value AS last, ln(q) + coalesce(l0, 0) AS g0, ln(1 - q) + coalesce(l1, 0) AS g1 FROM s CROSS JOIN prior LEFT JOIN lik USING (item)),
    total AS (
      SELECT (SELECT sum(greatest(g0, g1) + ln(1 + exp(-abs(g0 - g1)))) FROM post)
-            + 0.5 * ((SELECT ln(q) + ln(1 - q) FROM prior) + (SELECT sum(ln(a) + ln(1 - a)) FROM acc)) AS v)
-   SELECT step + 1, item, 1 / (1 + exp(g1 - g0)), v, coalesce(abs(v - last) <= 1e-9 * (1 + abs(v)), false) FROM post CROSS JOIN total)),
-final AS (
-  SELECT who, count(*) AS n, (sum(CASE y WHEN 0 THEN p0 ELSE 1 - p0 END) + 0.5) / (count(*) + 1) AS a
-  FROM obs JOIN em USING (item) WHERE step = (SELECT max(step) - 1 FROM em) GROUP BY who)
+            + 0.5 * ((SELECT ln(q) + ln(1 - q) FROM prior) + (SELECT sum({penalty}) FROM chance)) AS v)
+   SELECT step + 1, item, 1 / (1 + exp(g1 - g0)), v, coalesce(abs(v - last) <= 1e-13 * (1 + abs(v)), false) FROM post CROSS JOIN total)),
+seen AS (SELECT who, {sums} FROM obs JOIN em USING (item) WHERE step = (SELECT max(step) FROM em) GROUP BY who),
+chance AS ({chances}),
+final AS (SELECT who AS annotator_id, (SELECT count(*) FROM obs WHERE obs.who = chance.who) AS n, a, b, (a + b) / 2 AS accuracy, pow(a + b - 1, 2) AS score FROM chance)
 """
 
+
+_EM = _em("(ra + rb + 0.5) / (na + nb + 1)", "(ra + rb + 0.5) / (na + nb + 1)", "ln(a) + ln(1 - a)")
+_EM_FULL = _em("(ra + 0.5) / (na + 1)", "(rb + 0.5) / (nb + 1)", "ln(a) + ln(1 - a) + ln(b) + ln(1 - b)")
+_RELIABLE = "annotator_id, n AS n_labels, {0}round(accuracy, {1}) AS accuracy, round(score, {1}) AS spammer_score, n >= 20 AND score < 0.1 AS spammer, n >= 20 AND accuracy < 0.5 AND score >= 0.1 AS reversed FROM final"
+
 _PAIR_KAPPA = """
 met AS (SELECT x.annotator_id AS annotator_x, y.annotator_id AS annotator_y, x.label AS lx, y.label AS ly
         FROM labels_ x JOIN labels_ y USING (prompt_id, a_id, b_id) WHERE x.annotator_id < y.annotator_id),
@@ -184,6 +203,7 @@ def oracle_sql() -> dict[str, str]:
             _RANKED,
         ),
         "bt_strengths": _sql("SELECT item, round(strength, 4) + 0.0 AS strength FROM theta", _BT, True),
+        "rank_responses": _sql("SELECT item, round(strength, 4) + 0.0 AS strength, true AS converged FROM theta", _BT_RESPONSES, True),
         "bt_log_likelihood": _sql(
             """SELECT round((SELECT sum(wins * -ln(1 + exp(y.strength - x.strength))) FROM wins JOIN theta x ON x.item = wins.item JOIN theta y ON y.item = opponent)
                  + (SELECT sum(0.1 * (-ln(1 + exp(-strength)) - ln(1 + exp(strength)))) FROM theta), 4) + 0.0 AS log_likelihood""",
@@ -280,13 +300,8 @@ def oracle_sql() -> dict[str, str]:
             comp AS (SELECT a.annotator_id, a.x, min(b.x) AS root, count(*) AS size FROM reach a JOIN reach b ON b.annotator_id = a.annotator_id AND b.x = a.y AND b.y = a.x GROUP BY ALL)""",
             True,
         ),
-        "dawid_skene_reliability": _sql(
-            """SELECT p.annotator_id, coalesce(n, 0) AS n_labels, round(coalesce(a, 0.5), 4) AS accuracy, round(pow(2 * coalesce(a, 0.5) - 1, 2), 4) AS spammer_score,
-               coalesce(n, 0) >= 20 AND pow(2 * coalesce(a, 0.5) - 1, 2) < 0.1 AS spammer, coalesce(n, 0) >= 20 AND a < 0.5 AND pow(2 * a - 1, 2) >= 0.1 AS reversed
-               FROM (SELECT DISTINCT annotator_id FROM labels_) p LEFT JOIN final ON who = p.annotator_id""",
-            _EM,
-            True,
-        ),
+        "dawid_skene_reliability": _sql("SELECT " + _RELIABLE.format("", 4), _EM, True),
+        "dawid_skene_full": _sql("SELECT " + _RELIABLE.format("round(a, 3) AS right_a, round(b, 3) AS right_b, ", 3), _EM_FULL, True),
         "votes_per_pair": _sql("SELECT prompt_id, a_id, b_id, n_a, n_b, n_tie, n_skip, n_people FROM votes"),
         "pair_decisions": _sql("SELECT prompt_id, a_id, b_id, n_votes, chosen, rejected, round(agreement, 6) AS agreement, array_to_string(why, ',') AS reasons FROM reasons"),
         "drop_reason_counts": _sql("SELECT r.reason, count(x.reason) AS n FROM (VALUES ('no_votes'), ('too_few_votes'), ('tie'), ('low_agreement')) r(reason) LEFT JOIN (SELECT unnest(why) AS reason FROM reasons) x USING (reason) GROUP BY r.reason"),
