@@ -7,7 +7,7 @@ fingerprints are then compared byte by byte, piece by piece: for each (fingerpri
 largest piece must be the same. Those two are pre-aggregated before the shuffle, so a group with a third of all rows
 costs one row for each task and piece. Groups that fail (a collision) are split by their texts.
 
-Shuffles: fingerprints (about 100 bytes a row) and, once, the texts by doc_id to reach the members of groups.
+Shuffles: fingerprints (about 100 bytes a row) and, where the ids of groups are too many to broadcast, once the texts by doc_id.
 """
 
 from __future__ import annotations
@@ -138,8 +138,11 @@ def _exact_duplicates(docs: DataFrame, config: FingerprintConfig) -> DataFrame:
     groups = prints.groupBy(*key).agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
     rows = staged(prints.join(groups, key).withColumn("clash", F.lit(0).cast("long")))
 
+    # texts are first thinned out by ids alone, which are few bytes a row, and hashed again only then
+    ids = staged(rows.where("group_size > 1").select(F.col("doc_id").alias("m_id")).distinct())
     members = rows.where("group_size > 1").select("doc_id", "text_sha256", *key).distinct().withColumnRenamed("doc_id", "m_id").withColumnRenamed("text_sha256", "m_sha")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text")).withColumn("text_sha256", F.sha2("text", 256))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
+    texts = texts.join(ids, F.col("doc_id").eqNullSafe(F.col("m_id")), "left_semi").withColumn("text_sha256", F.sha2("text", 256))
     same_row = F.col("doc_id").eqNullSafe(F.col("m_id")) & (F.col("text_sha256") == F.col("m_sha"))
     candidates = texts.join(members, same_row).drop("m_id", "m_sha", "text_sha256", "doc_id")
     compared = _cut(candidates, config.compare_bytes).groupBy(*key, "offset").agg(F.min("piece").alias("low"), F.max("piece").alias("high"))
@@ -156,13 +159,19 @@ def drop_exact_duplicates(docs: DataFrame, config: FingerprintConfig = Fingerpri
     """docs without the rows whose text stays elsewhere; all columns are kept, and one row of those that repeat id and text.
     Rows without an id stay, each text of theirs once. Only rows that repeat an id and a text are shuffled with their texts."""
     found = exact_duplicates(docs, config)
-    gone = staged(found.where("not kept and doc_id is not null").select(F.col("doc_id").alias("gone_id"), F.col("text_sha256").alias("gone_sha")).distinct())
+    # where an id occurs once it says which row goes; the text's hash is only wanted for the others
+    several = staged(found.where("doc_id is not null").groupBy(F.col("doc_id").alias("gone_id")).agg(F.count("*").alias("n")).where("n > 1").drop("n"))
+    gone = found.where("not kept and doc_id is not null").select(F.col("doc_id").alias("gone_id"), F.col("text_sha256").alias("gone_sha")).distinct()
+    alone = staged(gone.join(several, "gone_id", "left_anti").select("gone_id"))
+    mixed = staged(gone.join(several, "gone_id", "left_semi"))
     row = [F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("at_id"), F.col("doc_id").isNull().alias("no_id"), F.col("text_sha256").alias("at_sha")]
     twice = staged(found.where("kept or doc_id is null").groupBy(*row).agg(F.count("*").alias("n")).where("n > 1").drop("n"))
     sha = F.sha2(whole_text(), 256)
-    # equal hashes, said so that rows are dealt by id alone and the last step needs no shuffle of its own
-    same = (F.col("doc_id").cast("long") == F.col("gone_id")) & (sha >= F.col("gone_sha")) & (sha <= F.col("gone_sha"))
-    kept = docs.join(gone, same, "left_anti")
+    same = F.col("doc_id").cast("long") == F.col("gone_id")
+    kept = docs.join(alone, same, "left_anti")
+    if not mixed.isEmpty():
+        # equal hashes, said so that rows are dealt by id alone as before
+        kept = kept.join(mixed, same & (sha >= F.col("gone_sha")) & (sha <= F.col("gone_sha")), "left_anti")
     if twice.isEmpty():
         return kept
     repeats = (F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)) == F.col("at_id")) & (F.col("doc_id").isNull() == F.col("no_id")) & (sha == F.col("at_sha"))
