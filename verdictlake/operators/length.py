@@ -1,15 +1,20 @@
-"""Length bias: a logistic fit for each annotator, adjusted for the quality that the others agree on, in two rounds."""
+"""Length bias: a logistic fit for each annotator, adjusted for the quality that the others agree on, in two rounds.
+
+All fits run at once, as sums over judgments: in each pass Spark adds up likelihood, slope and curvature of every fit
+at the point it tries, before and after one shuffle of a row a fit and task, and the next point follows from these few
+numbers by column arithmetic. So a fit over all judgments is no different from that of one annotator.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.stats import chi2_survival, holm, normal_quantile
+from ..functions.stats import chi2_survival, holm, normal_quantile, normal_two_sided
+from ..staging import lasting, scratch, staged
 from .comparisons import games, win_matrix
 from .ranking import BradleyTerryConfig, bradley_terry
 
@@ -43,14 +48,14 @@ def length_counts(decisive: DataFrame, unit: str) -> DataFrame:
     return with_ratio(decisive, unit).groupBy("annotator_id").agg(F.count("*").alias("n_decisive"), *(F.count_if(F.col("picked") == p).alias(f"n_{p}") for p in ("longer", "shorter", "equal")))
 
 
-def consensus_without_each(judgments: DataFrame, responses: DataFrame, distrusted: Sequence[str] = ()) -> DataFrame:
-    """left_out, item, strength: model strengths from the regular games of all annotators but left_out and distrusted.
+def consensus_without_each(judgments: DataFrame, responses: DataFrame, distrusted: DataFrame | None = None) -> DataFrame:
+    """left_out, item, strength: model strengths from the regular games of all annotators but left_out and those of distrusted(annotator_id).
 
     Win counts add up, so each annotator's are subtracted from the total instead of counting the others' games again;
     left_out is null for the consensus of all. Models left without games have no strength."""
-    trusted = judgments.where(~F.col("annotator_id").isin(list(distrusted))) if distrusted else judgments
+    trusted = judgments if distrusted is None else judgments.join(distrusted, "annotator_id", "left_anti")
     owned = games(trusted.withColumn("prompt_id", F.col("annotator_id")), responses.select("id", "model"))
-    each = win_matrix(owned.withColumnRenamed("cluster", "owner"), ["owner"])
+    each = staged(win_matrix(owned.withColumnRenamed("cluster", "owner"), ["owner"]))
     total = each.groupBy("item", "opponent").agg(F.sum("wins").alias("wins"), F.sum("games").alias("games"))
     people = judgments.select(F.col("annotator_id").alias("left_out")).distinct()
     cells = total.crossJoin(people)  # annotators times pairs of models, which is what the fits need
@@ -60,86 +65,138 @@ def consensus_without_each(judgments: DataFrame, responses: DataFrame, distruste
     return bradley_terry(rest, BradleyTerryConfig(), ["left_out"]).drop("converged")
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: np.ndarray, tol: float = 1e-10, max_iter: int = 100):
-    """(coefficients, covariance, penalised log-likelihood, separated) by Newton's method with step halving."""
-
-    def value(b):
-        eta = x @ b
-        return float((y * eta - np.logaddexp(0, eta)).sum() - 0.5 * (ridge * b * b).sum())
-
-    beta, now = np.zeros(x.shape[1]), value(np.zeros(x.shape[1]))
-    information = np.diag(ridge)
-    for _ in range(max_iter):
-        p = 1 / (1 + np.exp(-np.clip(x @ beta, -500, 500)))
-        information = (x * (p * (1 - p))[:, None]).T @ x + np.diag(ridge)
-        step = np.linalg.solve(information, x.T @ (y - p) - ridge * beta)
-        size = 1.0
-        while value(beta + size * step) < now and size > 1e-10:
-            size /= 2
-        beta, last, now = beta + size * step, now, value(beta + size * step)
-        if abs(now - last) <= tol * (1 + abs(now)):
+@dataclass(frozen=True)
+class LogisticConfig:
+    """Ridges of the slopes and of the intercept; tol: relative change of the penalised likelihood at the end."""
+
+    slope_ridge: float = 1.0
+    intercept_ridge: float = 1e-8
+    tol: float = 1e-10
+    max_iter: int = 100
+
+
+_B, _S = ("b0", "b1", "b2"), ("s0", "s1", "s2")
+
+
+def logistic_fits(rows: DataFrame, fits: DataFrame, config: LogisticConfig = LogisticConfig()) -> DataFrame:
+    """fit, model, b0, b1, b2, value, variance (of b1), separated: logistic fits of y on 1, x1, x2 over rows(fit, x1, x2, y), for each of fits(fit, model, use1, use2), which say whether
+    a model has x1 and x2; a coefficient it doesn't have is 0.
+
+    Each pass evaluates all open fits where they stand plus their step. What is no better halves its step; else the fit moves
+    there, and its next step is Newton's."""
+    used = [F.lit(1.0), F.col("use1"), F.col("use2")]
+    ridge = [config.intercept_ridge, config.slope_ridge, config.slope_ridge]
+    zero = F.lit(0.0)
+    state = fits.select("fit", "model", "use1", "use2", *(zero.alias(c) for c in (*_B, *_S)), zero.alias("share"), F.lit(None).cast("double").alias("value"), zero.alias("variance"), F.lit(False).alias("separated"), F.lit(False).alias("rests"))
+    state = staged(state)
+    for _ in range(config.max_iter):
+        tried = state.where(~F.col("rests")).select("fit", "model", "use1", "use2", *((F.col(b) + F.col("share") * F.col(s)).alias(b) for b, s in zip(_B, _S)))
+        x = [F.lit(1.0), F.col("x1") * F.col("use1"), F.col("x2") * F.col("use2")]
+        at = rows.join(tried, "fit").withColumn("eta", sum((F.col(b) * v for b, v in zip(_B[1:], x[1:])), F.col("b0")))
+        p = 1 / (1 + F.exp(-F.col("eta")))
+        at = at.withColumns({"off": F.col("y") - p, "curve": p * (1 - p)})
+        likelihood = F.col("y") * F.col("eta") - F.greatest(F.col("eta"), zero) - F.log1p(F.exp(-F.abs("eta")))
+        moments = {f"g{i}": F.sum(F.col("off") * x[i]) for i in range(3)} | {f"h{i}{j}": F.sum(F.col("curve") * x[i] * x[j]) for i in range(3) for j in range(i, 3)}
+        sums = at.groupBy("fit", "model").agg(
+            F.sum(likelihood).alias("likelihood"), *(c.alias(n) for n, c in moments.items()),
+            F.min(F.when(F.col("y") > 0.5, F.col("eta")).otherwise(-F.col("eta"))).alias("margin"), F.min(F.abs("off")).alias("closest"),
+        )
+        state = staged(_moved(state.join(sums, ["fit", "model"], "left"), used, ridge, config.tol).select(*state.columns))
+        if state.where(~F.col("rests")).isEmpty():
             break
-    p = 1 / (1 + np.exp(-np.clip(x @ beta, -500, 500)))
-    information = (x * (p * (1 - p))[:, None]).T @ x + np.diag(ridge)
-    margin = np.where(y > 0.5, x @ beta, -(x @ beta))
-    return beta, np.linalg.inv(information), now, bool((margin > 0).all() or (np.abs(y - p) < 1e-8).any())
-
-
-_FIT = "annotator_id string, n_decisive long, estimable boolean, coefficient double, std_error double, position_coefficient double, quality_coefficient double, lr_statistic double, separated boolean"
-
-
-def _fits(rows: DataFrame, min_decisive: int, slope_ridge: float, intercept_ridge: float) -> DataFrame:
-    """One fit for each annotator of rows(annotator_id, log_ratio, gap, chose_left). Only three numbers of a judgment reach the kernel."""
+    return state.select("fit", "model", *_B, "value", "variance", "separated")
+
+
+def _moved(found: DataFrame, used: list[Column], ridge: list[float], tol: float) -> DataFrame:
+    """The state after a pass; fits that rest have no sums and stay."""
+    at = [F.col(b) + F.col("share") * F.col(s) for b, s in zip(_B, _S)]
+    value = F.col("likelihood") - 0.5 * sum((r * b * b for r, b in zip(ridge, at)), F.lit(0.0))
+    g = [F.col(f"g{i}") - ridge[i] * at[i] for i in range(3)]
+    # a model without a column has nothing in its row but a one, so that its coefficient stays 0
+    h = {(i, j): F.col(f"h{i}{j}") + (ridge[i] + F.when(used[i] == 0, 1.0).otherwise(0.0) if i == j else 0.0) for i in range(3) for j in range(i, 3)}
+    found = found.withColumns({f"at{i}": at[i] for i in range(3)} | {"tried": value} | {f"g{i}": g[i] for i in range(3)} | {f"h{i}{j}": v for (i, j), v in h.items()})
+    h = {k: F.col(f"h{k[0]}{k[1]}") for k in h}
+    minor = {
+        (0, 0): h[1, 1] * h[2, 2] - h[1, 2] * h[1, 2], (0, 1): h[0, 2] * h[1, 2] - h[0, 1] * h[2, 2], (0, 2): h[0, 1] * h[1, 2] - h[0, 2] * h[1, 1],
+        (1, 1): h[0, 0] * h[2, 2] - h[0, 2] * h[0, 2], (1, 2): h[0, 1] * h[0, 2] - h[0, 0] * h[1, 2], (2, 2): h[0, 0] * h[1, 1] - h[0, 1] * h[0, 1],
+    }
+    found = found.withColumn("determinant", h[0, 0] * minor[0, 0] + h[0, 1] * minor[0, 1] + h[0, 2] * minor[0, 2])
+    newton = [sum((minor[min(i, j), max(i, j)] * F.col(f"g{j}") for j in range(3)), F.lit(0.0)) / F.col("determinant") for i in range(3)]
+    passed, new = F.col("tried").isNotNull(), F.col("tried")
+    better = passed & (F.col("value").isNull() | (new >= F.col("value")) | (F.col("share") <= 1e-10))
+    close = F.col("value").isNotNull() & (F.abs(new - F.col("value")) <= tol * (1 + F.abs(new)))
+    pick = lambda moved, halved, same: F.when(better, moved).when(passed, halved).otherwise(same)
+    columns = {b: pick(F.col(f"at{i}"), F.col(b), F.col(b)) for i, b in enumerate(_B)}
+    columns |= {s: pick(newton[i], F.col(s), F.col(s)) for i, s in enumerate(_S)}
+    columns |= {"value": pick(new, F.col("value"), F.col("value")), "share": pick(F.lit(1.0), F.col("share") / 2, F.col("share"))}
+    columns |= {"variance": pick(minor[1, 1] / F.col("determinant"), F.col("variance"), F.col("variance"))}
+    columns |= {"separated": pick((F.col("margin") > 0) | (F.col("closest") < 1e-8), F.col("separated"), F.col("separated")), "rests": F.col("rests") | (better & close) | ~passed}
+    return found.withColumns(columns)
+
+
+def _fits(rows: DataFrame, min_decisive: int, config: LogisticConfig) -> DataFrame:
+    """A row for each fit of rows(fit, log_ratio, gap, chose_left): with the ratio's slope and without it, so that the two can be compared."""
+    rows = staged(rows.select("fit", F.col("log_ratio").alias("x1"), F.col("gap").alias("x2"), F.col("chose_left").alias("y")))
+    varies = lambda c: F.max(c) > F.min(c)
+    known = staged(rows.groupBy("fit").agg(F.count("*").alias("n_decisive"), (varies("x1") & (F.count("*") >= min_decisive)).alias("estimable"), varies("x2").alias("has_gap")))
+    models = F.explode(F.array(F.struct(F.lit("full").alias("model"), F.lit(1.0).alias("use1")), F.struct(F.lit("without").alias("model"), F.lit(0.0).alias("use1")))).alias("m")
+    fits = known.where("estimable").select("fit", models, F.col("has_gap").cast("double").alias("use2")).select("fit", "m.model", "m.use1", "use2")
+    found = logistic_fits(rows, fits, config)
+    full = found.where("model = 'full'").drop("model")
+    without = found.where("model = 'without'").select("fit", F.col("value").alias("value_without"))
+    out = known.join(full, "fit", "left").join(without, "fit", "left")
+    return out.select(
+        "fit", "n_decisive", "estimable", F.col("b1").alias("coefficient"), F.sqrt("variance").alias("std_error"), F.col("b0").alias("position_coefficient"), F.when(F.col("has_gap"), F.col("b2")).alias("quality_coefficient"),
+        F.greatest(F.lit(0.0), 2 * (F.col("value") - F.col("value_without"))).alias("lr_statistic"), F.coalesce("separated", F.lit(False)).alias("separated"),
+    ).withColumn("lr_statistic", F.when(F.col("estimable"), F.col("lr_statistic")))
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        ratio, gap, y = (group[c].to_numpy(float) for c in ("log_ratio", "gap", "chose_left"))
-        out = {"annotator_id": group["annotator_id"].iloc[0], "n_decisive": len(group), "estimable": False, "separated": False}
-        if len(group) >= min_decisive and np.ptp(ratio) > 0:
-            columns = [np.ones(len(ratio)), ratio] + ([gap] if np.ptp(gap) > 0 else [])
-            x = np.column_stack(columns)
-            ridge = np.array([intercept_ridge] + [slope_ridge] * (len(columns) - 1))
-            beta, cov, full, separated = fit_logistic(x, y, ridge)
-            keep = [0] + list(range(2, len(columns)))
-            _, _, reduced, _ = fit_logistic(x[:, keep], y, ridge[keep])
-            out |= {"estimable": True, "coefficient": beta[1], "std_error": float(np.sqrt(cov[1, 1])), "position_coefficient": beta[0], "lr_statistic": max(0.0, 2 * (full - reduced)), "separated": separated}
-            if len(columns) > 2:
-                out["quality_coefficient"] = beta[2]
-        names = [c.split()[0] for c in _FIT.split(", ")]
-        return pd.DataFrame([[out.get(c) for c in names]], columns=names)
 
-    return rows.groupBy("annotator_id").applyInPandas(run, _FIT)
+def length_bias(judgments: DataFrame, responses: DataFrame, alpha: float = 0.05, confidence: float = 0.95, min_decisive: int = 10, slope_ridge: float = 1.0, intercept_ridge: float = 1e-8, unit: str = "auto", adjust_for_quality: bool = True) -> DataFrame:
+    """annotator_id (null: all together), slopes, their interval, Wald's z and p, the likelihood ratio test and flag; odds_ratio is that of a side twice as long. Annotators
+    that the first round flags are left out of the consensus of the second."""
+    with scratch(judgments.sparkSession):
+        return lasting(_length_bias(judgments, responses, alpha, confidence, min_decisive, LogisticConfig(slope_ridge, intercept_ridge), unit, adjust_for_quality))
 
 
-def length_bias(judgments: DataFrame, responses: DataFrame, alpha: float = 0.05, confidence: float = 0.95, min_decisive: int = 10, slope_ridge: float = 1.0, intercept_ridge: float = 1e-8, unit: str = "auto", adjust_for_quality: bool = True) -> DataFrame:
-    """annotator_id (null: all together), slopes, interval, test and flag. Annotators that the first round flags are
-    left out of the consensus of the second; their number is what comes to the driver."""
-    decisive = decisive_lengths(judgments, responses)
+def _length_bias(judgments: DataFrame, responses: DataFrame, alpha: float, confidence: float, min_decisive: int, config: LogisticConfig, unit: str, adjust: bool) -> DataFrame:
+    decisive = staged(decisive_lengths(judgments, responses).select("annotator_id", "choice", *(f"{side}_{c}" for side in ("left", "right") for c in ("model", "n_words", "n_chars"))))
     if unit == "auto":
         unit = length_unit(decisive).first()["unit"]
-    rows = with_ratio(decisive, unit).select("annotator_id", "left_model", "right_model", "log_ratio", F.when(F.col("choice") == "left", 1.0).otherwise(0.0).alias("chose_left"))
+    rows = staged(with_ratio(decisive, unit).select("annotator_id", "left_model", "right_model", "log_ratio", F.when(F.col("choice") == "left", 1.0).otherwise(0.0).alias("chose_left")))
 
-    def with_gap(own: DataFrame, strengths: DataFrame | None, key: str | None) -> DataFrame:
+    def with_gap(own: DataFrame, strengths: DataFrame | None, key: Column) -> DataFrame:
+        """own with the fit's key and the gap of the models' strengths where the fit's annotator is left out."""
+        own = own.withColumn("fit", key)
         if strengths is None:
             return own.withColumn("gap", F.lit(0.0))
+        strengths = strengths.withColumn("fit", F.coalesce(F.concat(F.lit("="), "left_out"), F.lit("*")))
         for side in ("left", "right"):
-            s = strengths.select(F.col("left_out").alias("annotator_id"), F.col("item").alias(f"{side}_model"), F.col("strength").alias(side))
-            own = own.join(s, ["annotator_id", f"{side}_model"], "left") if key else own.join(s.drop("annotator_id"), f"{side}_model", "left")
+            own = own.join(strengths.select("fit", F.col("item").alias(f"{side}_model"), F.col("strength").alias(side)), ["fit", f"{side}_model"], "left")
         return own.withColumn("gap", F.coalesce("left", F.lit(0.0)) - F.coalesce("right", F.lit(0.0)))
 
-    def one_round(distrusted: Sequence[str]) -> DataFrame:
-        strengths = consensus_without_each(judgments, responses, distrusted).where("left_out is not null") if adjust_for_quality else None
-        fits = _fits(with_gap(rows, strengths, "annotator_id"), min_decisive, slope_ridge, intercept_ridge)
-        fits = fits.withColumn("p_value", F.when(F.col("estimable"), chi2_survival("lr_statistic")).otherwise(F.lit(1.0)))
+    # a fit is named by the annotator that it leaves out of the consensus, or * for all together
+    each, pooled = F.concat(F.lit("="), "annotator_id"), F.lit("*")
+
+    def tested(fits: DataFrame) -> DataFrame:
+        fits = fits.select(F.when(F.col("fit") != "*", F.expr("substring(fit, 2)")).alias("annotator_id"), *(c for c in fits.columns if c != "fit"))
+        return fits.withColumn("p_value", F.when(F.col("estimable"), chi2_survival(F.col("lr_statistic"))).otherwise(F.lit(1.0)))
+
+    def judged(fits: DataFrame) -> DataFrame:
         return holm(fits, "p_value", F.col("estimable")).withColumn("flagged", F.col("estimable") & (F.col("p_adjusted") <= alpha))
 
-    found = one_round(())
-    first = [r["annotator_id"] for r in found.where("flagged").select("annotator_id").collect()] if adjust_for_quality else []
-    if first:
-        found = one_round(first)
-    strengths = consensus_without_each(judgments, responses, first).where("left_out is null") if adjust_for_quality else None
-    pooled = _fits(with_gap(rows, strengths, None).withColumn("annotator_id", F.lit("*")), min_decisive, slope_ridge, intercept_ridge)
-    pooled = pooled.withColumn("p_value", F.when(F.col("estimable"), chi2_survival("lr_statistic")).otherwise(F.lit(1.0)))
-    pooled = pooled.withColumns({"p_adjusted": F.col("p_value"), "flagged": F.col("estimable") & (F.col("p_value") <= alpha), "annotator_id": F.lit(None).cast("string")})
+    strengths = staged(consensus_without_each(judgments, responses)) if adjust else None
+    found = staged(judged(tested(_fits(with_gap(rows, strengths, each), min_decisive, config))))
+    first = found.where("flagged").select("annotator_id")
+    if adjust and not first.isEmpty():
+        strengths = staged(consensus_without_each(judgments, responses, first))
+        both = staged(tested(_fits(with_gap(rows, strengths, each).unionByName(with_gap(rows, strengths, pooled)), min_decisive, config)))
+        found, together = judged(both.where("annotator_id is not null")), both.where("annotator_id is null")
+    else:
+        together = tested(_fits(with_gap(rows, strengths, pooled), min_decisive, config))
+    together = together.withColumns({"p_adjusted": F.col("p_value"), "flagged": F.col("estimable") & (F.col("p_value") <= alpha)})
     z = normal_quantile(confidence)
-    out = found.unionByName(pooled).join(F.broadcast(judgments.sparkSession.createDataFrame([(unit,)], "unit string")))
-    return out.withColumns({"ci_lower": F.col("coefficient") - z * F.col("std_error"), "ci_upper": F.col("coefficient") + z * F.col("std_error")})
+    out = found.unionByName(together).withColumn("unit", F.lit(unit))
+    wald = F.when(F.col("std_error") > 0, F.col("coefficient") / F.col("std_error"))
+    return out.withColumns(
+        {"ci_lower": F.col("coefficient") - z * F.col("std_error"), "ci_upper": F.col("coefficient") + z * F.col("std_error"), "wald_z": wald, "wald_p": normal_two_sided(wald), "odds_ratio": F.exp(F.col("coefficient") * F.log(F.lit(2.0)))}
+    )
