@@ -406,6 +406,28 @@ def test_order_minhash(spark):
     assert like(base, changed) > like(base, swapped) > 0
 
 
+def test_an_inserted_character_changes_little_in_any_script():
+    rng = random.Random(3)
+    like = lambda a, b: order_minhash.likeness(order_minhash.fingerprint(a), order_minhash.fingerprint(b))
+    for text in ("".join(chr(rng.randint(0x4E00, 0x9000)) for _ in range(600)), "\u00a0".join(f"w{rng.randint(0, 999)}" for _ in range(150)), " ".join(f"w{rng.randint(0, 999)}" for _ in range(150)), "".join(chr(rng.randint(0x1F300, 0x1F6FF)) for _ in range(600))):
+        for at in (0, len(text) // 2, len(text)):
+            assert like(text, text[:at] + "q" + text[at:]) > 0.9
+        assert like(text, "".join(rng.sample(text, len(text)))) < 0.1
+    assert like("abc", "abd") == 0 and like("", "") == 1 == like("ab", "ab")
+
+
+def test_kmers_are_numbered_by_occurrence():
+    for text in ("", "a", "abcabcabcabc", "a" * 50, "".join(random.Random(1).choice("ab") for _ in range(300)), "日本日本日本x"):
+        for k in (1, 2, 3, 7, 10):
+            runs = [text[i : i + k] for i in range(len(text) - k + 1)] or ([text] if text else [])
+            seen, numbered = defaultdict(int), []
+            for r in runs:
+                numbered.append((r, seen[r]))
+                seen[r] += 1
+            h = order_minhash.kmer_hashes(text, k)
+            assert len(h) == len(runs) and len(set(h.tolist())) == len(set(numbered)) and len(set(zip(numbered, h.tolist()))) == len(set(numbered))
+
+
 def test_byte_bpe_equals_the_library(spark):
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(BYTE_BPE.ranks_path, "rb"))}
     library = tiktoken.Encoding("own", pat_str=BYTE_BPE.pattern, mergeable_ranks=ranks, special_tokens={})
