@@ -7,9 +7,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..staging import lasting, scratch, staged
 from .dawid_skene import reliability
 from .length import length_bias
-from .quality import gold_accuracy, position_bias, preference_edges, self_consistency, transitivity
+from .quality import annotator_kappa, gold_accuracy, item_labels, pair_kappa, position_bias, preference_edges, self_consistency, transitivity
 
 FLAGS = ("position", "length", "consistency", "intransitive", "gold", "spammer", "reversed")
 
@@ -36,6 +37,7 @@ def checks(judgments: DataFrame, responses: DataFrame, gold_pairs: DataFrame, co
         "consistency": self_consistency(judgments, config.alpha, config.confidence),
         "transitivity": transitivity(preference_edges(judgments, responses), config.min_triads, config.chance_level, config.random_draws, config.seed),
         "gold": gold_accuracy(judgments, gold_pairs, config.min_gold_accuracy, config.confidence),
+        "agreement": annotator_kappa(pair_kappa(item_labels(judgments))),
         "reliability": reliability(judgments, min_labels=config.min_ds_labels, min_spammer_score=config.min_spammer_score, min_accuracy=config.min_ds_accuracy),
     }
 
@@ -66,8 +68,21 @@ def reasons(found: dict[str, DataFrame], config: AuditConfig = AuditConfig()) ->
     return out
 
 
-def verdicts(judgments: DataFrame, responses: DataFrame, gold_pairs: DataFrame, config: AuditConfig = AuditConfig()) -> DataFrame:
-    """annotator_id, flags, reasons (in the fixed order), flagged: of everyone with a judgment."""
+def once(judgments: DataFrame, responses: DataFrame, gold_pairs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The three frames written out, so that each check reads a narrow table instead of deriving it again; no text is in them."""
+    judged = [c for c in ("id", "seq", "annotator_id", "prompt_id", "left_response_id", "right_response_id", "choice", "pair_kind", "repeat_of")]
+    return staged(judgments.select(*judged)), staged(responses.select("id", "model", "n_words", "n_chars")), staged(gold_pairs.select("prompt_id", "better_response_id", "worse_response_id"))
+
+
+def verdicts(judgments: DataFrame, responses: DataFrame, gold_pairs: DataFrame, config: AuditConfig = AuditConfig(), truth: DataFrame | None = None) -> DataFrame:
+    """annotator_id, flags, reasons (in the fixed order), flagged: of everyone with a judgment. With truth(annotator_id, archetype) how each was
+    planted stands beside the flags."""
+    with scratch(judgments.sparkSession):
+        rows = _verdicts(*once(judgments, responses, gold_pairs), config)
+        return lasting(rows if truth is None else rows.join(truth.select("annotator_id", "archetype"), "annotator_id", "left"))
+
+
+def _verdicts(judgments: DataFrame, responses: DataFrame, gold_pairs: DataFrame, config: AuditConfig) -> DataFrame:
     raised = reasons(checks(judgments, responses, gold_pairs, config), config)
     lists = raised.groupBy("annotator_id").agg(F.array_sort(F.collect_list(F.struct("place", "flag", "reason"))).alias("r"))
     everyone = judgments.select("annotator_id").distinct()

@@ -6,11 +6,13 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.stats import binomial_lower_half, binomial_two_sided_half, holm, wilson
+from ..staging import lasting, scratch, staged
 from .comparisons import canonical
+from .graphs import strong_components
 
 
 def position_counts(judgments: DataFrame, by: Sequence[str] = ("annotator_id",)) -> DataFrame:
@@ -139,14 +141,27 @@ def preference_edges(judgments: DataFrame, responses: DataFrame | None = None, k
     return rows.groupBy("annotator_id", F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).agg(F.signum(F.sum(net)).cast("int").alias("sign"))
 
 
+def _triples(edges: DataFrame) -> DataFrame:
+    """annotator_id, a, b, c, ab, ac, bc: complete triples of decided pairs once each, with 1 where the first of a pair was preferred.
+
+    Pairs point from the node with fewer pairs to the one with more, so that no node has many that leave it: two of these are a wedge,
+    and the pair that closes it is looked up. A node that everyone was compared with costs no square of its pairs."""
+    e = edges.where("sign <> 0").select("annotator_id", "u", "v", "sign")
+    degree = e.select("annotator_id", F.explode(F.array("u", "v")).alias("node")).groupBy("annotator_id", "node").agg(F.count("*").alias("d"))
+    for end in ("u", "v"):
+        e = e.join(degree.select("annotator_id", F.col("node").alias(end), F.struct("d", F.col("node").alias("name")).alias(f"r{end}")), ["annotator_id", end])
+    up = F.col("ru") < F.col("rv")
+    e = e.select("annotator_id", F.when(up, F.col("ru")).otherwise(F.col("rv")).alias("x"), F.when(up, F.col("rv")).otherwise(F.col("ru")).alias("y"), F.when(up, F.col("sign")).otherwise(-F.col("sign")).alias("s"))
+    one = e.select("annotator_id", F.col("x").alias("a"), F.col("y").alias("b"), F.col("s").alias("ab"))
+    two = e.select("annotator_id", F.col("x").alias("a"), F.col("y").alias("c"), F.col("s").alias("ac"))
+    close = e.select("annotator_id", F.col("x").alias("b"), F.col("y").alias("c"), F.col("s").alias("bc"))
+    found = one.join(two, ["annotator_id", "a"]).where("b < c").join(close, ["annotator_id", "b", "c"])
+    return found.select("annotator_id", *(F.col(f"{n}.name").alias(n) for n in "abc"), "ab", "ac", "bc")
+
+
 def triads(edges: DataFrame) -> DataFrame:
-    """annotator_id, n_triads, n_cycles: complete triples of decided pairs. Pairs meet at their middle node."""
-    e = edges.where("sign <> 0")
-    uv = e.select("annotator_id", "u", F.col("v"), F.col("sign").alias("uv"))
-    vw = e.select("annotator_id", F.col("u").alias("v"), F.col("v").alias("w"), F.col("sign").alias("vw"))
-    uw = e.select("annotator_id", "u", F.col("v").alias("w"), F.col("sign").alias("uw"))
-    full = uv.join(vw, ["annotator_id", "v"]).join(uw, ["annotator_id", "u", "w"])
-    return full.groupBy("annotator_id").agg(F.count("*").alias("n_triads"), F.count_if((F.col("uv") == F.col("vw")) & (F.col("uw") == -F.col("uv"))).alias("n_cycles"))
+    """annotator_id, n_triads, n_cycles: complete triples of decided pairs."""
+    return _triples(edges).groupBy("annotator_id").agg(F.count("*").alias("n_triads"), F.count_if((F.col("ab") == F.col("bc")) & (F.col("ac") == -F.col("ab"))).alias("n_cycles"))
 
 
 def _components(n: int, source: np.ndarray, target: np.ndarray) -> np.ndarray:
@@ -170,9 +185,29 @@ def _components(n: int, source: np.ndarray, target: np.ndarray) -> np.ndarray:
     return label
 
 
-def component_summary(edges: DataFrame) -> DataFrame:
+def component_summary(edges: DataFrame, task_rows: int = 20_000) -> DataFrame:
     """annotator_id, n_nodes, n_edges, n_level, n_cyclic_components, largest_component (0 without a cycle).
-    The kernel sees one annotator's pairs at a time; level pairs make nodes, too."""
+
+    Level pairs make nodes, too. Annotators with at most `task_rows` pairs are a task each; if one has more, components are found by frames."""
+    with scratch(edges.sparkSession):
+        rows = staged(edges.select("annotator_id", "u", "v", "sign"))
+        most = rows.groupBy("annotator_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+        return lasting(_summary_in_tasks(rows) if most <= task_rows else _summary_by_frames(rows))
+
+
+def _summary_by_frames(edges: DataFrame) -> DataFrame:
+    won = F.col("sign") > 0
+    arcs = edges.where("sign <> 0").select("annotator_id", F.when(won, F.col("u")).otherwise(F.col("v")).alias("source"), F.when(won, F.col("v")).otherwise(F.col("u")).alias("target"))
+    sizes = strong_components(arcs, ("annotator_id",)).groupBy("annotator_id", "component").agg(F.count("*").alias("size")).where("size > 1")
+    cyclic = sizes.groupBy("annotator_id").agg(F.count("*").alias("n_cyclic_components"), F.max("size").alias("largest_component"))
+    nodes = edges.select("annotator_id", F.explode(F.array("u", "v")).alias("node")).distinct().groupBy("annotator_id").agg(F.count("*").alias("n_nodes"))
+    counts = edges.groupBy("annotator_id").agg(F.count_if(F.col("sign") != 0).alias("n_edges"), F.count_if(F.col("sign") == 0).alias("n_level"))
+    out = nodes.join(counts, "annotator_id").join(cyclic, "annotator_id", "left").na.fill(0, ["n_cyclic_components", "largest_component"])
+    return out.select("annotator_id", "n_nodes", "n_edges", "n_level", "n_cyclic_components", "largest_component")
+
+
+def _summary_in_tasks(edges: DataFrame) -> DataFrame:
+    """The kernel sees one annotator's pairs at a time."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         names, codes = np.unique(np.r_[rows["u"].to_numpy(str), rows["v"].to_numpy(str)], return_inverse=True)
@@ -187,33 +222,43 @@ def component_summary(edges: DataFrame) -> DataFrame:
     return edges.groupBy("annotator_id").applyInPandas(run, "annotator_id string, n_nodes long, n_edges long, n_level long, n_cyclic_components long, largest_component long")
 
 
-def random_cycles(edges: DataFrame, n_draws: int = 2000, seed: int = 0) -> DataFrame:
-    """annotator_id, p_value, random_rate: how often as few triads are cyclic when every edge is a coin flip (add-one estimate); 1
-    without triads. Every annotator has the same seed."""
+_COINS = 32
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        annotator = rows["annotator_id"].iloc[0]
-        rows = rows[rows["sign"] != 0].sort_values(["u", "v"])
-        place = {e: n for n, e in enumerate(zip(rows["u"], rows["v"]))}
-        after: dict[str, list[str]] = {}
-        for u, v in place:
-            after.setdefault(u, []).append(v)
-        found = [(place[u, v], place[v, w], place[u, w]) for u, v in place for w in after.get(v, ()) if (u, w) in place]
-        p, rate = 1.0, None
-        if found:
-            t = np.array(found)
-            sign = rows["sign"].to_numpy()
-            cyclic = lambda s: ((s[..., t[:, 0]] == s[..., t[:, 1]]) & (s[..., t[:, 2]] == -s[..., t[:, 0]])).sum(axis=-1)
-            rng = np.random.default_rng(seed)
-            draws = np.concatenate([cyclic(rng.integers(0, 2, (min(200, n_draws - a), len(sign)), dtype=np.int8) * 2 - 1) for a in range(0, n_draws, 200)])
-            p, rate = (1 + int((draws <= cyclic(sign)).sum())) / (1 + n_draws), float(draws.mean() / len(t))
-        return pd.DataFrame([(annotator, p, rate)], columns=["annotator_id", "p_value", "random_rate"])
-
-    return edges.groupBy("annotator_id").applyInPandas(run, "annotator_id string, p_value double, random_rate double")
+
+def _coins(seed: int, word: Column, u: Column, v: Column) -> Column:
+    """32 coin flips of a pair, as the bits of a number: the first of an MD5 over seed, word and the pair's nodes in order."""
+    text = F.concat_ws("|", F.lit(f"{seed}|coin"), word.cast("string"), F.least(u, v), F.greatest(u, v))
+    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
+
+
+def random_cycles(edges: DataFrame, n_draws: int = 2000, seed: int = 0) -> DataFrame:
+    """annotator_id, p_value, random_rate of those with triads: how often as few triads are cyclic when every pair is a coin flip (add-one
+    estimate), and the share that then is. Every annotator has the same seed.
+
+    Draws go 32 at a time: the flips of a pair are the bits of a number, those in which a triad is cyclic the bits of another, which are
+    added up bit by bit over the triads, before and after one shuffle."""
+    found = triads(edges)
+    triples = _triples(edges)
+    words = -(-n_draws // _COINS)
+    each = triples.select("annotator_id", "a", "b", "c", F.explode(F.sequence(F.lit(0), F.lit(words - 1))).alias("word"))
+
+    def toward(x: str, y: str) -> Column:
+        """Flips of a pair as those of x against y: turned over where y comes first."""
+        flips = _coins(seed, F.col("word"), F.col(x), F.col(y))
+        return F.when(F.col(x) < F.col(y), flips).otherwise(flips.bitwiseXOR(F.lit((1 << _COINS) - 1)))
+
+    ab, bc, ca = toward("a", "b"), toward("b", "c"), toward("c", "a")
+    # cyclic where all three go the same way round
+    cyclic = F.bitwise_not(ab.bitwiseXOR(bc)).bitwiseAND(F.bitwise_not(bc.bitwiseXOR(ca)))
+    each = each.select("annotator_id", "word", cyclic.alias("cyclic"))
+    counts = each.groupBy("annotator_id", "word").agg(*(F.sum(F.shiftright("cyclic", k).bitwiseAND(F.lit(1))).alias(f"n{k}") for k in range(_COINS)))
+    draws = counts.select("annotator_id", F.posexplode(F.array(*(f"n{k}" for k in range(_COINS)))).alias("bit", "n"), "word").where(F.col("word") * _COINS + F.col("bit") < n_draws)
+    rows = draws.join(found, "annotator_id").groupBy("annotator_id", "n_triads").agg(F.count_if(F.col("n") <= F.col("n_cycles")).alias("low"), F.avg("n").alias("mean"))
+    return rows.select("annotator_id", ((F.col("low") + 1) / (n_draws + 1)).alias("p_value"), (F.col("mean") / F.col("n_triads")).alias("random_rate"))
 
 
 def transitivity(edges: DataFrame, min_triads: int = 10, chance_level: float = 0.5, n_draws: int = 2000, seed: int = 0) -> DataFrame:
-    """All of an annotator's graph; flagged with enough triads that are no less cyclic than coin flips."""
+    """All of an annotator's graph; flagged with enough triads that are no less cyclic than coin flips. Without triads p_value is 1."""
     rows = component_summary(edges).join(triads(edges), "annotator_id", "left").join(random_cycles(edges, n_draws, seed), "annotator_id", "left")
     rows = rows.fillna(0, ["n_triads", "n_cycles"]).fillna(1.0, ["p_value"])
     rate = F.when(F.col("n_triads") > 0, F.col("n_cycles") / F.col("n_triads"))

@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.places import numbered
 from ..staging import lasting, scratch, staged
 from .comparisons import item_scores, win_matrix
 from .graphs import strong_components, weak_components
@@ -49,9 +50,12 @@ class EloConfig:
 
 @dataclass(frozen=True)
 class BootstrapConfig:
+    """unit: what is drawn, clusters or single games."""
+
     n_replicates: int = 500
     level: float = 0.95
     seed: int = 0
+    unit: str = "clusters"
 
 
 def hash_unit(*keys) -> Column:
@@ -272,11 +276,6 @@ def log_likelihood(matrix: DataFrame, strengths: DataFrame, config: BradleyTerry
     return games_part.crossJoin(prior).select((F.coalesce("g", F.lit(0.0)) + F.col("p")).alias("log_likelihood"))
 
 
-def game_order(played: DataFrame) -> DataFrame:
-    """Games with n, their place in the canonical order: by cluster, items and score."""
-    return played.withColumn("n", F.row_number().over(Window.orderBy("cluster", "first", "second", "score")))
-
-
 def elo_pass(first: np.ndarray, second: np.ndarray, score: np.ndarray, n: int, config: EloConfig) -> np.ndarray:
     """Ratings after all games in the given order; axis 0 of the games may run over several orders at once."""
     ratings = np.full((first.shape[0], n), config.initial)
@@ -313,20 +312,30 @@ def elo(played: DataFrame, config: EloConfig = EloConfig(), permutations: int |
     return passes.groupBy("item").agg(F.avg("rating").alias("rating"), F.coalesce(F.stddev_pop("rating"), F.lit(0.0)).alias("rating_sd"))
 
 
+def units(played: DataFrame, unit: str) -> DataFrame:
+    """played with `cluster` as what is drawn: the clusters as they are, or each game by its number in the canonical order."""
+    if unit == "clusters":
+        return played
+    if unit != "games":
+        raise ValueError("what is drawn are clusters or games")
+    return numbered(played, [F.asc(c) for c in ("cluster", "first", "second", "score")], "n").withColumn("cluster", F.format_string("g%012d", "n")).drop("n")
+
+
 def bootstrap_weights(played: DataFrame, config: BootstrapConfig = BootstrapConfig()) -> DataFrame:
-    """rep, cluster, weight: clusters drawn with replacement, as often as there are clusters."""
-    clusters = played.select("cluster").distinct()
-    clusters = clusters.withColumn("n", F.row_number().over(Window.orderBy("cluster")) - 1)
+    """rep, cluster, weight: clusters drawn with replacement, as often as there are clusters. A draw is a hash of replicate and draw
+    number, so that draws need no order; clusters are numbered by ranges."""
+    clusters = numbered(played.select("cluster").distinct(), [F.asc("cluster")], "n")
     count = clusters.agg(F.count("*").alias("units"))
     draws = clusters.crossJoin(F.broadcast(count)).select("units", F.col("n").alias("draw"))
     draws = draws.crossJoin(F.broadcast(played.sparkSession.range(config.n_replicates).select(F.col("id").alias("rep"))))
-    chosen = F.floor(hash_unit(config.seed, "clusters", F.col("rep"), F.col("draw")) * F.col("units")).cast("int")
+    chosen = F.floor(hash_unit(config.seed, "clusters", F.col("rep"), F.col("draw")) * F.col("units")).cast("long")
     counted = draws.select("rep", chosen.alias("n")).groupBy("rep", "n").agg(F.count("*").alias("weight"))
     return counted.join(clusters, "n").select("rep", "cluster", "weight")
 
 
 def replicate_matrices(played: DataFrame, config: BootstrapConfig = BootstrapConfig()) -> DataFrame:
     """rep, item, opponent, wins, games: pairs are summed within clusters first, so replicates multiply sums, not games."""
+    played = units(played, config.unit)
     sums = played.groupBy("cluster", "first", "second").agg(F.sum("score").alias("won"), F.count("*").alias("n"))
     drawn = sums.join(bootstrap_weights(played, config), "cluster")
     half = drawn.groupBy("rep", "first", "second").agg(F.sum(F.col("weight") * F.col("won")).alias("won"), F.sum(F.col("weight") * F.col("n")).cast("double").alias("games"))
@@ -355,8 +364,9 @@ def bootstrap_bradley_terry(played: DataFrame, config: BootstrapConfig = Bootstr
 
 def bootstrap_elo(played: DataFrame, config: BootstrapConfig = BootstrapConfig(), rating: EloConfig = EloConfig(), permutations: int = 10) -> DataFrame:
     """item, rating, ci_lower, ci_upper, rank_lower, rank_upper: each replicate averages seeded orders of its games."""
-    sums = played.groupBy("cluster", "first", "second", "score").agg(F.count("*").alias("copies"))
-    drawn = sums.join(bootstrap_weights(played, config), "cluster").withColumn("copies", F.col("copies") * F.col("weight"))
+    own = units(played, config.unit)
+    sums = own.groupBy("cluster", "first", "second", "score").agg(F.count("*").alias("copies"))
+    drawn = sums.join(bootstrap_weights(own, config), "cluster").withColumn("copies", F.col("copies") * F.col("weight"))
 
     def run(games: pd.DataFrame) -> pd.DataFrame:
         rep = int(games["rep"].iloc[0])
@@ -386,9 +396,9 @@ def rank_rows(played: DataFrame, truth: DataFrame | None = None, config: Bootstr
         raise ValueError("no games are left to rank")
     fitted = bootstrap_bradley_terry(played, config, fit).withColumnRenamed("strength", "estimate") if method == "bradley_terry" else bootstrap_elo(played, config).withColumnRenamed("rating", "estimate")
     rows = fitted.drop("unconverged").join(item_scores(win_matrix(played)), "item")
-    rows = rows.withColumn("place", F.row_number().over(Window.orderBy(F.desc("estimate"), "item")))
+    rows = numbered(rows, [F.desc("estimate"), F.asc("item")], "place").withColumn("place", F.col("place") + 1)
     if truth is not None:
-        true = truth.select("item", F.row_number().over(Window.orderBy(F.desc("strength"), "item")).alias("true_rank"))
+        true = numbered(truth.select("item", "strength"), [F.desc("strength"), F.asc("item")], "true_rank").select("item", (F.col("true_rank") + 1).alias("true_rank"))
         rows = rows.join(true, "item", "left")
     return rows
 

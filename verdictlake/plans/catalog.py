@@ -42,15 +42,14 @@ def _lengths(t: PreferenceTables) -> DataFrame:
     return length.decisive_lengths(t.judgments, t.responses)
 
 
-#: As in the SQL of the two queries that list or average the weights; refits take the operators' defaults.
-_REPLICATES = ranking.BootstrapConfig(n_replicates=100)
+_REPLICATES = ranking.BootstrapConfig()
 
 #: So close to the end that four digits don't depend on how a fit gets there.
 _REST = 1e-13
 
 
-def _bootstrap_scores(t: PreferenceTables) -> DataFrame:
-    scores = ranking.replicate_matrices(_games(t), _REPLICATES).groupBy("rep", "item").agg((F.sum("wins") / F.sum("games")).alias("estimate"))
+def _bootstrap_scores(t: PreferenceTables, config: ranking.BootstrapConfig = _REPLICATES) -> DataFrame:
+    scores = ranking.replicate_matrices(_games(t), config).groupBy("rep", "item").agg((F.sum("wins") / F.sum("games")).alias("estimate"))
     return _round(ranking.intervals(scores))
 
 
@@ -78,6 +77,7 @@ _QUERIES: dict[str, Callable[[PreferenceTables], DataFrame]] = {
     "elo_averaged": lambda t: _round(ranking.elo(_games(t)), 4),
     "bootstrap_weights": lambda t: ranking.bootstrap_weights(_games(t), _REPLICATES),
     "bootstrap_score_ci": _bootstrap_scores,
+    "bootstrap_score_ci_games": lambda t: _bootstrap_scores(t, ranking.BootstrapConfig(n_replicates=20, unit="games")),
     "bt_bootstrap_ci": lambda t: _round(ranking.bootstrap_bradley_terry(_games(t)), 4),
     "elo_bootstrap_ci": lambda t: _round(ranking.bootstrap_elo(_games(t)), 4),
     "rank_responses": lambda t: _round(ranking.bradley_terry(comparisons.win_matrix(comparisons.games(t.judgments))), 4),
@@ -94,6 +94,7 @@ _QUERIES: dict[str, Callable[[PreferenceTables], DataFrame]] = {
     "preference_edges": _edges,
     "triad_cycles": lambda t: quality.triads(_edges(t)),
     "scc_summary": lambda t: quality.component_summary(_edges(t)),
+    "scc_summary_responses": lambda t: quality.component_summary(quality.preference_edges(t.judgments), task_rows=0),
     "cycle_p_value": lambda t: _round(quality.transitivity(_edges(t))),
     "dawid_skene_reliability": lambda t: _round(dawid_skene.reliability(t.judgments, tol=_REST).select("annotator_id", "n_labels", "accuracy", "spammer_score", "spammer", "reversed"), 4),
     "dawid_skene_full": lambda t: _round(dawid_skene.reliability(t.judgments, tol=_REST, symmetric=False).select("annotator_id", "n_labels", "right_a", "right_b", "accuracy", "spammer_score", "spammer", "reversed"), 3),

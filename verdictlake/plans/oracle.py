@@ -90,7 +90,7 @@ _HOLM = "least(1.0, (count(*) OVER (PARTITION BY n > 0) - row_number() OVER (PAR
 
 #: The places of a prompt's responses in each ranking.
 _RANKED = """
-rk AS (SELECT seq, prompt_id, i, i * m + p AS d, (i * 37 + (seq // 100) * 11) % 101 AS key FROM placed, n, range(0, 6) t(i) WHERE seq % 100 = 0)
+rk AS (SELECT seq, prompt_id, i, i * m + p AS d, (i * 37 + seq * 11) % 101 AS key FROM placed, n, range(0, 6) t(i))
 """
 
 
@@ -113,7 +113,7 @@ _BT = _bt("wins", 8000)
 _BT_RESPONSES = """
 rends AS (SELECT first AS item, second AS opponent, score FROM rgames UNION ALL SELECT second, first, 1 - score FROM rgames),
 rwins AS (SELECT item, opponent, sum(score) AS wins, count(*)::DOUBLE AS games FROM rends GROUP BY ALL),
-""" + _bt("rwins", 1500)
+""" + _bt("rwins", 6000)
 
 
 def _em(right_a: str, right_b: str, penalty: str) -> str:
@@ -159,6 +159,45 @@ kappa AS (SELECT *, CASE WHEN pe < 1 THEN (po - pe) / (1 - pe) END AS k FROM agr
 """
 
 
+_SCORE_CI = """SELECT item, round(quantile_cont(rate, 0.025), 6) AS ci_lower, round(quantile_cont(rate, 0.975), 6) AS ci_upper, floor(quantile_cont(place, 0.025))::BIGINT AS rank_lower, ceil(quantile_cont(place, 0.975))::BIGINT AS rank_upper
+  FROM (SELECT *, rank() OVER (PARTITION BY rep ORDER BY rate DESC)::DOUBLE AS place FROM rates) GROUP BY item"""
+
+
+def _drawn(replicates: int, clusters: str, ends: str) -> str:
+    """The rate of each item in each replicate."""
+    return f"""c AS (SELECT cluster, row_number() OVER (ORDER BY cluster) - 1 AS i FROM {clusters}),
+w AS (SELECT rep, cluster, count(*) AS weight FROM (SELECT rep, floor((('0x' || substr(md5('0|clusters|' || rep || '|' || draw), 1, 8))::BIGINT)::DOUBLE / 4294967296 * units)::BIGINT AS i
+  FROM range(0, {replicates}) t(rep), (SELECT count(*) AS units FROM c), (SELECT i AS draw FROM c)) JOIN c USING (i) GROUP BY ALL),
+rates AS (SELECT rep, item, sum(weight * score) / sum(weight) AS rate FROM w JOIN {ends} USING (cluster) GROUP BY ALL)"""
+
+
+def _scc(edges: str) -> str:
+    """Nodes that reach each other, by all that is reached from each."""
+    return f"""nodes AS (SELECT annotator_id, u AS x FROM {edges} UNION SELECT annotator_id, v FROM {edges}),
+arc AS (SELECT annotator_id, CASE WHEN sign > 0 THEN u ELSE v END AS x, CASE WHEN sign > 0 THEN v ELSE u END AS y FROM {edges} WHERE sign <> 0),
+reach AS (SELECT annotator_id, x, x AS y FROM nodes UNION SELECT r.annotator_id, r.x, a.y FROM reach r JOIN arc a ON a.annotator_id = r.annotator_id AND a.x = r.y),
+comp AS (SELECT a.annotator_id, a.x, min(b.x) AS root, count(*) AS size FROM reach a JOIN reach b ON b.annotator_id = a.annotator_id AND b.x = a.y AND b.y = a.x GROUP BY ALL),
+scc AS (SELECT annotator_id, count(*) AS n_nodes, any_value(n_edges) AS n_edges, any_value(n_level) AS n_level, count(DISTINCT CASE WHEN size > 1 THEN root END) AS n_cyclic_components, max(CASE WHEN size > 1 THEN size ELSE 0 END) AS largest_component
+  FROM comp JOIN (SELECT annotator_id, count(CASE WHEN sign <> 0 THEN 1 END) AS n_edges, count(CASE WHEN sign = 0 THEN 1 END) AS n_level FROM {edges} GROUP BY ALL) USING (annotator_id) GROUP BY annotator_id)"""
+
+
+_REDGES = """redges AS (
+  SELECT annotator_id, a_id AS u, b_id AS v, sign(sum(CASE label WHEN 'a_wins' THEN 1 WHEN 'b_wins' THEN -1 ELSE 0 END))::INT AS sign
+  FROM j WHERE kind IN ('regular', 'gold') GROUP BY ALL), """
+
+#: Triples, and 2000 draws of coin flips: the bits of the first 32 of an MD5, 32 draws at a time.
+_COINS = """tri AS (
+  SELECT a.annotator_id, a.u AS x, a.v AS y, b.v AS z, a.sign = b.sign AND c.sign = -a.sign AS cyclic FROM edges a JOIN edges b ON b.annotator_id = a.annotator_id AND b.u = a.v
+  JOIN edges c ON c.annotator_id = a.annotator_id AND c.u = a.u AND c.v = b.v WHERE a.sign <> 0 AND b.sign <> 0 AND c.sign <> 0),
+seen AS (SELECT annotator_id, count(*) AS n_triads, count(CASE WHEN cyclic THEN 1 END) AS n_cycles FROM tri GROUP BY ALL),
+coin AS (SELECT u, v, word, ('0x' || substr(md5('0|coin|' || word || '|' || u || '|' || v), 1, 8))::BIGINT AS flips FROM (SELECT DISTINCT u, v FROM edges), range(0, 63) t(word)),
+draw AS (
+  SELECT annotator_id, a.word * 32 + k AS d, count(CASE WHEN (a.flips >> k) & 1 = (b.flips >> k) & 1 AND (c.flips >> k) & 1 <> (a.flips >> k) & 1 THEN 1 END) AS n
+  FROM tri JOIN coin a ON a.u = x AND a.v = y JOIN coin b ON b.u = y AND b.v = z AND b.word = a.word JOIN coin c ON c.u = x AND c.v = z AND c.word = a.word, range(0, 32) t(k)
+  WHERE a.word * 32 + k < 2000 GROUP BY ALL),
+flipped AS (SELECT annotator_id, (count(CASE WHEN n <= n_cycles THEN 1 END) + 1) / 2001::DOUBLE AS p_value, avg(n) / any_value(n_triads) AS random_rate FROM draw JOIN seen USING (annotator_id) GROUP BY annotator_id)"""
+
+
 def _sql(select: str, extra: str = "", recursive: bool = False) -> str:
     return f"WITH {'RECURSIVE ' if recursive else ''}{TABLES}{', ' + extra if extra else ''} {select}"
 
@@ -233,16 +272,14 @@ def oracle_sql() -> dict[str, str]:
         ),
         "bootstrap_weights": _sql(
             """SELECT rep, cluster, count(*) AS weight FROM (SELECT rep, floor((('0x' || substr(md5('0|clusters|' || rep || '|' || draw), 1, 8))::BIGINT)::DOUBLE / 4294967296 * units)::BIGINT AS i
-               FROM range(0, 100) t(rep), (SELECT count(*) AS units FROM c), (SELECT i AS draw FROM c)) JOIN c USING (i) GROUP BY ALL""",
+               FROM range(0, 500) t(rep), (SELECT count(*) AS units FROM c), (SELECT i AS draw FROM c)) JOIN c USING (i) GROUP BY ALL""",
             "c AS (SELECT cluster, row_number() OVER (ORDER BY cluster) - 1 AS i FROM (SELECT DISTINCT cluster FROM mgames))",
         ),
-        "bootstrap_score_ci": _sql(
-            """SELECT item, round(quantile_cont(rate, 0.025), 6) AS ci_lower, round(quantile_cont(rate, 0.975), 6) AS ci_upper, floor(quantile_cont(place, 0.025))::BIGINT AS rank_lower, ceil(quantile_cont(place, 0.975))::BIGINT AS rank_upper
-               FROM (SELECT *, rank() OVER (PARTITION BY rep ORDER BY rate DESC)::DOUBLE AS place FROM (
-                 SELECT rep, item, sum(weight * score) / sum(weight) AS rate FROM w JOIN ends USING (cluster) GROUP BY ALL)) GROUP BY item""",
-            """c AS (SELECT cluster, row_number() OVER (ORDER BY cluster) - 1 AS i FROM (SELECT DISTINCT cluster FROM mgames)),
-            w AS (SELECT rep, cluster, count(*) AS weight FROM (SELECT rep, floor((('0x' || substr(md5('0|clusters|' || rep || '|' || draw), 1, 8))::BIGINT)::DOUBLE / 4294967296 * units)::BIGINT AS i
-               FROM range(0, 100) t(rep), (SELECT count(*) AS units FROM c), (SELECT i AS draw FROM c)) JOIN c USING (i) GROUP BY ALL)""",
+        "bootstrap_score_ci": _sql(_SCORE_CI, _drawn(500, "(SELECT DISTINCT cluster FROM mgames)", "ends"), False),
+        "bootstrap_score_ci_games": _sql(
+            _SCORE_CI,
+            "g AS (SELECT row_number() OVER (ORDER BY cluster, first, second, score) AS cluster, first, second, score FROM mgames), gends AS (SELECT cluster, first AS item, score FROM g UNION ALL SELECT cluster, second, 1 - score FROM g), "
+            + _drawn(20, "g", "gends"),
         ),
         "position_bias": _sql(
             f"""SELECT annotator_id, k AS n_left, n - k AS n_right, n_tie, n_skip, {_wilson("k", "n")}, round(p, 6)::DOUBLE AS p_value,
@@ -291,13 +328,13 @@ def oracle_sql() -> dict[str, str]:
             """SELECT a.annotator_id, count(*) AS n_triads, count(CASE WHEN a.sign = b.sign AND c.sign = -a.sign THEN 1 END) AS n_cycles FROM edges a JOIN edges b ON b.annotator_id = a.annotator_id AND b.u = a.v
                JOIN edges c ON c.annotator_id = a.annotator_id AND c.u = a.u AND c.v = b.v WHERE a.sign <> 0 AND b.sign <> 0 AND c.sign <> 0 GROUP BY ALL"""
         ),
-        "scc_summary": _sql(
-            """SELECT annotator_id, count(*) AS n_nodes, any_value(n_edges) AS n_edges, any_value(n_level) AS n_level, count(DISTINCT CASE WHEN size > 1 THEN root END) AS n_cyclic_components, max(CASE WHEN size > 1 THEN size ELSE 0 END) AS largest_component
-               FROM comp JOIN (SELECT annotator_id, count(CASE WHEN sign <> 0 THEN 1 END) AS n_edges, count(CASE WHEN sign = 0 THEN 1 END) AS n_level FROM edges GROUP BY ALL) USING (annotator_id) GROUP BY annotator_id""",
-            """nodes AS (SELECT annotator_id, u AS x FROM edges UNION SELECT annotator_id, v FROM edges),
-            arc AS (SELECT annotator_id, CASE WHEN sign > 0 THEN u ELSE v END AS x, CASE WHEN sign > 0 THEN v ELSE u END AS y FROM edges WHERE sign <> 0),
-            reach AS (SELECT annotator_id, x, x AS y FROM nodes UNION SELECT r.annotator_id, r.x, a.y FROM reach r JOIN arc a ON a.annotator_id = r.annotator_id AND a.x = r.y),
-            comp AS (SELECT a.annotator_id, a.x, min(b.x) AS root, count(*) AS size FROM reach a JOIN reach b ON b.annotator_id = a.annotator_id AND b.x = a.y AND b.y = a.x GROUP BY ALL)""",
+        "scc_summary": _sql("SELECT * FROM scc", _scc("edges"), True),
+        "scc_summary_responses": _sql("SELECT * FROM scc", _REDGES + _scc("redges"), True),
+        "cycle_p_value": _sql(
+            """SELECT scc.*, coalesce(n_triads, 0) AS n_triads, coalesce(n_cycles, 0) AS n_cycles, round(coalesce(p_value, 1.0), 6) AS p_value, round(random_rate, 6) AS random_rate,
+               CASE WHEN n_triads > 0 THEN round(n_cycles / n_triads::DOUBLE, 6) END AS cycle_rate, coalesce(n_triads, 0) >= 10 AND coalesce(p_value, 1.0) > 0.5 AS flagged
+               FROM scc LEFT JOIN seen USING (annotator_id) LEFT JOIN flipped USING (annotator_id)""",
+            _scc("edges") + ", " + _COINS,
             True,
         ),
         "dawid_skene_reliability": _sql("SELECT " + _RELIABLE.format("", 4), _EM, True),

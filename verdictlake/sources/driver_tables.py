@@ -147,8 +147,8 @@ class PreferenceTables:
 
     @property
     def ranked(self) -> DataFrame:
-        """id, annotator_id, prompt_id, ranking (best first): every hundredth event ranks all responses of its prompt."""
+        """id, annotator_id, prompt_id, ranking (best first): every event ranks all responses of its prompt as well."""
         n, k = self.n_prompts, MODELS
-        rows = self._placed.where(F.col("seq") % 100 == 0)
-        keys = F.array_sort(F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.struct(((i * 37 + _div(F.col("seq"), 100) * 11) % 101).alias("key"), i.alias("k"))))
+        rows = self._placed
+        keys = F.array_sort(F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.struct(((i * 37 + F.col("seq") * 11) % 101).alias("key"), i.alias("k"))))
         return rows.select(padded("k", F.col("seq"), WIDTH).alias("id"), "annotator_id", "prompt_id", F.transform(keys, lambda x: padded("r", x["k"] * n + F.col("prompt_no"), WIDTH)).alias("ranking"))
