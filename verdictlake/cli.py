@@ -11,8 +11,9 @@ import json
 import sys
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .operators import audit, comparisons, export, ranking
+from .operators import audit, comparisons, export, quality, ranking
 from .session import get_session
 from .sources.card import card, markdown, write_card
 from .sources.driver_tables import PreferenceTables
@@ -20,6 +21,7 @@ from .sources.records import RecordError, read_records
 from .sources.split_files import write_splits
 from .sources.store import Store, StoreError
 from .sources.stored import StoreTables
+from .staging import scratch, staged
 
 
 def table(rows: DataFrame, order: list[str], as_json: bool) -> str:
@@ -47,12 +49,18 @@ def _parser() -> argparse.ArgumentParser:
             p.add_argument("--method", choices=("bradley_terry", "elo"), default="bradley_terry")
             p.add_argument("--level", choices=("model", "response"), default="model")
             p.add_argument("--replicates", type=int, default=500)
+            p.add_argument("--unit", choices=("clusters", "games"), default="clusters")
+            p.add_argument("--top", type=int, default=1000, help="items to print, 0 for all; --out has all of them")
+            p.add_argument("--out")
             p.add_argument("--seed", type=int, default=0)
         if name == "audit":
             p.add_argument("--strict", action="store_true")
             p.add_argument("--alpha", type=float, default=0.05)
         if name == "export":
-            p.add_argument("--format", choices=tuple(export.ROWS), default="dpo")
+            p.add_argument("--format", choices=(*export.ROWS, "all"), action="append", help="may be given several times; all without one")
+            for split in export.SPLITS:
+                p.add_argument(f"--{split}", type=float, default=getattr(export.SplitConfig, split), help="share of prompts")
+            p.add_argument("--salt", default=export.SplitConfig.salt)
             p.add_argument("--out", required=True)
             p.add_argument("--no-audit", action="store_true")
             p.add_argument("--min-votes", type=int, default=1)
@@ -95,13 +103,30 @@ def run(argv: list[str]) -> int:
         played = comparisons.games(t.judgments, models, excluded=args.exclude)
         known = [(k, float(v)) for k, v in truth.get("strengths", {}).items()]
         true = spark.createDataFrame(known, "item string, strength double") if known else None
-        say(table(ranking.rank_rows(played, true, ranking.BootstrapConfig(args.replicates, seed=args.seed), method=args.method), ["place"], args.json))
+        with scratch(spark):
+            played = staged(played)
+            rows = staged(ranking.rank_rows(played, true, ranking.BootstrapConfig(args.replicates, seed=args.seed, unit=args.unit), method=args.method))
+            more = ranking.report_facts(played, rows, true, args.method).first().asDict()
+            more["dropped"] = {r["reason"]: r["n"] for r in comparisons.game_drops(t.judgments, models, excluded=args.exclude).collect() if r["reason"] != "game"}
+            if args.out:
+                rows.orderBy("place").write.json(args.out)
+            shown = rows.where(F.col("place") <= args.top) if args.top else rows
+            if args.json:
+                say(json.dumps({"items": json.loads(table(shown, ["place"], True)), **more}, indent=2, sort_keys=True))
+            else:
+                say(table(shown, ["place"], False))
+                say("\n".join(f"{k}: {v}" for k, v in more.items()))
     elif args.command == "checks":
-        found = audit.checks(t.judgments, t.responses, t.gold_pairs)
-        for name in ("position", "length", "consistency"):
-            say(f"# {name}\n{table(found[name], ['annotator_id'], args.json)}")
+        with scratch(spark):
+            inputs = audit.once(t.judgments, t.responses, t.gold_pairs)
+            found = audit.checks(*inputs)
+            for name in ("position", "length", "consistency", "agreement", "transitivity", "gold", "reliability"):
+                say(f"# {name}\n{table(found[name], ['annotator_id'], args.json)}")
+            say(f"# fleiss\n{table(quality.fleiss(quality.item_labels(inputs[0])), ['n_raters'], args.json)}")
     elif args.command == "audit":
-        found = audit.verdicts(t.judgments, t.responses, t.gold_pairs, audit.AuditConfig(alpha=args.alpha))
+        planted = [(k, str(v)) for k, v in truth.get("archetypes", {}).items()]
+        planted = spark.createDataFrame(planted, "annotator_id string, archetype string") if planted else None
+        found = audit.verdicts(t.judgments, t.responses, t.gold_pairs, audit.AuditConfig(alpha=args.alpha), planted)
         say(table(found, ["annotator_id"], args.json))
         return int(args.strict and not found.where("flagged").isEmpty())
     elif args.command == "export":
@@ -110,9 +135,13 @@ def run(argv: list[str]) -> int:
             for r in audit.verdicts(t.judgments, t.responses, t.gold_pairs).where("flagged").collect():
                 why.setdefault(r["annotator_id"], []).extend(r["reasons"])
         config = export.FilterConfig(args.min_votes, args.min_agreement, not args.keep_ties, sorted(why))
-        decided = export.decisions(export.votes_per_pair(t.judgments, config), config)
-        write_splits(export.ROWS[args.format](decided, t.prompts, t.responses), f"{args.out}/{args.format}")
-        found = card(decided, t.judgments, t.responses, config, left_out={a: "; ".join(r) for a, r in why.items()})
+        splits = export.SplitConfig(args.train, args.validation, args.test, args.salt)
+        formats = sorted(export.ROWS) if not args.format or "all" in args.format else sorted(set(args.format))
+        with scratch(spark):
+            decided = staged(export.decisions(export.votes_per_pair(t.judgments, config), config))
+            digests = {f: write_splits(export.ROWS[f](decided, t.prompts, t.responses, splits), f"{args.out}/{f}")["all"] for f in formats}
+            found = card(decided, t.judgments, t.responses, config, splits, left_out={a: "; ".join(r) for a, r in why.items()})
+        found["digests"] = digests
         write_card(spark, found, args.out)
         say(json.dumps(found, indent=2, sort_keys=True) if args.json else markdown(found))
     return 0

@@ -403,6 +403,15 @@ def rank_rows(played: DataFrame, truth: DataFrame | None = None, config: Bootstr
     return rows
 
 
+def report_facts(played: DataFrame, rows: DataFrame, truth: DataFrame | None = None, method: str = "bradley_terry") -> DataFrame:
+    """One row: n_games, n_ties, n_items, n_clusters, the fit gap of a Bradley-Terry ranking's rows(item, estimate), and Kendall's tau against truth(item, strength); null where there is none."""
+    out = played.agg(F.count("*").alias("n_games"), F.count_if(F.col("score") == 0.5).alias("n_ties"), F.count_distinct("cluster").alias("n_clusters"))
+    out = out.crossJoin(rows.agg(F.count("*").alias("n_items")))  # one row each
+    gap = fit_gap(win_matrix(played), rows.select("item", F.col("estimate").alias("strength"))) if method == "bradley_terry" else out.select(F.lit(None).cast("double").alias("fit_gap"))
+    tau = kendall_tau(rows.select("item", "estimate").join(truth, "item"), "estimate", "strength") if truth is not None else out.select(F.lit(None).cast("double").alias("tau"))
+    return out.crossJoin(gap).crossJoin(tau)
+
+
 def sample_games(strengths: dict[str, float], spark, n_clusters: int, games_per_pair: int = 1, cluster_sd: float = 0.0, tie_rate: float = 0.0, seed: int = 0) -> DataFrame:
     """Games drawn from known strengths: each pair meets in each cluster, in which strengths may be shifted."""
     items = spark.createDataFrame(sorted(strengths.items()), "item string, strength double")
