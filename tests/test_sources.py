@@ -59,6 +59,12 @@ def test_jsonl_store_round_trip(spark, folder):
         ('["list"]', "JSON"),
         ({"id": "x9"}, "unknown or missing type"),
         ({**REST[2], "choice": "both"}, "choice"),
+        ({**PROMPT, "id": 5}, "id: not a string"),
+        ({**PROMPT, "tags": "one"}, "tags: not a list of strings"),
+        ({**PROMPT, "responses": {}}, "responses: not a list of objects"),
+        ({**PROMPT, "responses": [3]}, "responses: not a list of objects"),
+        ({**REST[2], "latency_ms": "12"}, "latency_ms: not a whole number"),
+        ({"type": "response", "id": "r7", "prompt_id": "p", "model": "m", "text": "t", "provenance": {"source": "model", "temperature": "hot"}}, "provenance.temperature: not a number"),
     ],
 )
 def test_bad_lines_are_named(spark, folder, line, message):
@@ -66,6 +72,21 @@ def test_bad_lines_are_named(spark, folder, line, message):
         read_records(spark, write(folder, [REST[0], line]))
 
 
+def test_lines_are_numbered_over_splits(spark, folder):
+    from verdictlake.sources.records import lines_of
+
+    path = write(folder, [{"type": "annotator", "id": f"a{n}"} for n in range(3000)])
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20k")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        lines = lines_of(spark, path)
+        assert lines.rdd.getNumPartitions() > 3
+        assert sorted((r["line_no"], json.loads(r["value"])["id"]) for r in lines.collect()) == [(2 * n + 1, f"a{n}") for n in range(3000)]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
 def test_planted_annotators_are_found(spark):
     rng = random.Random(5)
     skill = {f"model-{c}": -k for k, c in enumerate("abcd")}

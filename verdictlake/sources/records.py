@@ -9,7 +9,7 @@ from __future__ import annotations
 import json
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -48,10 +48,47 @@ def schema_of(kind: str) -> str:
 
 
 def lines_of(spark: SparkSession, path: str) -> DataFrame:
-    """line_no, value of the lines that aren't blank. Numbers come from counting lines by partition, which is what RDDs do."""
-    numbered = spark.read.text(path).rdd.zipWithIndex().map(lambda x: (x[1] + 1, x[0][0]))
-    rows = spark.createDataFrame(numbered, "line_no long, value string")
-    return rows.withColumn("value", F.regexp_replace("value", _TRIM, "")).where("value <> ''")
+    """line_no, value of the lines that aren't blank. A line's number is its place in its split of the file, and the lines of the splits
+    before, of which Spark counts each; where there are several files, they follow each other by path."""
+    block = ["file", "start"]
+    rows = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("spot"))
+    # one row for each split, which is what the driver plans tasks by, too
+    sizes = rows.groupBy(*block).agg(F.min("spot").alias("first"), F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy(*block).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = rows.join(F.broadcast(sizes.select(*block, "first", before.alias("before"))), block)
+    rows = rows.select((F.col("before") + F.col("spot") - F.col("first") + 1).alias("line_no"), F.regexp_replace("value", _TRIM, "").alias("value"))
+    return rows.where("value <> ''")
+
+
+#: What a value in JSON is called for each type of a field, as a pattern of Spark's names for variants.
+_FORMS = {
+    "string": (r"STRING", "a string"),
+    "timestamp": (r"STRING", "a time as a string"),
+    "bigint": (r"BIGINT", "a whole number"),
+    "double": (r"BIGINT|DOUBLE|DECIMAL.*", "a number"),
+    "array<string>": (r"ARRAY<(STRING|VOID)>", "a list of strings"),
+    "struct": (r"OBJECT<.*>", "an object"),
+}
+
+
+def _type_faults(kind: str) -> list[Column]:
+    """A message for each field of `json` whose value is of another type than its kind says; nulls are left to other rules."""
+
+    def fault(path: str, own: str) -> Column:
+        pattern, name = _FORMS[own]
+        form = F.schema_of_variant(F.try_variant_get("json", f"$.{path}", "variant"))
+        return F.when(~form.rlike(f"^({pattern}|VOID)$"), F.lit(f"{path}: not {name}"))
+
+    found = []
+    for field, own in FIELDS[kind].items():
+        n = field.rstrip("!")
+        found.append(fault(n, "struct" if own == PROVENANCE else own))
+        if own == PROVENANCE:
+            found += [fault(f"{n}.{part.split(': ')[0]}", part.split(": ")[1]) for part in PROVENANCE[len("struct<") : -1].split(", ")]
+    if kind == "prompt":
+        form = F.schema_of_variant(F.try_variant_get("json", "$.responses", "variant"))
+        found.append(F.when(~form.rlike(r"^ARRAY<(OBJECT<.*>|VOID)>$"), F.lit("responses: not a list of objects")))
+    return found
 
 
 def _unnested(lines: DataFrame) -> DataFrame:
@@ -66,7 +103,7 @@ def _unnested(lines: DataFrame) -> DataFrame:
 
 def _typed(rows: DataFrame, kind: str) -> DataFrame:
     record = F.from_json("object", schema_of(kind))
-    own = rows.where(F.col("type") == kind).select("line_no", "place", "keys", "parent", "other_parent", record.alias("r"))
+    own = rows.where(F.col("type") == kind).select("line_no", "place", "keys", "parent", "other_parent", "object", record.alias("r"))
     columns = {n: F.col(f"r.{n}") for n in names(kind)}
     if kind == "response":
         columns["prompt_id"] = F.coalesce(columns["prompt_id"], F.col("parent"))
@@ -75,7 +112,7 @@ def _typed(rows: DataFrame, kind: str) -> DataFrame:
     for n in ("category", "model", "display_name", "rationale"):
         if n in columns:  # labels and rationales are trimmed, blank ones are none
             columns[n] = F.nullif(F.regexp_replace(columns[n], _TRIM, ""), F.lit(""))
-    return own.select("line_no", "place", "keys", "other_parent", *(c.alias(n) for n, c in columns.items()))
+    return own.select("line_no", "place", "keys", "other_parent", "object", *(c.alias(n) for n, c in columns.items()))
 
 
 def _rules(kind: str) -> list[tuple[Column, str]]:
@@ -126,8 +163,9 @@ def record_errors(lines: DataFrame) -> DataFrame:
     for kind in FIELDS:
         allowed = [*names(kind), "type"] + ["responses"] * (kind == "prompt")
         extra = F.array_except(F.map_keys("keys"), F.array(*map(F.lit, allowed)))
-        faults = F.filter(F.array(F.when(F.size(extra) > 0, F.concat(F.lit("unknown field "), F.array_join(extra, ", "))), *(F.when(bad, text) for bad, text in _rules(kind))), lambda x: x.isNotNull())
-        found = _typed(rows.where("keys is not null"), kind).select("line_no", faults.alias("faults")).where(F.size("faults") > 0)
+        faults = F.filter(F.array(F.when(F.size(extra) > 0, F.concat(F.lit("unknown field "), F.array_join(extra, ", "))), *_type_faults(kind), *(F.when(bad, text) for bad, text in _rules(kind))), lambda x: x.isNotNull())
+        typed = _typed(rows.where("keys is not null"), kind).withColumn("json", F.try_parse_json("object"))
+        found = typed.select("line_no", faults.alias("faults")).where(F.size("faults") > 0)
         out = out.unionByName(found.select("line_no", F.concat(F.lit(f"invalid {kind}: "), F.array_join("faults", "; ")).alias("message")))
     return out
 
