@@ -8,6 +8,8 @@ Tables that a stage writes for itself are gone when its result is complete, but
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +23,18 @@ from verdictlake.llm.queries import PACKING
 from verdictlake.llm.suffix_dedup import without_repeats
 
 
+@contextmanager
+def _small_batches(spark: SparkSession) -> Iterator[None]:
+    """Arrow batches of 16 MB at most instead of 64: rows are blocks of texts here, and each task holds a batch on either side of its Python worker."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "16m")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """docs whose doc_id is not in gone(gone_id)."""
     return docs.join(staged(gone.distinct()), F.col("doc_id").cast("long") == F.col("gone_id"), "left_anti")
@@ -31,7 +45,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     repeat an id go together, if the text of one of them goes."""
     model = fit_languages(docs.where(~held_out()).select("doc_id", "text", "lang"))
     found = identify_languages(docs.select("doc_id", "text"), model)
-    return _without(docs, found.where("rejected").select(F.col("doc_id").alias("gone_id")))
+    with _small_batches(spark):
+        return _without(docs, found.where("rejected").select(F.col("doc_id").alias("gone_id")))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,14 +56,16 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the smallest id, of each component of near duplicates. Rows without an id or without words stay."""
-    found = similarity_components(docs.select("doc_id", "text"))
+    with _small_batches(spark):
+        found = similarity_components(docs.select("doc_id", "text"))
     return _without(docs, found.where("component_id <> doc_id").select(F.col("doc_id").alias("gone_id")))
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages that documents with smaller ids have; those of which nothing is left go. Rows without an
     id come after all others."""
-    return without_repeats(docs)
+    with _small_batches(spark):
+        return without_repeats(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
