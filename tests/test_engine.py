@@ -185,6 +185,12 @@ def test_fits_in_one_task_in_components_and_as_frames_agree(spark):
     assert max(map(abs, shift.values())) < 0.3 and abs(sum(fits[1][k] for k in fits[1] if k[0] == "c0")) < 1e-9
 
 
+def test_a_fit_may_have_a_null_key(spark):
+    rows = played(spark, [(c, "a", "b", s) for c in (None, "x") for s in (1.0, 1.0, 0.0)])
+    got = {(r.cluster, r.item): r.strength for r in ranking.bradley_terry(comparisons.win_matrix(rows, ["cluster"]), by=["cluster"]).collect()}
+    assert len(got) == 4 and got[None, "a"] == pytest.approx(got["x", "a"]) and got[None, "a"] > 0
+
+
 def test_a_fit_without_a_prior_needs_wins_both_ways_as_frames_too(spark):
     ring = [("c", "a", "b", 1.0), ("c", "b", "d", 1.0), ("c", "a", "d", 0.0), ("c", "a", "d", 1.0)]
     config = ranking.BradleyTerryConfig(prior=0, task_rows=1)

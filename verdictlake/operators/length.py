@@ -49,10 +49,11 @@ def length_counts(decisive: DataFrame, unit: str) -> DataFrame:
 
 
 def consensus_without_each(judgments: DataFrame, responses: DataFrame, distrusted: DataFrame | None = None) -> DataFrame:
-    """left_out, item, strength: model strengths from the regular games of all annotators but left_out and those of distrusted(annotator_id).
+    """fit, item, strength: model strengths from the regular games of all annotators but one and those of distrusted(annotator_id). A fit
+    is named = and the annotator that it leaves out; * leaves none out.
 
-    Win counts add up, so each annotator's are subtracted from the total instead of counting the others' games again;
-    left_out is null for the consensus of all. Models left without games have no strength."""
+    Win counts add up, so each annotator's are subtracted from the total instead of counting the others' games again.
+    Models left without games have no strength."""
     trusted = judgments if distrusted is None else judgments.join(distrusted, "annotator_id", "left_anti")
     owned = games(trusted.withColumn("prompt_id", F.col("annotator_id")), responses.select("id", "model"))
     each = staged(win_matrix(owned.withColumnRenamed("cluster", "owner"), ["owner"]))
@@ -61,8 +62,8 @@ def consensus_without_each(judgments: DataFrame, responses: DataFrame, distruste
     cells = total.crossJoin(people)  # annotators times pairs of models, which is what the fits need
     own = each.select(F.col("owner").alias("left_out"), "item", "opponent", F.col("wins").alias("w"), F.col("games").alias("g"))
     rest = cells.join(own, ["left_out", "item", "opponent"], "left").select("left_out", "item", "opponent", (F.col("wins") - F.coalesce("w", F.lit(0.0))).alias("wins"), (F.col("games") - F.coalesce("g", F.lit(0.0))).alias("games"))
-    rest = rest.unionByName(total.withColumn("left_out", F.lit(None).cast("string"))).where("games > 0")
-    return bradley_terry(rest, BradleyTerryConfig(), ["left_out"]).drop("converged")
+    rest = rest.withColumn("fit", F.concat(F.lit("="), "left_out")).drop("left_out").unionByName(total.withColumn("fit", F.lit("*"))).where("games > 0")
+    return bradley_terry(rest, BradleyTerryConfig(), ["fit"]).drop("converged")
 
 
 @dataclass(frozen=True)
@@ -169,7 +170,6 @@ def _length_bias(judgments: DataFrame, responses: DataFrame, alpha: float, confi
         own = own.withColumn("fit", key)
         if strengths is None:
             return own.withColumn("gap", F.lit(0.0))
-        strengths = strengths.withColumn("fit", F.coalesce(F.concat(F.lit("="), "left_out"), F.lit("*")))
         for side in ("left", "right"):
             own = own.join(strengths.select("fit", F.col("item").alias(f"{side}_model"), F.col("strength").alias(side)), ["fit", f"{side}_model"], "left")
         return own.withColumn("gap", F.coalesce("left", F.lit(0.0)) - F.coalesce("right", F.lit(0.0)))

@@ -215,7 +215,7 @@ def bradley_terry(matrix: DataFrame, config: BradleyTerryConfig = BradleyTerryCo
     """`by` columns, item, strength (centred), converged. One fit for each group of `by`, whose rows are pairs of items, not games.
 
     With a prior, items that no games lead between are fitted apart, so a fit with more than `task_rows` rows falls into its weak components, many
-    of which make a task; a component that is larger still is fitted as frames. Without a prior wins have to lead from every item to every other."""
+    of which make a task; a component that is larger still is fitted as frames, whose keys can't be null. Without a prior wins have to lead from every item to every other."""
     spark = matrix.sparkSession
     with scratch(spark):
         rows = staged(matrix.select(*by, "item", "opponent", "wins", "games"))
@@ -244,8 +244,9 @@ def bradley_terry(matrix: DataFrame, config: BradleyTerryConfig = BradleyTerryCo
             if not large.isEmpty():
                 fitted = fitted.unionByName(_fit_frames(large, keys, config))
         fitted = staged(fitted)
-        mean = fitted.groupBy(*keys).agg(F.avg("strength").alias("mean"), F.bool_and("converged").alias("all"))
-        out = fitted.drop("converged").join(mean, keys).select(*by, "item", (F.col("strength") - F.col("mean")).alias("strength"), F.col("all").alias("converged"))
+        mean = fitted.groupBy(*(F.col(k).alias(f"_{k}") for k in keys)).agg(F.avg("strength").alias("mean"), F.bool_and("converged").alias("all"))
+        same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]  # a fit's key may be null
+        out = fitted.drop("converged").join(mean, same).select(*by, "item", (F.col("strength") - F.col("mean")).alias("strength"), F.col("all").alias("converged"))
         return lasting(out)
 
 

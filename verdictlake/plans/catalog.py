@@ -90,7 +90,7 @@ _QUERIES: dict[str, Callable[[PreferenceTables], DataFrame]] = {
     "fleiss": lambda t: _round(quality.fleiss(quality.item_labels(t.judgments))),
     "length_unit": lambda t: length.length_unit(_lengths(t)),
     "length_counts": lambda t: length.length_counts(_lengths(t), "words"),
-    "length_bias": lambda t: _round(length.length_bias(t.judgments, t.responses)),
+    "length_bias": lambda t: _round(length.length_bias(t.judgments, t.responses).drop("separated", "wald_z", "wald_p", "odds_ratio"), 3),
     "preference_edges": _edges,
     "triad_cycles": lambda t: quality.triads(_edges(t)),
     "scc_summary": lambda t: quality.component_summary(_edges(t)),

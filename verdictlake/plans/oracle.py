@@ -198,6 +198,70 @@ draw AS (
 flipped AS (SELECT annotator_id, (count(CASE WHEN n <= n_cycles THEN 1 END) + 1) / 2001::DOUBLE AS p_value, avg(n) / any_value(n_triads) AS random_rate FROM draw JOIN seen USING (annotator_id) GROUP BY annotator_id)"""
 
 
+def _length_round(n: int, keys: str, trusted: str) -> str:
+    """Round n of length bias: the consensus of the trusted without each of keys(fit), by minorisation-maximisation, and its logistic fits
+    with and without the slope, by Newton's method from zero."""
+    x, eta = ("1.0", "x1 * use1", "x2 * use2"), "(b0 + b1 * x1 * use1 + b2 * x2 * use2)"
+    curve = "p * (1 - p)"
+    sums = ", ".join([f"sum((y - p) * {x[i]}) AS r{i}" for i in range(3)] + [f"sum({curve} * {x[i]} * {x[k]}) AS m{i}{k}" for i in range(3) for k in range(i, 3)])
+    ridged = f"""SELECT *, r0 - 1e-8 * b0 AS g0, r1 - b1 AS g1, r2 - b2 AS g2, m00 + 1e-8 AS h00, m01 AS h01, m02 AS h02, m11 + 1 + (use1 = 0)::INT AS h11, m12 AS h12, m22 + 1 + (use2 = 0)::INT AS h22
+      FROM (SELECT step, fit, model, use1, use2, b0, b1, b2, value, {sums} FROM (SELECT *, 1 / (1 + exp(-{eta})) AS p FROM {{state}} JOIN rows{n} USING (fit)) GROUP BY ALL)"""
+    minors = "h11 * h22 - h12 * h12 AS c00, h02 * h12 - h01 * h22 AS c01, h01 * h12 - h02 * h11 AS c02, h00 * h22 - h02 * h02 AS c11, h01 * h02 - h00 * h12 AS c12, h00 * h11 - h01 * h01 AS c22"
+    solved = f"SELECT *, h00 * c00 + h01 * c01 + h02 * c02 AS det FROM (SELECT *, {minors} FROM ({ridged}))"
+    return f"""
+met{n} AS (SELECT fit, item, opponent, sum(score) AS wins, count(*)::DOUBLE AS games FROM aends, {keys} WHERE owner <> fit AND {trusted} GROUP BY ALL),
+won{n} AS (SELECT fit, item, sum(wins) AS w FROM met{n} GROUP BY ALL),
+mm{n} AS (
+  SELECT 0 AS step, fit, item, 1.0::DOUBLE AS p FROM won{n}
+  UNION ALL
+  SELECT f.step + 1, f.fit, f.item, (any_value(w) + 0.1) / (sum(games / (f.p + g.p)) + 0.2 / (any_value(f.p) + 1))
+  FROM mm{n} f JOIN won{n} USING (fit, item) JOIN met{n} m ON m.fit = f.fit AND m.item = f.item JOIN mm{n} g ON g.fit = f.fit AND g.item = m.opponent
+  WHERE f.step < 4000 GROUP BY f.step, f.fit, f.item),
+strong{n} AS (SELECT fit, item, ln(p) - avg(ln(p)) OVER (PARTITION BY fit) AS strength FROM mm{n} WHERE step = 4000),
+rows{n} AS (
+  SELECT k.fit, x1, coalesce(a.strength, 0) - coalesce(b.strength, 0) AS x2, y
+  FROM {keys} k JOIN dec ON k.fit IN (who, '*') LEFT JOIN strong{n} a ON a.fit = k.fit AND a.item = lm LEFT JOIN strong{n} b ON b.fit = k.fit AND b.item = rm),
+facts{n} AS (SELECT fit, count(*) AS n_decisive, count(*) >= 10 AND max(x1) > min(x1) AS estimable, max(x2) > min(x2) AS has_gap FROM rows{n} GROUP BY fit),
+nw{n} AS (
+  SELECT 0 AS step, fit, model, CASE model WHEN 'full' THEN 1.0 ELSE 0.0 END::DOUBLE AS use1, has_gap::INT::DOUBLE AS use2, 0.0::DOUBLE AS b0, 0.0::DOUBLE AS b1, 0.0::DOUBLE AS b2, NULL::DOUBLE AS value
+  FROM facts{n}, (VALUES ('full'), ('without')) m(model) WHERE estimable
+  UNION ALL
+  SELECT step + 1, fit, model, use1, use2, b0 + (c00 * g0 + c01 * g1 + c02 * g2) / det, b1 + (c01 * g0 + c11 * g1 + c12 * g2) / det, b2 + (c02 * g0 + c12 * g1 + c22 * g2) / det, value
+  FROM ({solved.format(state=f"nw{n}")}) WHERE step < 30),
+end{n} AS (SELECT * FROM nw{n} WHERE step = 30),
+spread{n} AS (SELECT fit, sqrt(c11 / det) AS std_error FROM ({solved.format(state=f"end{n}")}) WHERE model = 'full'),
+value{n} AS (
+  SELECT fit, model, any_value(b0) AS b0, any_value(b1) AS b1, any_value(b2) AS b2, sum(y * {eta} - greatest({eta}, 0) - ln(1 + exp(-abs({eta})))) - 0.5 * any_value(1e-8 * b0 * b0 + b1 * b1 + b2 * b2) AS value
+  FROM end{n} JOIN rows{n} USING (fit) GROUP BY fit, model),
+fits{n} AS (
+  SELECT f.fit, n_decisive, estimable, a.b1 AS coefficient, std_error, a.b0 AS position_coefficient, CASE WHEN has_gap THEN a.b2 END AS quality_coefficient, greatest(0, 2 * (a.value - b.value)) AS lr, sqrt(lr / 2) AS z
+  FROM facts{n} f LEFT JOIN value{n} a ON a.fit = f.fit AND a.model = 'full' LEFT JOIN value{n} b ON b.fit = f.fit AND b.model = 'without' LEFT JOIN spread{n} s ON s.fit = f.fit),
+tested{n} AS (
+  SELECT *, fit <> '*' AND estimable AS family, CASE WHEN NOT estimable THEN 1.0
+      WHEN z = 0 THEN 1.0
+      WHEN z < 2.5 THEN 1 - 2 / sqrt(pi()) * exp(-z * z) * (SELECT sum(exp(i * ln(2) + (2 * i + 1) * ln(z) - lgamma(2 * i + 3) + (i + 1) * ln(2) + lgamma(i + 2))) FROM range(0, 80) t(i))
+      ELSE exp(-z * z) / sqrt(pi()) / list_reduce(list_prepend(z, list_transform(range(0, 60), lambda i: (60 - i)::DOUBLE)), lambda t, k: z + k / 2 / t) END AS p
+  FROM fits{n}),
+judged{n} AS (
+  SELECT *, CASE WHEN family THEN max(stepped) OVER (PARTITION BY family ORDER BY p, fit ROWS UNBOUNDED PRECEDING) WHEN fit = '*' THEN p ELSE 1.0 END AS p_adjusted
+  FROM (SELECT *, least(1.0, (count(*) OVER (PARTITION BY family) - row_number() OVER (PARTITION BY family ORDER BY p, fit) + 1) * p) AS stepped FROM tested{n}))"""
+
+
+_LENGTH = f"""
+len AS (SELECT id, model, greatest(1, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda z: z <> ''))) AS w, greatest(1, length(text)) AS c, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda z: z <> '')) AS raw FROM resp),
+sized AS (SELECT annotator_id AS who, choice, x.model AS lm, y.model AS rm, x.w AS lw, y.w AS rw, x.c AS lc, y.c AS rc, x.raw AS lraw, y.raw AS rraw
+  FROM j JOIN len x ON x.id = l JOIN len y ON y.id = r WHERE kind = 'regular' AND choice IN ('left', 'right')),
+unit_ AS (SELECT CASE WHEN count(CASE WHEN lraw = rraw AND lc <> rc THEN 1 END) > count(CASE WHEN lraw <> rraw THEN 1 END) THEN 'chars' ELSE 'words' END AS unit FROM sized),
+dec AS (SELECT who, lm, rm, CASE unit WHEN 'chars' THEN ln(lc / rc::DOUBLE) ELSE ln(lw / rw::DOUBLE) END AS x1, (choice = 'left')::INT::DOUBLE AS y FROM sized, unit_),
+agames AS (
+  SELECT annotator_id AS owner, x.model AS item, y.model AS opponent, sa AS score FROM reg JOIN resp x ON x.id = a_id JOIN resp y ON y.id = b_id WHERE x.model <> y.model),
+aends AS (SELECT * FROM agames UNION ALL SELECT owner, opponent, item, 1 - score FROM agames),
+each AS (SELECT DISTINCT annotator_id AS fit FROM j),
+each_and_all AS (SELECT fit FROM each UNION ALL SELECT '*'),
+{_length_round(1, "each", "true")},
+{_length_round(2, "each_and_all", "owner NOT IN (SELECT fit FROM judged1 WHERE estimable AND p_adjusted <= 0.05)")}"""
+
+
 def _sql(select: str, extra: str = "", recursive: bool = False) -> str:
     return f"WITH {'RECURSIVE ' if recursive else ''}{TABLES}{', ' + extra if extra else ''} {select}"
 
@@ -323,6 +387,13 @@ def oracle_sql() -> dict[str, str]:
                FROM j JOIN len x ON x.id = l JOIN len y ON y.id = r WHERE kind = 'regular' AND choice IN ('left', 'right') GROUP BY annotator_id""",
             "len AS (SELECT id, greatest(1, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda z: z <> ''))) AS w FROM resp)",
         ),
+        "length_bias": _sql(
+            f"""SELECT CASE WHEN fit <> '*' THEN fit END AS annotator_id, n_decisive, estimable, round(coefficient, 3) AS coefficient, round(std_error, 3) AS std_error, round(position_coefficient, 3) AS position_coefficient,
+                round(quality_coefficient, 3) AS quality_coefficient, round(lr, 3) AS lr_statistic, round(p, 3) AS p_value, round(p_adjusted, 3) AS p_adjusted, estimable AND p_adjusted <= 0.05 AS flagged,
+                unit, round(coefficient - {_Z} * std_error, 3) AS ci_lower, round(coefficient + {_Z} * std_error, 3) AS ci_upper FROM judged2, unit_""",
+            _LENGTH,
+            True,
+        ),
         "preference_edges": _sql("SELECT annotator_id, u, v, sign FROM edges"),
         "triad_cycles": _sql(
             """SELECT a.annotator_id, count(*) AS n_triads, count(CASE WHEN a.sign = b.sign AND c.sign = -a.sign THEN 1 END) AS n_cycles FROM edges a JOIN edges b ON b.annotator_id = a.annotator_id AND b.u = a.v
