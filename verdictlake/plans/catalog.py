@@ -58,6 +58,17 @@ def _tau(t: PreferenceTables) -> DataFrame:
     return _round(ranking.kendall_tau(fitted, "strength", "truth"))
 
 
+def _planted_violations(t: PreferenceTables) -> DataFrame:
+    """The integrity rules over judgments of which one in five hundred has each of six faults."""
+    fault = F.col("seq") % 500
+    put = lambda n, value, own: F.when(fault == n, value).otherwise(F.col(own))
+    changes = {
+        "choice": put(1, F.lit("both"), "choice"), "right_response_id": put(2, F.col("left_response_id"), "right_response_id"), "session_id": put(3, F.lit("s-none"), "session_id"),
+        "repeat_of": put(4, F.col("id"), "repeat_of"), "prompt_id": put(5, F.lit("p0"), "prompt_id"), "id": put(6, F.lit("bad id"), "id"),
+    }
+    return violations(t.prompts, t.responses, t.annotators, t.sessions, t.gold_pairs, t.judgments.withColumns(changes))
+
+
 _QUERIES: dict[str, Callable[[PreferenceTables], DataFrame]] = {
     "canonical_labels": lambda t: comparisons.canonical(t.judgments).select("id", "annotator_id", "prompt_id", "a_id", "b_id", "label", "pair_kind"),
     "game_selection_drops": lambda t: comparisons.game_drops(t.judgments, _models(t), excluded=("ann-08", "ann-10")),
@@ -110,6 +121,7 @@ _QUERIES: dict[str, Callable[[PreferenceTables], DataFrame]] = {
     "card_summary": lambda t: _round(export.card_summary(_decided(t), t.judgments).select("n_pairs", "n_kept", "n_votes_counted", "mean_votes_per_kept_pair", "mean_agreement_kept", "n_judgments", "n_annotators")),
     "card_provenance": lambda t: export.card_provenance(_decided(t), t.responses),
     "store_summary": lambda t: audit.summary(t),
+    "integrity_violations_planted": _planted_violations,
     "integrity_violations": lambda t: violations(t.prompts, t.responses, t.annotators, t.sessions, t.gold_pairs, t.judgments),
 }
 

@@ -262,6 +262,28 @@ each_and_all AS (SELECT fit FROM each UNION ALL SELECT '*'),
 {_length_round(2, "each_and_all", "owner NOT IN (SELECT fit FROM judged1 WHERE estimable AND p_adjusted <= 0.05)")}"""
 
 
+#: The rules that judgments and gold pairs can break; the other tables are made by rules that keep theirs.
+_JUDGED = """
+js AS (SELECT * FROM {0}),
+gs AS (SELECT 'g-' || a_id || '-' || b_id AS id, prompt_id, a_id, b_id FROM gold)"""
+_BREACHES = """
+SELECT 'judgments' AS "table", id, 'primary_key' AS rule FROM js GROUP BY id HAVING count(*) > 1
+UNION ALL SELECT 'judgments', id, 'id_form' FROM js WHERE NOT regexp_full_match(id, '[A-Za-z0-9][A-Za-z0-9_.:-]{0,127}')
+UNION ALL SELECT 'judgments', id, 'left_response_id_of_prompt' FROM js x WHERE NOT EXISTS (SELECT 1 FROM resp WHERE resp.id = x.l AND resp.prompt_id = x.prompt_id)
+UNION ALL SELECT 'judgments', id, 'right_response_id_of_prompt' FROM js x WHERE NOT EXISTS (SELECT 1 FROM resp WHERE resp.id = x.r AND resp.prompt_id = x.prompt_id)
+UNION ALL SELECT 'judgments', id, 'session_of_annotator' FROM js WHERE session_id <> 's-' || annotator_id
+UNION ALL SELECT 'judgments', id, 'names' FROM js WHERE choice NOT IN ('left', 'right', 'tie', 'skip') OR kind NOT IN ('regular', 'control', 'gold')
+UNION ALL SELECT 'judgments', id, 'two_responses' FROM js WHERE l = r
+UNION ALL SELECT 'judgments', id, 'control_repeats' FROM js WHERE (kind = 'control') <> (repeat_of IS NOT NULL) OR repeat_of = id
+UNION ALL SELECT 'judgments', id, 'control_of_same_pair' FROM js x WHERE repeat_of IS NOT NULL AND NOT EXISTS (
+  SELECT 1 FROM js y WHERE y.id = x.repeat_of AND y.annotator_id = x.annotator_id AND y.prompt_id = x.prompt_id AND least(y.l, y.r) = least(x.l, x.r) AND greatest(y.l, y.r) = greatest(x.l, x.r))
+UNION ALL SELECT 'gold_pairs', id, 'primary_key' FROM gs GROUP BY id HAVING count(*) > 1
+UNION ALL SELECT 'gold_pairs', min(id), 'one_for_a_pair' FROM gs GROUP BY prompt_id, a_id, b_id HAVING count(*) > 1
+UNION ALL SELECT 'gold_pairs', id, 'better_response_id_of_prompt' FROM gs x WHERE NOT EXISTS (SELECT 1 FROM resp WHERE resp.id = x.a_id AND resp.prompt_id = x.prompt_id)
+UNION ALL SELECT 'gold_pairs', id, 'worse_response_id_of_prompt' FROM gs x WHERE NOT EXISTS (SELECT 1 FROM resp WHERE resp.id = x.b_id AND resp.prompt_id = x.prompt_id)
+UNION ALL SELECT 'responses', id, 'prompt_exists' FROM resp x WHERE NOT EXISTS (SELECT 1 FROM prompts_ WHERE prompts_.id = x.prompt_id)"""
+
+
 def _sql(select: str, extra: str = "", recursive: bool = False) -> str:
     return f"WITH {'RECURSIVE ' if recursive else ''}{TABLES}{', ' + extra if extra else ''} {select}"
 
@@ -435,5 +457,13 @@ def oracle_sql() -> dict[str, str]:
                UNION ALL SELECT 'load min', min(n) FROM load UNION ALL SELECT 'load max', max(n) FROM load""",
             "load AS (SELECT a, count(j.id) AS n FROM (SELECT 'ann-' || lpad(i::VARCHAR, 2, '0') AS a FROM range(1, 13) t(i)) LEFT JOIN j ON annotator_id = a GROUP BY a)",
         ),
-        "integrity_violations": _sql("SELECT 'judgments' AS \"table\", id, 'names' AS rule FROM j WHERE choice NOT IN ('left', 'right', 'tie', 'skip')"),
+        "integrity_violations": _sql(_BREACHES, _JUDGED.format("(SELECT *, 's-' || annotator_id AS session_id, CASE WHEN kind = 'control' THEN before END AS repeat_of FROM j)")),
+        "integrity_violations_planted": _sql(
+            _BREACHES,
+            """planted AS (
+              SELECT CASE seq % 500 WHEN 6 THEN 'bad id' ELSE id END AS id, CASE seq % 500 WHEN 3 THEN 's-none' ELSE 's-' || annotator_id END AS session_id, annotator_id,
+                     CASE seq % 500 WHEN 5 THEN 'p0' ELSE prompt_id END AS prompt_id, l, CASE seq % 500 WHEN 2 THEN l ELSE r END AS r, CASE seq % 500 WHEN 1 THEN 'both' ELSE choice END AS choice,
+                     kind, CASE WHEN seq % 500 = 4 THEN id WHEN kind = 'control' THEN before END AS repeat_of FROM j), """
+            + _JUDGED.format("planted"),
+        ),
     }
