@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import Remembered, staged, whole_text
+from .common import Remembered, lasting, scratch, staged, whole_text
 
 
 @dataclass(frozen=True)
@@ -224,19 +224,20 @@ def pack_pieces(pieces: DataFrame, config: PackingConfig) -> DataFrame:
     of document and piece, so that no source or length is hot. A round that closes less than half of its pieces is the
     last one: such pieces don't fit together, and gathering them in fewer groups would only make these large.
     """
-    left, out, round_no = staged(pieces), None, 0
-    n = left.count()
-    while True:
-        groups = max(1, round(n / config.group_pieces))
-        dealt = left.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.lit(round_no)), F.lit(groups)))
-        placed = staged(dealt.groupBy("bucket").applyInPandas(_packer(config, round_no), _PLACED))
-        open_pieces = placed.where("not closed").count() if groups > 1 else n
-        last = 2 * open_pieces > n or not open_pieces
-        done = (placed if last else placed.where("closed")).drop("closed")
-        out = done if out is None else out.unionByName(done)
-        if last:
-            return out
-        left, n, round_no = placed.where("not closed").drop("sequence_id", "offset", "closed"), open_pieces, round_no + 1
+    with scratch(pieces.sparkSession):
+        left, out, round_no = staged(pieces), None, 0
+        n = left.count()
+        while True:
+            groups = max(1, round(n / config.group_pieces))
+            dealt = left.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.lit(round_no)), F.lit(groups)))
+            placed = staged(dealt.groupBy("bucket").applyInPandas(_packer(config, round_no), _PLACED))
+            open_pieces = placed.where("not closed").count() if groups > 1 else n
+            last = 2 * open_pieces > n or not open_pieces
+            done = (placed if last else placed.where("closed")).drop("closed")
+            out = done if out is None else out.unionByName(done)
+            if last:
+                return lasting(out)
+            left, n, round_no = placed.where("not closed").drop("sequence_id", "offset", "closed"), open_pieces, round_no + 1
 
 
 def pack_documents(docs: DataFrame, config: PackingConfig) -> DataFrame:
