@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -15,6 +16,8 @@ tiktoken = pytest.importorskip("tiktoken")
 
 from verdictlake.llm import byte_bpe, exact_dedup, language_id, lz_dedup, ngram_join, order_minhash, packing, sharding, suffix_dedup, toxicity  # noqa: E402
 from verdictlake.llm.blocks import BlockConfig  # noqa: E402
+from verdictlake.llm import queries  # noqa: E402
+from verdictlake.llm.common import shared_folder  # noqa: E402
 from verdictlake.llm.queries import BYTE_BPE, PACKING  # noqa: E402
 
 SMALL = BlockConfig(block_bytes=3000, screen_keys=500)
@@ -64,6 +67,9 @@ def test_packing_is_exact_and_tight(spark):
     assert got.groupby("sequence_id").length.sum().max() <= 64
     assert got.sequence_id.nunique() <= 1.1 * (got.length.sum() / 64) + 1
     assert packing.pack_documents(empty(spark), config).count() == 0
+    before = set(os.listdir(shared_folder(spark).removeprefix("file:")))
+    packing.pack_documents(frame(spark, texts), config).count()
+    assert len(set(os.listdir(shared_folder(spark).removeprefix("file:"))) - before) == 1
 
 
 def test_packing_of_what_never_fits_together_ends(spark):
@@ -136,19 +142,6 @@ def test_short_texts_are_told_apart(spark, folder):
     assert [(got[i][0], got[i][2]) for i, _, _ in short] == [(lang, False) for _, _, lang in short]
     # letters that no dictionary has tell nothing
     assert got[300][1:] == (0.0, True) and got[301][2] and got[302][2]
-    # each size against the product of the counted chances
-    texts = [d.decode() for d in model.dictionaries.values()]
-    seen, padded = set("".join(texts)), " kolzap日"
-    for k, t in enumerate(texts):
-        bits = 0.0
-        for i in range(1, len(padded)):
-            p = 1 / len(seen)
-            for n in range(min(i, 2) + 1):
-                own = padded[i - n : i + 1]
-                count = lambda s: sum(t.startswith(s, at) for at in range(len(t)))
-                p = (count(own) + 4 * p) / ((count(own[:-1]) if n else len(t)) + 4)
-            bits += -np.log2(p) if padded[i] in seen else 16
-        assert language_id.CodeLengths(model.dictionaries.values()).sizes(padded[1:])[k] == pytest.approx(bits / 8)
     # the pipeline's first stage keeps what its own model doesn't reject
     docs.write.parquet(folder + "/documents.parquet")
     docs = spark.read.parquet(folder + "/documents.parquet")
@@ -156,6 +149,36 @@ def test_short_texts_are_told_apart(spark, folder):
     assert kept == {i for i, _, _ in rows + short}
 
 
+def test_sizes_are_compressed_bytes_at_all_lengths():
+    config = language_id.LanguageConfig(block_bytes=64, turn_bytes=60, max_turns=4)
+    dictionaries = [("kolwer istung née " * n).encode() for n in (9, 20)]
+    model = language_id.LanguageModel(dict(zip("ab", dictionaries)))
+    compressors = language_id.language_compressors(model, config)
+    assert language_id.turns_of(b"abcdef", config) == [b"abcdef", b"bcdef a", b"def abc", b"ef abcd"]
+    assert language_id.turns_of(b"x", config) == [b"x"] and language_id.turns_of(b"y" * 31, config) == [b"y" * 31]
+    assert language_id.turns_of("éü日".encode(), config) == ["éü日".encode(), "ü日 é".encode(), "日 éü".encode()]
+    for text in ("kol", "née kolwer", "zzz née " * 30):
+        data = text.encode()
+        sizes = language_id.compressed_sizes(data, compressors, config)
+        turns = language_id.turns_of(data, config)
+        assert len(turns) > 1 or len(data) > 30
+        for own, size, compressor in zip(dictionaries, sizes, compressors):
+            frames = [compressor.compress(bytes(64) + b" " + t[at : at + 64] + b" " + bytes(32)) for t in turns for at in range(0, len(t), 64)]
+            assert size == sum(map(len, frames)) / len(turns)
+            decompressor = language_id.zstandard.ZstdDecompressor(dict_data=language_id.zstandard.ZstdCompressionDict(own, dict_type=language_id.zstandard.DICT_TYPE_RAWCONTENT))
+            assert b"".join(decompressor.decompress(f, max_output_size=4096)[65:-33] for f in frames) == b"".join(turns)
+
+
+def test_languages_of_held_out_documents(spark):
+    if not os.path.isdir("/root/testdata/sf0.01"):
+        pytest.skip("needs the synthetic tables")
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    found = rows_of(queries.op3_language_id(spark, "/root/testdata/sf0.01"), "held_out", "lang_pred")
+    told = [(found[r.doc_id][1] == r.lang, r.n) for r in docs.selectExpr("doc_id", "lang", "octet_length(text) AS n").where("lang is not null").collect() if found[r.doc_id][0] and found[r.doc_id][1] != "und"]
+    assert len(told) > 300 and sum(ok for ok, _ in told) >= 0.99 * len(told)
+    assert all(ok for ok, n in told if n <= 256)
+
+
 def test_shards(spark, folder):
     docs = frame(spark, [*corpus(), "twice", "twice"], [*range(len(corpus())), None, None])
     store = sharding.ShardStore(spark, folder + "/s", sharding.ShardConfig(target_bytes=8000, small_bytes=200))

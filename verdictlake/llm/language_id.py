@@ -4,16 +4,16 @@ Each language has one raw-content zstandard dictionary made of sampled texts. A
 dictionary; the language whose dictionary makes it smallest is the prediction. Texts are compressed in blocks, so that
 a long text cannot feed on itself and the dictionary counts everywhere in it; all blocks of the whole text count.
 Texts and dictionaries are in lower case.
-zstandard stores short blocks as they are, whatever the dictionary, and its sizes are whole bytes; so a short text has the
-size that an ideal coder would give it which has counted the characters of the same dictionary after up to two others.
+zstandard stores a small block as it is, whatever the dictionary, and its sizes are whole bytes. So each block stands
+between runs of zeros, whose own cost is taken off, and a short text is compressed several times, each time from another of its
+places on and around; its size is the mean. Short and long texts are sized alike, by compressed bytes alone.
 The distance between the two best sizes, relative to the second, is the margin; a narrow margin is a rejection.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -21,17 +21,21 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Remembered, text_buffers, whole_text
+from .common import text_buffers, whole_text
 
 UNDETERMINED = "und"
 
+#: Around each block: what any dictionary makes equally small, so that the compressor never falls back to stored bytes.
+_LEAD, _TAIL = bytes(64), bytes(32)
+
 
 @dataclass(frozen=True)
 class LanguageConfig:
     """sample_texts: labelled texts for a language at most, spread by hash; sample_chars: of each, a passage at a hashed
     place; dictionary_bytes: of a language, less if all together would pass total_bytes. level, block_bytes: of the
     compressor; min_match: its shortest match. min_margin: below it a prediction is a rejection. temperature: of the score,
-    in bytes for each compressed byte. short_bytes: texts up to so many are sized by counts."""
+    in bytes for each compressed byte. turn_bytes: a text is turned around so often that about so many bytes are compressed, once
+    at least and max_turns times at most."""
 
     sample_texts: int = 64
     sample_chars: int = 4096
@@ -42,7 +46,8 @@ class LanguageConfig:
     block_bytes: int = 4096
     min_margin: float = 0.004
     temperature: float = 0.01
-    short_bytes: int = 256
+    turn_bytes: int = 1024
+    max_turns: int = 32
 
 
 @dataclass(frozen=True)
@@ -83,42 +88,44 @@ def fit_languages(labelled: DataFrame, config: LanguageConfig = LanguageConfig()
     return LanguageModel(model)
 
 
-def block_sizes(data: memoryview, compressors: list, block_bytes: int) -> list[int]:
-    """Compressed bytes of all blocks under each compressor."""
+def language_compressors(model: LanguageModel, config: LanguageConfig) -> list[zstandard.ZstdCompressor]:
+    """One compressor for each language, in the order of the model."""
+    found = []
+    for content in model.dictionaries.values():
+        settings = zstandard.ZstdCompressionParameters.from_level(
+            config.level, source_size=config.block_bytes, dict_size=len(content), min_match=config.min_match, write_content_size=False, write_checksum=False, write_dict_id=False
+        )
+        data = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        found.append(zstandard.ZstdCompressor(dict_data=data, compression_params=settings))
+    return found
+
+
+def turns_of(data: bytes, config: LanguageConfig) -> list[bytes]:
+    """The text from evenly spaced characters on and around, with a space where its ends meet; a long one as it is."""
+    wanted = max(1, min(len(data), config.max_turns, config.turn_bytes // max(1, len(data))))
+    places = set()
+    for at in (k * len(data) // wanted for k in range(wanted)):
+        while at and data[at] & 0xC0 == 0x80:  # inside a character
+            at -= 1
+        places.add(at)
+    return [data[at:] + b" " + data[:at] if at else data for at in sorted(places)]
+
+
+def compressed_sizes(data: bytes, compressors: list[zstandard.ZstdCompressor], config: LanguageConfig) -> list[float]:
+    """Compressed bytes of a text under each compressor: of all its blocks, the mean over its turns."""
+    turned = turns_of(data, config)
     sizes = [0] * len(compressors)
-    for at in range(0, len(data), block_bytes):
-        block = data[at : at + block_bytes]
-        for k, compressor in enumerate(compressors):
-            sizes[k] += len(compressor.compress(block))
-    return sizes
-
-
-class CodeLengths:
-    """Fractional bytes of texts under each dictionary: of a character after two, one and no others, what was counted after
-    more is weighed against what follows from fewer. A character that no dictionary has costs the same under all."""
-
-    def __init__(self, dictionaries: Iterable[bytes]):
-        texts = [d.decode(errors="ignore") for d in dictionaries]
-        self.grams = [Counter(t[i : i + n] for n in (1, 2, 3) for i in range(len(t) - n + 1)) for t in texts]
-        self.totals = [len(t) for t in texts]
-        self.alphabet = set().union(*texts)
-        self.costs = Remembered(self._costs, 1 << 16)
-
-    def _costs(self, gram: str) -> tuple[float, ...]:
-        if gram[-1] not in self.alphabet:
-            return (2.0,) * len(self.grams)
-        found = []
-        for counts, total in zip(self.grams, self.totals):
-            p = 1 / len(self.alphabet)
-            for n in range(1, len(gram) + 1):
-                own = gram[-n:]
-                p = (counts[own] + 4 * p) / ((counts[own[:-1]] if n > 1 else total) + 4)
-            found.append(-math.log2(p) / 8)
-        return tuple(found)
-
-    def sizes(self, text: str) -> list[float]:
-        text = " " + text
-        return [sum(c) for c in zip(*(self.costs[text[max(0, i - 2) : i + 1]] for i in range(1, len(text))))]
+    for turn in turned:
+        for at in range(0, len(turn), config.block_bytes):
+            block = b"".join((_LEAD, b" ", turn[at : at + config.block_bytes], b" ", _TAIL))
+            for k, compressor in enumerate(compressors):
+                sizes[k] += len(compressor.compress(block))
+    return [size / len(turned) for size in sizes]
+
+
+def padding_size(compressors: list[zstandard.ZstdCompressor]) -> int:
+    """Bytes that the zeros around a block cost: the same under every dictionary, as none holds zeros."""
+    return min((len(c.compress(_LEAD + _TAIL)) for c in compressors), default=0)
 
 
 def decide(sizes: list[float], temperature: float) -> tuple[int, float, float]:
@@ -136,15 +143,8 @@ def decide(sizes: list[float], temperature: float) -> tuple[int, float, float]:
 def _classifier(model: LanguageModel, config: LanguageConfig):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs = list(model.dictionaries)
-        compressors = []
-        for lang in langs:
-            content = model.dictionaries[lang]
-            data = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            settings = zstandard.ZstdCompressionParameters.from_level(
-                config.level, source_size=config.block_bytes, dict_size=len(content), min_match=config.min_match, write_content_size=False, write_checksum=False, write_dict_id=False
-            )
-            compressors.append(zstandard.ZstdCompressor(dict_data=data, compression_params=settings))
-        lengths = CodeLengths(model.dictionaries.values())
+        compressors = language_compressors(model, config)
+        padding = padding_size(compressors)
         for batch in batches:
             offsets, data = text_buffers(batch.column("text"))
             letters = batch.column("has_letter").to_pylist()
@@ -152,8 +152,9 @@ def _classifier(model: LanguageModel, config: LanguageConfig):
             out_lang, out_score, out_margin, out_rejected = [], [], [], []
             for i, has_letter in enumerate(letters):
                 if has_letter and langs:
-                    own = view[offsets[i] : offsets[i + 1]]
-                    sizes = lengths.sizes(bytes(own).decode()) if len(own) <= config.short_bytes else block_sizes(own, compressors, config.block_bytes)
+                    own = bytes(view[offsets[i] : offsets[i + 1]])
+                    fixed = padding * -(-len(own) // config.block_bytes)
+                    sizes = [max(1.0, size - fixed) for size in compressed_sizes(own, compressors, config)]
                     best, score, margin = decide(sizes, config.temperature)
                     found = langs[best], score, margin, margin < config.min_margin
                 else:
