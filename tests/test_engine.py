@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from verdictlake.functions import stats
+from verdictlake.functions import inversions, stats
 from verdictlake.operators import comparisons, dawid_skene, export, graphs, length, quality, ranking
 
 J = "id string, seq long, annotator_id string, prompt_id string, left_response_id string, right_response_id string, choice string, pair_kind string, repeat_of string"
@@ -109,10 +109,29 @@ def test_elo(spark):
     assert {r.rating for r in ranking.elo(played(spark, [("c", "a", "b", 0.5)]), config, 0).collect()} == {1000}
 
 
+def test_inversions_in_blocks(spark):
+    rng = np.random.default_rng(4)
+    assert inversions.count_inversions(np.array([], np.int64)) == 0 and inversions.count_inversions(np.array([2, 2, 1, 2])) == 2
+    for n in (0, 1, 5, 333):
+        order = rng.permutation(n)
+        want = sum(int((order[:k] > order[k]).sum()) for k in range(n))
+        assert inversions.count_inversions(order) == want
+        frame = spark.createDataFrame([(k, int(v)) for k, v in enumerate(order)], "place long, value long")
+        assert [int(one(inversions.inversions(frame, n, rows, blocks))["n"]) for rows, blocks in ((10, 2048), (1000, 2048), (1, 8))] == [want] * 3
+
+
 def test_tau_and_intervals(spark):
     rows = spark.createDataFrame([("a", 1.0, 1.0), ("b", 2.0, 3.0), ("c", 3.0, 2.0)], "item string, x double, y double")
     assert one(ranking.kendall_tau(rows, "x", "y"))["tau"] == pytest.approx(1 / 3)
     assert one(ranking.kendall_tau(rows.limit(1), "x", "y"))["tau"] is None
+    rng = np.random.default_rng(5)
+    x, y = rng.integers(0, 30, 400).astype(float), rng.integers(0, 12, 400).astype(float)
+    y[:150] = 3.0  # a hot value
+    wide = [*((f"i{k}", a, b) for k, (a, b) in enumerate(zip(x.tolist(), y.tolist()))), ("n", None, 1.0), ("m", 1.0, float("nan"))]
+    upper = np.triu_indices(400, 1)
+    want = (np.sign(x[:, None] - x)[upper] * np.sign(y[:, None] - y)[upper]).mean()
+    for block in (7, 64, 1 << 16):
+        assert one(ranking.kendall_tau(spark.createDataFrame(wide, "item string, x double, y double"), "x", "y", block))["tau"] == pytest.approx(want, abs=1e-12)
     est = spark.range(101).select(F.col("id").alias("rep"), F.lit("a").alias("item"), F.col("id").cast("double").alias("estimate"))
     got = one(ranking.intervals(est, 0.9))
     assert (got["ci_lower"], got["ci_upper"]) == pytest.approx((5, 95))

@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.inversions import inversions
 from ..functions.places import numbered
 from ..staging import lasting, scratch, staged
 from .comparisons import item_scores, win_matrix
@@ -382,12 +383,23 @@ def bootstrap_elo(played: DataFrame, config: BootstrapConfig = BootstrapConfig()
     return elo(played, rating).select("item", "rating").join(intervals(refits, config.level), "item", "left")
 
 
-def kendall_tau(scores: DataFrame, x: str, y: str) -> DataFrame:
-    """tau: tau-a over all pairs of rows; ties count 0; null with fewer than two rows. Items number a few thousand at most."""
-    rows = scores.select(F.col("item"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).where("x is not null and y is not null")
-    other = rows.select(F.col("item").alias("item2"), F.col("x").alias("x2"), F.col("y").alias("y2"))
-    pairs = rows.join(other, F.col("item") < F.col("item2"))
-    return pairs.agg((F.sum(F.signum(F.col("x") - F.col("x2")) * F.signum(F.col("y") - F.col("y2"))) / F.count("*")).alias("tau"))
+def kendall_tau(scores: DataFrame, x: str, y: str, block_rows: int = 1 << 16) -> DataFrame:
+    """tau: tau-a over all pairs of rows of scores(item, x, y); ties count 0; rows that lack a number are left out; null with fewer than two.
+
+    In the order of x (then y) a pair is discordant where y falls, so discordant pairs are the inversions of the places by y; what
+    ties leave of the others is concordant. Rows alike in both are told apart by item, so that none is a hot key."""
+    number = lambda c: F.col(c).cast("double") + F.lit(0.0)  # noqa: E731  (no negative zeros)
+    rows = scores.select("item", number(x).alias("x"), number(y).alias("y")).where("x is not null and y is not null and not isnan(x) and not isnan(y)")
+    with scratch(scores.sparkSession):
+        by_x = numbered(rows, [F.asc("x"), F.asc("y"), F.asc("item")], "place")
+        both = staged(numbered(by_x, [F.asc("y"), F.asc("place")], "value"))
+        n = both.count()
+        alike = both.groupBy("x", "y").agg(F.count("*").alias("n"))
+        tied = lambda by: alike.groupBy(*by).agg(F.sum("n").alias("n")).agg(F.coalesce(F.sum(F.col("n") * (F.col("n") - 1) / 2), F.lit(0.0)).alias("t" + "".join(by)))
+        facts = tied(["x"]).crossJoin(tied(["y"])).crossJoin(tied(["x", "y"])).crossJoin(inversions(both, n, block_rows))  # one row each
+        pairs = F.lit(n * (n - 1) / 2)
+        tau = (pairs - F.col("tx") - F.col("ty") + F.col("txy") - 2 * F.col("n").cast("double")) / pairs
+        return lasting(facts.select((tau if n > 1 else F.lit(None).cast("double")).alias("tau")))
 
 
 def rank_rows(played: DataFrame, truth: DataFrame | None = None, config: BootstrapConfig = BootstrapConfig(), fit: BradleyTerryConfig = BradleyTerryConfig(), method: str = "bradley_terry") -> DataFrame:

@@ -58,6 +58,12 @@ def _tau(t: PreferenceTables) -> DataFrame:
     return _round(ranking.kendall_tau(fitted, "strength", "truth"))
 
 
+def _tau_with_length(t: PreferenceTables) -> DataFrame:
+    """Whether responses that win more of their games have more words: one item a response, with many ties of both."""
+    scores = comparisons.item_scores(comparisons.win_matrix(comparisons.games(t.judgments))).select("item", (F.col("score") / F.col("games")).alias("rate"))
+    return _round(ranking.kendall_tau(scores.join(t.responses.select(F.col("id").alias("item"), "n_words"), "item"), "rate", "n_words"))
+
+
 def _planted_violations(t: PreferenceTables) -> DataFrame:
     """The integrity rules over judgments of which one in five hundred has each of six faults."""
     fault = F.col("seq") % 500
@@ -84,6 +90,7 @@ _QUERIES: dict[str, Callable[[PreferenceTables], DataFrame]] = {
     "bt_fit_gap": lambda t: _round(ranking.fit_gap(_matrix(t), ranking.bradley_terry(_matrix(t))), 4),
     "bt_log_likelihood": lambda t: _round(ranking.log_likelihood(_matrix(t), ranking.bradley_terry(_matrix(t))), 4),
     "kendall_tau_vs_truth": _tau,
+    "kendall_tau_with_length": _tau_with_length,
     "elo_single_pass": lambda t: _round(ranking.elo(_games(t), permutations=0).select("item", "rating"), 4),
     "elo_averaged": lambda t: _round(ranking.elo(_games(t)), 4),
     "bootstrap_weights": lambda t: ranking.bootstrap_weights(_games(t), _REPLICATES),

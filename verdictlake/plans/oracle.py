@@ -345,6 +345,11 @@ def oracle_sql() -> dict[str, str]:
             _BT,
             True,
         ),
+        "kendall_tau_with_length": _sql(
+            "SELECT round(sum(sign(x.rate - y.rate) * sign(x.w - y.w)) / count(*), 6)::DOUBLE AS tau FROM rated x JOIN rated y ON x.item < y.item",
+            """rends AS (SELECT first AS item, score FROM rgames UNION ALL SELECT second, 1 - score FROM rgames),
+            rated AS (SELECT item, sum(score) / count(*) AS rate, any_value(len(list_filter(regexp_split_to_array(coalesce(text, ''), '\\s+'), lambda z: z <> ''))) AS w FROM rends JOIN resp ON resp.id = item GROUP BY item)""",
+        ),
         "elo_single_pass": _sql(
             "SELECT t.name AS item, round(t.rating, 4) AS rating FROM (SELECT unnest(list_zip(names, ratings)) AS z FROM elo, roster WHERE step = (SELECT max(n) FROM g)) q, LATERAL (SELECT z[1] AS name, z[2] AS rating) t",
             """g AS (SELECT row_number() OVER (ORDER BY cluster, first, second, score) AS n, ascii(right(first, 1)) - 96 AS i, ascii(right(second, 1)) - 96 AS j, score FROM mgames),
