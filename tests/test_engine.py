@@ -346,3 +346,46 @@ def test_registered_refits_run_the_defaults(monkeypatch):
     assert run["elo_averaged"]["config"].n_permutations == 100 and run["elo_averaged"]["permutations"] in (None, 100)
     assert [run[n]["config"].n_replicates for n in ("bt_bootstrap_ci", "elo_bootstrap_ci")] == [500, 500]
     assert run["elo_bootstrap_ci"]["permutations"] == 10 and run["elo_bootstrap_ci"]["rating"].n_permutations == 100
+
+
+def _rated(games, config, order):
+    ratings = {}
+    for first, second, score in (games[n] for n in order):
+        x, y = ratings.setdefault(first, config.initial), ratings.setdefault(second, config.initial)
+        change = config.k * (score - 1 / (1 + config.base ** ((y - x) / config.scale)))
+        ratings[first], ratings[second] = x + change, y - change
+    return ratings
+
+
+def test_elo_in_canonical_order_and_over_all_orders(spark):
+    rng = np.random.default_rng(8)
+    rows = sorted((f"c{rng.integers(9)}", *sorted(rng.choice(list("abcde"), 2, False).tolist()), float(rng.choice([0, 0.5, 1]))) for _ in range(400))
+    games, config = played(spark, rows).repartition(7), ranking.EloConfig(k=32, n_permutations=200)
+    got = {r.item: r.rating for r in ranking.elo(games, config, 0).collect()}
+    assert got == pytest.approx(_rated([r[1:] for r in rows], config, range(len(rows))), abs=1e-9)
+    orders = [_rated([r[1:] for r in rows], config, rng.permutation(len(rows))) for _ in range(400)]
+    for r in ranking.elo(games, config).collect():
+        own = np.array([o[r.item] for o in orders])
+        assert abs(r.rating - own.mean()) < 5 * own.std() * (1 / 200 + 1 / 400) ** 0.5 and r.rating_sd == pytest.approx(own.std(), rel=0.3)
+
+
+def test_elo_orders_need_no_row_a_game():
+    # 40 million games: their order alone would be 320 MB
+    copies = np.full(40, 1_000_000)
+    parts = ranking.arranged(copies, np.random.default_rng(1))
+    some = [next(parts) for _ in range(3)]
+    assert max(len(p) for p in some) == 1 << 16 and np.abs(np.bincount(np.concatenate(some), minlength=40) / (3 << 16) - 1 / 40).max() < 0.002
+    small = np.concatenate(list(ranking.arranged(np.array([5, 0, 9, 300]), np.random.default_rng(1), 7)))
+    assert np.bincount(small).tolist() == [5, 0, 9, 300]
+
+
+def test_elo_orders_side_by_side_are_those_one_by_one():
+    config = ranking.EloConfig()
+    first, second, score = np.array([0, 0, 1, 2]), np.array([1, 2, 2, 3]), np.array([1.0, 0.5, 0.0, 1.0])
+    draw = lambda k: ranking.arranged(np.array([3, 70, 2000 + 900 * k, k]), np.random.default_rng([k]), 1000)
+    got = ranking.elo_passes(first, second, score, 4, [draw(k) for k in range(5)], config)
+    for k in range(5):
+        one_by_one = [config.initial] * 4
+        for codes in draw(k):
+            ranking.elo_pass(one_by_one, list(zip(first.tolist(), second.tolist(), score.tolist())), codes, config)
+        assert got[k].tolist() == pytest.approx(one_by_one, abs=1e-8)

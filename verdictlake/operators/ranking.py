@@ -7,11 +7,13 @@ partitions and any engine can draw the same.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -278,40 +280,166 @@ def log_likelihood(matrix: DataFrame, strengths: DataFrame, config: BradleyTerry
     return games_part.crossJoin(prior).select((F.coalesce("g", F.lit(0.0)) + F.col("p")).alias("log_likelihood"))
 
 
-def elo_pass(first: np.ndarray, second: np.ndarray, score: np.ndarray, n: int, config: EloConfig) -> np.ndarray:
-    """Ratings after all games in the given order; axis 0 of the games may run over several orders at once."""
-    ratings = np.full((first.shape[0], n), config.initial)
-    rows = np.arange(first.shape[0])
-    for g in range(first.shape[1]):
-        i, j = first[:, g], second[:, g]
-        expected = 1 / (1 + config.base ** ((ratings[rows, j] - ratings[rows, i]) / config.scale))
-        change = config.k * (score[:, g] - expected)
-        ratings[rows, i] += change
-        ratings[rows, j] -= change
-    return ratings
+#: Draws of a task, and games that one sorts.
+_DRAWS, _SORTED = 1 << 19, 1 << 20
+#: Games that a random order is drawn for at once, games that are stepped side by side at once, and orders that a task steps side by side.
+_ARRANGED, _STEPPED, _SIDE_BY_SIDE = 1 << 16, 2048, 1000
+
+
+def elo_pass(ratings: list[float], kinds: list[tuple[int, int, float]], codes: np.ndarray, config: EloConfig) -> None:
+    """Moves ratings by games in order, each of which is the code of its kind (first, second, score)."""
+    k, scale, base = float(config.k), config.scale, config.base
+    for code in codes.tolist():
+        i, j, score = kinds[code]
+        change = k * (score - 1 / (1 + base ** ((ratings[j] - ratings[i]) / scale)))
+        ratings[i] += change
+        ratings[j] -= change
+
+
+def arranged(copies: np.ndarray, rng: np.random.Generator, most: int = _ARRANGED) -> Iterator[np.ndarray]:
+    """A random order of copies[c] games of each kind c, as their codes, `most` at a time: how many of each kind are in a
+    part is drawn without replacement and their order in it is shuffled, so that all orders are equally likely (below 10^9 games, numpy's bound)."""
+    left, total = copies.astype(np.int64), int(copies.sum())
+    most = max(most, len(copies))
+    while total:
+        n = min(most, total)
+        part = left if n == total else rng.multivariate_hypergeometric(left, n, method="marginals")
+        codes = np.repeat(np.arange(len(left), dtype=np.min_scalar_type(len(left))), part)
+        rng.shuffle(codes)
+        yield codes
+        left, total = left - part, total - n
+
+
+def elo_passes(first: np.ndarray, second: np.ndarray, score: np.ndarray, n: int, orders: list[Iterator[np.ndarray]], config: EloConfig) -> np.ndarray:
+    """Ratings after each of several orders of games of the kinds (first, second, score), which are stepped side by side; they may end at different games."""
+    unit = np.log(config.base) / config.scale
+    # what has come to its end plays a tie of two items that nobody else plays
+    first, second, gain = np.append(first, n), np.append(second, n + 1), np.append(score, 0.5) * config.k * unit
+    ratings = np.zeros(len(orders) * (n + 2))
+    row, k, ended = np.arange(len(orders)) * (n + 2), config.k * unit, len(score)
+    while True:
+        parts = [next(o, None) for o in orders]
+        longest = max((len(p) for p in parts if p is not None), default=0)
+        if not longest:
+            return ratings.reshape(len(orders), n + 2)[:, :n] / unit + config.initial
+        codes = np.full((len(orders), longest), ended, np.min_scalar_type(ended))
+        for own, part in zip(codes, parts):
+            if part is not None:
+                own[: len(part)] = part
+        for start in range(0, longest, _STEPPED):
+            some = np.ascontiguousarray(codes[:, start : start + _STEPPED].T)
+            for i, j, won in zip(first[some] + row, second[some] + row, gain[some]):
+                x, y = ratings.take(i), ratings.take(j)
+                change = y - x
+                np.exp(change, out=change)
+                change += 1
+                np.divide(k, change, out=change)
+                np.subtract(won, change, out=change)
+                ratings[i] = x + change
+                ratings[j] = y - change
+
+
+def _coded(played: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """names(item, number), kinds(code, i, j, score) and games(cluster, code): items by number, in order of their names, and
+    games by what they are, so that tasks hold numbers only."""
+    names = numbered(played.select(F.explode(F.array("first", "second")).alias("item")).distinct(), [F.asc("item")], "number")
+    end = lambda c, n: names.select(F.col("item").alias(c), F.col("number").alias(n))
+    distinct = played.select("first", "second", "score").distinct().join(end("first", "i"), "first").join(end("second", "j"), "second")
+    kinds = numbered(distinct, [F.asc("i"), F.asc("j"), F.asc("score")], "code")
+    return names, kinds.select("code", "i", "j", "score"), played.join(kinds, ["first", "second", "score"]).select("cluster", "code")
+
+
+def _canonical_pass(names: DataFrame, kinds: DataFrame, games: DataFrame, parts: int, config: EloConfig) -> DataFrame:
+    """item, rating after one pass in the canonical order. Games are sorted by ranges and packed there, a code each; the pass itself, which is sequential, reads
+    these packs one after another and holds a rating an item."""
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
+        for place, batch in enumerate(batches):
+            codes = batch.column("code").to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_pydict({"part": [part], "place": [place], "codes": [codes.astype("<i4").tobytes()], "kinds": [None]}, pa.schema(fields))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, ratings = [], []
+        for batch in batches:
+            for blob, table in zip(batch.column("codes"), batch.column("kinds")):
+                if table.is_valid:
+                    known += [(r["i"], r["j"], r["score"]) for r in table.as_py()]
+                    ratings += [float(config.initial)] * (max((max(i, j) for i, j, _ in known), default=-1) + 1 - len(ratings))
+                else:
+                    elo_pass(ratings, known, np.frombuffer(blob.as_py(), "<i4"), config)
+        yield pa.RecordBatch.from_pydict({"number": pa.array(range(len(ratings)), pa.int64()), "rating": pa.array(ratings, pa.float64())})
+
+    kind = pa.list_(pa.struct([("i", pa.int64()), ("j", pa.int64()), ("score", pa.float64())]))
+    fields = [("part", pa.int32()), ("place", pa.int32()), ("codes", pa.binary()), ("kinds", kind)]
+    schema = "part int, place int, codes binary, kinds array<struct<i: bigint, j: bigint, score: double>>"
+    order = ["cluster", "code"]
+    packs = games.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("code").mapInArrow(packed, schema)
+    block = F.floor(F.col("code") / 10_000).cast("int")
+    told = kinds.groupBy(block.alias("place")).agg(F.array_sort(F.collect_list(F.struct("code", "i", "j", "score"))).alias("all"))
+    told = told.select(F.lit(-1).alias("part"), "place", F.lit(None).cast("binary").alias("codes"), F.transform("all", lambda k: F.struct(k["i"].alias("i"), k["j"].alias("j"), k["score"].alias("score"))).alias("kinds"))
+    passed = told.unionByName(packs).repartition(1).sortWithinPartitions("part", "place").mapInArrow(run, "number bigint, rating double")
+    return passed.join(names, "number").select("item", "rating")
+
+
+def _random_passes(names: DataFrame, counts: DataFrame, tasks: int, seeds: Sequence[int], permutations: int, config: EloConfig) -> DataFrame:
+    """rep, item, rating: means over random orders of the games of each rep, of counts(rep, i, j, score, copies). Generators are seeded by
+    (seeds, rep), so results don't depend on how reps are dealt to tasks, each of which gets as many."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(frames, ignore_index=True)
+        if rows.empty:
+            return
+        rows = rows.sort_values(["rep", "i", "j", "score"], ignore_index=True)
+        reps = [(int(rep), own.reset_index(drop=True)) for rep, own in rows.groupby("rep")]
+        per = max(1, _SIDE_BY_SIDE // permutations)
+        for start in range(0, len(reps), per):
+            some = reps[start : start + per]
+            kinds = pd.concat([own for _, own in some])[["i", "j", "score"]].drop_duplicates().sort_values(["i", "j", "score"], ignore_index=True)
+            items = np.unique(kinds[["i", "j"]].to_numpy())
+            first, second = (np.searchsorted(items, kinds[c].to_numpy()) for c in ("i", "j"))
+            score = kinds["score"].to_numpy(float)
+            orders = []
+            for rep, own in some:
+                copies = kinds.merge(own, "left", ["i", "j", "score"])["copies"].fillna(0).to_numpy(np.int64)
+                # only kinds that a rep has, so that its draws are its own whatever shares the task
+                held = np.flatnonzero(copies).astype(np.min_scalar_type(len(copies)))
+                orders += [map(held.take, arranged(copies[held], rng)) for rng in np.random.default_rng([*seeds, rep]).spawn(permutations)]
+            if len(orders) < 16:  # so few are faster one by one
+                found, each = np.full((len(orders), len(items)), float(config.initial)), list(zip(first.tolist(), second.tolist(), score.tolist()))
+                for own, order in zip(found, orders):
+                    ratings = own.tolist()
+                    for codes in order:
+                        elo_pass(ratings, each, codes, config)
+                    own[:] = ratings
+            else:
+                found = elo_passes(first, second, score, len(items), orders, config)
+            means = found.reshape(len(some), permutations, len(items)).mean(axis=1)
+            for (rep, own), ratings in zip(some, means):
+                played = np.isin(items, own[["i", "j"]].to_numpy())
+                yield pd.DataFrame({"rep": rep, "number": items[played], "rating": ratings[played]})
+
+    dealt = counts.select((F.col("rep") % tasks).cast("int").alias("task"), "rep", "i", "j", "score", "copies").repartitionById(tasks, "task")
+    return dealt.drop("task").mapInPandas(run, "rep long, number long, rating double").join(names, "number").select("rep", "item", "rating")
 
 
 def elo(played: DataFrame, config: EloConfig = EloConfig(), permutations: int | None = None) -> DataFrame:
-    """item, rating, rating_sd: mean and population deviation over seeded orders of the canonical order; with
-    permutations = 0 one pass in that order. A pass is sequential by nature; passes are independent groups."""
-    n_orders = config.n_permutations if permutations is None else permutations
-    orders = played.sparkSession.range(max(1, n_orders)).select(F.col("id").alias("turn"))
-    grouped = played.groupBy("cluster", "first", "second", "score").agg(F.count("*").alias("copies"))
-    rows = grouped.crossJoin(F.broadcast(orders))  # orders: n_permutations rows, a parameter
-
-    def run(games: pd.DataFrame) -> pd.DataFrame:
-        games = games.sort_values(["cluster", "first", "second", "score"], ignore_index=True)
-        games = games.loc[games.index.repeat(games["copies"])].reset_index(drop=True)
-        turn = int(games["turn"].iloc[0])
-        if n_orders:
-            games = games.iloc[np.random.default_rng([config.seed, turn]).permutation(len(games))]
-        names, codes = np.unique(np.r_[games["first"].to_numpy(str), games["second"].to_numpy(str)], return_inverse=True)
-        i, j = codes[: len(games)][None], codes[len(games) :][None]
-        rating = elo_pass(i, j, games["score"].to_numpy(float)[None], len(names), config)[0]
-        return pd.DataFrame({"turn": turn, "item": names, "rating": rating})
+    """item, rating, rating_sd: mean and population deviation over seeded random orders; with permutations = 0 one pass in
+    the canonical order. A pass is sequential by nature; passes are independent.
 
-    passes = rows.groupBy("turn").applyInPandas(run, "turn long, item string, rating double")
-    return passes.groupBy("item").agg(F.avg("rating").alias("rating"), F.coalesce(F.stddev_pop("rating"), F.lit(0.0)).alias("rating_sd"))
+    In a random order only what a game is counts (who met and how it ended), so a pass gets the number of games of each kind, and draws its order part
+    by part: it neither reads nor holds the games."""
+    n_orders = config.n_permutations if permutations is None else permutations
+    with scratch(played.sparkSession):
+        played = staged(played.select("cluster", "first", "second", "score"))
+        names, kinds, games = _coded(played)
+        if not n_orders:
+            parts = -(-max(1, played.count()) // _SORTED)
+            return lasting(_canonical_pass(names, kinds, games, parts, config).select("item", "rating", F.lit(0.0).alias("rating_sd")))
+        counts = games.groupBy("code").agg(F.count("*").alias("copies")).join(kinds, "code")
+        turns = counts.crossJoin(F.broadcast(played.sparkSession.range(n_orders).select(F.col("id").alias("rep"))))  # n_permutations rows, a parameter
+        passes = _random_passes(names, turns, n_orders, [config.seed], 1, config)
+        return lasting(passes.groupBy("item").agg(F.avg("rating").alias("rating"), F.coalesce(F.stddev_pop("rating"), F.lit(0.0)).alias("rating_sd")))
 
 
 def units(played: DataFrame, unit: str) -> DataFrame:
@@ -323,24 +451,36 @@ def units(played: DataFrame, unit: str) -> DataFrame:
     return numbered(played, [F.asc(c) for c in ("cluster", "first", "second", "score")], "n").withColumn("cluster", F.format_string("g%012d", "n")).drop("n")
 
 
-def bootstrap_weights(played: DataFrame, config: BootstrapConfig = BootstrapConfig()) -> DataFrame:
-    """rep, cluster, weight: clusters drawn with replacement, as often as there are clusters. A draw is a hash of replicate and draw
-    number, so that draws need no order; clusters are numbered by ranges."""
+def _draws(played: DataFrame, config: BootstrapConfig) -> tuple[DataFrame, DataFrame, int]:
+    """clusters(cluster, n), drawn(rep, n, weight), both dealt by n into so many partitions, whose number grows with replicates times clusters. A draw is a
+    hash of replicate and draw number, so that draws need no order and no cluster; clusters are numbered by ranges."""
     clusters = numbered(played.select("cluster").distinct(), [F.asc("cluster")], "n")
-    count = clusters.agg(F.count("*").alias("units"))
-    draws = clusters.crossJoin(F.broadcast(count)).select("units", F.col("n").alias("draw"))
-    draws = draws.crossJoin(F.broadcast(played.sparkSession.range(config.n_replicates).select(F.col("id").alias("rep"))))
-    chosen = F.floor(hash_unit(config.seed, "clusters", F.col("rep"), F.col("draw")) * F.col("units")).cast("long")
-    counted = draws.select("rep", chosen.alias("n")).groupBy("rep", "n").agg(F.count("*").alias("weight"))
-    return counted.join(clusters, "n").select("rep", "cluster", "weight")
+    count = clusters.count()
+    parts = max(1, -(-count * config.n_replicates // _DRAWS))
+    ids = played.sparkSession.range(0, count * config.n_replicates, 1, parts)
+    ids = ids.select(F.expr(f"id div {max(1, count)}").alias("rep"), (F.col("id") % max(1, count)).alias("draw"))
+    chosen = F.floor(hash_unit(config.seed, "clusters", F.col("rep"), F.col("draw")) * F.lit(count)).cast("long")
+    drawn = ids.select("rep", chosen.alias("n")).repartition(parts, "n").groupBy("rep", "n").agg(F.count("*").alias("weight"))
+    return clusters.repartition(parts, "n"), drawn, parts
+
+
+def bootstrap_weights(played: DataFrame, config: BootstrapConfig = BootstrapConfig()) -> DataFrame:
+    """rep, cluster, weight: clusters drawn with replacement, as often as there are clusters."""
+    clusters, drawn, _ = _draws(played, config)
+    return drawn.join(clusters, "n").select("rep", "cluster", "weight")
+
+
+def _weighted(sums: DataFrame, played: DataFrame, config: BootstrapConfig) -> DataFrame:
+    """sums(cluster, ...) without the cluster, with rep and weight of each replicate that drew it; played tells which clusters there are."""
+    clusters, drawn, parts = _draws(played, config)
+    return sums.join(clusters, "cluster").drop("cluster").repartition(parts, "n").join(drawn, "n").drop("n")
 
 
 def replicate_matrices(played: DataFrame, config: BootstrapConfig = BootstrapConfig()) -> DataFrame:
     """rep, item, opponent, wins, games: pairs are summed within clusters first, so replicates multiply sums, not games."""
     played = units(played, config.unit)
-    sums = played.groupBy("cluster", "first", "second").agg(F.sum("score").alias("won"), F.count("*").alias("n"))
-    drawn = sums.join(bootstrap_weights(played, config), "cluster")
-    half = drawn.groupBy("rep", "first", "second").agg(F.sum(F.col("weight") * F.col("won")).alias("won"), F.sum(F.col("weight") * F.col("n")).cast("double").alias("games"))
+    drawn = _weighted(played.groupBy("cluster", "first", "second").agg(F.sum("score").alias("won"), F.count("*").alias("n_games")), played, config)
+    half = drawn.groupBy("rep", "first", "second").agg(F.sum(F.col("weight") * F.col("won")).alias("won"), F.sum(F.col("weight") * F.col("n_games")).cast("double").alias("games"))
     sides = F.array(F.struct(F.col("first").alias("item"), F.col("second").alias("opponent"), F.col("won").alias("wins")), F.struct(F.col("second").alias("item"), F.col("first").alias("opponent"), (F.col("games") - F.col("won")).alias("wins")))
     return half.select("rep", "games", F.explode(sides).alias("s")).select("rep", "s.item", "s.opponent", "s.wins", "games")
 
@@ -365,22 +505,18 @@ def bootstrap_bradley_terry(played: DataFrame, config: BootstrapConfig = Bootstr
 
 
 def bootstrap_elo(played: DataFrame, config: BootstrapConfig = BootstrapConfig(), rating: EloConfig = EloConfig(), permutations: int = 10) -> DataFrame:
-    """item, rating, ci_lower, ci_upper, rank_lower, rank_upper: each replicate averages seeded orders of its games."""
-    own = units(played, config.unit)
-    sums = own.groupBy("cluster", "first", "second", "score").agg(F.count("*").alias("copies"))
-    drawn = sums.join(bootstrap_weights(own, config), "cluster").withColumn("copies", F.col("copies") * F.col("weight"))
-
-    def run(games: pd.DataFrame) -> pd.DataFrame:
-        rep = int(games["rep"].iloc[0])
-        games = games.sort_values(["cluster", "first", "second", "score"], ignore_index=True)
-        games = games.loc[games.index.repeat(games["copies"])].reset_index(drop=True)
-        names, codes = np.unique(np.r_[games["first"].to_numpy(str), games["second"].to_numpy(str)], return_inverse=True)
-        orders = np.random.default_rng([config.seed, 2, rep]).permuted(np.tile(np.arange(len(games)), (permutations, 1)), axis=1)
-        i, j, s = codes[: len(games)][orders], codes[len(games) :][orders], games["score"].to_numpy(float)[orders]
-        return pd.DataFrame({"rep": rep, "item": names, "estimate": elo_pass(i, j, s, len(names), rating).mean(axis=0)})
-
-    refits = drawn.groupBy("rep").applyInPandas(run, "rep long, item string, estimate double")
-    return elo(played, rating).select("item", "rating").join(intervals(refits, config.level), "item", "left")
+    """item, rating, ci_lower, ci_upper, rank_lower, rank_upper: each replicate averages seeded random orders of its games, of which
+    its task gets the number of each kind. All orders of a task are stepped side by side."""
+    spark = played.sparkSession
+    with scratch(spark):
+        played = staged(played.select("cluster", "first", "second", "score"))
+        names, kinds, games = _coded(units(played, config.unit))
+        games = staged(games)
+        drawn = _weighted(games.groupBy("cluster", "code").agg(F.count("*").alias("copies")), games, config)
+        counts = drawn.groupBy("rep", "code").agg(F.sum(F.col("copies") * F.col("weight")).alias("copies")).join(kinds, "code")
+        tasks = min(config.n_replicates, max(spark.sparkContext.defaultParallelism, -(-config.n_replicates * permutations // _SIDE_BY_SIDE)))
+        refits = staged(_random_passes(names, counts, max(1, tasks), [config.seed, 2], permutations, rating).withColumnRenamed("rating", "estimate"))
+        return lasting(elo(played, rating).select("item", "rating").join(intervals(refits, config.level), "item", "left"))
 
 
 def kendall_tau(scores: DataFrame, x: str, y: str, block_rows: int = 1 << 16) -> DataFrame:
