@@ -389,3 +389,9 @@ def test_elo_orders_side_by_side_are_those_one_by_one():
         for codes in draw(k):
             ranking.elo_pass(one_by_one, list(zip(first.tolist(), second.tolist(), score.tolist())), codes, config)
         assert got[k].tolist() == pytest.approx(one_by_one, abs=1e-8)
+
+
+def test_bootstrap_elo_around_the_rating(spark):
+    games = ranking.sample_games({"a": 1.0, "b": 0.0, "c": -1.0}, spark, 30, 2)
+    got = {r.item: r for r in ranking.bootstrap_elo(games, ranking.BootstrapConfig(40), ranking.EloConfig(n_permutations=20)).collect()}
+    assert set(got) == {"a", "b", "c"} and all(r.ci_lower < r.rating < r.ci_upper for r in got.values()) and got["a"].rank_upper == 1
