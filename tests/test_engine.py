@@ -395,3 +395,24 @@ def test_bootstrap_elo_around_the_rating(spark):
     games = ranking.sample_games({"a": 1.0, "b": 0.0, "c": -1.0}, spark, 30, 2)
     got = {r.item: r for r in ranking.bootstrap_elo(games, ranking.BootstrapConfig(40), ranking.EloConfig(n_permutations=20)).collect()}
     assert set(got) == {"a", "b", "c"} and all(r.ci_lower < r.rating < r.ci_upper for r in got.values()) and got["a"].rank_upper == 1
+
+
+def test_rankings_are_counted_by_prompt_before_items_are_looked_up(spark):
+    rows = judgments(spark, [("x", "p", "b", "a", "left")])
+    ranked = spark.createDataFrame([(f"k{n}", "x" if n < 90 else "y", f"p{n % 3}", ["c", "a", "b"]) for n in range(100)], "id string, annotator_id string, prompt_id string, ranking array<string>")
+    models = spark.createDataFrame([("a", "m"), ("b", "m"), ("c", "n")], "id string, model string")
+    assert {r.reason: r.n for r in comparisons.game_drops(rows, models, excluded=["y"], ranked=ranked).collect()} == {"game": 180, "same_item": 91, "excluded_annotator": 10}
+    assert {(r["first"], r["second"], r.score, r.n) for r in comparisons.games(rows, models, ranked=ranked).groupBy("first", "second", "score").agg(F.count("*").alias("n")).collect()} == {("m", "n", 0.0, 200)}
+    assert comparisons._ranked_outcomes(ranked, models, []).count() == 9  # not 300
+
+
+def test_prompts_are_met_before_texts(spark):
+    decided = spark.createDataFrame([("p", "a", "b", "a", "b", 1, 1.0, True, False, 1, 0, 0)], "prompt_id string, a_id string, b_id string, chosen string, rejected string, n_votes long, agreement double, kept boolean, is_tie boolean, n_a long, n_b long, n_tie long")
+    prompts = spark.createDataFrame([("p", "why")], "id string, text string")
+    responses = spark.createDataFrame([("a", "yes"), ("b", "no")], "id string, text string")
+    for kind, make in export.ROWS.items():
+        rows = make(decided, prompts, responses).collect()
+        assert {r.prompt for r in rows} == {"why"} and len(rows) == (2 if kind == "kto" else 1)
+    plan = export.dpo_rows(decided, prompts, responses)._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join Inner" in line]
+    assert len(joins) == 3 and "prompt_id" in joins[-1]
