@@ -98,11 +98,15 @@ def _texts(rows: DataFrame, responses: DataFrame, column: str, name: str) -> Dat
     return rows.join(responses.select(F.col("id").alias(column), F.col("text").alias(name)), column)
 
 
+def _prompts(rows: DataFrame, prompts: DataFrame) -> DataFrame:
+    """rows with their prompt's text. It is met before any response's, so that the shuffle for it carries ids alone."""
+    return rows.join(prompts.select(F.col("id").alias("prompt_id"), F.col("text").alias("prompt")), "prompt_id")
+
+
 def dpo_rows(decided: DataFrame, prompts: DataFrame, responses: DataFrame, config: SplitConfig = SplitConfig()) -> DataFrame:
     """split, prompt, chosen, rejected and ids of kept pairs that aren't ties."""
     rows = decided.where("kept and not is_tie").select("prompt_id", "a_id", "b_id", F.col("chosen").alias("chosen_id"), F.col("rejected").alias("rejected_id"), "n_votes", "agreement")
-    rows = _texts(_texts(rows, responses, "chosen_id", "chosen"), responses, "rejected_id", "rejected")
-    return with_split(rows.join(prompts.select(F.col("id").alias("prompt_id"), F.col("text").alias("prompt")), "prompt_id"), config)
+    return with_split(_texts(_texts(_prompts(rows, prompts), responses, "chosen_id", "chosen"), responses, "rejected_id", "rejected"), config)
 
 
 def kto_rows(decided: DataFrame, prompts: DataFrame, responses: DataFrame, config: SplitConfig = SplitConfig()) -> DataFrame:
@@ -110,15 +114,14 @@ def kto_rows(decided: DataFrame, prompts: DataFrame, responses: DataFrame, confi
     sides = F.array(F.struct(F.col("chosen").alias("id"), F.lit(1).alias("w")), F.struct(F.col("rejected").alias("id"), F.lit(0).alias("w")))
     ends = decided.where("kept and not is_tie").select("prompt_id", F.explode(sides).alias("s"))
     rows = ends.groupBy("prompt_id", F.col("s.id").alias("response_id")).agg(F.sum("s.w").alias("wins"), F.sum(1 - F.col("s.w")).alias("losses"))
-    rows = _texts(rows.where("wins <> losses").withColumn("label", F.col("wins") > F.col("losses")), responses, "response_id", "completion")
-    return with_split(rows.join(prompts.select(F.col("id").alias("prompt_id"), F.col("text").alias("prompt")), "prompt_id"), config)
+    rows = rows.where("wins <> losses").withColumn("label", F.col("wins") > F.col("losses"))
+    return with_split(_texts(_prompts(rows, prompts), responses, "response_id", "completion"), config)
 
 
 def rm_rows(decided: DataFrame, prompts: DataFrame, responses: DataFrame, config: SplitConfig = SplitConfig()) -> DataFrame:
     """split, prompt, both responses and p_a, the share of votes for the first, of all kept pairs."""
     rows = decided.where("kept").select("prompt_id", "a_id", "b_id", "n_votes", ((F.col("n_a") + 0.5 * F.col("n_tie")) / F.col("n_votes")).alias("p_a"))
-    rows = _texts(_texts(rows, responses, "a_id", "response_a"), responses, "b_id", "response_b")
-    return with_split(rows.join(prompts.select(F.col("id").alias("prompt_id"), F.col("text").alias("prompt")), "prompt_id"), config)
+    return with_split(_texts(_texts(_prompts(rows, prompts), responses, "a_id", "response_a"), responses, "b_id", "response_b"), config)
 
 
 ROWS = {"dpo": dpo_rows, "kto": kto_rows, "rm": rm_rows}
