@@ -416,3 +416,24 @@ def test_prompts_are_met_before_texts(spark):
     plan = export.dpo_rows(decided, prompts, responses)._jdf.queryExecution().optimizedPlan().toString()
     joins = [line for line in plan.splitlines() if "Join Inner" in line]
     assert len(joins) == 3 and "prompt_id" in joins[-1]
+
+
+def test_draws_of_a_task_are_bounded(spark, monkeypatch):
+    games = ranking.sample_games({"a": 1.0, "b": 0.0}, spark, 60)
+    for unit in ("clusters", "games"):
+        config = ranking.BootstrapConfig(20, unit=unit)
+        rows = lambda: sorted(map(tuple, ranking.bootstrap_weights(ranking.units(games, unit), config).collect()))
+        matrix = lambda: sorted(map(tuple, ranking.replicate_matrices(games, config).collect()))
+        want = rows(), matrix()
+        assert sum(w for _, _, w in want[0]) == 1200
+        with monkeypatch.context() as m:
+            m.setattr(ranking, "_DRAWS", 100)
+            _, drawn, parts = ranking._draws(ranking.units(games, unit), config)
+            assert parts == 12 and max(r.n for r in drawn.groupBy(F.spark_partition_id()).agg(F.sum("weight").alias("n")).collect()) < 400
+            assert (rows(), matrix()) == want
+
+
+def test_the_few_kinds_of_games_are_broadcast_not_the_games(spark):
+    games = ranking.staged(ranking.sample_games({"a": 1.0, "b": 0.0}, spark, 5000, 4))
+    size = lambda df: int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    assert size(ranking._coded(games)[1]) < size(games)

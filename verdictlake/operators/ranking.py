@@ -342,10 +342,11 @@ def elo_passes(first: np.ndarray, second: np.ndarray, score: np.ndarray, n: int,
 def _coded(played: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """names(item, number), kinds(code, i, j, score) and games(cluster, code): items by number, in order of their names, and
     games by what they are, so that tasks hold numbers only."""
-    names = numbered(played.select(F.explode(F.array("first", "second")).alias("item")).distinct(), [F.asc("item")], "number")
+    names = staged(numbered(played.select(F.explode(F.array("first", "second")).alias("item")).distinct(), [F.asc("item")], "number"))
     end = lambda c, n: names.select(F.col("item").alias(c), F.col("number").alias(n))
     distinct = played.select("first", "second", "score").distinct().join(end("first", "i"), "first").join(end("second", "j"), "second")
-    kinds = numbered(distinct, [F.asc("i"), F.asc("j"), F.asc("score")], "code")
+    # written out, so that Spark knows how few they are and doesn't broadcast the games instead
+    kinds = staged(numbered(distinct, [F.asc("i"), F.asc("j"), F.asc("score")], "code"))
     return names, kinds.select("code", "i", "j", "score"), played.join(kinds, ["first", "second", "score"]).select("cluster", "code")
 
 
@@ -454,7 +455,7 @@ def units(played: DataFrame, unit: str) -> DataFrame:
 def _draws(played: DataFrame, config: BootstrapConfig) -> tuple[DataFrame, DataFrame, int]:
     """clusters(cluster, n), drawn(rep, n, weight), both dealt by n into so many partitions, whose number grows with replicates times clusters. A draw is a
     hash of replicate and draw number, so that draws need no order and no cluster; clusters are numbered by ranges."""
-    clusters = numbered(played.select("cluster").distinct(), [F.asc("cluster")], "n")
+    clusters = staged(numbered(played.select("cluster").distinct(), [F.asc("cluster")], "n"))
     count = clusters.count()
     parts = max(1, -(-count * config.n_replicates // _DRAWS))
     ids = played.sparkSession.range(0, count * config.n_replicates, 1, parts)
