@@ -277,6 +277,27 @@ def test_dawid_skene_over_patterns_equals_a_fit_over_items(spark, symmetric):
         assert np.allclose([got[f"w{w}"].a, got[f"w{w}"].b], [chance[w, 0, 0], chance[w, 1, 1]], atol=1e-6)
 
 
+@pytest.mark.parametrize("symmetric", [True, False])
+def test_dawid_skene_of_few_people_is_that_by_frames_in_a_job_a_turn(spark, symmetric):
+    rng = np.random.default_rng(4)
+    rows = [(f"p{n}", "x", "y", f"w{w}", "tie" if n % 9 == 0 else ("a_wins", "b_wins")[int((rng.random() < 0.8) == (n % 2))]) for n in range(60) for w in rng.choice(5, 3, replace=False)]
+    labels = spark.createDataFrame([*rows, ("p0", "x", "y", "ties", "tie")], "prompt_id string, a_id string, b_id string, annotator_id string, label string")
+    fits, jobs = [], []
+    for turns, collected in ((2, 1000), (5, 1000), (5, 5)):
+        spark.sparkContext.setJobGroup(f"fit {symmetric} {turns} {collected}", "")
+        found, n, _ = dawid_skene.fit(labels, dawid_skene.ReliabilityConfig(symmetric=symmetric, tol=0, max_iter=turns, collected=collected))
+        fits.append({r.annotator_id: r for r in found.collect()})
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"fit {symmetric} {turns} {collected}")))
+        assert n == turns
+    spark.sparkContext.setJobGroup("", "")
+    _, got, want = fits
+    assert got.keys() == want.keys() and got["ties"].n_labels == 0
+    # a shuffle's stage and what reads it are jobs of their own
+    assert jobs[1] - jobs[0] <= 2 * 3
+    for w, r in want.items():
+        assert got[w].n_labels == r.n_labels and np.allclose([got[w].a, got[w].b], [r.a, r.b], atol=1e-9)
+
+
 def test_votes_reasons_and_rows(spark):
     rows = [("a", "p", "x", "y", "left"), ("b", "p", "x", "y", "left"), ("c", "p", "x", "y", "right"), ("d", "p", "x", "y", "tie"), ("e", "p", "x", "y", "skip"), ("a", "q", "x", "y", "left"), ("b", "q", "x", "y", "right"), ("a", "r", "x", "y", "skip")]
     votes = export.votes_per_pair(judgments(spark, rows))
