@@ -454,6 +454,16 @@ def test_draws_of_a_task_are_bounded(spark, monkeypatch):
             assert (rows(), matrix()) == want
 
 
+def test_games_that_are_drawn_are_numbered_once(spark, monkeypatch):
+    games = ranking.sample_games({"a": 1.0, "b": 0.0, "c": 0.5}, spark, 20)
+    own, sorted_by = ranking.numbered, []
+    monkeypatch.setattr(ranking, "numbered", lambda rows, order, name: sorted_by.append(name) or own(rows, order, name))
+    got = sorted(map(tuple, ranking.replicate_matrices(games, ranking.BootstrapConfig(5, unit="games")).collect()))
+    assert sorted_by == ["n"]
+    # each game as a cluster of its own
+    assert got == sorted(map(tuple, ranking.replicate_matrices(ranking.units(games, "games"), ranking.BootstrapConfig(5)).collect()))
+
+
 def test_the_few_kinds_of_games_are_broadcast_not_the_games(spark):
     games = ranking.staged(ranking.sample_games({"a": 1.0, "b": 0.0}, spark, 5000, 4))
     size = lambda df: int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())

@@ -14,7 +14,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.inversions import inversions
@@ -443,25 +443,33 @@ def elo(played: DataFrame, config: EloConfig = EloConfig(), permutations: int |
         return lasting(passes.groupBy("item").agg(F.avg("rating").alias("rating"), F.coalesce(F.stddev_pop("rating"), F.lit(0.0)).alias("rating_sd")))
 
 
+def _numbered_games(played: DataFrame) -> DataFrame:
+    return numbered(played, [F.asc(c) for c in ("cluster", "first", "second", "score")], "n")
+
+
 def units(played: DataFrame, unit: str) -> DataFrame:
     """played with `cluster` as what is drawn: the clusters as they are, or each game by its number in the canonical order."""
     if unit == "clusters":
         return played
     if unit != "games":
         raise ValueError("what is drawn are clusters or games")
-    return numbered(played, [F.asc(c) for c in ("cluster", "first", "second", "score")], "n").withColumn("cluster", F.format_string("g%012d", "n")).drop("n")
+    return _numbered_games(played).withColumn("cluster", F.format_string("g%012d", "n")).drop("n")
 
 
-def _draws(played: DataFrame, config: BootstrapConfig) -> tuple[DataFrame, DataFrame, int]:
-    """clusters(cluster, n), drawn(rep, n, weight), both dealt by n into so many partitions, whose number grows with replicates times clusters. A draw is a
-    hash of replicate and draw number, so that draws need no order and no cluster; clusters are numbered by ranges."""
-    clusters = staged(numbered(played.select("cluster").distinct(), [F.asc("cluster")], "n"))
-    count = clusters.count()
+def _drawn(spark: SparkSession, count: int, config: BootstrapConfig) -> tuple[DataFrame, int]:
+    """drawn(rep, n, weight) of numbers below count, dealt by n into so many partitions, whose number grows with replicates times count. A draw is a
+    hash of replicate and draw number, so that draws need no order and nothing of what is drawn."""
     parts = max(1, -(-count * config.n_replicates // _DRAWS))
-    ids = played.sparkSession.range(0, count * config.n_replicates, 1, parts)
+    ids = spark.range(0, count * config.n_replicates, 1, parts)
     ids = ids.select(F.expr(f"id div {max(1, count)}").alias("rep"), (F.col("id") % max(1, count)).alias("draw"))
     chosen = F.floor(hash_unit(config.seed, "clusters", F.col("rep"), F.col("draw")) * F.lit(count)).cast("long")
-    drawn = ids.select("rep", chosen.alias("n")).repartition(parts, "n").groupBy("rep", "n").agg(F.count("*").alias("weight"))
+    return ids.select("rep", chosen.alias("n")).repartition(parts, "n").groupBy("rep", "n").agg(F.count("*").alias("weight")), parts
+
+
+def _draws(played: DataFrame, config: BootstrapConfig) -> tuple[DataFrame, DataFrame, int]:
+    """clusters(cluster, n), drawn(rep, n, weight), both dealt by n into so many partitions; clusters are numbered by ranges."""
+    clusters = staged(numbered(played.select("cluster").distinct(), [F.asc("cluster")], "n"))
+    drawn, parts = _drawn(played.sparkSession, clusters.count(), config)
     return clusters.repartition(parts, "n"), drawn, parts
 
 
@@ -478,9 +486,15 @@ def _weighted(sums: DataFrame, played: DataFrame, config: BootstrapConfig) -> Da
 
 
 def replicate_matrices(played: DataFrame, config: BootstrapConfig = BootstrapConfig()) -> DataFrame:
-    """rep, item, opponent, wins, games: pairs are summed within clusters first, so replicates multiply sums, not games."""
-    played = units(played, config.unit)
-    drawn = _weighted(played.groupBy("cluster", "first", "second").agg(F.sum("score").alias("won"), F.count("*").alias("n_games")), played, config)
+    """rep, item, opponent, wins, games: pairs are summed within clusters first, so replicates multiply sums, not games. Where games are drawn,
+    the number of a game is that of its draws."""
+    if config.unit == "games":
+        alone = _numbered_games(played.select("cluster", "first", "second", "score")).select("n", "first", "second", F.col("score").alias("won"), F.lit(1).cast("long").alias("n_games"))
+        draws, parts = _drawn(played.sparkSession, alone.count(), config)
+        drawn = alone.repartition(parts, "n").join(draws, "n").drop("n")
+    else:
+        played = units(played, config.unit)
+        drawn = _weighted(played.groupBy("cluster", "first", "second").agg(F.sum("score").alias("won"), F.count("*").alias("n_games")), played, config)
     half = drawn.groupBy("rep", "first", "second").agg(F.sum(F.col("weight") * F.col("won")).alias("won"), F.sum(F.col("weight") * F.col("n_games")).cast("double").alias("games"))
     sides = F.array(F.struct(F.col("first").alias("item"), F.col("second").alias("opponent"), F.col("won").alias("wins")), F.struct(F.col("second").alias("item"), F.col("first").alias("opponent"), (F.col("games") - F.col("won")).alias("wins")))
     return half.select("rep", "games", F.explode(sides).alias("s")).select("rep", "s.item", "s.opponent", "s.wins", "games")
