@@ -220,6 +220,24 @@ def test_a_fit_without_a_prior_needs_wins_both_ways_as_frames_too(spark):
         ranking.bradley_terry(comparisons.win_matrix(played(spark, ring[:2])), config)
 
 
+def test_strong_components_of_small_parts_are_found_in_tasks(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    small = [(g, f"{c}-{a}", f"{c}-{b}") for g in "xy" for c in range(8) for a, b in rng.integers(0, 5, (7, 2))]
+    large = [("x", f"l{a}", f"l{b}") for a in range(5) for b in range(5) if a != b]
+    frame = spark.createDataFrame(small + large, "g string, source string, target string")
+    own, by_frames = graphs._strong_by_frames, []
+
+    def seen(arcs, keys):
+        by_frames.append(arcs.count())
+        return own(arcs, keys)
+
+    found = {}
+    monkeypatch.setattr(graphs, "_strong_by_frames", seen)
+    for rows in (10, 1000):
+        found[rows] = sorted(map(tuple, graphs.strong_components(frame, ("g",), task_rows=rows).collect()))
+    assert by_frames == [20] and found[10] == found[1000] and [r[2] for r in found[10] if r[1][0] == "l"] == ["l4"] * 5
+
+
 def test_strong_components(spark):
     rng = np.random.default_rng(2)
     arcs = [(g, f"n{a}", f"n{b}") for g in "xy" for a, b in rng.integers(0, 14, (18 if g == "x" else 26, 2))]

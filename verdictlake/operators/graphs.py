@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,13 +46,84 @@ def weak_components(edges: DataFrame) -> DataFrame:
                 return lasting(nodes)
 
 
-def strong_components(arcs: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """*by, node, component of arcs(*by, source, target): component is a node that all of it reach, and that reaches all of it.
+def strong_labels(n: int, source: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """A number for each of n nodes, the same for those that reach each other (Gabow's walk along paths, in time of nodes and arcs)."""
+    order = np.argsort(source, kind="stable")
+    heads, starts = target[order].tolist(), np.searchsorted(source[order], np.arange(n + 1)).tolist()
+    following, seen, label, clock = starts[:n], [0] * n, [-1] * n, 0
+    open_, path = [], []
+    for root in range(n):
+        calls = [] if seen[root] else [root]
+        while calls:
+            v = calls[-1]
+            if not seen[v]:
+                clock += 1
+                seen[v] = clock
+                open_.append(v)
+                path.append(v)
+            while following[v] < starts[v + 1]:
+                w = heads[following[v]]
+                following[v] += 1
+                if not seen[w]:
+                    calls.append(w)
+                    break
+                if label[w] < 0:
+                    while seen[path[-1]] > seen[w]:
+                        path.pop()
+            else:
+                calls.pop()
+                if path[-1] == v:
+                    path.pop()
+                    while label[v] < 0:
+                        label[open_.pop()] = v
+    return np.array(label, int)
+
+
+def _strong_in_tasks(arcs: DataFrame, keys: list[str]) -> DataFrame:
+    """As `strong_components`, of arcs(_task, *keys, source, target): no arc leads from a task to another."""
+    kinds = {f.name: f.dataType.simpleString() for f in arcs.schema}
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        ends = pd.concat([group[[*keys, end]].set_axis([*keys, "node"], axis=1) for end in ("source", "target")], ignore_index=True)
+        codes = ends.groupby([*keys, "node"], sort=False, dropna=False).ngroup().to_numpy()
+        _, shown = np.unique(codes, return_index=True)
+        label = strong_labels(len(shown), codes[: len(group)], codes[len(group) :])
+        nodes = ends.iloc[shown].reset_index(drop=True)
+        names, rank = np.unique(nodes["node"].to_numpy(), return_inverse=True)
+        greatest = np.zeros(len(label), int)
+        np.maximum.at(greatest, label, rank)
+        return nodes.assign(component=names[greatest[label]])
+
+    schema = ", ".join([*(f"{k} {kinds[k]}" for k in keys), f"node {kinds['source']}", f"component {kinds['source']}"])
+    return arcs.groupBy("_task").applyInPandas(run, schema)
+
+
+def strong_components(arcs: DataFrame, by: tuple[str, ...] = (), task_rows: int = 20_000) -> DataFrame:
+    """*by, node, component of arcs(*by, source, target): component is the greatest node of those that reach each other.
+
+    Arcs fall into weak components. Many of up to `task_rows` arcs make a task; what is larger is looked at by frames."""
+    keys = list(by)
+    with scratch(arcs.sparkSession):
+        arcs = staged(arcs.select(*keys, "source", "target").where("source <> target").distinct())
+        labels = weak_components(arcs.select(F.col("source").alias("x"), F.col("target").alias("y")).distinct())
+        placed = staged(arcs.join(labels.withColumnRenamed("node", "source"), "source"))
+        large = staged(placed.groupBy(*keys, "label").agg(F.count("*").alias("n")).where(F.col("n") > task_rows).drop("n"))
+        if large.isEmpty():
+            small, by_frames = placed, None
+        else:
+            same = [placed[c].eqNullSafe(large[c]) for c in (*keys, "label")]
+            small, by_frames = placed.join(large, same, "left_anti"), _strong_by_frames(placed.join(large, same, "left_semi").drop("label"), keys)
+        tasks = max(1, -(-arcs.count() // max(1, task_rows)))
+        out = _strong_in_tasks(small.withColumn("_task", F.pmod(F.xxhash64(*keys, "label"), F.lit(tasks)).cast("int")), keys)
+        return lasting(out if by_frames is None else out.unionByName(by_frames))
+
+
+def _strong_by_frames(arcs: DataFrame, keys: list[str]) -> DataFrame:
+    """As `strong_components`, whatever the size of a component.
 
     Nodes that no arc enters, or none leaves, are components of their own and go, again and again. Of the rest each takes the greatest
     name that reaches it; a node whose own name it is heads the colour, and what of the colour reaches it by arcs inside of the colour is its
     component. These go too, until nothing is left."""
-    keys = list(by)
     with scratch(arcs.sparkSession):
         arcs = staged(arcs.select(*keys, "source", "target").where("source <> target").distinct())
         ends = arcs.select(*keys, F.explode(F.array("source", "target")).alias("node")).distinct()
