@@ -46,6 +46,9 @@ class FactorConfig:
 _BREAK = np.zeros(256, bool)
 _BREAK[list(WORD_BREAKS)] = True
 _POWER = np.uint64(0x9E3779B97F4A7C15)
+#: What a byte, and its place in a word, bring to the word's hash.
+_BYTE = mix64(np.arange(256, dtype=np.uint64) + np.uint64(257))
+_WEIGHT = mix64((np.arange(256, dtype=np.uint64) + np.uint64(1)) * _POWER) | np.uint64(1)
 
 
 @dataclass
@@ -71,9 +74,8 @@ def words_of(data: np.ndarray, ends: np.ndarray, breaks: np.ndarray = _BREAK) ->
     # the hash of a word: the sum of its bytes times powers of their place in it
     lengths = stops - begins
     place = np.arange(len(data)) - np.repeat(np.r_[np.int64(0), begins], np.diff(np.r_[np.int64(0), begins, len(data)]))
-    weights = mix64((np.minimum(place, 255).astype(np.uint64) + np.uint64(1)) * _POWER) | np.uint64(1)
     sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(mix64(data.astype(np.uint64) + np.uint64(257)) * weights, out=sums[1:])
+    np.cumsum(_BYTE[data] * _WEIGHT[np.minimum(place, 255)], out=sums[1:])
     hashes = mix64((sums[stops] - sums[begins]) * _POWER + lengths.astype(np.uint64))
     for i in np.flatnonzero(lengths > 255):  # beyond that place a sum would not see the order
         hashes[i] = np.frombuffer(hashlib.blake2b(data[begins[i] : stops[i]].tobytes(), digest_size=8).digest(), np.uint64)[0]
