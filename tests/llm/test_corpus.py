@@ -1,6 +1,7 @@
 """Corpus operators against brute force, with nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns."""
 
 import base64
+import dataclasses
 import hashlib
 import random
 import re
@@ -67,6 +68,22 @@ def test_packing_is_exact_and_tight(spark):
     assert packing.pack_documents(empty(spark), config).count() == 0
 
 
+@pytest.mark.parametrize("cached", [4, 100_000])
+def test_chunks_have_the_ids_of_the_library(cached):
+    own = packing.ChunkTokenizer(dataclasses.replace(PACKING, cached=cached))
+    rng = random.Random(4)
+    pool = [chr(c) for c in range(0x20, 0x180)] + ["\t", "\n", "\x85", "\u2003", "\u0301", "\u4e16", "\u212a", "\U0001f600"] + 40 * [" "]
+    pool += 4 * ["<|endoftext|>", "<|ENDOFTEXT|>", "<|StartOfText|>", "</w>", "'s", "'LL", "Stop", "wor", "KD", "word,", "endoftext", "don't"]
+    texts = ["".join(rng.choice(pool) for _ in range(rng.randrange(60))) for _ in range(400)] + ["", " ", "Word word WORD", "Stra\u00dfe \u00c9T\u00c9 \u0130I"]
+    want = [np.array(x.ids, "<u4").tobytes() for x in own.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    assert own.encode(texts[:150]) + own.encode(texts[150:]) == want
+    # plain texts don't go through the tokenizer's normaliser and pattern, and parts stand among the chunks
+    plain = packing.ChunkTokenizer(PACKING)
+    plain._ids = None
+    assert plain.encode(["Some words, and Others!", "some OTHERS"]) == [np.array(x.ids, "<u4").tobytes() for x in own.tokenizer.encode_batch_fast(["some words, and others!", "some others"], add_special_tokens=False)]
+    assert {"some", "words,", "words", ",", "others!", "others"} <= set(plain.chunks)
+
+
 def test_packing_of_what_never_fits_together_ends(spark):
     pieces = spark.range(200).selectExpr("id as doc_id", "cast(0 as int) as piece", "0L as start", "40L as length", "0L as ids_crc32")
     got = packing.pack_pieces(pieces, packing.PackingConfig(PACKING.tokenizer_path, capacity=64, group_pieces=20))

@@ -9,11 +9,13 @@ underfull bins of all groups meets in fewer groups in a next round, until one gr
 from __future__ import annotations
 
 import bisect
+import re
 import struct
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import filterfalse
 
 import numpy as np
 import pandas as pd
@@ -21,7 +23,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, pre_tokenizers
 
 from .common import Remembered, lasting, scratch, staged, whole_text
 
@@ -31,7 +33,7 @@ class PackingConfig:
     """tokenizer_path: a file of the tokenizers library. end_id: put after each document. capacity: ids of a sequence.
     group_pieces: pieces that one task packs at most, on average. closed_fill: a bin this full isn't packed again.
     sweeps: of the local search over the underfull bins. cached: chunks, and parts of them, that a Python worker remembers, up to
-    twice as many of each."""
+    twice as many."""
 
     tokenizer_path: str
     end_id: int = 1
@@ -46,39 +48,79 @@ class PackingConfig:
 _CUT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
 
+#: What is not in a plain text: letters that lower case or composition could join to others.
+_WIDE = re.compile("[^\x00-\u017f]|\u0130")
+
+
 class ChunkTokenizer:
     """ids of whole texts. The tokenizer drops white space and never looks across it, so that chunks between spaces
-    are encoded once and remembered. Chunks of plain Latin letters are lowered and cut here, and their parts are
-    remembered too, as one word stands beside many signs; all others go to the tokenizer whole, as do chunks that hold a
-    mark of the tokenizer's own (such as its end of text), which it takes for that mark wherever it stands."""
+    are encoded once and remembered. Texts of plain Latin letters are lowered as a whole, and their chunks cut here; what
+    is cut goes straight to the tokenizer's model, many in one text whose words are told apart by their last id. Parts of
+    chunks are remembered too, as one word stands beside many signs. Chunks of other texts that aren't plain go to the
+    tokenizer whole, as do chunks that hold a mark of its own (such as its end of text) in any case, which it takes for that mark wherever it stands."""
 
     def __init__(self, config: PackingConfig):
         self.tokenizer = Tokenizer.from_file(config.tokenizer_path)
-        self.marks = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
-        self.parts = Remembered(lambda part: self._ids([part])[0], config.cached)
-        self.chunks = Remembered(lambda chunk: b"".join(map(self.parts.__getitem__, self._cut(chunk))), config.cached)
-
-    def _ids(self, parts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)
+        marks = [re.escape(x.content) for x in self.tokenizer.get_added_tokens_decoder().values()]
+        self.mark = re.compile("|".join(marks) or "(?!)")
+        self.words = Tokenizer(self.tokenizer.model)
+        self.words.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.is_last = np.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True), bool)
+        self.is_last[[i for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if suffix and token.endswith(suffix)]] = True
+        self.chunks = Remembered(self._encoded, config.cached)
+
+    def _encoded(self, chunk: str) -> bytes:
+        return self._ids([chunk])[0]
+
+    def _ids(self, chunks: list[str]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)
         return [struct.pack(f"<{len(ids)}I", *ids) for ids in (x.ids for x in found)]
 
-    def _cut(self, chunk: str) -> list[str]:
-        plain = chunk.isascii() or (max(chunk) < "\u0180" and "\u0130" not in chunk)
-        plain = plain and not any(mark in chunk for mark in self.marks)
-        return _CUT.findall(chunk.lower()) if plain else [chunk]
+    def _word_ids(self, words: list[str]) -> list[bytes]:
+        """ids of lower-case parts as `_cut` gives them."""
+        ids = np.array(self.words.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.flatnonzero(self.is_last[ids]) + 1
+        if len(ends) != len(words):  # a tokenizer whose words don't end in ids of their own
+            return self._ids(words)
+        data, ends = ids.tobytes(), (4 * ends).tolist()
+        return [data[a:b] for a, b in zip([0, *ends], ends)]
+
+    def _lowered(self, text: str) -> str | None:
+        """A plain text in lower case, or none if it isn't plain or has a mark in either form (a capital one is no mark)."""
+        if not text.isascii() and _WIDE.search(text):
+            return None
+        lower = text.lower()
+        return None if self.mark.search(lower) or self.mark.search(text) else lower
+
+    def _split(self, text: str) -> list[str]:
+        """Chunks of a text, in lower case if all of it can be lowered."""
+        lower = self._lowered(text)
+        return (text if lower is None else lower).replace("\n", " ").split(" ")
+
+    def _cut(self, chunk: str) -> list[str] | None:
+        """Parts in lower case, or none if the chunk is the tokenizer's alone."""
+        lower = self._lowered(chunk)
+        return None if lower is None else [lower] if lower.isalpha() else _CUT.findall(lower)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """ids as little-endian unsigned 32-bit numbers."""
-        chunks = [text.replace("\n", " ").split(" ") for text in texts]
-        known, older, parts, older_parts = self.chunks, self.chunks.older, self.parts, self.parts.older
-        cut = {c: self._cut(c) for c in set().union(*chunks) if c not in known and c not in older}
-        missing = sorted({p for x in cut.values() for p in x if p not in parts and p not in older_parts})
-        for at in range(0, len(missing), 4096):
-            for p, ids in zip(missing[at : at + 4096], self._ids(missing[at : at + 4096])):
-                parts.put(p, ids)
-        for chunk, x in cut.items():
-            known.put(chunk, b"".join([parts[p] for p in x]))
-        return [b"".join(map(self.chunks.__getitem__, x)) for x in chunks]
+        chunks = [self._split(text) for text in texts]
+        known, older = self.chunks, self.chunks.older
+        new = filterfalse(known.__contains__, filterfalse(older.__contains__, set().union(*chunks)))
+        cut = {c: self._cut(c) for c in new}
+        whole = [c for c, parts in cut.items() if parts is None]
+        words = [p for p in set().union(*filter(None, cut.values())) if p not in known and p not in older]
+        found = {}
+        for make, missing in ((self._ids, whole), (self._word_ids, words)):
+            for at in range(0, len(missing), 4096):
+                found.update(zip(missing[at : at + 4096], make(missing[at : at + 4096])))
+        for chunk, ids in found.items():
+            known.put(chunk, ids)
+        for chunk, parts in cut.items():
+            if parts is not None and not (len(parts) == 1 and parts[0] == chunk):
+                known.put(chunk, b"".join([found[p] if p in found else known[p] for p in parts]))
+        return [b"".join(map(known.__getitem__, x)) for x in chunks]
 
 
 _TOKENIZERS: dict[PackingConfig, ChunkTokenizer] = {}
