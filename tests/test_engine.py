@@ -486,3 +486,14 @@ def test_the_few_kinds_of_games_are_broadcast_not_the_games(spark):
     games = ranking.staged(ranking.sample_games({"a": 1.0, "b": 0.0}, spark, 5000, 4))
     size = lambda df: int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     assert size(ranking._coded(games)[1]) < size(games)
+
+
+def test_a_logistic_fit_rests_where_only_rounding_makes_it_worse(spark):
+    from verdictlake.operators.length import _B, _S, _moved
+
+    names = [*_B, *_S, "use1", "use2", "share", "value", "variance", "likelihood", *(f"g{i}" for i in range(3)), *(f"h{i}{j}" for i in range(3) for j in range(i, 3)), "margin", "closest"]
+    row = dict.fromkeys(names, 0.0) | {"use1": 1.0, "use2": 1.0, "share": 1.0, "value": -1000.0, "h00": 9.0, "h11": 9.0, "h22": 9.0, "margin": -1.0, "closest": 0.1}
+    rows = [(*(row | {"likelihood": x}).values(), False, False) for x in (-1000.0 - 1e-9, -1000.1)]
+    found = spark.createDataFrame(rows, ", ".join(f"{n} double" for n in names) + ", separated boolean, rests boolean")
+    got = _moved(found, [F.lit(1.0), F.col("use1"), F.col("use2")], [0.0, 1.0, 1.0], 1e-10).select("likelihood", "rests", "share").collect()
+    assert {(r.likelihood, r.rests, r.share) for r in got} == {(-1000.0 - 1e-9, True, 1.0), (-1000.1, False, 0.5)}

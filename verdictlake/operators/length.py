@@ -124,8 +124,9 @@ def _moved(found: DataFrame, used: list[Column], ridge: list[float], tol: float)
     found = found.withColumn("determinant", h[0, 0] * minor[0, 0] + h[0, 1] * minor[0, 1] + h[0, 2] * minor[0, 2])
     newton = [sum((minor[min(i, j), max(i, j)] * F.col(f"g{j}") for j in range(3)), F.lit(0.0)) / F.col("determinant") for i in range(3)]
     passed, new = F.col("tried").isNotNull(), F.col("tried")
-    better = passed & (F.col("value").isNull() | (new >= F.col("value")) | (F.col("share") <= 1e-10))
     close = F.col("value").isNotNull() & (F.abs(new - F.col("value")) <= tol * (1 + F.abs(new)))
+    # at the end rounding may make it a little worse, which is no reason to halve the step
+    better = passed & (F.col("value").isNull() | (new >= F.col("value")) | close | (F.col("share") <= 1e-10))
     pick = lambda moved, halved, same: F.when(better, moved).when(passed, halved).otherwise(same)
     columns = {b: pick(F.col(f"at{i}"), F.col(b), F.col(b)) for i, b in enumerate(_B)}
     columns |= {s: pick(newton[i], F.col(s), F.col(s)) for i, s in enumerate(_S)}
