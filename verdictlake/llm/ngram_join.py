@@ -11,14 +11,15 @@ Links are only wanted for components, so a pair that is already connected needs
 their group, and each group the most central group of its prefix shingles. Then, turn by turn, what is left of a
 group in a component (a cell) meets cells of other components: at each shingle all cells but those of its largest
 component look for partners, among those of sizes that they can link with. A cell tries at most `tries` pairs in the first turn and `growth` times as many in each
-further one, taken from all that it could try by hash, those with the most shingles left first; those that a link has joined meanwhile are out. The turn in
+further one, taken from all that it could try by hash, those with the most shingles left first; those that a link has joined meanwhile are out. After the
+first turn a cell tries as many more as all cells together can in `spare` looks a document, so that few turns are made for little. The turn in
 which no cell was held back has looked at every candidate pair of different components and is the last, so nothing is
 missed; a class of N near copies costs about N pairs, not N^2.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -34,12 +35,14 @@ from .lz_dedup import words_of
 @dataclass(frozen=True)
 class JoinConfig:
     """words: of a shingle. percent: 100 * intersection >= percent * union links. tries: pairs of a cell in the first turn,
-    about. growth: of that number from turn to turn."""
+    about. growth: of that number from turn to turn. spare: looks of cells at others, by the number of documents, that any but the first turn may take to try more than that; half as many pairs of
+    members come of it, as these carry sets."""
 
     words: int = 5
     percent: int = 75
     tries: int = 4
     growth: int = 8
+    spare: int = 8
     blocks: BlockConfig = field(default_factory=BlockConfig)
 
 
@@ -137,7 +140,8 @@ def components(links: DataFrame) -> DataFrame:
     jump to the label of their label, so that long chains take few rounds; every round is written out."""
     spark = links.sparkSession
     with scratch(spark):
-        ends = staged(links.select(F.col("x").alias("node"), F.col("y").alias("other")).unionByName(links.select(F.col("y").alias("node"), F.col("x").alias("other"))).distinct())
+        ways = F.array(F.struct(F.col("x").alias("node"), F.col("y").alias("other")), F.struct(F.col("y").alias("node"), F.col("x").alias("other")))
+        ends = staged(links.select(F.inline(ways)).distinct())
         labels = staged(ends.groupBy("node").agg(F.least(F.col("node"), F.min("other")).alias("label")))
         while True:
             near = ends.join(labels.select(F.col("node").alias("other"), F.col("label").alias("seen")), "other").groupBy("node").agg(F.min("seen").alias("seen"))
@@ -155,7 +159,7 @@ def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
         of_x = labels.select(F.col("doc_id").alias("x"), F.col("component").alias("cx"))
         of_y = labels.select(F.col("doc_id").alias("y"), F.col("component").alias("cy"))
         edges = links.join(of_x, "x").join(of_y, "y").where("cx <> cy").select(F.col("cx").alias("x"), F.col("cy").alias("y"))
-        moves = components(staged(edges.distinct())).withColumnRenamed("node", "component")
+        moves = components(edges).withColumnRenamed("node", "component")
         return lasting(labels.join(moves, "component", "left").select("doc_id", F.coalesce("label", "component").alias("component")))
 
 
@@ -168,8 +172,9 @@ def _cells(index: DataFrame, members: DataFrame, labels: DataFrame, config: Join
     size (it is `open`), and its size is in the range that the larger one has room for; rows for which no other
     component has such a partner at the shingle go."""
     place = Window.partitionBy(*_CELL).orderBy("doc_id")
-    placed = staged(members.join(labels, "doc_id").withColumn("place", F.row_number().over(place) - 1))
-    cells = placed.groupBy(*_CELL).agg(F.count("*").alias("size"))
+    placed = members.join(labels, "doc_id").withColumn("place", F.row_number().over(place) - 1)
+    placed = staged(placed.withColumn("size", F.count("*").over(Window.partitionBy(*_CELL))))
+    cells = placed.where("place = 0").select(*_CELL, "size")
     n, percent = F.col("n_shingles"), config.percent
     most = F.least(F.floor(F.col("left") * (100 + percent) / percent - n), F.floor(n * 100 / percent))
     at = index.join(cells, ["group", "n_shingles"]).withColumn("most", most).withColumn("open", F.col("most") >= n)
@@ -194,24 +199,36 @@ def _elsewhere(sizes: DataFrame, low: str, high: str) -> DataFrame:
 _CELL = ["group", "n_shingles", "component"]
 
 
-def _candidates(at: DataFrame, placed: DataFrame, tries: int, config: JoinConfig) -> tuple[DataFrame, bool]:
-    """Pairs (x, y) of members of different components, at most about `tries` for each cell; and whether any was held back."""
+def _widest(rows: DataFrame, cost: Callable[[int], Column], held: Callable[[int], Column], tries: int, budget: int, growth: int) -> tuple[int, bool]:
+    """The most tries, `tries` at least, that cost all rows the budget at most; and whether they hold any row back."""
+    steps = [tries]
+    while growth > 1 and steps[-1] * growth < 2**60:
+        steps.append(steps[-1] * growth)
+    told = rows.agg(*(F.sum(cost(t).cast("double")) for t in steps), *(F.max(held(t)) for t in steps)).first()
+    k = max((k for k in range(len(steps)) if (told[k] or 0) <= budget), default=0)
+    return steps[k], bool(told[len(steps) + k])
+
+
+def _candidates(at: DataFrame, placed: DataFrame, tries: int, budget: int, config: JoinConfig) -> tuple[DataFrame, bool]:
+    """Pairs (x, y) of members of different components, at most about `tries` for each cell, or more if no more than
+    `budget` looks and half as many pairs come of it; and whether any was held back."""
     # the cells of a shingle and a size stand in a row, one component after the other
     spot = ["shingle", "n_shingles"]
-    counts = staged(at.groupBy(*spot, "component").agg(F.count("*").alias("own")))
+    counts = at.groupBy(*spot, "component").agg(F.count("*").alias("own"))
     before = Window.partitionBy(*spot).orderBy("component").rowsBetween(Window.unboundedPreceding, -1)
     runs = staged(counts.withColumn("first", F.coalesce(F.sum("own").over(before), F.lit(0))))
     inner = Window.partitionBy(*spot, "component").orderBy("group")
     others = at.join(runs.drop("own"), [*spot, "component"]).withColumn("spot", F.col("first") + F.row_number().over(inner) - 1)
     others = others.select("shingle", "spot", *(F.col(c).alias(f"o_{c}") for c in (*_CELL, "left", "size")))
     # all cells but those of a shingle's largest component look for partners, in the rows of sizes that they can link with
-    largest = counts.groupBy("shingle", "component").agg(F.sum("own").alias("own")).groupBy("shingle").agg(F.max_by("component", F.struct("own", "component")).alias("largest"))
+    largest = runs.groupBy("shingle", "component").agg(F.sum("own").alias("own")).groupBy("shingle").agg(F.max_by("component", F.struct("own", "component")).alias("largest"))
     rows = runs.groupBy("shingle", F.col("n_shingles").alias("o_n_shingles")).agg(F.sum("own").alias("all"))
     looks = at.join(largest, "shingle").where("component <> largest").join(rows, "shingle").where("o_n_shingles between least and most")
     own = runs.select("shingle", F.col("n_shingles").alias("o_n_shingles"), "component", "first", "own")
     looks = looks.join(own, ["shingle", "o_n_shingles", "component"], "left").na.fill(0, ["first", "own"]).withColumn("room", F.col("all") - F.col("own"))
     looks = staged(looks.where("room > 0").drop("all", "largest", "least", "most"))
-    turn = F.explode(F.sequence(F.lit(0).cast("long"), F.least("room", F.lit(tries)) - 1))
+    seeks, few = _widest(looks, lambda t: F.least("room", F.lit(t)), lambda t: F.col("room") > t, tries, budget, config.growth)
+    turn = F.explode(F.sequence(F.lit(0).cast("long"), F.least("room", F.lit(seeks)) - 1))
     seekers = looks.withColumn("turn", turn).withColumn("spot", F.pmod(F.xxhash64("shingle", *_CELL) + F.col("turn"), F.col("room")))
     seekers = seekers.withColumn("spot", F.col("spot") + F.when(F.col("spot") >= F.col("first"), F.col("own")).otherwise(0)).drop("first", "own", "turn")
     met = seekers.join(others, ["shingle", "o_n_shingles", "spot"]).where(_can_link(F.col("n_shingles"), F.col("left"), F.col("o_n_shingles"), F.col("o_left"), config.percent))
@@ -219,17 +236,22 @@ def _candidates(at: DataFrame, placed: DataFrame, tries: int, config: JoinConfig
     pairs = met.groupBy(*pair).agg(F.first("size").alias("size"), F.first("o_size").alias("o_size"), F.max(F.col("o_left") / F.col("o_n_shingles")).alias("near"))
     own = Window.partitionBy(*_CELL)
     pairs = pairs.withColumn("rank", F.row_number().over(own.orderBy(F.desc("near"), F.xxhash64(*pair)))).withColumn("n", F.count("*").over(own))
-    pairs = pairs.withColumn("all", F.col("size") * F.col("o_size")).withColumn("share", F.ceil(F.lit(tries) / F.least("n", F.lit(tries))))
-    pairs = staged(pairs)
-    held = not looks.where(F.col("room") > tries).isEmpty() or not pairs.where((F.col("rank") > tries) | (F.col("all") > F.col("share"))).isEmpty()
+    pairs = staged(pairs.withColumn("all", F.col("size") * F.col("o_size")))
+
+    def share(t: int) -> Column:
+        return F.ceil(F.lit(t) / F.least("n", F.lit(t)))
+
+    tries, less = _widest(
+        pairs, lambda t: F.when(F.col("rank") <= t, F.least("all", share(t))), lambda t: (F.col("rank") > t) | (F.col("all") > share(t)), tries, budget // 2, config.growth
+    )
     # expanded to members: pair number k of a cell pair is member k div o_size of the one and k mod o_size of the other
-    k = F.explode(F.sequence(F.lit(0).cast("long"), F.least("all", "share") - 1))
+    k = F.explode(F.sequence(F.lit(0).cast("long"), F.least("all", share(tries)) - 1))
     drawn = pairs.where(F.col("rank") <= tries).withColumn("k", k).withColumn("k", F.pmod(F.xxhash64(*pair) + F.col("k"), F.col("all")))
     drawn = drawn.withColumn("place", F.floor((F.col("k") - F.col("k") % F.col("o_size")) / F.col("o_size")).cast("int")).withColumn("o_place", (F.col("k") % F.col("o_size")).cast("int"))
     one = placed.select(*_CELL, "place", F.col("doc_id").alias("x"))
     two = placed.select(*(F.col(c).alias(f"o_{c}") for c in (*_CELL, "place")), F.col("doc_id").alias("y"))
     found = drawn.join(one, [*_CELL, "place"]).join(two, [f"o_{c}" for c in (*_CELL, "place")])
-    return found.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), held
+    return found.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), few or less
 
 
 def similarity_components(docs: DataFrame, config: JoinConfig = JoinConfig()) -> DataFrame:
@@ -273,15 +295,17 @@ def _components_of(docs: DataFrame, config: JoinConfig) -> DataFrame:
     meets = meets.groupBy("leader").agg(F.min("first").alias("first")).select(F.least("leader", "first.leader").alias("x"), F.greatest("leader", "first.leader").alias("y"))
     tried = staged(inside.unionByName(meets).distinct())
     nodes = own.select("doc_id", F.col("doc_id").alias("component")).distinct()
-    labels = _merged(staged(nodes), staged(_verified(tried, own, config)))
+    labels = _merged(staged(nodes), _verified(tried, own, config))
 
-    at, tries, held = index.join(first.select("shingle"), "shingle", "left_semi"), config.tries, True
+    at, tries, budget, held = index.join(first.select("shingle"), "shingle", "left_semi"), config.tries, 0, True
     while held:
-        at, placed = _cells(at.select("shingle", "group", "n_shingles", "left").distinct(), members, labels, config)
-        pairs, held = _candidates(at, placed, tries, config)
+        at, placed = _cells(at.select("shingle", "group", "n_shingles", "left"), members, labels, config)
+        pairs, held = _candidates(at, placed, tries, budget, config)
         pairs = staged(pairs.join(tried, ["x", "y"], "left_anti"))
-        labels = _merged(labels, staged(_verified(pairs, own, config)))
-        tried, tries = tried.unionByName(pairs), tries * config.growth
+        labels = _merged(labels, _verified(pairs, own, config))
+        if held:
+            at, tried, tries = at.dropDuplicates(["shingle", "group", "n_shingles"]), tried.unionByName(pairs), tries * config.growth
+            budget = budget or config.spare * members.count()
 
     found = member.join(labels.withColumnRenamed("doc_id", "rep"), "rep").groupBy("doc_id").agg(F.min("component").alias("component"))
     rows = sets.select("doc_id", "n_shingles").join(found, "doc_id", "left")
